@@ -12,9 +12,11 @@ library, those of an Arrow batch at once.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,17 +27,20 @@ from pyspark.sql import functions as F
 from weftspark.llm import common
 
 SPACE = "▁"
-#: Chunks, and as many words, kept per worker in each of two generations; when one is full, the older goes.
-CACHE_CHUNKS = 150_000
+#: Words and chunks kept per worker in each of two generations; when one is full, the older goes.
+CACHE_WORDS, CACHE_CHUNKS = 60_000, 300_000
 #: Longest chunk (characters) that enters a cache.
 CACHE_CHARS = 48
+#: Chunks of so many characters at most are merged with a list as agenda.
+SHORT = 32
+NEVER = math.inf
 
 
 class Cache:
-    """A mapping that keeps the last CACHE_CHUNKS to twice as many entries used."""
+    """A mapping that keeps the last `most` to twice as many entries used."""
 
-    def __init__(self):
-        self.new, self.old = {}, {}
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
 
     def get(self, key: str):
         hit = self.new.get(key)
@@ -44,7 +49,7 @@ class Cache:
         return hit
 
     def put(self, key: str, value) -> None:
-        if len(self.new) >= CACHE_CHUNKS:
+        if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
         self.new[key] = value
 
@@ -62,16 +67,18 @@ class PieceCodec:
             raise ValueError("only merge-type models without text normalisation and with a leading space are supported")
         kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.verify, self.chunks, self.words, self.fresh = verify, Cache(), Cache(), []
-        self.rank: dict[str, tuple[float, int]] = {}
+        self.verify, self.chunks, self.words, self.fresh = verify, Cache(CACHE_CHUNKS), Cache(CACHE_WORDS), []
+        self.rank: dict[str, float] = {}
+        self.ids: dict[str, int] = {}
         self.bytes, self.fallback, self.unknown = [0] * 256, spec.trainer_spec.byte_fallback, self.library.unk_id()
         for i, p in enumerate(spec.pieces):
             if p.type == kinds.NORMAL:
-                self.rank[p.piece] = (-p.score, i)
+                self.rank[p.piece], self.ids[p.piece] = -p.score, i
             elif p.type == kinds.BYTE:
                 self.bytes[int(p.piece[3:5], 16)] = i
             elif p.type not in (kinds.UNKNOWN, kinds.CONTROL):
                 raise ValueError("user-defined and unused pieces are not supported")
+        self.cost, self.names = self.rank.get, [str(i) for i in range(len(spec.pieces))]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.rank):
             raise ValueError("a piece spans two words")
         # letters that some piece has beside a sign count as signs
@@ -84,10 +91,34 @@ class PieceCodec:
         self.split = re.compile(f"{SPACE}*(?:{letter})+|{SPACE}*(?:{sign})+|{SPACE}+").findall
 
     def merge(self, chunk: str) -> list[int]:
-        """Ids of one chunk by the agenda."""
-        rank, sym = self.rank, list(chunk)
+        """Ids of one chunk by the agenda: a plain list for a short chunk, a heap for a long one."""
+        sym = self._short(chunk) if len(chunk) <= SHORT else self._long(chunk)
+        ids: list[int] = []
+        for s in sym:
+            hit = self.ids.get(s)
+            if hit is not None:
+                ids.append(hit)
+            else:
+                ids += [self.bytes[x] for x in s.encode()] if self.fallback else [self.unknown]
+        return ids
+
+    def _short(self, chunk: str) -> list[str]:
+        cost, sym = self.cost, list(chunk)
+        agenda = [cost(a + b, NEVER) for a, b in zip(sym, sym[1:], strict=False)]
+        while agenda and (best := min(agenda)) != NEVER:
+            i = agenda.index(best)
+            del agenda[i]
+            sym[i] += sym.pop(i + 1)
+            if i:
+                agenda[i - 1] = cost(sym[i - 1] + sym[i], NEVER)
+            if i < len(agenda):
+                agenda[i] = cost(sym[i] + sym[i + 1], NEVER)
+        return sym
+
+    def _long(self, chunk: str) -> list[str]:
+        cost, sym = self.cost, list(chunk)
         after, before = [*range(1, len(sym)), -1], [-1, *range(len(sym) - 1)]
-        agenda = [(hit[0], i, len(a) + len(b)) for i, (a, b) in enumerate(zip(sym, sym[1:], strict=False)) if (hit := rank.get(a + b))]
+        agenda = [(c, i, len(a) + len(b)) for i, (a, b) in enumerate(zip(sym, sym[1:], strict=False)) if (c := cost(a + b)) is not None]
         heapq.heapify(agenda)
         while agenda:
             _, i, size = heapq.heappop(agenda)
@@ -100,29 +131,24 @@ class PieceCodec:
             if k >= 0:
                 before[k] = i
             for a, b in ((before[i], i), (i, k)):
-                if a >= 0 and b >= 0 and (hit := rank.get(sym[a] + sym[b])):
-                    heapq.heappush(agenda, (hit[0], a, len(sym[a]) + len(sym[b])))
-        ids: list[int] = []
-        for s in sym:
-            if s:
-                hit = rank.get(s)
-                ids += [hit[1]] if hit else [self.bytes[x] for x in s.encode()] if self.fallback else [self.unknown]
+                if a >= 0 and b >= 0 and (c := cost(sym[a] + sym[b])) is not None:
+                    heapq.heappush(agenda, (c, a, len(sym[a]) + len(sym[b])))
+        return [s for s in sym if s]
+
+    def chunk(self, chunk: str) -> list[int]:
+        if (kept := self.chunks.get(chunk)) is not None:
+            return array.array("i", kept).tolist()
+        ids = self.merge(chunk)
+        if self.verify and chunk[0] == SPACE:
+            self.fresh.append((chunk, ids))
+        if len(chunk) <= CACHE_CHARS:
+            self.chunks.put(chunk, array.array("i", ids).tobytes())
         return ids
 
-    def chunk(self, chunk: str) -> tuple[str, list[int]]:
-        if (out := self.chunks.get(chunk)) is None:
-            ids = self.merge(chunk)
-            if self.verify and chunk[0] == SPACE:
-                self.fresh.append((chunk, ids))
-            out = (" ".join(map(str, ids)), ids)
-            if len(chunk) <= CACHE_CHARS:
-                self.chunks.put(chunk, out)
-        return out
-
     def word(self, word: str) -> tuple[str, list[int]]:
-        """A word and the space before it."""
-        found = [self.chunk(c) for c in self.split(SPACE + word)]
-        out = found[0] if len(found) == 1 else (" ".join(s for s, _ in found), [i for _, x in found for i in x])
+        """A word and the space before it: its ids in decimal and as numbers."""
+        ids = [i for c in self.split(SPACE + word) for i in self.chunk(c)]
+        out = (" ".join([self.names[i] for i in ids]), ids)
         if len(word) < CACHE_CHARS:
             self.words.put(word, out)
         return out
@@ -131,13 +157,13 @@ class PieceCodec:
         """The ids of a text in decimal, joined by spaces, and as numbers."""
         if not text:
             return "", []
-        if text[0] == " " or "  " in text or SPACE in text:
-            found = [self.chunk(c) for c in self.split(SPACE + text.replace(" ", SPACE))]
-        else:
-            get, word = self.words.get, self.word
-            new = self.words.new.get
-            found = [new(w) or get(w) or word(w) for w in text.split(" ")]
         ids: list[int] = []
+        if text[0] == " " or "  " in text or SPACE in text:
+            for c in self.split(SPACE + text.replace(" ", SPACE)):
+                ids += self.chunk(c)
+            return " ".join([self.names[i] for i in ids]), ids
+        new, get, word = self.words.new.get, self.words.get, self.word
+        found = [new(w) or get(w) or word(w) for w in text.split(" ")]
         for _, x in found:
             ids += x
         return " ".join([s for s, _ in found]), ids
