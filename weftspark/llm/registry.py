@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import common, pieces, quality, sharding, simhash
+from weftspark.llm import common, pieces, quality, sharding, simhash, substring
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -25,6 +25,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 16).select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(common.table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,7 +46,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op5_simhash, op7_quality, op8_sentencepiece)}
+    return {f.__name__: f for f in (op2_sharding, op4_substring, op5_simhash, op7_quality, op8_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
