@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import common, pieces, quality, sharding, simhash, substring
+from weftspark.llm import chat, common, pieces, quality, sharding, simhash, sql, substring, warc
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -25,6 +25,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 16).select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = warc.archive_pages(common.table(spark, sf_dir, "pages"), common.scratch_path(spark, "archives"))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(common.table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    say = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", say), (-1, 1, "assistant", say)], rows.schema)
+    template = chat.Template()
+    return chat.read_back(chat.segments(rows.unionByName(more), template), template)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"), crc_of_id() % 4 != 2)
@@ -46,8 +59,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_substring, op5_simhash, op7_quality, op8_sentencepiece)}
+    return {f.__name__: f for f in (op2_sharding, op3_warc, op4_substring, op5_simhash, op6_chat, op7_quality, op8_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": sql.OP3, "op4_substring": sql.OP4, "op6_chat": sql.OP6}
