@@ -16,6 +16,7 @@ import array
 import functools
 import hashlib
 import heapq
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from weftspark.llm import common
 
 SPACE = "▁"
 #: Words and chunks kept per worker in each of two generations; when one is full, the older goes.
-CACHE_WORDS, CACHE_CHUNKS = 60_000, 300_000
+CACHE_WORDS, CACHE_CHUNKS = 400_000, 600_000
 #: Longest chunk (characters) that enters a cache.
 CACHE_CHARS = 48
 #: Chunks of so many characters at most are merged with a list as agenda.
@@ -36,22 +37,23 @@ SHORT = 32
 NEVER = math.inf
 
 
-class Cache:
-    """A mapping that keeps the last `most` to twice as many entries used."""
+class Cache(dict):
+    """What `work` gives for a key; the last `most` to twice as many short keys used are kept."""
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+    def __init__(self, most: int, work):
+        self.most, self.work, self.old = most, work, {}
 
-    def get(self, key: str):
-        hit = self.new.get(key)
-        if hit is None and (hit := self.old.get(key)) is not None:
-            self.put(key, hit)
-        return hit
-
-    def put(self, key: str, value) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.work(key)
+            if len(key) > CACHE_CHARS:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class PieceCodec:
@@ -67,7 +69,7 @@ class PieceCodec:
             raise ValueError("only merge-type models without text normalisation and with a leading space are supported")
         kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.verify, self.chunks, self.words, self.fresh = verify, Cache(CACHE_CHUNKS), Cache(CACHE_WORDS), []
+        self.verify, self.chunks, self.words, self.fresh = verify, Cache(CACHE_CHUNKS, self.chunk), Cache(CACHE_WORDS, self.word), []
         self.rank: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.bytes, self.fallback, self.unknown = [0] * 256, spec.trainer_spec.byte_fallback, self.library.unk_id()
@@ -135,38 +137,27 @@ class PieceCodec:
                     heapq.heappush(agenda, (c, a, len(sym[a]) + len(sym[b])))
         return [s for s in sym if s]
 
-    def chunk(self, chunk: str) -> list[int]:
-        if (kept := self.chunks.get(chunk)) is not None:
-            return array.array("i", kept).tolist()
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk as packed 32-bit numbers."""
         ids = self.merge(chunk)
         if self.verify and chunk[0] == SPACE:
             self.fresh.append((chunk, ids))
-        if len(chunk) <= CACHE_CHARS:
-            self.chunks.put(chunk, array.array("i", ids).tobytes())
-        return ids
+        return array.array("i", ids).tobytes()
 
-    def word(self, word: str) -> tuple[str, list[int]]:
-        """A word and the space before it: its ids in decimal and as numbers."""
-        ids = [i for c in self.split(SPACE + word) for i in self.chunk(c)]
-        out = (" ".join([self.names[i] for i in ids]), ids)
-        if len(word) < CACHE_CHARS:
-            self.words.put(word, out)
-        return out
+    def word(self, word: str) -> bytes:
+        """The packed ids of a word with the space before it."""
+        return b"".join(map(self.chunks.__getitem__, self.split(SPACE + word)))
 
     def encode(self, text: str) -> tuple[str, list[int]]:
         """The ids of a text in decimal, joined by spaces, and as numbers."""
         if not text:
             return "", []
-        ids: list[int] = []
         if text[0] == " " or "  " in text or SPACE in text:
-            for c in self.split(SPACE + text.replace(" ", SPACE)):
-                ids += self.chunk(c)
-            return " ".join([self.names[i] for i in ids]), ids
-        new, get, word = self.words.new.get, self.words.get, self.word
-        found = [new(w) or get(w) or word(w) for w in text.split(" ")]
-        for _, x in found:
-            ids += x
-        return " ".join([s for s, _ in found]), ids
+            packed = map(self.chunks.__getitem__, self.split(SPACE + text.replace(" ", SPACE)))
+        else:
+            packed = map(self.words.__getitem__, text.split(" "))
+        ids = array.array("i", b"".join(packed)).tolist()
+        return " ".join(map(self.names.__getitem__, ids)), ids
 
     def checked(self) -> int:
         """Compares the chunks worked out since the last call with the library; how many there were."""
