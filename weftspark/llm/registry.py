@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import chat, common, embeddings, pieces, quality, sharding, simhash, sql, substring, warc
+from weftspark.llm import chat, common, decontam, embeddings, pieces, quality, sharding, simhash, sql, substring, warc
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -62,8 +62,13 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and test item that it leaks."""
+    return decontam.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embeddings, op2_sharding, op3_warc, op4_substring, op5_simhash, op6_chat, op7_quality, op8_sentencepiece)}
+    return {f.__name__: f for f in (op1_embeddings, op2_sharding, op3_warc, op4_substring, op5_simhash, op6_chat, op7_quality, op8_sentencepiece, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
