@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import chat, common, decontam, embeddings, pieces, quality, sharding, simhash, sql, substring, warc
+from weftspark.llm import chat, common, decontam, embeddings, lm, pieces, quality, sharding, simhash, sql, substring, warc
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -67,8 +67,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(common.table(spark, sf_dir, "documents"), crc_of_id() % 7 != 2)
+    return scored.withColumn("held_out", F.coalesce(crc_of_id() % 7 == 2, F.lit(False)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embeddings, op2_sharding, op3_warc, op4_substring, op5_simhash, op6_chat, op7_quality, op8_sentencepiece, op9_decontamination)}
+    return {f.__name__: f for f in (op1_embeddings, op2_sharding, op3_warc, op4_substring, op5_simhash, op6_chat, op7_quality, op8_sentencepiece, op9_decontamination, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
