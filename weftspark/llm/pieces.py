@@ -21,6 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,7 +184,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     Null and empty texts hold the end id only. A null or repeated id is
     returned as it came, one row per input row. Other columns are ignored. The
     model is read on the driver (half a megabyte) and travels with the task.
-    with_ids adds the columns ids (array of int) and decoded (string).
+    with_ids adds the column ids (array of int).
     """
     common.arrow_rows(docs.sparkSession)
     with open(model_path, "rb") as f:
@@ -193,7 +194,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         codec = _codec(model)
         end, decode = codec.library.eos_id(), codec.library.decode
         for batch in batches:
-            n, ids_sha, text_sha, all_ids, all_text = [], [], [], [], []
+            n, ids_sha, text_sha, all_ids = [], [], [], []
             for text in batch.column(1).to_pylist():
                 line, ids = codec.encode(text or "")
                 ids.append(end)
@@ -202,14 +203,14 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 back = decode(ids)
                 text_sha.append(hashlib.sha256(back.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
-                    all_text.append(back)
+                    all_ids.append(pa.array(ids, pa.int32()))
             codec.checked()
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_text, pa.string())]
-                names += ["ids", "decoded"]
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(all_ids) if all_ids else pa.array([], pa.int32())))
+                names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

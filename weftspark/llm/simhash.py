@@ -213,3 +213,12 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_col: str = "do
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = labelled.join(smallest, "component").select("fp", "component_id")
     return marks.join(by_fp, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, but for those whose component has a smaller id. Rows with a null id stay; rows with one id stay or go together."""
+    near = near_duplicates(docs, distance, id_col, text_col)
+    # an id whose texts lie in several components goes only if all of them have smaller ids
+    gone = near.where("doc_id is not null").groupBy(F.col("doc_id").alias("weft_id")).agg(F.max("component_id").alias("c")).where("c < weft_id").select("weft_id")
+    gone = common.small(common.save(gone, "copies"), 16)
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("weft_id"), "left_anti")
