@@ -42,7 +42,8 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     sized = pages.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2(F.col("html").cast("binary"), 256))
     keys = sized.select("payload_digest", "payload_bytes", "page_id")
     firsts = keys.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    return sized.join(firsts.select("payload_digest", "first"), "payload_digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first"))).drop("first")
+    firsts = common.small(common.save(firsts.select("payload_digest", "first"), "copies"), 96)
+    return sized.join(firsts, "payload_digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first"))).drop("first")
 
 
 def _line(name: str, value: Column | str) -> Column:
