@@ -1,11 +1,535 @@
-"""Every query of the library, by name, with its SQL twin."""
+"""Every query of the library, by name, with its SQL twin where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftspark.functions import reductions as R
+from weftspark.functions import scalar as S
+from weftspark.model import Graph, Tensor
+from weftspark.operators import conv, dataflow, footprint, graph, linalg, loops, scan, sparse, trace
+from weftspark.operators.einsum import einsum
+from weftspark.plans import sql as Q
+from weftspark.sources import driver as D
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return D.table(spark, d, "events").select("event_id", (F.floor("value") - 200).cast("bigint").alias("a"), (F.col("user_id") % 7 + 1).cast("bigint").alias("b"))
+
+
+_PAIRS = "WITH p AS (SELECT event_id, floor(value)::BIGINT - 200 AS a, user_id % 7 + 1 AS b FROM events) "
+
+
+@query(_PAIRS + "SELECT event_id, a + b AS add_, a - b AS subtract_, a * b AS multiply_, a // b AS divide_, a % b AS modulo_, b AS second_, a + 1 AS increment_ FROM p")
+def scalar_arithmetic(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _pairs(spark, d).select("event_id", S.add(a, b).alias("add_"), S.subtract(a, b).alias("subtract_"), S.multiply(a, b).alias("multiply_"), S.divide(a, b).alias("divide_"), S.modulo(a, b).alias("modulo_"), S.second(a, b).alias("second_"), S.increment(a).alias("increment_"))
+
+
+@query(_PAIRS + "SELECT event_id, (a = b)::BIGINT AS eq_, (a::INT = b::INT)::BIGINT AS int_eq_, (a <> b)::BIGINT AS ne_, (a >= b)::BIGINT AS ge_, (a <= b)::BIGINT AS le_, (a > b)::BIGINT AS gt_, (a < b)::BIGINT AS lt_, (a <> 0 AND b - 1 <> 0)::BIGINT AS and_, (a <> 0 OR b - 1 <> 0)::BIGINT AS or_, a & b AS bit_and_, a | b AS bit_or_ FROM p")
+def scalar_logic(spark, d):
+    a, b = F.col("a"), F.col("b")
+    named = {"eq_": S.eq, "int_eq_": S.int_eq, "ne_": S.ne, "ge_": S.ge, "le_": S.le, "gt_": S.gt, "lt_": S.lt, "bit_and_": S.bit_and, "bit_or_": S.bit_or}
+    return _pairs(spark, d).select("event_id", *[f(a, b).alias(n) for n, f in named.items()], S.logical_and(a, b - 1).alias("and_"), S.logical_or(a, b - 1).alias("or_"))
+
+
+@query(_PAIRS + "SELECT event_id, a + b AS plus, a - b AS minus, a * b AS times, a // b AS over, (a <> 0 AND b <> 0)::BIGINT AS both_, (a <> 0 OR b <> 0)::BIGINT AS either_ FROM p")
+def assign_operators(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _pairs(spark, d).select("event_id", *[S.ASSIGN[o](a, b).alias(n) for o, n in (("+=", "plus"), ("-=", "minus"), ("*=", "times"), ("/=", "over"), ("&=", "both_"), ("|=", "either_"))])
+
+
+@query(_PAIRS + "SELECT b, sum(a)::BIGINT AS total, -sum(a)::BIGINT AS less, min(a) AS least, max(a) AS most, bool_and(a <> 0)::BIGINT AS every_, bool_or(a <> 0)::BIGINT AS some_, arg_min(a, event_id) AS first_, arg_max(a, event_id) AS last_, count(*) AS n, avg(a) AS mean FROM p GROUP BY b")
+def update_assign(spark, d):
+    a, o = F.col("a"), F.col("event_id")
+    return _pairs(spark, d).groupBy("b").agg(R.total(a).alias("total"), R.less(a).alias("less"), F.min(a).alias("least"), F.max(a).alias("most"), R.every(a).alias("every_"), R.some(a).alias("some_"), R.first_by(a, o).alias("first_"), R.last_by(a, o).alias("last_"), F.count(a).alias("n"), F.avg(a).alias("mean"))
+
+
+@query("SELECT o_custkey, product(o_orderkey % 3 + 1)::BIGINT AS v FROM orders GROUP BY o_custkey")
+def update_product(spark, d):
+    return D.table(spark, d, "orders").groupBy("o_custkey").agg(R.product(F.col("o_orderkey") % 3 + 1).alias("v"))
+
+
+@query(_PAIRS + "SELECT event_id, CASE WHEN a < 0 THEN -1 WHEN a < 100 THEN b WHEN b > 3 THEN a ELSE 0 END AS v FROM p")
+def else_if_chain(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _pairs(spark, d).select("event_id", loops.choose((a < 0, F.lit(-1).cast("bigint")), (S.lt(a, 100), b), (b > 3, a), otherwise=F.lit(0).cast("bigint")).alias("v"))
+
+
+@query("SELECT i.range::INT AS i, j.range::INT AS j, k.range::INT AS k FROM range(2, 9) i, range(0, 5) j, range(3, 4) k")
+def loop_nest(spark, d):
+    return loops.domain(spark, i=(2, 9), j=(0, 5), k=(3, 4))
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT s, row_number() OVER (PARTITION BY s ORDER BY d) - 1 AS pos, d FROM e")
+def loop_over_rows(spark, d):
+    """Data-dependent bounds: offsets from degrees, and each row's range opened again."""
+    g = sparse.with_positions(D.order_graph(spark, d))
+    off = sparse.row_offsets(g)
+    starts = off.withColumnRenamed("v", "s")
+    flat = g.edges.join(starts, "s").select((F.col("off") + F.col("pos")).alias("pos"), F.col("d").alias("t"))
+    back = Graph.from_rows(off, flat, g.n)
+    return back.edges.join(starts, "s").select("s", (F.col("pos") - F.col("off")).alias("pos"), "d")
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT d, min(s) AS s FROM e WHERE w > 8 GROUP BY d")
+def loop_first_match(spark, d):
+    return loops.first_match(D.order_graph(spark, d).edges, ["d"], F.col("w") > 8, F.col("s"), "s")
+
+
+@query("SELECT event_id, (event_id % 16 // 4) % 4 AS wide, event_id % 3 AS narrow FROM events")
+def spatial_buffers(spark, d):
+    e = D.table(spark, d, "events").select("event_id")
+    e = loops.spatial(e, 8, "event_id")
+    return e.select("event_id", loops.buffer_index(F.col("event_id") % 16, 16, 4).cast("bigint").alias("wide"), loops.buffer_index(F.col("event_id") % 3, 3, 4).cast("bigint").alias("narrow"))
+
+
+@query("SELECT l_orderkey * 7 + l_linenumber % 7 AS flat, l_orderkey AS row, (l_linenumber % 7)::INT AS col FROM lineitem")
+def flatten_index(spark, d):
+    x = D.table(spark, d, "lineitem").select(scan.flat([F.col("l_orderkey"), F.col("l_linenumber") % 7], (1 << 40, 7)).alias("flat"))
+    row, col = F.floor(F.col("flat") / 7).cast("bigint").alias("row"), scan.unflat(F.col("flat"), ("r", "col"), (1 << 40, 7))[1]
+    return x.select("flat", row, col)
+
+
+@query(Q.with_(Q.EV) + "SELECT sum(a.v * b.v)::BIGINT AS v FROM ev a JOIN ev b ON a.i = b.i")
+def dot_dense(spark, d):
+    a = D.event_vector(spark, d)
+    return linalg.dot(a, a)
+
+
+_ROWS2 = "x AS (SELECT n, v FROM sup WHERE m = 0), y AS (SELECT n, v FROM sup WHERE m = 1)"
+
+
+def _two_rows(spark, d) -> tuple[Tensor, Tensor]:
+    t = D.supply_matrix(spark, d)
+    return tuple(Tensor(sparse.fiber(t, m=m).select("n", "v"), ("n",), t.shape[1:]) for m in (0, 1))
+
+
+@query(Q.with_(Q.SUP, _ROWS2) + "SELECT coalesce(sum(x.v * y.v), 0)::BIGINT AS v FROM x JOIN y USING (n)")
+def dot_sparse(spark, d):
+    return linalg.dot(*_two_rows(spark, d))
+
+
+@query(Q.with_(Q.SUP, _ROWS2) + "SELECT n, x.v AS a, y.v AS b FROM x JOIN y USING (n)")
+def intersect_fibers(spark, d):
+    x, y = _two_rows(spark, d)
+    return loops.intersect(x.df.withColumnRenamed("v", "a"), y.df.withColumnRenamed("v", "b"), ["n"])
+
+
+@query(Q.with_(Q.SUP, _ROWS2) + "SELECT n, x.v AS a, y.v AS b FROM x FULL JOIN y USING (n)")
+def union_fibers(spark, d):
+    x, y = _two_rows(spark, d)
+    return loops.union(x.df.withColumnRenamed("v", "a"), y.df.withColumnRenamed("v", "b"), ["n"])
+
+
+@query(Q.with_(Q.SUP) + "SELECT m, n, v FROM sup WHERE m IN (SELECT m FROM sup GROUP BY m HAVING sum(v) % 2 = 0)")
+def scan_fibers(spark, d):
+    t = D.supply_matrix(spark, d)
+    parents = t.df.groupBy("m").agg(F.sum("v").alias("_t")).where("_t % 2 = 0").select("m")
+    return loops.scan(t.df, parents, ["m"]).select("m", "n", "v")
+
+
+@query(Q.with_(Q.EV) + "SELECT sum(v * (v % 13))::BIGINT AS v FROM ev")
+def fully_connected(spark, d):
+    a = D.event_vector(spark, d)
+    return linalg.dot(a, a.transform(F.col("v") % 13))
+
+
+@query(Q.with_(Q.EV) + "SELECT sum(v * (v % 13))::BIGINT AS v FROM ev")
+def fully_connected_parallel(spark, d):
+    a = D.event_vector(spark, d)
+    return linalg.dot_in_parts(a, a.transform(F.col("v") % 13), 16)
+
+
+def _part_sizes(spark, d) -> tuple[Tensor, Tensor]:
+    """Customers per nation, and parts per size."""
+    c = D.table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("int").alias("a")).agg(F.count(F.lit(1)).alias("v"))
+    p = D.table(spark, d, "part").groupBy(F.col("p_size").cast("int").alias("b")).agg(F.count(F.lit(1)).alias("v"))
+    return Tensor(c, ("a",), (25,)), Tensor(p, ("b",), (51,))
+
+
+@query("WITH x AS (SELECT c_nationkey AS a, count(*) AS v FROM customer GROUP BY 1), y AS (SELECT p_size AS b, count(*) AS v FROM part GROUP BY 1) SELECT a, b, x.v * y.v AS v FROM x, y")
+def outer_product(spark, d):
+    return linalg.outer(*_part_sizes(spark, d)).df
+
+
+_GRAM = "g AS (SELECT x.k AS m, y.k AS n, sum(x.v * y.v)::BIGINT AS v FROM a x JOIN a y ON x.m = y.m GROUP BY ALL)"
+
+
+def _gram(spark, d) -> Tensor:
+    a = D.embedding_matrix(spark, d)
+    t = Tensor(a.df.select(F.col("k").alias("m"), F.col("m").alias("k"), "v"), ("m", "k"), a.shape[::-1])
+    return linalg.matmul(t, Tensor(a.df.select(F.col("m").alias("k"), F.col("k").alias("n"), "v"), ("k", "n"), a.shape))
+
+
+@query(Q.with_(Q.EMB, _GRAM) + "SELECT m, n, v FROM g")
+def matmul_gram(spark, d):
+    return _gram(spark, d).df
+
+
+_MM = Q.with_(Q.EMB, _GRAM, "z AS (SELECT a.m, g.n, sum(a.v * g.v)::BIGINT AS v FROM a JOIN g ON a.k = g.m GROUP BY ALL)")
+
+
+def _operands(spark, d) -> tuple[Tensor, Tensor]:
+    return D.embedding_matrix(spark, d), _gram(spark, d).rename("k", "n")
+
+
+@query(_MM + "SELECT m, n, v FROM z")
+def matmul(spark, d):
+    return linalg.matmul(*_operands(spark, d)).df
+
+
+@query(_MM + "SELECT m, n, v FROM z WHERE v <> 0")
+def matmul_tiled(spark, d):
+    return linalg.matmul_tiled(*_operands(spark, d), (128, 32, 32)).df
+
+
+def _fused(form: str, tile=None):
+    return lambda spark, d: dataflow.multiply_then_scale(*_operands(spark, d), 17, form, tile).df
+
+
+for _form in ("fused", "decoupled", "staged"):
+    _QUERIES[f"mm_scale_{_form}"] = _fused(_form)
+    _SQL[f"mm_scale_{_form}"] = _MM + "SELECT m, n, v * 17 AS v FROM z"
+    _QUERIES[f"mm_scale_{_form}_tiled"] = _fused(_form, (128, 32, 32))
+    _SQL[f"mm_scale_{_form}_tiled"] = _MM + "SELECT m, n, v * 17 AS v FROM z WHERE v <> 0"
+
+
+@query(Q.with_(Q.SUP) + "SELECT m, n, v * 17 AS v FROM sup")
+def elementwise_scale(spark, d):
+    return linalg.scale(D.supply_matrix(spark, d), 17).df
+
+
+@query(Q.with_(Q.SUP, "b AS (SELECT p_partkey AS n, j.range AS j, (p_size + j.range)::BIGINT AS v FROM part, range(8) j)") + "SELECT m, j, sum(sup.v * b.v)::BIGINT AS v FROM sup JOIN b USING (n) GROUP BY ALL")
+def matmul_sparse_dense(spark, d):
+    t = D.supply_matrix(spark, d)
+    b = D.table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j"), "p_size").select("n", "j", (F.col("p_size") + F.col("j")).cast("bigint").alias("v"))
+    return einsum("Z[m,j] += A[m,n] * B[n,j]", {"A": t, "B": Tensor(b, ("n", "j"), (t.shape[1], 8))}).df
+
+
+@query(Q.with_(Q.SUP) + "SELECT m, sum(v)::BIGINT AS v FROM sup GROUP BY m")
+def spmv_ones(spark, d):
+    return linalg.spmv(D.supply_matrix(spark, d)).df
+
+
+@query(Q.with_(Q.SUP) + "SELECT m, sum(v * p_size)::BIGINT AS v FROM sup JOIN part ON n = p_partkey GROUP BY m")
+def spmv(spark, d):
+    t = D.supply_matrix(spark, d)
+    x = Tensor(D.table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("n"), F.col("p_size").cast("bigint").alias("v")), ("n",), t.shape[1:])
+    return linalg.spmv(t, x).df
+
+
+_W9 = "w AS (SELECT range AS s, range % 5 + 1 AS v FROM range(9))"
+_C1 = Q.with_(Q.EV, _W9) + "SELECT i - s AS q, sum(ev.v * w.v)::BIGINT AS v FROM ev, w WHERE i - s BETWEEN 0 AND (SELECT max(i) + 1 FROM ev) - 9 GROUP BY 1"
+
+
+def _weights(spark, *shape: int) -> Tensor:
+    names = ("s",) if len(shape) == 1 else ("r", "s") if len(shape) == 2 else ("k", "c", "s", "r")
+    base = Tensor(spark.range(0).select(*[F.col("id").cast("int").alias(n) for n in names], F.col("id").alias("v")), names, shape)
+    total = F.lit(0)
+    for n in names:
+        total = total + F.col(n)
+    return base.fill((total % 5 + 1).cast("bigint"))
+
+
+@query(_C1)
+def conv1d(spark, d):
+    return conv.conv1d(D.event_vector(spark, d), _weights(spark, 9)).df
+
+
+@query(_C1)
+def conv1d_input_stationary(spark, d):
+    return conv.conv1d_scatter(D.event_vector(spark, d), _weights(spark, 9)).df
+
+
+@query(Q.with_(Q.EMB, "w AS (SELECT r.range AS r, s.range AS s, (r.range + s.range) % 5 + 1 AS v FROM range(3) r, range(4) s)") + "SELECT m - r AS p, k - s AS q, sum(a.v * w.v)::BIGINT AS v FROM a, w WHERE m - r BETWEEN 0 AND (SELECT max(m) + 1 FROM a) - 3 AND k - s BETWEEN 0 AND (SELECT max(k) + 1 FROM a) - 4 GROUP BY 1, 2")
+def conv2d(spark, d):
+    return conv.conv2d(D.embedding_matrix(spark, d), _weights(spark, 3, 4)).df
+
+
+_IMG = "img AS (SELECT k // 16 AS c, k % 16 AS h, m AS w, v FROM a)"
+
+
+def _image(spark, d) -> Tensor:
+    """Four channels of 16 rows, a column per embedding."""
+    a = D.embedding_matrix(spark, d)
+    df = a.df.select(F.floor(F.col("k") / 16).cast("int").alias("c"), (F.col("k") % 16).alias("h"), F.col("m").alias("w"), "v")
+    return Tensor(df, ("c", "h", "w"), (-(-a.shape[1] // 16), 16, a.shape[0]))
+
+
+@query(Q.with_(Q.EMB, _IMG, "w AS (SELECT k.range AS k, c.range AS c, s.range AS s, r.range AS r, (k.range + c.range + s.range + r.range) % 5 + 1 AS v FROM range(2) k, range(4) c, range(3) s, range(2) r)") + "SELECT w.k, img.h - s AS q, img.w - r AS p, sum(img.v * w.v)::BIGINT AS v FROM img JOIN w ON img.c = w.c WHERE img.h - s BETWEEN 0 AND 13 AND img.w - r BETWEEN 0 AND (SELECT max(w) + 1 FROM img) - 2 GROUP BY ALL")
+def conv_channels(spark, d):
+    return conv.conv_channels(_image(spark, d), _weights(spark, 2, 4, 3, 2)).df
+
+
+@query(Q.with_(Q.SUP, "o AS (SELECT DISTINCT m, dense_rank() OVER (ORDER BY m) - 1 AS p FROM sup), i AS (SELECT m, row_number() OVER (ORDER BY m, n) - 1 AS p FROM sup)") + "SELECT 0 AS level, 0 AS parent_pos, 0 AS start, (SELECT count(*) FROM o) AS stop UNION ALL SELECT 1, o.p, min(i.p), max(i.p) + 1 FROM o JOIN i USING (m) GROUP BY o.p")
+def csf_segments(spark, d):
+    return sparse.encode(D.supply_matrix(spark, d)).segments
+
+
+@query(Q.with_(Q.SUP) + "SELECT 0 AS level, dense_rank() OVER (ORDER BY m) - 1 AS pos, m AS coord FROM (SELECT DISTINCT m FROM sup) UNION ALL SELECT 1, row_number() OVER (ORDER BY m, n) - 1, n FROM sup")
+def csf_coordinates(spark, d):
+    return sparse.encode(D.supply_matrix(spark, d)).coords
+
+
+@query(Q.with_(Q.SUP) + "SELECT m, n, v FROM sup")
+def csf_round_trip(spark, d):
+    t = D.supply_matrix(spark, d)
+    return sparse.decode(sparse.encode(t), t.index).df
+
+
+@query(Q.with_(Q.SUP) + "SELECT m, n, v FROM sup WHERE m = 3 AND n = (SELECT min(n) FROM sup WHERE m = 3)")
+def csf_locate(spark, d):
+    t = D.supply_matrix(spark, d)
+    n = sparse.fiber(t, m=3).agg(F.min("n")).first()[0]
+    return sparse.fiber(t, m=3, n=n if n is not None else -1)
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT v, (SELECT count(*) FROM e WHERE s < v) AS off FROM (SELECT range AS v FROM range((SELECT n + 1 FROM nv)))")
+def csr_offsets(spark, d):
+    return sparse.row_offsets(D.order_graph(spark, d))
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT v, coalesce(o, 0) AS out_deg, coalesce(i, 0) AS in_deg FROM vs LEFT JOIN (SELECT s AS v, count(*) AS o FROM e GROUP BY s) USING (v) LEFT JOIN (SELECT d AS v, count(*) AS i FROM e GROUP BY d) USING (v)")
+def degrees(spark, d):
+    return D.order_graph(spark, d).degrees()
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT v, (SELECT count(*) FROM e WHERE d = v) AS deg FROM vs")
+def degrees_from_offsets(spark, d):
+    return sparse.adjacent_difference(sparse.row_offsets(D.order_graph(spark, d), by_source=False))
+
+
+_FORMS = {
+    "csr3": "d // 64 AS d1, s, d % 64 AS d0", "csc3": "s // 32 AS s1, d, s % 32 AS s0", "csc4": "d // 64 AS d1, s // 32 AS s1, d % 64 AS d0, s % 32 AS s0",
+    "csc5_dst_tile": "d // 64 AS d1, s // 32 // 4 AS s2, s // 32 % 4 AS s1, d % 64 AS d0, s % 32 AS s0",
+    "csr5_dst_tile": "d // 64 AS d1, s // 32 // 4 AS s2, s // 32 % 4 AS s1, s % 32 AS s0, d % 64 AS d0",
+    "csr5_dst_tile_ct": "s // 32 // 4 AS s2, d // 64 AS d1, s // 32 % 4 AS s1, s % 32 AS s0, d % 64 AS d0",
+}
+for _f, _cols in _FORMS.items():
+    _QUERIES[f"tiles_{_f}"] = lambda spark, d, f=_f: sparse.tiled(D.order_graph(spark, d), f, 32, 64, 4 if "5" in f else 0).df
+    _SQL[f"tiles_{_f}"] = Q.with_(Q.GRAPH) + f"SELECT {_cols}, w AS v FROM e"
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT s AS v, sum(w)::BIGINT AS y FROM e GROUP BY s")
+def spmv_tiled(spark, d):
+    """Row sums from the five-level tiles: the tile columns are put together again."""
+    t = sparse.tiled(D.order_graph(spark, d), "csr5_dst_tile", 32, 64, 4)
+    return t.df.groupBy(((F.col("s2") * 4 + F.col("s1")) * 32 + F.col("s0")).alias("v")).agg(F.sum("v").alias("y"))
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT s // 32 AS s1, d // 64 AS d1, count(*) AS n FROM e GROUP BY ALL")
+def tile_histogram(spark, d):
+    return sparse.tile_histogram(D.order_graph(spark, d), 32, 64)
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT s // 32 AS s1, d // 64 AS d1, d, count(*) AS n FROM e GROUP BY ALL")
+def tile_valid_vertices(spark, d):
+    return sparse.valid_vertices(D.order_graph(spark, d), 32, 64)
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT s, d, w FROM e WHERE s // 32 = 2 AND d // 64 = 3")
+def tile_edges(spark, d):
+    return sparse.tile_of(D.order_graph(spark, d), 2, 3, 32, 64).edges
+
+
+@query(Q.with_(Q.GRAPH, "t AS (SELECT s, d // 64 AS d1, count(*) AS n FROM e GROUP BY ALL)") + "SELECT s, d1, n, coalesce(sum(n) OVER (PARTITION BY s ORDER BY d1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM t")
+def row_tile_offsets(spark, d):
+    return sparse.row_tile_offsets(D.order_graph(spark, d), 64)
+
+
+_ORD = "od AS (SELECT v, coalesce(o, 0) AS o FROM vs LEFT JOIN (SELECT s AS v, count(*) AS o FROM e GROUP BY s) USING (v)), mp AS (SELECT v, row_number() OVER (ORDER BY o DESC, v) - 1 AS new_v FROM od)"
+
+
+@query(Q.with_(Q.GRAPH, _ORD) + "SELECT v, new_v FROM mp")
+def degree_order(spark, d):
+    return sparse.degree_order(D.order_graph(spark, d))
+
+
+@query(Q.with_(Q.GRAPH, _ORD) + "SELECT a.new_v AS s, b.new_v AS d, w FROM e JOIN mp a ON a.v = s JOIN mp b ON b.v = d")
+def relabel_by_degree(spark, d):
+    g = D.order_graph(spark, d)
+    return sparse.relabel(g, sparse.degree_order(g)).edges
+
+
+@query(Q.with_(Q.EV) + "SELECT i, v, coalesce(sum(v) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before_ FROM ev")
+def prefix_sum(spark, d):
+    return sparse.exclusive_sum(D.event_vector(spark, d).df, "i", "v", "before_")
+
+
+@query(Q.with_(Q.SUP) + "SELECT m, n, v FROM sup WHERE m >= 5 AND m < 5 + 20 * 3 AND (m - 5) % 3 = 0 AND n >= 7 AND n < 7 + 100 * 4 AND (n - 7) % 4 = 0")
+def strided_scan(spark, d):
+    return scan.strided(D.supply_matrix(spark, d), (5, 7), (20, 100), (3, 4), order=(1, 0))
+
+
+@query(Q.with_(Q.SUP, "p AS (SELECT s_suppkey AS m, s_suppkey * 3 AS n FROM supplier)") + "SELECT p.m, p.n, sup.v IS NOT NULL AS has FROM p LEFT JOIN sup USING (m, n)")
+def point_lookup(spark, d):
+    p = D.table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("m"), (F.col("s_suppkey") * 3).cast("int").alias("n"))
+    return scan.has(D.supply_matrix(spark, d), p)
+
+
+@query("SELECT l_suppkey + 2 AS t0, l_partkey + 5 AS t1, least(l_suppkey + 2, 49) AS b0, least(l_partkey + 5, 99) AS b1, l_suppkey * 3 AS s0, l_partkey * 2 AS s1, l_suppkey % 2 = 0 AND l_partkey % 3 = 0 AS mult, l_partkey AS p0, l_suppkey AS p1, l_suppkey > 10 AND l_partkey > 20 AS over, 9 AS h0, l_suppkey AS h1 FROM lineitem")
+def point_algebra(spark, d):
+    x = D.table(spark, d, "lineitem")
+    p = [F.col("l_suppkey"), F.col("l_partkey")]
+    cols = {f"t{i}": c for i, c in enumerate(scan.translate(p, [2, 5]))} | {f"b{i}": c for i, c in enumerate(scan.translate_bounded(p, [2, 5], [50, 100]))} | {f"s{i}": c for i, c in enumerate(scan.scale(p, [3, 2]))} | {f"p{i}": c for i, c in enumerate(scan.permute(p, [1, 0]))} | {f"h{i}": c for i, c in enumerate(scan.shift(p, 9))}
+    return x.select(*[c.alias(n) for n, c in cols.items()], scan.multiple_of(p, [2, 3]).alias("mult"), scan.all_compare(p, ">", [10, 20]).alias("over"))
+
+
+@query(Q.with_(Q.GRAPH, Q.LEVELS, recursive=True) + "SELECT v, (level IS NOT NULL)::INT AS connected FROM vs LEFT JOIN lev USING (v)")
+def bfs_reachable(spark, d):
+    return graph.reachable(D.order_graph(spark, d))
+
+
+@query(Q.with_(Q.GRAPH, Q.LEVELS, "par AS (SELECT e.d AS v, min(e.s) AS parent FROM e JOIN lev a ON a.v = e.s JOIN lev b ON b.v = e.d WHERE b.level = a.level + 1 GROUP BY e.d)", recursive=True) + "SELECT v, coalesce(level, -1) AS level, CASE WHEN v = 0 THEN 0 ELSE coalesce(parent, -1) END AS parent FROM vs LEFT JOIN lev USING (v) LEFT JOIN par USING (v)")
+def bfs_parents(spark, d):
+    return graph.bfs(D.order_graph(spark, d))
+
+
+@query(Q.with_(Q.GRAPH, Q.LEVELS, recursive=True) + "SELECT max(level) AS depth, count(*) AS reached FROM lev")
+def bfs_depth(spark, d):
+    return graph.depth(graph.bfs(D.order_graph(spark, d)))
+
+
+@query(Q.with_(Q.GRAPH, Q.LABELS.format(edges="e"), recursive=True) + "SELECT v, label FROM lab")
+def ancestor_labels(spark, d):
+    return graph.least_labels(D.order_graph(spark, d))
+
+
+@query(Q.with_(Q.GRAPH, Q.SYM, Q.LABELS.format(edges="sym"), recursive=True) + "SELECT label, count(*) AS size FROM lab GROUP BY label")
+def connected_components(spark, d):
+    return graph.component_sizes(graph.least_labels(D.order_graph(spark, d).symmetric()))
+
+
+@query(Q.pagerank())
+def pagerank_delta(spark, d):
+    return graph.pagerank_delta(D.order_graph(spark, d), most=12)
+
+
+def _seeds(spark) -> DataFrame:
+    return spark.range(3).select(F.col("id").alias("seed"))
+
+
+@query(Q.nibble(3, "170 * residual", "187 * residual // deg.k", "12", "BIGINT", "rank, residual"))
+def nibble_multiseed(spark, d):
+    return graph.nibble(D.order_graph(spark, d), _seeds(spark), 3)
+
+
+@query("SELECT v, rank, residual FROM (" + Q.nibble(3, "170 * residual", "187 * residual // deg.k", "12", "BIGINT", "rank, residual") + ") WHERE seed = 0")
+def nibble_single(spark, d):
+    return graph.nibble(D.order_graph(spark, d), _seeds(spark).where("seed = 0"), 3).select("v", "rank", "residual")
+
+
+@query(Q.nibble(4, "2 * 0.15::DOUBLE / 1.15 * residual", "0.85::DOUBLE / 1.15 * residual / deg.k", "1e-6::DOUBLE", "DOUBLE", "round(rank, 9) AS rank, round(residual, 9) AS residual"))
+def nibble_double(spark, d):
+    return graph.nibble_double(D.order_graph(spark, d), _seeds(spark), most=4).select("seed", "v", F.round("rank", 9).alias("rank"), F.round("residual", 9).alias("residual"))
+
+
+@query(Q.with_(Q.GRAPH, Q.DIST, recursive=True) + "SELECT v, d AS dist FROM dist")
+def shortest_paths(spark, d):
+    return graph.shortest_paths(D.order_graph(spark, d))
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT v, 10 * (SELECT count(*) FROM e WHERE d = v) AS y FROM vs")
+def spmv_rounds(spark, d):
+    return graph.spmv_rounds(D.order_graph(spark, d))
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT d AS v, sum(w)::BIGINT AS y FROM e WHERE s % 5 = 0 GROUP BY d")
+def spmv_frontier(spark, d):
+    g = D.order_graph(spark, d)
+    return graph.frontier_spmv(g, g.vertices.where("v % 5 = 0"))
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT count(*) AS n FROM e a JOIN e b ON a.d = b.s JOIN e c ON b.d = c.s AND c.d = a.s WHERE a.s <> a.d AND b.s <> b.d AND c.s <> c.d")
+def cycles3(spark, d):
+    return graph.cycles3(D.order_graph(spark, d))
+
+
+@query(Q.with_(Q.GRAPH, Q.SYM) + "SELECT count(*) AS n FROM sym a JOIN sym b ON a.d = b.s JOIN sym c ON b.d = c.s AND c.d = a.s")
+def triangles(spark, d):
+    return graph.triangles(D.order_graph(spark, d))
+
+
+@query(Q.with_(Q.TRACE) + "SELECT buffer, sum((kind = 'R')::INT)::BIGINT AS reads, sum((kind = 'U')::INT)::BIGINT AS updates FROM tr GROUP BY buffer")
+def trace_counts(spark, d):
+    return trace.counts(D.event_trace(spark, d), "buffer")
+
+
+@query(Q.with_(Q.LRU.format(trace=Q.TRACE, g=4, lines=8)) + "SELECT h.buffer, sum((NOT hit AND kind = 'R')::INT)::BIGINT AS fills, sum((NOT hit AND kind = 'U')::INT)::BIGINT AS allocations, sum(hit::INT)::BIGINT AS hits, sum((NOT hit)::INT)::BIGINT AS evicts, sum((NOT hit)::INT)::BIGINT AS backing_reads, any_value(x.n)::BIGINT AS backing_updates FROM hit h JOIN (SELECT buffer, sum(dirty::INT) AS n FROM dirty GROUP BY buffer) x USING (buffer) GROUP BY h.buffer")
+def trace_lru(spark, d):
+    stats = trace.lru_statistics(trace.lru(D.event_trace(spark, d), 32, 4))
+    return stats.select("buffer", "fills", "allocations", "hits", "evicts", "backing_reads", "backing_updates")
+
+
+@query(Q.with_(Q.TRACE, "x AS (SELECT buffer, coalesce(addr // 16 = lag(addr // 16) OVER (PARTITION BY buffer ORDER BY seq), false) AS hit FROM tr)") + "SELECT buffer, sum(hit::INT)::BIGINT AS row_hits, sum((NOT hit)::INT)::BIGINT AS row_misses FROM x GROUP BY buffer")
+def trace_row_buffer(spark, d):
+    return trace.row_buffer(D.event_trace(spark, d), ["buffer"])
+
+
+@query()
+def trace_coalescing(spark, d):
+    """Multicast and multi-reduce: a state machine per buffer, all requestors in one."""
+    t = D.event_trace(spark, d, 1).withColumn("requestor", (F.col("seq") % 4).cast("int"))
+    return trace.coalesce(t, 16).groupBy("buffer", "kind").agg(F.sum(F.col("coalesced").cast("bigint")).alias("coalesced"), F.count(F.lit(1)).alias("n"))
+
+
+@query(Q.with_(Q.TRACE, "c AS (SELECT kind, buffer, requestor, count(*) AS n FROM tr GROUP BY ALL)") + "SELECT kind AS stat, buffer, requestor, sum(n)::BIGINT AS n FROM c GROUP BY ROLLUP (kind, buffer, requestor) HAVING grouping(kind) = 0")
+def statistics_rollup(spark, d):
+    c = D.event_trace(spark, d).groupBy(F.col("kind").alias("stat"), "buffer", "requestor").agg(F.count(F.lit(1)).alias("n"))
+    return trace.statistics_tree(c, ["buffer", "requestor"])
+
+
+@query()
+def compute_ops(spark, d):
+    t = D.event_trace(spark, d).select(F.col("buffer").alias("engine"), "seq", (F.col("addr") % 8).cast("int").alias("tensor_id"), "kind")
+    return trace.compute_ops(t)
+
+
+@query(Q.with_(Q.TRACE) + "SELECT 'unit.0.0' AS unit, count(*) AS n FROM tr")
+def trace_binding(spark, d):
+    """Four buffers of the outermost level, which has one unit by default."""
+    none = spark.createDataFrame([], "tensor string, level int, buffer int, unit string")
+    return trace.bind(D.event_trace(spark, d), none).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('A', 0, 'R', 32::BIGINT, 4096::BIGINT, 512.0::DOUBLE, 4096.0::DOUBLE), ('B', 1, 'R', 32, 4096, 512.0, 4096.0), ('Z', 2, 'U', 64, 4096, 512.0, 2048.0), ('I', 3, 'R', 11, 4096, 11.0, 4096.0)) t(tensor, place, kind, volume, executions, backing, local)")
+def static_footprint(spark, d):
+    """A 16 x 16 matrix product by tiles of 8 x 8 x 4, its output half of the time, and a window over rows and columns of a tile."""
+    nest = [footprint.Loop(v, 0, n) for v, n in (("m1", 2), ("n1", 2), ("k1", 4), ("m0", 8), ("n0", 8), ("k0", 4))]
+    use = footprint.Use
+    return footprint.analyse(spark, nest, [use("A", ("8*m1+m0", "4*k1+k0"), 6, level=3), use("B", ("4*k1+k0", "8*n1+n0"), 6, level=3), use("Z", ("8*m1+m0", "8*n1+n0"), 6, True, 0.5, 3), use("I", ("m0+k0",), 6)])
+
+
+@query("SELECT user_id % 5 AS stream, event_id AS seq, floor(value)::BIGINT AS value, coalesce(sum((event_type = (SELECT min(event_type) FROM events))::INT) OVER (PARTITION BY user_id % 5 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g0 FROM events QUALIFY event_type <> (SELECT min(event_type) FROM events)")
+def punctuated_groups(spark, d):
+    e = D.table(spark, d, "events")
+    mark = e.agg(F.min("event_type")).first()[0]
+    s = e.select((F.col("user_id") % 5).alias("stream"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == mark, 0).alias("tag"), F.floor("value").cast("bigint").alias("value"))
+    return dataflow.groups(s, 1, "stream").select("stream", "seq", "value", "g0")
