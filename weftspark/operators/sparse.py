@@ -122,7 +122,8 @@ def tiled(g: Graph, form: str, s0: int = 0, d0: int = 0, s1: int = 0) -> Tensor:
     The tile of an edge is that of the end the form tiles. (Where a known
     program tests the other end's tile, the intended form is built.)
     """
-    s, d = F.col("s"), F.col("d")
+    s, d, order = F.col("s"), F.col("d"), TILED[form]
+    s1 = s1 if "s2" in order else 0
     tile = F.floor(s / s0) if s0 else s
     columns = {
         "s": s, "d": d,
@@ -130,7 +131,6 @@ def tiled(g: Graph, form: str, s0: int = 0, d0: int = 0, s1: int = 0) -> Tensor:
         "s0": s % s0 if s0 else None,
         "s1": (tile % s1 if s1 else tile) if s0 else None, "s2": F.floor(tile / s1) if s1 else None,
     }
-    order = TILED[form]
     if any(columns[c] is None for c in order):
         raise ValueError(f"{form} needs more tile sizes")
     value = F.col("w") if "w" in g.edges.columns else F.lit(1)

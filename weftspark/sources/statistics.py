@@ -26,7 +26,7 @@ def read_consolidated(spark: SparkSession, path: str) -> DataFrame:
     named = rows.withColumn("_x", F.when(F.size(numbers) >= 4, numbers)).withColumn("graph", F.last(F.when(F.size(numbers) < 4, F.trim("text")), ignorenulls=True).over(Window.orderBy("line")))
     kept = named.where("_x IS NOT NULL")
     placed = kept.withColumn("schedule", F.row_number().over(Window.partitionBy("graph").orderBy("line")) - 1)
-    cols = [F.try_element_at("_x", F.lit(i + 1)).cast("bigint").alias(c) for i, c in enumerate(("a_total", "a_offchip", "b_total", "b_offchip"))]
+    cols = [F.try_element_at("_x", F.lit(i + 1)).cast("double").cast("bigint").alias(c) for i, c in enumerate(("a_total", "a_offchip", "b_total", "b_offchip"))]
     out = placed.select("graph", "schedule", *cols)
     return out.where("a_total + a_offchip + b_total + b_offchip > 0")
 
