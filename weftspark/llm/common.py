@@ -99,6 +99,10 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
+def is_space(raw: np.ndarray) -> np.ndarray:
+    return _SPACE[raw]
+
+
 def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word [^\\x20\\x09-\\x0D]+ and, per text, the index of its first word (rows + 1 values)."""
     inside = ~_SPACE[raw]

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from weftspark.llm import common
 
-NGRAM = 4
-SPREAD = 3
+NGRAM = 3
+SPREAD = 2
 #: Items of fewer words can't be told from chance and are not looked for.
 LEAST_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
