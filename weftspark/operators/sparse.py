@@ -76,6 +76,11 @@ def fiber(t: Tensor, **at: int) -> DataFrame:
     return t.df.where(reduce(lambda a, b: a & b, (F.col(k) == v for k, v in at.items()), F.lit(True)))
 
 
+def locate(t: Tensor, points: DataFrame) -> DataFrame:
+    """The entries at the points of a table of the outer coordinates."""
+    return t.df.join(points, [c for c in t.index if c in points.columns])
+
+
 def row_offsets(g: Graph, by_source: bool = True) -> DataFrame:
     """(v, off): start of each vertex's row, n + 1 rows. Sums run inside blocks of vertices, then over the blocks."""
     key = "s" if by_source else "d"

@@ -123,35 +123,39 @@ def dot_dense(spark, d):
     return linalg.dot(a, a)
 
 
-_ROWS2 = "x AS (SELECT n, v FROM sup WHERE m = 0), y AS (SELECT n, v FROM sup WHERE m = 1)"
+_ROWS2 = ", ".join(f"{c} AS (SELECT l_orderkey AS n, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem WHERE l_returnflag = '{f}' GROUP BY 1)" for c, f in (("x", "A"), ("y", "R")))
 
 
 def _two_rows(spark, d) -> tuple[Tensor, Tensor]:
-    t = D.supply_matrix(spark, d)
-    return tuple(Tensor(sparse.fiber(t, m=m).select("n", "v"), ("n",), t.shape[1:]) for m in (0, 1))
+    """Quantities by order, of lines with either return flag: two sparse vectors."""
+    x = D.table(spark, d, "lineitem")
+    n = int(x.agg(F.max("l_orderkey") + 1).first()[0])
+    return tuple(Tensor(x.where(F.col("l_returnflag") == f).groupBy(F.col("l_orderkey").alias("n")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("v")), ("n",), (n,)) for f in "AR")
 
 
-@query(Q.with_(Q.SUP, _ROWS2) + "SELECT coalesce(sum(x.v * y.v), 0)::BIGINT AS v FROM x JOIN y USING (n)")
+@query(Q.with_(_ROWS2) + "SELECT coalesce(sum(x.v * y.v), 0)::BIGINT AS v FROM x JOIN y USING (n)")
 def dot_sparse(spark, d):
     return linalg.dot(*_two_rows(spark, d))
 
 
-@query(Q.with_(Q.SUP, _ROWS2) + "SELECT n, x.v AS a, y.v AS b FROM x JOIN y USING (n)")
+@query(Q.with_(_ROWS2) + "SELECT n, x.v AS a, y.v AS b FROM x JOIN y USING (n)")
 def intersect_fibers(spark, d):
     x, y = _two_rows(spark, d)
     return loops.intersect(x.df.withColumnRenamed("v", "a"), y.df.withColumnRenamed("v", "b"), ["n"])
 
 
-@query(Q.with_(Q.SUP, _ROWS2) + "SELECT n, x.v AS a, y.v AS b FROM x FULL JOIN y USING (n)")
+@query(Q.with_(_ROWS2) + "SELECT n, x.v AS a, y.v AS b FROM x FULL JOIN y USING (n)")
 def union_fibers(spark, d):
     x, y = _two_rows(spark, d)
     return loops.union(x.df.withColumnRenamed("v", "a"), y.df.withColumnRenamed("v", "b"), ["n"])
 
 
-@query(Q.with_(Q.SUP) + "SELECT m, n, v FROM sup WHERE m IN (SELECT m FROM sup GROUP BY m HAVING sum(v) % 2 = 0)")
+@query(Q.with_(Q.SUP) + "SELECT m, n, v FROM sup WHERE m IN (SELECT m FROM sup GROUP BY m HAVING sum(v) >= (SELECT sum(v) FROM sup) / (SELECT count(DISTINCT m) FROM sup))")
 def scan_fibers(spark, d):
+    """The fibers of suppliers with an average total or more."""
     t = D.supply_matrix(spark, d)
-    parents = t.df.groupBy("m").agg(F.sum("v").alias("_t")).where("_t % 2 = 0").select("m")
+    totals = t.df.groupBy("m").agg(F.sum("v").alias("_t"))
+    parents = totals.crossJoin(F.broadcast(totals.agg(F.avg("_t").alias("_a")))).where("_t >= _a").select("m")  # one row
     return loops.scan(t.df, parents, ["m"]).select("m", "n", "v")
 
 
@@ -304,11 +308,11 @@ def csf_round_trip(spark, d):
     return sparse.decode(sparse.encode(t), t.index).df
 
 
-@query(Q.with_(Q.SUP) + "SELECT m, n, v FROM sup WHERE m = 3 AND n = (SELECT min(n) FROM sup WHERE m = 3)")
+@query(Q.with_(Q.SUP) + "SELECT m, min(n) AS n, arg_min(v, n) AS v FROM sup GROUP BY m")
 def csf_locate(spark, d):
+    """Each supplier's first part, found by both coordinates."""
     t = D.supply_matrix(spark, d)
-    n = sparse.fiber(t, m=3).agg(F.min("n")).first()[0]
-    return sparse.fiber(t, m=3, n=n if n is not None else -1)
+    return sparse.locate(t, t.df.groupBy("m").agg(F.min("n").alias("n")))
 
 
 @query(Q.with_(Q.GRAPH) + "SELECT v, (SELECT count(*) FROM e WHERE s < v) AS off FROM (SELECT range AS v FROM range((SELECT n + 1 FROM nv)))")
@@ -461,10 +465,10 @@ def spmv_rounds(spark, d):
     return graph.spmv_rounds(D.order_graph(spark, d))
 
 
-@query(Q.with_(Q.GRAPH) + "SELECT d AS v, sum(w)::BIGINT AS y FROM e WHERE s % 5 = 0 GROUP BY d")
+@query(Q.with_(Q.GRAPH) + "SELECT d AS v, sum(w)::BIGINT AS y FROM e WHERE s IN (SELECT s FROM e GROUP BY s HAVING count(*) > 10) GROUP BY d")
 def spmv_frontier(spark, d):
     g = D.order_graph(spark, d)
-    return graph.frontier_spmv(g, g.vertices.where("v % 5 = 0"))
+    return graph.frontier_spmv(g, g.out_degree().where("deg > 10"))
 
 
 @query(Q.with_(Q.GRAPH) + "SELECT count(*) AS n FROM e a JOIN e b ON a.d = b.s JOIN e c ON b.d = c.s AND c.d = a.s WHERE a.s <> a.d AND b.s <> b.d AND c.s <> c.d")
