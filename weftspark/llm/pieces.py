@@ -30,7 +30,7 @@ from weftspark.llm import common
 
 SPACE = "▁"
 #: Words and chunks kept per worker in each of two generations; when one is full, the older goes.
-CACHE_WORDS, CACHE_CHUNKS = 150_000, 300_000
+CACHE_WORDS, CACHE_CHUNKS = 220_000, 400_000
 #: Longest chunk (characters) that enters a cache.
 CACHE_CHARS = 48
 #: Chunks of so many characters at most are merged with a list as agenda.
