@@ -12,13 +12,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over (u, v): every node's larger (or smaller) neighbours are tied to its smallest neighbour.
 
     A hub's rows are never gathered: its smallest neighbour comes from an
-    aggregation with partial sums and is joined back, and Spark splits the
-    hub's side of that join.
+    aggregation with partial minima, is written, and is joined back; both sides
+    of that join are shuffled for it, so Spark can split the hub's.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if not large:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = common.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     tied = both.join(least, "u")
     if large:
         out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

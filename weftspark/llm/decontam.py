@@ -58,22 +58,32 @@ def _grams(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Places of 64-bit values in a sorted table; a bitmap turns most away."""
+    """Places of 64-bit values in a sorted table, by the range that their upper bits have in it."""
 
     BITS = 20
 
     def __init__(self, table: np.ndarray):
-        self.table, self.map = table, np.zeros(1 << self.BITS, bool)
-        self.map[(table >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+        self.table = table
+        self.start = np.searchsorted(table, np.arange(1 << self.BITS, dtype=np.uint64) << np.uint64(64 - self.BITS)).astype(np.int32)
+        self.count = np.diff(np.append(self.start, np.int32(len(table)))).astype(np.int32)
 
     def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which values are in the table, and where there."""
-        at = np.flatnonzero(self.map[(values >> np.uint64(64 - self.BITS)).astype(np.int64)])
-        if not len(at) or not len(self.table):
-            return at[:0], at[:0]
-        place = np.minimum(np.searchsorted(self.table, values[at]), len(self.table) - 1)
-        good = self.table[place] == values[at]
-        return at[good], place[good]
+        """Which values are in the table, in order, and where there."""
+        upper = (values >> np.uint64(64 - self.BITS)).astype(np.int64)
+        left = np.take(self.count, upper)
+        at = np.flatnonzero(left)
+        place, left, wanted = np.take(self.start, upper[at]).astype(np.int64), left[at], values[at]
+        found = []
+        while len(at):
+            good = np.take(self.table, place) == wanted
+            found.append((at[good], place[good]))
+            more = ~good & (left > 1)
+            at, place, left, wanted = at[more], place[more] + 1, left[more] - 1, wanted[more]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(at, kind="stable")
+        return at[order], place[order]
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray]]:

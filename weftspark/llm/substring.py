@@ -151,9 +151,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     side = F.broadcast(asked) if 48 * size.rows + 16 * size["parts"] <= common.BROADCAST_BYTES else asked
     single = common.save(windows_of(docs.join(side, "doc_id").select("doc_id", "text", "wanted"), window), "windows")
     least = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
+    # a table of its own, so that the join shuffles both sides and Spark can split a window that very many runs hold
+    least = common.save(least, "least")
     part = single.join(least, ["h1", "h2"]).where(F.col("doc_id") > F.col("least")).select("doc_id", F.col("start").alias("s"), (F.col("start") + window).alias("e"))
     out = common.save(merged(whole.unionByName(part)), "intervals")
-    common.drop(runs, first, asked, single)
+    common.drop(runs, first, asked, single, least)
     return out
 
 
