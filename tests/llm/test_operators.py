@@ -435,6 +435,27 @@ def test_decontamination(spark, texts):
     assert kept == set(range(len(data))) - {i for i, _ in wanted}
 
 
+def test_decontamination_of_dense_edits(spark):
+    """Copies with every few words replaced, lost or parted by others, beside common words, against alignment of all with all."""
+    rng = random.Random(31)
+    items = [[rng.choice(["of", "the", "in"]) if rng.random() < 0.4 else f"w{rng.randrange(400)}" for _ in range(n)] for n in (8, 9, 15, 24, 40, 41)]
+    data = [" ".join(rng.choice(["of", "the", "in"]) if rng.random() < 0.5 else f"w{rng.randrange(400)}" for _ in range(120)).split() for _ in range(20)]
+    for item in items:
+        for step in (2, 3, 4, 5):
+            for shift in range(step):
+                data.append(["x"] * 3 + ["new" if k % step == shift else w for k, w in enumerate(item)] + ["y"] * 3)
+                data.append([w for k, w in enumerate(item) if k % step != shift])
+        for step in (1, 2, 3):
+            data.append([x for k, w in enumerate(item) for x in ([w, "new"] if k % step == 0 else [w])])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(data)], "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    wanted = {(i, k): _best(a, t) / (2 * len(a)) for i, t in enumerate(data) for k, a in enumerate(items)}
+    for similarity in (0.5, 0.7):
+        got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(df, bench, similarity).collect()}
+        assert got == pytest.approx({x: s for x, s in wanted.items() if s >= similarity})
+        assert len(got) > 50
+
+
 def test_alignment():
     rng = np.random.default_rng(1)
     for _ in range(200):

@@ -1,12 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased
-text. One pass counts in the corpus the n-grams of the test items; of every
-SPREAD consecutive n-grams of an item the rarest becomes a seed, so that any
-SPREAD + NGRAM - 1 words copied in one piece hold one, however common they are.
-A second pass joins passages to items on the seeds and aligns each candidate
-passage, word by word, with the item. A document leaks an item if the best
-local alignment reaches SIMILARITY of the score of a full copy.
+text. A seed is a pair of neighbouring words of an item that a document has as
+neighbours or with one word between. An alignment that reaches SIMILARITY has
+least_pairs() of an item's pairs at least: each other step from match to match
+gains half a point per word of the item at most. One pass counts the pairs in
+the corpus; of each item the most frequent ones are left out, fewer than that
+number, and a document with as many of the rest as must then be there is
+aligned with the item, word by word. So no alignment that reaches SIMILARITY is
+missed. A document leaks an item if the best local alignment reaches it.
 
 Test items are taken in blocks of BLOCK_BYTES, each of which travels to the
 tasks; a benchmark of any size is so many blocks.
@@ -24,14 +26,16 @@ from pyspark.sql import functions as F
 
 from weftspark.llm import common
 
-NGRAM = 3
-SPREAD = 2
+#: Places between the two words of a seed, in a document.
+GAPS = (1, 2)
 #: Items of fewer words can't be told from chance and are not looked for.
 LEAST_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 SIMILARITY = 0.5
 #: Bytes of test items that one pass over the corpus carries.
 BLOCK_BYTES = 8 << 20
+#: Seeds found, by item, that are looked at together; those of one text always are.
+ENTRIES = 1 << 20
 
 _WORD = np.full(256, 32, np.uint8)
 for _lo, _hi in ((48, 58), (97, 123), (65, 91), (128, 256)):
@@ -45,18 +49,27 @@ def _hashed(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (common.word_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
 
 
-def _grams(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hash of the n-gram at each word; of n-grams that a text's end cuts, 0."""
+def _pairs(words: np.ndarray, first: np.ndarray, gap: int) -> np.ndarray:
+    """Hash of each word and the one `gap` places on; 0 where a text ends before."""
     out = np.zeros(len(words), np.uint64)
-    if len(words) >= NGRAM:
-        at = np.arange(len(words) - NGRAM + 1)
-        out[: len(at)] = common.spans_hash(common.sums(words, common.WORD_BASE), at, at + NGRAM, common.WORD_BASE)
-        for k in range(1, NGRAM):
+    if len(words) > gap:
+        out[:-gap] = common.mix(words[:-gap] * np.uint64(common.WORD_BASE) + words[gap:])
+        for k in range(1, gap + 1):
             cut = first[1:] - k
             out[cut[cut >= 0]] = 0
     return out
 
 
+def least_pairs(size: int, similarity: float) -> int:
+    """Pairs of an item of so many words that every alignment reaching `similarity` has as seeds; 0 or less: none need be there.
+
+    A score is MATCH for the first match and, for each step to the next one, 2
+    at most for a seed, which is one word of the item on, and else half the
+    words of the item it goes on.
+    """
+    return -int(-((2 * MATCH * similarity - 1) * size - 3 - 1e-9) // 3)
+
+
 class Lookup:
     """Places of 64-bit values in a sorted table, by the range that their upper bits have in it."""
 
@@ -86,13 +99,13 @@ class Lookup:
         return at[order], place[order]
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Batch, first row, words, first words and n-grams, step by step."""
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """Batch, first row, words and first words, step by step."""
     for b in batches:
         raw, off = common.texts_of(pc.utf8_lower(b.column(column)))
         for lo, hi in common.steps(off):
             words, first = _hashed(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            yield b, lo, words, first, _grams(words, first)
+            yield b, lo, words, first
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -118,74 +131,93 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """Test items as word hashes, and their n-grams."""
+    """Test items as word hashes, and their pairs of neighbouring words."""
 
-    def __init__(self, rows: list[tuple[int, str | None]]):
+    def __init__(self, rows: list[tuple[int, str | None]], similarity: float):
         ids = [i for i, _ in rows]
         raw, off = common.texts_of(pc.utf8_lower(pa.array([t for _, t in rows], pa.string())))
         words, first = _hashed(raw, off)
-        grams = _grams(words, first)
-        self.ids, self.words, self.grams = [], [], []
+        grams = _pairs(words, first, 1)
+        self.ids, self.words, self.grams, self.similarity = [], [], [], similarity
         for k, i in enumerate(ids):
             a, b = int(first[k]), int(first[k + 1])
             if i is not None and b - a >= LEAST_WORDS:
                 self.ids.append(i)
                 self.words.append(words[a:b])
-                self.grams.append(grams[a : b - NGRAM + 1])
+                self.grams.append(grams[a : b - 1])
         self.table = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.uint64)
 
-    def seeds(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Seed n-grams in order, with their items and places; counts: of self.table in the corpus."""
-        out = []
+    def seeds(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Seeds in order, with their items and places, and how many places each item needs; counts: of self.table in the corpus."""
+        out, need = [], []
         for k, g in enumerate(self.grams):
             n = counts[np.searchsorted(self.table, g)]
-            chosen = {lo + int(n[lo : lo + SPREAD].argmin()) for lo in range(max(1, len(g) - SPREAD + 1))}
-            out += [(int(g[p]), k, p) for p in sorted(chosen)]
+            least = max(1, least_pairs(len(g) + 1, self.similarity))
+            # half of what must be there may be left out, and the other half is asked for
+            need.append(least - least // 2)
+            kept = np.argsort(n, kind="stable")[: len(g) - least // 2]
+            out += [(int(g[p]), k, int(p)) for p in kept[n[kept] > 0]]
         out.sort()
         gram, item, place = zip(*out, strict=True) if out else ((), (), ())
-        return np.array(gram, np.uint64), np.array(item, np.int64), np.array(place, np.int64)
+        return np.array(gram, np.uint64), np.array(item, np.int64), np.array(place, np.int64), np.array(need, np.int64)
 
 
 def _count(docs: DataFrame, items: Items) -> np.ndarray:
-    """Occurrences of each of the items' n-grams in the corpus."""
+    """Occurrences of each of the items' pairs in the corpus."""
     table = items.table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look, n = Lookup(table), np.zeros(len(table), np.int64)
-        for _, _, _, _, grams in _texts(batches, 1):
-            n += np.bincount(look.find(grams)[1], minlength=len(table))
+        for _, _, words, first in _texts(batches, 1):
+            for gap in GAPS:
+                n += np.bincount(look.find(_pairs(words, first, gap))[1], minlength=len(table))
         hit = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(n[hit])], names=["gram", "n"])
 
     out = np.zeros(len(table), np.int64)
-    found = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row per n-gram of the items at most
+    found = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row per pair of the items at most
     out[found.column("gram").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
+def _parts(row: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows' hits, of about ENTRIES entries each."""
+    cuts = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+    before = np.concatenate([[0], np.cumsum(many)])[cuts]
+    lo = 0
+    while lo < len(cuts) - 1:
+        hi = max(lo + 1, int(np.searchsorted(before, before[lo] + ENTRIES, side="right")) - 1)
+        yield int(cuts[lo]), int(cuts[hi])
+        lo = hi
+
+
 LEAKS = "doc_id long, item_id long, score double, start_word int, end_word int"
 
 
 def _leaks(docs: DataFrame, items: Items, similarity: float) -> DataFrame:
-    gram, item, place = items.seeds(_count(docs, items))
+    gram, item, place, need = items.seeds(_count(docs, items))
     ids, texts = items.ids, items.words
 
-    def of(words: np.ndarray, k: int, starts: np.ndarray):
-        """Best passage of a document for item k, given where copies of it would start."""
+    def of(words: np.ndarray, k: int, starts: np.ndarray, places: np.ndarray):
+        """Best passage of a document for item k, given its seeds by where copies would start."""
         own, best = texts[k], (0.0, 0, 0)
-        size, slack = len(own), len(own) // 4 + 2
-        full = MATCH * size
+        size, full = len(own), MATCH * len(own)
+        # each word put in costs a point, so no more of them leave a score that reaches the similarity
+        slack = int(full * (1 - similarity)) + 1
+        every, starts = starts, np.unique(starts)
         for s in starts:
             if s >= 0 and np.array_equal(words[s : s + size], own):
                 return 1.0, int(s), int(s) + size
-        known, done = np.sort(own), -1
+        known, last = np.sort(own), starts[0] - 1
         for s in starts:
-            lo, hi = max(0, int(s) - slack), min(len(words), int(s) + size + slack)
-            if hi <= done:
+            if s <= last:
                 continue
             # neighbouring starts are one passage
-            near = starts[(starts >= s) & (starts <= s + slack)]
-            hi = done = min(len(words), int(near[-1]) + size + slack)
+            last = starts[np.searchsorted(starts, s + slack, side="right") - 1]
+            lo, hi = max(0, int(s) - slack), min(len(words), int(last) + size + slack)
+            # seeds of one alignment start within slack of each other, and those of near ones all do within 2 * slack of s
+            if len(np.unique(places[np.searchsorted(every, s - slack) : np.searchsorted(every, last + slack, side="right")])) < need[k]:
+                continue
             passage = words[lo:hi]
             shared = known[np.minimum(np.searchsorted(known, passage), size - 1)] == passage
             if MATCH * int(shared.sum()) < similarity * full:
@@ -199,25 +231,39 @@ def _leaks(docs: DataFrame, items: Items, similarity: float) -> DataFrame:
         table, begin = np.unique(gram, return_index=True)
         end = np.append(begin[1:], len(gram))
         look = Lookup(table)
-        for b, row0, words, first, grams in _texts(batches, 1):
-            at, seed = look.find(grams)
-            if not len(at):
-                continue
-            # a row for each item of a seed
-            many = end[seed] - begin[seed]
-            entry = np.repeat(begin[seed] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            at = np.repeat(at, many)
-            row = np.searchsorted(first, at, side="right") - 1
-            k, start = item[entry], at - place[entry] - first[row]
-            order = np.lexsort((start, k, row))
-            row, k, start = row[order], k[order], start[order]
-            cuts = np.flatnonzero((row[1:] != row[:-1]) | (k[1:] != k[:-1])) + 1
+        for b, row0, words, first in _texts(batches, 1):
+            hits = [look.find(_pairs(words, first, gap)) for gap in GAPS]
+            all_at, all_seed = (np.concatenate(x) for x in zip(*hits, strict=True))
+            order = np.argsort(all_at, kind="stable")
+            all_at, all_seed = all_at[order], all_seed[order]
+            all_row = np.searchsorted(first, all_at, side="right") - 1
             out = []
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)], strict=True):
-                r = int(row[lo])
-                score, a, z = of(words[first[r] : first[r + 1]], int(k[lo]), np.unique(start[lo:hi]))
-                if score >= similarity:
-                    out.append((r + row0, ids[int(k[lo])], score, a, z))
+            for lo, hi in _parts(all_row, end[all_seed] - begin[all_seed]):
+                at, seed = all_at[lo:hi], all_seed[lo:hi]
+                # a row for each item of a seed
+                many = end[seed] - begin[seed]
+                entry = np.repeat(begin[seed] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                at, row = np.repeat(at, many), np.repeat(all_row[lo:hi], many)
+                k, p = item[entry], place[entry]
+                # items of which a document has too few places go
+                order = np.lexsort((p, k, row))
+                at, row, k, p = at[order], row[order], k[order], p[order]
+                new = np.append(True, (row[1:] != row[:-1]) | (k[1:] != k[:-1]))
+                group = np.cumsum(new) - 1
+                distinct = np.bincount(group, weights=new | np.append(True, p[1:] != p[:-1])) >= need[k[new]]
+                some = distinct[group]
+                at, row, k, p = at[some], row[some], k[some], p[some]
+                if not len(at):
+                    continue
+                start = at - p - first[row]
+                order = np.lexsort((start, k, row))
+                row, k, start, p = row[order], k[order], start[order], p[order]
+                cuts = np.flatnonzero((row[1:] != row[:-1]) | (k[1:] != k[:-1])) + 1
+                for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)], strict=True):
+                    r = int(row[x])
+                    score, a, z = of(words[first[r] : first[r + 1]], int(k[x]), start[x:y], p[x:y])
+                    if score >= similarity:
+                        out.append((r + row0, ids[int(k[x])], score, a, z))
             if out:
                 rows, item_id, score, a, z = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(item_id, pa.int64()), pa.array(score, pa.float64()), pa.array(a, pa.int32()), pa.array(z, pa.int32())], names=["doc_id", "item_id", "score", "start_word", "end_word"])
@@ -239,7 +285,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     blocks, out = max(1, -(-total // BLOCK_BYTES)), None
     for k in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # about BLOCK_BYTES
-        found = _leaks(docs, Items([(r.item_id, r.text) for r in rows]), similarity)
+        found = _leaks(docs, Items([(r.item_id, r.text) for r in rows], similarity), similarity)
         out = found if out is None else out.unionByName(found)
     return out
 
