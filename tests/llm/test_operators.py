@@ -456,6 +456,19 @@ def test_decontamination_of_dense_edits(spark):
         assert len(got) > 50
 
 
+def test_decontamination_of_short_items(spark):
+    """Whole copies of short items, and items in scripts without spaces."""
+    rng = random.Random(32)
+    chinese = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(30))
+    thai = "".join(chr(0xE01 + rng.randrange(40)) for _ in range(20))
+    edited = "".join("\u6587" if k % 5 == 2 else c for k, c in enumerate(chinese))
+    bench = [(0, "What is the capital of France?"), (1, "Name it"), (2, "forty-two"), (3, chinese), (4, thai), (5, "..."), (6, "name IT!"), (7, "\u4f60\u597dabc\u4e16"), (8, "no one has this")]
+    data = ["So: what is the  capital of france", "what is the capital of", "name", "it name it it name it", "42 forty two", f"abc{chinese}def", "a\u3042" + edited, thai[:15] + "\u0e2f" + thai[15:], "x \u4f60\u597d abc\u4e16\u754c", "is the capital of france what", "", None, "forty", "two"]
+    got = {(r.doc_id, r.item_id, r.start_word, r.end_word): r.score for r in decontam.leaks(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(1), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert {x[:2] for x in got} == {(0, 0), (3, 1), (3, 6), (4, 2), (5, 3), (6, 3), (7, 4), (8, 7)}
+    assert got[0, 0, 1, 7] == 1 and got[3, 1, 1, 3] == 1 and got[4, 2, 1, 3] == 1 and got[5, 3, 1, 31] == 1 and got[8, 7, 1, 5] == 1
+
+
 def test_alignment():
     rng = np.random.default_rng(1)
     for _ in range(200):

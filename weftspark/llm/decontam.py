@@ -1,7 +1,9 @@
 """Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased
-text. A seed is a pair of neighbouring words of an item that a document has as
+text; in scripts written without spaces each character is one. Items of fewer
+than LEAST_WORDS words are looked for as they are, by the hash of all their
+words. Of others, a seed is a pair of neighbouring words of an item that a document has as
 neighbours or with one word between. An alignment that reaches SIMILARITY has
 least_pairs() of an item's pairs at least: each other step from match to match
 gains half a point per word of the item at most. One pass counts the pairs in
@@ -28,7 +30,7 @@ from weftspark.llm import common
 
 #: Places between the two words of a seed, in a document.
 GAPS = (1, 2)
-#: Items of fewer words can't be told from chance and are not looked for.
+#: Parts of items of fewer words can't be told from chance: they are looked for whole and unedited only.
 LEAST_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 SIMILARITY = 0.5
@@ -42,10 +44,31 @@ for _lo, _hi in ((48, 58), (97, 123), (65, 91), (128, 256)):
     _WORD[_lo:_hi] = np.arange(_lo, _hi)
 
 
+#: Characters of scripts without spaces, by their first two bytes in UTF-8: Thai to Tibetan, Burmese, Khmer, CJK with its signs and kana, full widths, further ideographs.
+_SOLO = np.zeros(1 << 16, bool)
+for _lead, _lo, _hi in ((0xE0, 0xB8, 0xBF), (0xE1, 0x80, 0x82), (0xE1, 0x9E, 0x9F), (0xE3, 0x80, 0x83), (0xE3, 0x90, 0xBF), *((x, 0x80, 0xBF) for x in range(0xE4, 0xEA)), (0xEF, 0xA4, 0xAB), (0xEF, 0xBC, 0xBE), (0xF0, 0xA0, 0xBF)):
+    _SOLO[_lead << 8 | _lo : (_lead << 8 | _hi) + 1] = True
+
+
+def _spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """common.word_spans(), cut before and after each character of a script without spaces."""
+    starts, ends, first = common.word_spans(raw, off)
+    lead = np.flatnonzero(raw >= 0xE0)
+    lead = lead[lead < len(raw) - 1]
+    lead = lead[_SOLO[raw[lead].astype(np.int64) << 8 | raw[lead + 1]]]
+    if not len(lead):
+        return starts, ends, first
+    after = lead + 3 + (raw[lead] >= 0xF0)
+    # a word ends where its run does, or where the next one starts
+    starts, run_ends = np.union1d(starts, np.concatenate([lead, after[~np.isin(after, ends)]])), ends
+    ends = np.minimum(run_ends[np.searchsorted(run_ends, starts, side="right")], np.append(starts[1:], len(raw)))
+    return starts, ends, np.searchsorted(starts, off)
+
+
 def _hashed(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and each text's first word (texts + 1 values)."""
     raw = _WORD[raw]
-    starts, ends, first = common.word_spans(raw, off)
+    starts, ends, first = _spans(raw, off)
     return (common.word_hashes(raw, starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
 
 
@@ -60,6 +83,12 @@ def _pairs(words: np.ndarray, first: np.ndarray, gap: int) -> np.ndarray:
     return out
 
 
+def _whole(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` words at each place that has as many."""
+    at = np.arange(len(words) - size + 1)
+    return common.spans_hash(common.sums(words, common.WORD_BASE), at, at + size, common.WORD_BASE)
+
+
 def least_pairs(size: int, similarity: float) -> int:
     """Pairs of an item of so many words that every alignment reaching `similarity` has as seeds; 0 or less: none need be there.
 
@@ -139,12 +168,17 @@ class Items:
         words, first = _hashed(raw, off)
         grams = _pairs(words, first, 1)
         self.ids, self.words, self.grams, self.similarity = [], [], [], similarity
+        short: dict[int, list[tuple[int, int]]] = {}
         for k, i in enumerate(ids):
             a, b = int(first[k]), int(first[k + 1])
             if i is not None and b - a >= LEAST_WORDS:
                 self.ids.append(i)
                 self.words.append(words[a:b])
                 self.grams.append(grams[a : b - 1])
+            elif i is not None and b > a:
+                short.setdefault(b - a, []).append((int(_whole(words[a:b], b - a)[0]), i))
+        #: Items under LEAST_WORDS words by their size: hashes in order, ids.
+        self.short = {size: tuple(np.array(x, t) for x, t in zip(zip(*sorted(set(own)), strict=True), (np.uint64, np.int64), strict=True)) for size, own in short.items()}
         self.table = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.uint64)
 
     def seeds(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -191,12 +225,26 @@ def _parts(row: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def _verbatim(words: np.ndarray, first: np.ndarray, size: int, look: Lookup, begin: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Text, item id and first word of the first whole copy of each item of `size` words."""
+    if len(words) < size:
+        return
+    at, place = look.find(_whole(words, size))
+    row = np.searchsorted(first, at, side="right") - 1
+    inside = at + size <= first[row + 1]
+    at, place, row = at[inside], place[inside], row[inside]
+    _, one = np.unique(np.stack([row, place]), axis=1, return_index=True)
+    for x in one.tolist():
+        for item in ids[begin[place[x]] : begin[place[x] + 1]].tolist():
+            yield int(row[x]), item, int(at[x] - first[row[x]])
+
+
 LEAKS = "doc_id long, item_id long, score double, start_word int, end_word int"
 
 
 def _leaks(docs: DataFrame, items: Items, similarity: float) -> DataFrame:
     gram, item, place, need = items.seeds(_count(docs, items))
-    ids, texts = items.ids, items.words
+    ids, texts, short = items.ids, items.words, items.short
 
     def of(words: np.ndarray, k: int, starts: np.ndarray, places: np.ndarray):
         """Best passage of a document for item k, given its seeds by where copies would start."""
@@ -230,14 +278,17 @@ def _leaks(docs: DataFrame, items: Items, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, begin = np.unique(gram, return_index=True)
         end = np.append(begin[1:], len(gram))
-        look = Lookup(table)
+        look, brief = Lookup(table), {}
+        for size, (own, own_ids) in short.items():
+            hashes, where = np.unique(own, return_index=True)
+            brief[size] = Lookup(hashes), np.append(where, len(own)), own_ids
         for b, row0, words, first in _texts(batches, 1):
             hits = [look.find(_pairs(words, first, gap)) for gap in GAPS]
             all_at, all_seed = (np.concatenate(x) for x in zip(*hits, strict=True))
             order = np.argsort(all_at, kind="stable")
             all_at, all_seed = all_at[order], all_seed[order]
             all_row = np.searchsorted(first, all_at, side="right") - 1
-            out = []
+            out = [(r + row0, i, 1.0, a, a + size) for size, x in brief.items() for r, i, a in _verbatim(words, first, size, *x)]
             for lo, hi in _parts(all_row, end[all_seed] - begin[all_seed]):
                 at, seed = all_at[lo:hi], all_seed[lo:hi]
                 # a row for each item of a seed
@@ -274,8 +325,9 @@ def _leaks(docs: DataFrame, items: Items, similarity: float) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and item it leaks: score (1: a full copy) and the best passage's words [start_word, end_word).
 
-    Null texts hold nothing; items that are null, have a null id or under
-    LEAST_WORDS words are not looked for; items with one id are one. Rows with
+    Null texts hold nothing; items that are null, have a null id or no
+    word are not looked for, those of under LEAST_WORDS words only whole and
+    unedited. With a similarity below 0.5 a copy may lack every seed. Rows with
     null or repeated ids are looked at like others. Other columns are ignored.
     """
     common.arrow_rows(docs.sparkSession)
