@@ -1,7 +1,8 @@
 """Operators, sources and streams against plain Python on small inputs."""
 
+import os
 import random
-from collections import OrderedDict
+from collections import OrderedDict, defaultdict
 
 import numpy as np
 import pytest
@@ -12,9 +13,13 @@ from weftspark.functions import reductions, scalar
 from weftspark.model import Graph, Tensor
 from weftspark.operators import conv, dataflow, footprint, graph, linalg, loops, scan, sparse, trace
 from weftspark.operators.einsum import Affine, einsum, parse
+from weftspark.plans import catalog
 from weftspark.sources import archive, generators, statistics
+from weftspark.sources import driver as D
 from weftspark.streaming import edges
 
+DATA = os.environ.get("WEFT_TEST_DATA", "/root/testdata/sf0.001")
+
 def tensor(spark, array, index, keep_zeros=False):
     array = np.asarray(array)
     rows = [(*map(int, i), int(array[i])) for i in np.ndindex(array.shape) if keep_zeros or array[i]]
@@ -300,6 +305,29 @@ def test_nibble_keeps_its_mass(spark, g):
     assert total == pytest.approx(1, abs=1e-6)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_nibble_double_runs_to_its_fixpoint(spark):
+    out = defaultdict(list)
+    for s, d in D.order_graph(spark, DATA).edges.select("s", "d").collect():
+        out[s].append(d)
+    wanted = {}
+    for seed in range(3):
+        rank, residual, front = defaultdict(float), defaultdict(float, {seed: 1.0}), [seed]
+        while front:
+            old = {v: residual[v] for v in front}
+            for v, r in old.items():
+                rank[v] += 2 * 0.15 / 1.15 * r
+                residual[v] = 0.0
+            for v, r in old.items():
+                for d in out[v]:
+                    residual[d] += 0.85 / 1.15 * r / len(out[v])
+            front = [v for v, r in residual.items() if out[v] and r >= len(out[v]) * 1e-6]
+        wanted |= {(seed, v): (rank[v], residual[v]) for v in residual}
+    got = {(r.seed, r.v): (r["rank"], r.residual) for r in catalog.nibble_double_fixpoint(spark, DATA).collect()}
+    assert got.keys() == wanted.keys()
+    assert all(got[k] == pytest.approx(wanted[k], abs=2e-9) for k in wanted)
+
+
 # traces
 
 def _trace(spark, n=400, lines=23, buffers=2):

@@ -455,6 +455,12 @@ def nibble_double(spark, d):
     return graph.nibble_double(D.order_graph(spark, d), _seeds(spark), most=4).select("seed", "v", F.round("rank", 9).alias("rank"), F.round("residual", 9).alias("residual"))
 
 
+@query()
+def nibble_double_fixpoint(spark, d):
+    """nibble_double, whose SQL unrolls four rounds only, until no residual reaches epsilon."""
+    return graph.nibble_double(D.order_graph(spark, d), _seeds(spark)).select("seed", "v", F.round("rank", 9).alias("rank"), F.round("residual", 9).alias("residual"))
+
+
 @query(Q.with_(Q.GRAPH, Q.DIST, recursive=True) + "SELECT v, d AS dist FROM dist")
 def shortest_paths(spark, d):
     return graph.shortest_paths(D.order_graph(spark, d))
