@@ -522,6 +522,34 @@ def test_lm_beats_its_code_and_an_untrained_model():
     assert bits[0] < 0.8 * plain and bits[1] > 0.9 * plain
 
 
+@pytest.mark.parametrize("seen", [0, 1 << 23])
+def test_lm_weights_learn_from_all_bits(seen):
+    """Bit by bit, however many have been seen before."""
+    rng = random.Random(13)
+    stream = mixing.Stream(*common.texts_of(pa.array([" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 5))) for _ in range(6000)) for _ in range(2)])))
+    code = mixing.Code(np.bincount(stream.pairs(), minlength=1 << 16))
+    learner = mixing.Learner(code)
+    learner.seen = seen
+    learner.learn(stream)
+    counts, weights = [collections.Counter() for _ in mixing.BITS], np.full((mixing.GATES, len(mixing.ORDERS)), 0.3)
+    contexts = stream.contexts()
+    for lo in stream.chunks():
+        slots, bit, _ = mixing.bits_of(stream, contexts, code, lo)
+        slots, bit = [s.tolist() for s in slots], bit.tolist()
+        for a in range(0, len(bit), 1024):
+            change = np.zeros_like(weights)
+            for i in range(a, min(a + 1024, len(bit))):
+                x = [max(-127, min(127, round(math.log((c[s[i], 1] + 0.4) / (c[s[i], 0] + 0.4)) * mixing.STEP))) for c, s in zip(counts, slots, strict=True)]
+                gate = sum(abs(x[-1]) > v for v in mixing.SURE)
+                x = np.array(x) / mixing.STEP
+                change[gate] += mixing.LEARN * (bit[i] - 1 / (1 + math.exp(-weights[gate] @ x))) * x
+            weights += change
+        for c, s in zip(counts, slots, strict=True):
+            c.update(zip(s, bit, strict=True))
+    assert learner.weights == pytest.approx(weights, abs=2e-3) and abs(weights - 0.3).max() > 0.05
+    assert len(mixing.ORDERS) == 4
+
+
 def test_lm_probabilities_sum_to_one():
     """Over all next bytes of a context, by the chain of bits."""
     raw, off = common.texts_of(pa.array(["the theme then " * 50, "other words here"]))

@@ -23,15 +23,15 @@ import numpy as np
 from weftspark.llm import common
 
 #: Bytes hashed by each predictor (0: the letters of the word so far), and the slots of its table, as a power of two.
-ORDERS, BITS = (3, 5, 0), (20, 22, 22)
+ORDERS, BITS = (2, 3, 5, 0), (18, 20, 22, 22)
 #: Gate of a bit: the size of the word predictor's log odds, in steps.
 SURE = (0, 12, 32, 60)
 GATES = len(SURE) + 1
 #: Log odds are kept in steps of 1 / STEP.
 STEP = 16
 LEARN = 0.004
-#: One of so many bits updates the weights; once SETTLED bits have been seen, only those of one chunk in RARELY.
-THIN, SETTLED, RARELY = 16, 1 << 21, 8
+#: Bits that update the weights together.
+BATCH = 1024
 END = 10
 #: Prior of the refinement, in bits seen.
 HOLD = np.array([400.0, 100.0])
@@ -194,10 +194,9 @@ class Learner:
 
     def learn(self, stream: Stream) -> None:
         contexts = stream.contexts()
-        for n, lo in enumerate(stream.chunks()):
+        for lo in stream.chunks():
             slots, bit, _ = bits_of(stream, contexts, self.code, lo)
-            if self.seen and (self.seen < SETTLED or n % RARELY == 0):
-                self._adapt(slots, bit)
+            self._adapt(slots, bit)
             for k, s in enumerate(slots):
                 s <<= 1
                 s |= bit
@@ -205,14 +204,14 @@ class Learner:
             self.seen += len(bit)
 
     def _adapt(self, slots, bit) -> None:
-        some = slice(self.seen % THIN, None, THIN)
-        x = np.stack([odds(c.reshape(-1, 2)[s[some]]) for c, s in zip(self.counts, slots, strict=True)], axis=1)
-        gate, y = _LEVEL[x[:, -1].view(np.uint8)], bit[some]
-        x = x.astype(np.float64) / STEP
-        for lo in range(0, len(y), 1024):
-            xs, gs = x[lo : lo + 1024], gate[lo : lo + 1024]
-            err = y[lo : lo + 1024] - squash((xs * self.weights[gs]).sum(axis=1))
-            np.add.at(self.weights, gs, LEARN * err[:, None] * xs)
+        x = [odds(np.take(c.view(np.uint64), s).view(np.uint32).reshape(-1, 2)) for c, s in zip(self.counts, slots, strict=True)]
+        gate = np.take(_LEVEL, x[-1].view(np.uint8)).astype(np.int64)
+        x = [v.astype(np.float32) / np.float32(STEP) for v in x]
+        for lo in range(0, len(bit), BATCH):
+            gs, xs = gate[lo : lo + BATCH], [v[lo : lo + BATCH] for v in x]
+            err = bit[lo : lo + BATCH] - squash(sum(np.take(w, gs) * v for w, v in zip(self.weights.T, xs, strict=True)))
+            for w, v in zip(self.weights.T, xs, strict=True):
+                w += LEARN * np.bincount(gs, err * v, GATES)
 
 
 class Scorer:
