@@ -508,6 +508,13 @@ def test_lm_base(docs, texts, monkeypatch, head):
         assert r.score < 0
 
 
+def test_lm_bits_per_byte(docs, texts):
+    for r in lm.score(docs, F.col("doc_id") % 3 > 0).where("doc_id is not null").collect():
+        n = len(b" ".join(words(texts[r.doc_id]))) + 1
+        assert r.n_bytes == n
+        assert r.bits == pytest.approx(-r.score * math.log2(10)) and r.bits_per_byte == pytest.approx(r.bits / n)
+
+
 def test_lm_beats_its_code_and_an_untrained_model():
     """On held-out texts of words from a small lexicon."""
     rng = random.Random(12)

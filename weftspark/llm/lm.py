@@ -183,14 +183,14 @@ def learn(train: DataFrame, code: mixing.Code) -> tuple[list[np.ndarray], np.nda
     return tables, weights
 
 
-RAW = "uid long, doc_id long, n_tokens long, n_known long, base double, score double, token string, tf int"
+RAW = "uid long, doc_id long, n_tokens long, n_known long, n_bytes long, base double, score double, token string, tf int"
 
 
 def _score(docs: DataFrame, base: Base, scorer: mixing.Scorer) -> DataFrame:
     """For each row of docs (uid, doc_id, text) a row, with the frequent tokens' part of its base score, and a row for each of its rarer tokens."""
     hashes, logs = base.hashes, np.log10(base.counts + 1.0)
     floor, end_log, end_known = math.log10(base.total), math.log10(base.ends + 1.0), int(base.ends > 0)
-    fields = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("token", pa.string()), ("tf", pa.int32())])
+    fields = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_bytes", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("token", pa.string()), ("tf", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(hashes)
@@ -204,7 +204,7 @@ def _score(docs: DataFrame, base: Base, scorer: mixing.Scorer) -> DataFrame:
             n = hi - lo
             uid = b.column(0).slice(lo, n)
             none = lambda t: pa.nulls(n, t)
-            yield pa.RecordBatch.from_arrays([uid, b.column(1).slice(lo, n), pa.array(stream.words + 1), pa.array(known), pa.array(sums), pa.array(scorer.score(stream) / math.log(10)), none(pa.string()), none(pa.int32())], schema=fields)
+            yield pa.RecordBatch.from_arrays([uid, b.column(1).slice(lo, n), pa.array(stream.words + 1), pa.array(known), pa.array(np.diff(stream.off)), pa.array(sums), pa.array(scorer.score(stream) / math.log(10)), none(pa.string()), none(pa.int32())], schema=fields)
             rare = np.ones(len(text), bool)
             rare[hit] = False
             rare = np.flatnonzero(rare)
@@ -213,13 +213,16 @@ def _score(docs: DataFrame, base: Base, scorer: mixing.Scorer) -> DataFrame:
             if found:
                 rows, tokens = zip(*found, strict=True)
                 m = len(rows)
-                yield pa.RecordBatch.from_arrays([uid.take(pa.array(rows)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array([t.decode() for t in tokens], pa.string()), pa.array(list(found.values()), pa.int32())], schema=fields)
+                yield pa.RecordBatch.from_arrays([uid.take(pa.array(rows)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64()), pa.array([t.decode() for t in tokens], pa.string()), pa.array(list(found.values()), pa.int32())], schema=fields)
 
     return docs.select("uid", "doc_id", "text").mapInArrow(run, RAW)
 
 
 def score(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of each row.
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probability), n_bytes, bits and bits_per_byte of each row.
+
+    Bytes are those the model predicts: the words', a separator after each, the
+    last one the end; bits are the score's.
 
     Learns from the rows for which `trainable` (over the column doc_id) is
     true. Null texts are empty ones and hold the end only. Null and repeated
@@ -236,4 +239,5 @@ def score(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col:
     raw = common.save(_score(docs.withColumn("uid", F.monotonically_increasing_id()), base, mixing.Scorer(code, tables, weights)), "scores")
     rare = raw.where("token is not null").join(tokens, "token").groupBy("uid").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("logs"))
     texts = raw.where("token is null").join(rare, "uid", "left")
-    return texts.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(base.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), "score")
+    bits = F.col("score") * -math.log2(10)
+    return texts.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(base.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), "score", "n_bytes", bits.alias("bits"), (bits / F.col("n_bytes")).alias("bits_per_byte"))
