@@ -174,7 +174,7 @@ def learn(train: DataFrame, code: mixing.Code) -> tuple[list[np.ndarray], np.nda
     sums = rows.repartition("k", "j", "salt").mapInArrow(_added, PARTS).repartition("k", "j").mapInArrow(finished, PARTS)
     tables = [np.zeros(1 << b, np.int8) for b in mixing.BITS]
     weights = np.full((mixing.GATES, len(mixing.ORDERS)), 0.3)
-    for r in sums.collect():  # the tables: ten million bytes, whatever the corpus
+    for r in sums.collect():  # the tables: a byte for each slot of mixing.BITS, whatever the corpus
         if r.k < 0:
             x = _unpack(r.blob, np.float64)
             weights = (x[:-1] / x[-1]).reshape(weights.shape)
