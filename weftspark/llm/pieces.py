@@ -6,8 +6,9 @@ the agenda, and symbols that are no vocabulary piece fall back to bytes. No
 piece of such a vocabulary holds a word start after a letter, nor a letter
 beside a sign (both are checked when a model is read), so the text splits
 exactly at those places, and what a chunk becomes is kept in a bounded cache
-of each worker. Every chunk worked out is checked against the sentencepiece
-library, those of an Arrow batch at once.
+of each worker. Chunks worked out that begin with a word start, but for a lone
+word start, are checked against the sentencepiece library, those of an Arrow
+batch at once; chunks from inside a word are not.
 """
 
 from __future__ import annotations
@@ -161,7 +162,7 @@ class PieceCodec:
         return " ".join(map(self.names.__getitem__, ids)), ids
 
     def checked(self) -> int:
-        """Compares the chunks worked out since the last call with the library; how many there were."""
+        """Compares the chunks with a word start worked out since the last call with the library; how many there were."""
         fresh, self.fresh = self.fresh, []
         # the library puts a space before a text itself
         for (chunk, ids), other in zip(fresh, self.library.encode([c[1:].replace(SPACE, " ") for c, _ in fresh], num_threads=1), strict=True):
