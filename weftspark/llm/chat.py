@@ -99,7 +99,7 @@ def segments(rows: DataFrame, template: Template, conv_col: str = "conv_id", tur
     are in order of role and text; null numbers come first; a null role is "",
     a null text empty; rows with a null conv_id are one conversation.
     """
-    common.arrow_rows(rows.sparkSession)
+    common.bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, now, before = Codec(template), (), None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,19 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts are long, so this bounds a worker's memory.
-ARROW_ROWS = 1000
-#: Bytes of text that one numpy step looks at; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+#: Bytes of one Arrow batch, about: one row more than fits, so a longer text is a batch of its own.
+ARROW_BYTES = 4 << 20
+#: Bytes of text that one numpy step looks at; a longer text is cut between words.
+STEP_BYTES = 1 << 18
 #: A side of a join is broadcast only if it was counted and is below this many bytes.
 BROADCAST_BYTES = 16 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one of our own only where it is unset."""
+    """The shared folder named in spark.checkpoint.dir; one of our own only where it is unset and Spark runs in one process."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="weft-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -52,8 +55,12 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session are bounded by bytes from now on, however many rows that is; a tighter bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not have or not 0 < int(have[1]) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,8 +87,9 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def steps(off: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+def steps(off: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold about `most` bytes; a longer text is alone."""
+    most = most or STEP_BYTES
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, side="right")) - 1)
@@ -118,6 +126,36 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, off)
 
 
+def text_steps(raw: np.ndarray, off: np.ndarray, overlap: int = 0, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """(lo, hi, bytes, offsets, before): whole texts lo to hi, or a part of text lo with `before` words ahead of it.
+
+    A text longer than `most` bytes is cut at spaces into parts that share
+    `overlap` words, so every sequence of overlap + 1 words is in one part only.
+    """
+    most = most or STEP_BYTES
+    for lo, hi in steps(off, most):
+        at, end, before = int(off[lo]), int(off[hi]), 0
+        if hi > lo + 1 or end - at <= most:
+            yield lo, hi, raw[at:end], off[lo : hi + 1] - at, 0
+            continue
+        size = most
+        while True:
+            cut = at + size
+            while cut < end and not (space := np.flatnonzero(_SPACE[raw[cut : cut + 4096]])).size:
+                cut += 4096
+            cut = min(end, cut + int(space[0])) if cut < end else end
+            part = np.array([0, cut - at])
+            starts = word_spans(raw[at:cut], part)[0]
+            if cut < end and len(starts) <= overlap:
+                size *= 2
+                continue
+            yield lo, hi, raw[at:cut], part, before
+            if cut == end:
+                break
+            before += len(starts) - overlap
+            at, size = (at + int(starts[-overlap]) if overlap else cut), most
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -131,42 +169,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+#: Bytes of text that the tables of powers reach over.
+_REACH = 1 << 17
+
+
+@functools.lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """BYTE_BASE**i and BYTE_BASE**-i modulo 2**64 for i up to _REACH."""
     out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p, have = np.ones(n, np.uint64), 1
-        while have < n:
-            more = min(have, n - have)
+    for b in (BYTE_BASE, pow(BYTE_BASE, -1, 1 << 64)):
+        p, have = np.ones(_REACH + 1, np.uint64), 1
+        while have < len(p):
+            more = min(have, len(p) - have)
             p[have : have + more] = p[:more] * np.uint64(pow(b, have, 1 << 64))
             have += more
         out.append(p)
     return out[0], out[1]
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, n rounded up so that the cache is hit."""
-    return _powers(base, 1 << max(10, int(n).bit_length()))
-
-
-def sums(values: np.ndarray, base: int) -> np.ndarray:
-    """Prefix sums of values[i] * base**i modulo 2**64, starting with 0: the state of a Rabin-Karp hash at every place."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values))[0][: len(values)], out=out[1:])
-    return out
-
-
-def spans_hash(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[lo:hi] from the prefix sums, the same wherever the values stand."""
-    return mix((prefix[hi] - prefix[lo]) * powers(base, len(prefix))[1][lo] + (hi - lo).astype(np.uint64))
-
-
 BYTE_BASE, WORD_BASE, SECOND_BASE = 0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return spans_hash(sums(raw.astype(np.uint64) + np.uint64(1), BYTE_BASE), starts, ends, BYTE_BASE)
+    """A 64-bit polynomial hash of each word's bytes, from prefix sums over at most _REACH bytes at a time."""
+    out, (p, q), lo, n = np.empty(len(starts), np.uint64), _powers(), 0, len(starts)
+    one = np.uint64(1)
+    while lo < n:
+        at = int(starts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, at + _REACH, side="right")))
+        size = int(ends[hi - 1]) - at
+        if size <= _REACH:
+            sums = np.zeros(size + 1, np.uint64)
+            np.cumsum((raw[at : at + size].astype(np.uint64) + one) * p[:size], out=sums[1:])
+            a = starts[lo:hi] - at
+            out[lo:hi] = (sums[ends[lo:hi] - at] - sums[a]) * q[a]
+        else:  # one word of more bytes
+            total = 0
+            for k in range(0, size, _REACH):
+                part = raw[at + k : at + min(size, k + _REACH)].astype(np.uint64) + one
+                total += int((part * p[: len(part)]).sum(dtype=np.uint64)) * pow(BYTE_BASE, k, 1 << 64)
+            out[lo] = total % (1 << 64)
+        lo = hi
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def window_hashes(values: np.ndarray, width: int, base: int) -> np.ndarray:
+    """Rabin-Karp hash of each `width` neighbouring values, by doubling: no table of powers, whatever the length."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    every, have, out, at = values, 1, np.zeros(n, np.uint64), 0
+    while True:
+        if width & have:
+            out += every[at : at + n] * np.uint64(pow(base, at, 1 << 64))
+            at += have
+        if at == width:
+            return mix(out + np.uint64(width))
+        every = every[:-have] + every[have:] * np.uint64(pow(base, have, 1 << 64))
+        have *= 2
 
 
 def batches(columns: dict[str, pa.Array | Iterable], schema: pa.Schema) -> pa.RecordBatch:

@@ -18,6 +18,7 @@ tasks; a benchmark of any size is so many blocks.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,8 +86,7 @@ def _pairs(words: np.ndarray, first: np.ndarray, gap: int) -> np.ndarray:
 
 def _whole(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of the `size` words at each place that has as many."""
-    at = np.arange(len(words) - size + 1)
-    return common.spans_hash(common.sums(words, common.WORD_BASE), at, at + size, common.WORD_BASE)
+    return common.window_hashes(words, size, common.WORD_BASE)
 
 
 def least_pairs(size: int, similarity: float) -> int:
@@ -132,9 +132,11 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
     """Batch, first row, words and first words, step by step."""
     for b in batches:
         raw, off = common.texts_of(pc.utf8_lower(b.column(column)))
-        for lo, hi in common.steps(off):
-            words, first = _hashed(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            yield b, lo, words, first
+        for lo, parts in itertools.groupby(common.text_steps(raw, off), key=lambda x: x[0]):
+            hashed = [_hashed(part, at) for _, _, part, at, _ in parts]
+            words = np.concatenate([w for w, _ in hashed])
+            # of a long text, cut between words, only the words' hashes are put together
+            yield b, lo, words, hashed[0][1] if len(hashed) == 1 else np.array([0, len(words)])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -330,7 +332,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     unedited. With a similarity below 0.5 a copy may lack every seed. Rows with
     null or repeated ids are looked at like others. Other columns are ignored.
     """
-    common.arrow_rows(docs.sparkSession)
+    common.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0

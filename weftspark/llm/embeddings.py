@@ -164,7 +164,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, seed: int
     largest = classes.groupBy("grp").count().agg(F.max("count"), F.sum("count")).first()
     hashes, passes = plan(largest[0] or 0, threshold)
     total = largest[1] or 0
-    common.arrow_rows(spark)
+    common.bounded_batches(spark)
     keyed = classes.select("rep", "grp", "vec").mapInArrow(lambda it: _keys(it, seed, passes, hashes), "pass int, grp string, key binary, rep long")
     parts = max(1, min(total * passes // (4 * BLOCK), 8 * spark.sparkContext.defaultParallelism, 4096))
     ordered = keyed.repartitionByRange(parts, "pass", "grp", "key", "rep").sortWithinPartitions("pass", "grp", "key", "rep")

@@ -229,7 +229,7 @@ def score(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col:
     ids stay as they are. Other columns are ignored. Without training rows the
     base gives every token the same probability and the predictors know nothing.
     """
-    common.arrow_rows(docs.sparkSession)
+    common.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     train = docs.where(F.coalesce(trainable, F.lit(False)))
     tokens = count_tokens(train)

@@ -187,7 +187,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     model is read on the driver (half a megabyte) and travels with the task.
     with_ids adds the column ids (array of int).
     """
-    common.arrow_rows(docs.sparkSession)
+    common.bounded_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
 

@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of each row; null texts score as empty ones, null and repeated ids stay as they are."""
-    common.arrow_rows(docs.sparkSession)
+    common.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = _compressors(model.good, model.bad, model.trained)
@@ -154,7 +154,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text scores THRESHOLD or more. One pass, nothing is shuffled."""
-    common.arrow_rows(docs.sparkSession)
+    common.bounded_batches(docs.sparkSession)
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

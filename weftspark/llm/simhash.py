@@ -45,11 +45,10 @@ def _bit_counts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints_of(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Fingerprints of texts given as bytes and offsets."""
+def _shingle_bits(raw: np.ndarray, off: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text, how many of its shingles' hashes have each bit, and its shingles; before: words ahead of a text's part."""
     low = common.lower_ascii(raw)
     starts, ends, first = common.word_spans(low, off)
-    n = len(first) - 1
     has = np.diff(first)
     lengths = ends - starts
     # the words of each text with one space between, so that a shingle is a slice
@@ -60,27 +59,33 @@ def fingerprints_of(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     src = np.repeat(starts - at[:-1], lengths) + (np.arange(int(lengths.sum())) + np.repeat(np.arange(len(starts)), lengths))
     joined[src - np.repeat(starts - at[:-1], lengths)] = low[src] if len(src) else low[:0]
     data = joined.tobytes()
-    counts = np.maximum(has - WORDS + 1, np.minimum(has, 1))
-    begin = np.zeros(n + 1, np.int64)
+    counts = np.maximum(has - WORDS + 1, 0 if before else np.minimum(has, 1))
+    begin = np.zeros(len(first), np.int64)
     np.cumsum(counts, out=begin[1:])
     word = np.repeat(first[:-1] - begin[:-1], counts) + np.arange(int(begin[-1]))
     last = np.minimum(word + WORDS, np.repeat(first[1:], counts))
     h = xxhash.xxh64_intdigest
     hashes = np.fromiter((h(data[a:b], SEED) for a, b in zip(at[word].tolist(), (at[last] - 1).tolist(), strict=True)), np.uint64, len(word))
-    major = 2 * _bit_counts(hashes, begin) > counts[:, None]
-    return (major.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return _bit_counts(hashes, begin), counts
+
+
+def fingerprints_of(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Fingerprints of texts given as bytes and offsets; long texts are worked off in parts."""
+    ones, shingles = np.zeros((len(off) - 1, 64), np.int64), np.zeros(len(off) - 1, np.int64)
+    for lo, hi, part, at, before in common.text_steps(raw, off, WORDS - 1):
+        bits, n = _shingle_bits(part, at, before)
+        ones[lo:hi] += bits
+        shingles[lo:hi] += n
+    return ((2 * ones > shingles[:, None]).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long) of each row; a null text is an empty one, with fingerprint zero."""
-    common.arrow_rows(docs.sparkSession)
+    common.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, off = common.texts_of(b.column(1))
-            fps = [fingerprints_of(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in common.steps(off)]
-            fp = np.concatenate(fps) if fps else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(*common.texts_of(b.column(1))).view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 

@@ -1,12 +1,12 @@
 """Exact substring dedup over windows of 50 words.
 
-Every window of 50 words of every text gets a Rabin-Karp hash (taken from
-prefix sums, so one step gives all windows). Consecutive windows that share the
+Every window of 50 words of every text gets a Rabin-Karp hash (by doubling, so
+a few steps give all windows). Consecutive windows that share the
 smallest of their short word-sequence hashes (their anchor) form a run; where a
 run starts and ends depends on the words alone, so a passage that two texts
 share falls into the same runs but at its two edges. Spark counts runs by the
-hash of all their windows, and single windows only where different runs have
-the same anchor. Windows found in a document with a smaller id become
+hash of all their windows, and counts single windows only where different runs
+have the same anchor (others can't share a window). Windows found in a document with a smaller id become
 intervals, merged into maximal ones, and the words they cover go.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftspark.llm import common
@@ -41,11 +41,10 @@ class Windows:
     """Words, window hashes and anchors of some texts, given as bytes and offsets."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray, window: int):
-        self.raw, self.off, self.window = raw, off, window
-        self.starts, self.ends, self.first = common.word_spans(raw, off)
-        n, has = len(self.starts), np.diff(self.first)
-        words = common.word_hashes(raw, self.starts, self.ends) if n else np.zeros(0, np.uint64)
-        self.sums = [common.sums(words, common.WORD_BASE), common.sums(common.mix(words), common.SECOND_BASE)]
+        self.window = window
+        starts, ends, self.first = common.word_spans(raw, off)
+        has = np.diff(self.first)
+        self.words = common.word_hashes(raw, starts, ends)
         # windows lie inside one text
         self.count = np.maximum(has - window + 1, 0)
         self.begin = np.zeros(len(has) + 1, np.int64)
@@ -53,31 +52,31 @@ class Windows:
         self.text = np.repeat(np.arange(len(has)), self.count)
         self.at = np.arange(int(self.begin[-1])) - np.repeat(self.begin[:-1] - self.first[:-1], self.count)
 
-    def hashes(self, which: int, at: np.ndarray) -> np.ndarray:
-        base = (common.WORD_BASE, common.SECOND_BASE)[which]
-        return common.spans_hash(self.sums[which], at, at + self.window, base)
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the window at each word that has as many words after it."""
+        return common.window_hashes(self.words, self.window, common.WORD_BASE), common.window_hashes(common.mix(self.words), self.window, common.SECOND_BASE)
 
     def runs(self) -> tuple[np.ndarray, ...]:
         """Text, first window, number of windows, anchor and hash of each run."""
         if not len(self.at):
             return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
         size = min(ANCHOR, self.window)
-        k = np.arange(len(self.starts) - size + 1)
-        short = common.spans_hash(self.sums[0], k, k + size, common.WORD_BASE)
-        anchor = _smallest(short, self.window - size + 1)[self.at]
+        anchor = _smallest(common.window_hashes(self.words, size, common.WORD_BASE), self.window - size + 1)[self.at]
         new = np.ones(len(self.at), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (self.text[1:] != self.text[:-1])
         lo = np.flatnonzero(new)
-        hi = np.append(lo[1:], len(self.at))
-        every = common.sums(self.hashes(0, self.at) ^ common.mix(self.hashes(1, self.at)), common.SECOND_BASE)
-        return self.text[lo], self.at[lo] - self.first[self.text[lo]], hi - lo, anchor[lo], common.spans_hash(every, lo, hi, common.SECOND_BASE)
+        n = np.diff(np.append(lo, len(self.at)))
+        # a run's windows in order: each hash is scrambled with its place
+        one, two = self.hashes()
+        place = common.mix((np.arange(len(self.at)) - np.repeat(lo, n)).astype(np.uint64) + np.uint64(1))
+        every = np.add.reduceat(common.mix((one ^ common.mix(two))[self.at] ^ place), lo)
+        return self.text[lo], self.at[lo] - self.first[self.text[lo]], n, anchor[lo], every
 
 
-def _each(batches: Iterator[pa.RecordBatch], window: int, column: int) -> Iterator[tuple[pa.RecordBatch, int, int, Windows]]:
+def _each(batches: Iterator[pa.RecordBatch], window: int, column: int) -> Iterator[tuple[pa.RecordBatch, int, int, int, Windows]]:
     for b in batches:
-        raw, off = common.texts_of(b.column(column))
-        for lo, hi in common.steps(off):
-            yield b, lo, hi, Windows(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], window)
+        for lo, hi, raw, off, before in common.text_steps(*common.texts_of(b.column(column)), window - 1):
+            yield b, lo, hi, before, Windows(raw, off, window)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -88,10 +87,10 @@ def runs_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, n, anchor, run): every run of windows of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, lo, _, w in _each(batches, window, 1):
+        for b, lo, _, before, w in _each(batches, window, 1):
             text, start, n, anchor, sig = w.runs()
             ids = b.column(0).take(pa.array(text + lo))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), _long(anchor), _long(sig)], names=["doc_id", "start", "n", "anchor", "run"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array((start + before).astype(np.int32)), pa.array(n.astype(np.int32)), _long(anchor), _long(sig)], names=["doc_id", "start", "n", "anchor", "run"])
 
     return docs.mapInArrow(run, "doc_id long, start int, n int, anchor long, run long")
 
@@ -100,36 +99,28 @@ def windows_of(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, h1, h2): the windows that docs (doc_id, text, wanted array<struct<start, n>>) ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, lo, hi, w in _each(batches, window, 1):
+        for b, lo, hi, before, w in _each(batches, window, 1):
             asked = b.column(2).slice(lo, hi - lo)
             parts = asked.flatten()
             n = parts.field("n").to_numpy(zero_copy_only=False).astype(np.int64)
             text = np.repeat(np.repeat(np.arange(hi - lo), np.diff(asked.offsets.to_numpy())), n)
-            ends = np.cumsum(n)
-            start = np.arange(int(n.sum())) + np.repeat(parts.field("start").to_numpy(zero_copy_only=False) - (ends - n), n)
-            at = start + w.first[text]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + lo)), pa.array(start.astype(np.int32)), _long(w.hashes(0, at)), _long(w.hashes(1, at))], names=["doc_id", "start", "h1", "h2"])
+            start = np.arange(int(n.sum())) + np.repeat(parts.field("start").to_numpy(zero_copy_only=False) - (np.cumsum(n) - n), n) - before
+            here = (start >= 0) & (start < w.count[text])  # of a long text, other parts have the others
+            text, start = text[here], start[here]
+            at, (one, two) = start + w.first[text], w.hashes()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text + lo)), pa.array((start + before).astype(np.int32)), _long(one[at]), _long(two[at])], names=["doc_id", "start", "h1", "h2"])
 
     return docs.mapInArrow(run, "doc_id long, start int, h1 long, h2 long")
 
 
 def merged(spans: DataFrame) -> DataFrame:
     """(doc_id, spans): maximal intervals [s, e) of words from overlapping ones (doc_id, s, e); a document's intervals are no more than its words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for row in b.column(1).to_pylist():
-                kept: list[list[int]] = []
-                for x in sorted((x["s"], x["e"]) for x in row):
-                    if kept and x[0] <= kept[-1][1]:
-                        kept[-1][1] = max(kept[-1][1], x[1])
-                    else:
-                        kept.append([*x])
-                out.append([{"s": s, "e": e} for s, e in kept])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], names=["doc_id", "spans"])
-
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")).mapInArrow(run, "doc_id long, spans array<struct<s:int,e:int>>")
+    before = Window.partitionBy("doc_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
+    # an interval beyond all before it starts a new one
+    marked = spans.withColumn("new", F.when(F.col("s") <= F.max("e").over(before), 0).otherwise(1))
+    islands = marked.withColumn("k", F.sum("new").over(upto)).groupBy("doc_id", "k").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return islands.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -185,7 +176,7 @@ def digest(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_c
     others: each keeps its words, unless a smaller id has them. Other columns
     are ignored; an empty table gives an empty result.
     """
-    common.arrow_rows(docs.sparkSession)
+    common.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spans = repeated_spans(docs.where("doc_id is not null"), window)
 
@@ -208,7 +199,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     length_col, if docs has it, becomes the new text's number of characters. A
     text of which nothing is left is empty, and its row stays.
     """
-    common.arrow_rows(docs.sparkSession)
+    common.bounded_batches(docs.sparkSession)
     spans = repeated_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null"), window)
     names = docs.columns
     joined = docs.join(_sized(spans).select(F.col("doc_id").alias("weft_id"), F.col("spans").alias("weft_spans")), F.col(id_col).cast("long") == F.col("weft_id"), "left").drop("weft_id")

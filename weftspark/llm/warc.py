@@ -140,7 +140,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [[]] * 9
                 yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * len(rows), pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.int64()), pa.array(cols[6], pa.string()), pa.array(cols[7], pa.string()), pa.array(cols[8], pa.int64())], names=[x.split()[0] for x in INDEX.split(", ")])
 
-    common.arrow_rows(spark, 1)
+    common.bounded_batches(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, INDEX)
 
@@ -215,7 +215,7 @@ def merge_index(captures: DataFrame, merge_rows: int = MERGE_ROWS) -> DataFrame:
         order = np.fromiter(LoserTree(parts), np.int64, len(table))
         yield from table.take(pa.array(order)).combine_chunks().to_batches(max_chunksize=10_000)
 
-    common.arrow_rows(captures.sparkSession)
+    common.bounded_batches(captures.sparkSession)
     return ranged.select(*names).mapInArrow(run, INDEX)
 
 
