@@ -35,6 +35,43 @@ def test_word_spans_and_steps(texts):
             assert got == words(texts[k])
 
 
+@pytest.mark.parametrize("most,overlap", [(300, 0), (300, 4), (1, 1)])
+def test_text_steps(texts, most, overlap):
+    """Each sequence of overlap + 1 words is in one part, at its place."""
+    raw, off = common.texts_of(pa.array(texts))
+    got = collections.defaultdict(dict)
+    for lo, hi, part, at, before in common.text_steps(raw, off, overlap, most):
+        a, b, first = common.word_spans(part, at)
+        for k in range(lo, hi):
+            own = [part[x:y].tobytes() for x, y in zip(a[first[k - lo] : first[k - lo + 1]], b[first[k - lo] : first[k - lo + 1]], strict=True)]
+            for i in range(len(own) - overlap):
+                assert before + i not in got[k]
+                got[k][before + i] = own[i : i + overlap + 1]
+    for k, t in enumerate(texts):
+        w = words(t)
+        assert got[k] == {i: w[i : i + overlap + 1] for i in range(len(w) - overlap)}
+
+
+def test_hashes(monkeypatch):
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 3, 30, 200]))) for _ in range(300)).encode()
+    raw = np.frombuffer(text, np.uint8)
+    a, b, _ = common.word_spans(raw, np.array([0, len(raw)]))
+    whole = common.word_hashes(raw, a, b)
+    seen = collections.defaultdict(set)
+    for w, h in zip(text.split(), whole.tolist(), strict=True):
+        seen[w].add(h)
+    assert all(len(x) == 1 for x in seen.values()) and len(set().union(*seen.values())) == len(seen)
+    common._powers.cache_clear()
+    monkeypatch.setattr(common, "_REACH", 16)
+    assert common.word_hashes(raw, a, b).tolist() == whole.tolist()
+    common._powers.cache_clear()
+    for width in (1, 2, 5, 12, 50):
+        h = common.window_hashes(whole, width, common.WORD_BASE).tolist()
+        again = [common.window_hashes(whole[i : i + width], width, common.WORD_BASE)[0] for i in range(0, 250, 7)]
+        assert len(h) == 301 - width and again == h[:250:7]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(40)] + [(1000, i) for i in range(500, 600)] + [(7, 7)]
@@ -365,23 +402,44 @@ def test_pieces(spark, texts):
         assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
 
 
-def test_pieces_agendas_agree():
+def _codec():
     with open(registry.tokenizer_path(), "rb") as f:
-        codec = pieces.PieceCodec(f.read())
-    rng = random.Random(6)
-    for _ in range(300):
-        chunk = "▁" + "".join(rng.choice("abcdefghiéthx") for _ in range(rng.randint(1, 30)))
-        assert codec._short(chunk) == codec._long(chunk)
-
-
-def test_pieces_caches_turn_over(texts, monkeypatch):
-    monkeypatch.setattr(pieces, "CACHE_WORDS", 5)
-    monkeypatch.setattr(pieces, "CACHE_CHUNKS", 7)
-    with open(registry.tokenizer_path(), "rb") as f:
-        codec = pieces.PieceCodec(f.read())
-    for t in texts:
-        assert codec.encode(t or "")[1] == codec.library.encode(t or "")
-    assert codec.checked() > 0 and len(codec.words) <= 5
+        return pieces.PieceCodec(f.read())
+
+
+def test_pieces_agendas_agree(monkeypatch):
+    codec, rng = _codec(), random.Random(6)
+    words = ["".join(rng.choice("abcdefghiéthx1.,日²") for _ in range(rng.randint(0, 31))) for _ in range(500)]
+    matrix = codec.words(words)
+    monkeypatch.setattr(pieces, "WIDTHS", ())
+    heap = codec.words(words)
+    assert matrix[0].tolist() == heap[0].tolist() and matrix[1].tolist() == heap[1].tolist()
+
+
+@pytest.mark.parametrize("rows", [1 << 14, 3])
+def test_pieces_batches(texts, monkeypatch, rows):
+    monkeypatch.setattr(pieces, "ROWS", rows)
+    codec = _codec()
+    every = [t or "" for t in [*texts, *EXTRA]]
+    ids, begin = codec.encode(every)
+    assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)] == codec.library.encode(every)
+    assert codec.encode([])[1].tolist() == [0] and codec.encode(["", ""])[1].tolist() == [0, 0, 0]
+
+
+def test_pieces_differences_are_found():
+    codec = _codec()
+    codec.cost[codec.ids["▁the"]] = pieces.NEVER
+    with pytest.raises(AssertionError):
+        codec.encode(["the theme of these other things is another"])
+
+
+def test_pair_table(monkeypatch):
+    rng = random.Random(3)
+    pairs = {(rng.randrange(40), rng.randrange(40)): k for k in range(600)}
+    monkeypatch.setattr(pieces.PairTable, "BITS", 2)
+    table = pieces.PairTable(pairs)
+    a, b = np.divmod(np.arange(1600), 40)
+    assert table.find(a, b).tolist() == [pairs.get((x, y), -1) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
 
 def test_pieces_of_nothing(no_docs):
