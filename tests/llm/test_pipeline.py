@@ -41,7 +41,7 @@ def test_pipeline(spark, folder):
     docs = {i: t for i, t, *_ in rows}
     model = quality.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"), F.lit(True))
     use = quality._compressors(model.good, model.bad, model.trained)
-    kept = {i: t for i, t in docs.items() if quality._logistic(quality._design(quality._features([t], use), model.mean, model.scale), model.weights)[0] >= quality.THRESHOLD}
+    kept = {i: t for i, t in docs.items() if quality._logistic(quality._differences([t], use), model.slope, model.offset)[0] >= quality.THRESHOLD}
     assert sum(i < 120 for i in kept) > 110 and sum(120 <= i < 240 for i in kept) < 10
     fp = {i: _fingerprint(t) for i, t in kept.items()}
     label = {i: i for i in kept}
