@@ -97,40 +97,41 @@ def test_components_of_nothing(spark):
 # 1
 
 def _vectors():
+    """Two labels of loose clusters, a dense ball, equal vectors, vectors that link with nothing, repeated ids, null ids."""
     rng = np.random.default_rng(3)
-    centres = rng.standard_normal((6, 16))
+    centres = rng.standard_normal((7, 16))
     out, n = [], 0
     for k, c in enumerate(centres):
         for _ in range(50):
-            out.append((n, [float(x) for x in (c + rng.standard_normal(16) * 0.12).astype(np.float32)], k % 2))
+            out.append((n, [float(x) for x in (c + rng.standard_normal(16) * (0.01 if k == 6 else 0.12)).astype(np.float32)], k % 2))
             n += 1
-    out += [(n, out[0][1], 0), (n + 1, out[0][1], 1), (n + 2, None, 0), (n + 3, [0.0] * 16, 0), (n + 4, [float("nan")] * 16, 0), (n + 5, [1.0, None] + [0.0] * 14, 0), (n + 6, out[0][1], None), (n + 7, [], 0), (n + 8, [2 * x for x in out[0][1]], 0), (n + 9, [1.0] * 8, 0)]
+    out += [(n, out[0][1], 0), (n + 1, out[0][1], 1), (n + 2, None, 0), (n + 3, [0.0] * 16, 0), (n + 4, [float("nan")] * 16, 0), (n + 5, [1.0, None] + [0.0] * 14, 0), (n + 6, out[0][1], None), (n + 7, [], 0), (n + 8, [2 * x for x in out[0][1]], 0), (n + 9, [1.0] * 8, 0), (n + 10, [0.0, -0.0] + [1.0] * 14, 1), (n + 11, [-0.0, 0.0] + [1.0] * 14, 1)]
+    # one id with two vectors of different clusters, one with the same twice, and rows without id
+    out += [(5, out[320][1], 0), (120, out[330][1], 0), (7, out[7][1], 0), (None, out[0][1], 0), (None, out[1][1], 0)]
     return out
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_embeddings(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,tile,crowd", [(512, 4096, 1024), (8, 4096, 4), (8, 6, 40)])
+def test_embeddings(spark, monkeypatch, block, tile, crowd):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "TILE", tile)
+    monkeypatch.setattr(embeddings, "CROWD", crowd)
+    monkeypatch.setattr(embeddings, "STRIP", 16)
     data = _vectors()
-    df = spark.createDataFrame([(*r, 5) for r in data], "vec_id long, embedding array<float>, label int, n_links int")
-    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
-    fine = [(i, np.array(v, float), y) for i, v, y in data if v and y is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
-    links, parent = collections.Counter(), {i: i for i, *_ in data}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(fine)):
-        for b in range(a):
-            (i, x, p), (j, y, q) = fine[a], fine[b]
-            if p == q and len(x) == len(y) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.98:
-                links[i] += 1
-                links[j] += 1
-                u, v = find(i), find(j)
-                parent[max(u, v)] = min(u, v)
-    assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (links[i], find(i), find(i) == i) for i, *_ in data}
+    df = spark.createDataFrame([(*r, 5) for r in data], "vec_id long, embedding array<float>, label int, n_links int").repartition(3)
+    got = collections.Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect())
+    fine = [k for k, (i, v, y) in enumerate(data) if i is not None and v and y is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    unit = {k: np.array(data[k][1], float) / np.linalg.norm(np.array(data[k][1], float)) for k in fine}
+    links, label = collections.Counter(), {k: data[k][0] for k in range(len(data))}
+    pairs = [(a, b) for a in fine for b in fine if b < a and data[a][2] == data[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.98]
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    for _ in range(10):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    wanted = collections.Counter((i, links[k], label[k], i is None or label[k] == i) for k, (i, *_) in enumerate(data))
+    assert got == wanted
 
 
 def test_embeddings_of_nothing(spark):

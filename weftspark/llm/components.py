@@ -27,24 +27,28 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one smaller node that hangs on none: a forest of stars."""
+    ends = edges.select(F.greatest("u", "v").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.least("u", "v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0")
+    return odd.isEmpty()
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for each node of the edges (u long, v long).
 
     Self-links and nulls are ignored; nodes without links are not returned.
     Each round's table is written to the shared folder.
     """
-    edges = common.save(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct(), "links")
-    state = None
+    pair = edges.select(F.greatest(F.col("u").cast("long"), F.col("v").cast("long")).alias("u"), F.least(F.col("u").cast("long"), F.col("v").cast("long")).alias("v"))
+    edges = common.save(pair.where("u <> v").distinct(), "links")
     for _ in range(most):
+        if _settled(edges):
+            break
         after = common.save(_star(_star(edges, True), False), "links")
         common.drop(edges)
         edges = after
-        # nothing moves any more once every node hangs on a node that is no larger one's child
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = edges.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("component"))
     return roots.unionByName(roots.select(F.col("component").alias("node"), "component").distinct())
