@@ -581,9 +581,9 @@ def test_lm_beats_its_code_and_an_untrained_model():
     texts = [" ".join(rng.choice(lexicon) for _ in range(300)) for _ in range(220)]
     stream, held = (mixing.Stream(*common.texts_of(pa.array(t))) for t in (texts[:200], texts[200:]))
     code = mixing.Code(np.bincount(stream.pairs(), minlength=1 << 16))
-    learner, empty = mixing.Learner(code), mixing.Learner(code)
+    learner, empty = mixing.Learner(code, mixing.BITS), mixing.Learner(code, mixing.BITS)
     learner.learn(stream)
-    bits = [-mixing.Scorer(code, [mixing.odds(c.reshape(-1, 2)) for c in x.counts], x.weights).score(held).sum() / math.log(2) for x in (learner, empty)]
+    bits = [-mixing.Scorer(code, [mixing.odds(x.counts(k)) for k in range(4)], x.weights).score(held).sum() / math.log(2) for x in (learner, empty)]
     plain = code.length[held.pairs()].sum()
     assert bits[0] < 0.8 * plain and bits[1] > 0.9 * plain
 
@@ -594,37 +594,61 @@ def test_lm_weights_learn_from_all_bits(seen):
     rng = random.Random(13)
     stream = mixing.Stream(*common.texts_of(pa.array([" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 5))) for _ in range(6000)) for _ in range(2)])))
     code = mixing.Code(np.bincount(stream.pairs(), minlength=1 << 16))
-    learner = mixing.Learner(code)
+    learner = mixing.Learner(code, mixing.sizes(1 << 20))
     learner.seen = seen
     learner.learn(stream)
     counts, weights = [collections.Counter() for _ in mixing.BITS], np.full((mixing.GATES, len(mixing.ORDERS)), 0.3)
-    contexts = stream.contexts()
+    contexts = stream.contexts(mixing.sizes(1 << 20))
     for lo in stream.chunks():
         slots, bit, _ = mixing.bits_of(stream, contexts, code, lo)
         slots, bit = [s.tolist() for s in slots], bit.tolist()
-        for a in range(0, len(bit), 1024):
-            change = np.zeros_like(weights)
-            for i in range(a, min(a + 1024, len(bit))):
-                x = [max(-127, min(127, round(math.log((c[s[i], 1] + 0.4) / (c[s[i], 0] + 0.4)) * mixing.STEP))) for c, s in zip(counts, slots, strict=True)]
-                gate = sum(abs(x[-1]) > v for v in mixing.SURE)
-                x = np.array(x) / mixing.STEP
-                change[gate] += mixing.LEARN * (bit[i] - 1 / (1 + math.exp(-weights[gate] @ x))) * x
-            weights += change
+        x = [[max(-mixing.MOST, min(mixing.MOST, math.log((c[s[i], 1] + 0.4) / (c[s[i], 0] + 0.4)))) for c, s in zip(counts, slots, strict=True)] for i in range(len(bit))]
+        gates = collections.defaultdict(list)
+        for i, v in enumerate(x):
+            gates[sum(abs(v[-1]) > y for y in mixing.SURE)].append(i)
+        for gate, own in gates.items():
+            for a in range(0, len(own), mixing.BATCH):
+                part = own[a : a + mixing.BATCH]
+                weights[gate] = weights[gate] + mixing.LEARN * sum((bit[i] - 1 / (1 + math.exp(-weights[gate] @ np.array(x[i])))) * np.array(x[i]) for i in part)
         for c, s in zip(counts, slots, strict=True):
             c.update(zip(s, bit, strict=True))
     assert learner.weights == pytest.approx(weights, abs=2e-3) and abs(weights - 0.3).max() > 0.05
+    for k, c in enumerate(counts):
+        assert all(learner.counts(k)[s, v] == n for (s, v), n in c.items())
     assert len(mixing.ORDERS) == 4
 
 
+def test_lm_tables_grow_and_counts_keep_their_odds():
+    assert mixing.sizes(1 << 30) == mixing.BITS and mixing.sizes(1 << 34) == tuple(b + 2 for b in mixing.BITS) and min(mixing.sizes(0)) == mixing.LEAST_BITS
+    stream = mixing.Stream(*common.texts_of(pa.array(["ab " * 40_000])))
+    code = mixing.Code(np.bincount(stream.pairs(), minlength=1 << 16))
+    learner = mixing.Learner(code, mixing.sizes(1 << 20))
+    for _ in range(9):
+        learner.learn(stream)
+    every = np.concatenate([learner.counts(k) for k in range(4)])
+    assert 1 << 14 < every.max() < 3 << 14 and (every.min(axis=1) < 100).all()
+
+
+@pytest.mark.parametrize("halves", [[3, 2], [1]])
+def test_lm_counts_are_added_whole(halves):
+    """Sums of parts keep more than 32 bits."""
+    part = np.array([60000, 1, 0, 60000], np.uint16)
+    first = [b for n in halves for b in lm._added(iter([lm._parts([(1, 0, 0, lm._pack(part))] * n)]))]
+    (last,) = lm._added(iter(first))
+    assert lm._unpack(last.column(3)[0].as_py(), np.uint64).tolist() == [x * sum(halves) for x in part.tolist()]
+    (big,) = lm._added(iter([lm._parts([(1, 0, -1, lm._pack(np.array([8 * 10**9, 5 * 10**9], np.uint64)))])]))
+    assert mixing.odds(lm._unpack(big.column(3)[0].as_py(), np.uint64).reshape(-1, 2)).tolist() == [round(math.log(5 / 8) * mixing.STEP)]
+
+
 def test_lm_probabilities_sum_to_one():
     """Over all next bytes of a context, by the chain of bits."""
     raw, off = common.texts_of(pa.array(["the theme then " * 50, "other words here"]))
     stream = mixing.Stream(raw, off)
     code = mixing.Code(np.bincount(stream.pairs(), minlength=1 << 16))
-    learner = mixing.Learner(code)
+    learner = mixing.Learner(code, mixing.sizes(1 << 20))
     learner.learn(stream)
-    scorer = mixing.Scorer(code, [mixing.odds(c.reshape(-1, 2)) for c in learner.counts], learner.weights)
-    contexts = stream.contexts()
+    scorer = mixing.Scorer(code, [mixing.odds(learner.counts(k)) for k in range(4)], learner.weights)
+    contexts = stream.contexts(mixing.sizes(1 << 20))
     total = 0.0
     for value in range(256):
         pairs = contexts[-1].copy()
@@ -632,7 +656,7 @@ def test_lm_probabilities_sum_to_one():
         slots, bit, length = mixing.bits_of(stream, [*contexts[:-1], pairs], code, 0)
         lo = int(length[:100].sum())
         x = scorer.tables[-1][slots[-1]].view(np.uint8)
-        z = scorer.word[x] + sum(w[mixing._LEVEL[x]] * t[s] for w, t, s in zip(scorer.weights[:-1], scorer.tables[:-1], slots[:-1], strict=True))
+        z = scorer.word[x] + sum(w[mixing._LEVEL[x]] * t[s].astype(np.float32) for w, t, s in zip(scorer.weights[:-1], scorer.tables[:-1], slots[:-1], strict=True))
         p = mixing.squash(z[lo : lo + int(length[100])])
         total += np.prod(np.where(bit[lo : lo + int(length[100])], p, 1 - p))
     assert total == pytest.approx(1, abs=1e-4)
@@ -654,9 +678,9 @@ def test_lm_texts_are_scored_alone():
     many = ["the theme then " * 40, "", "an other text", "x" * 5000, "the end"]
     raw, off = common.texts_of(pa.array(many))
     code = mixing.Code(np.zeros(1 << 16, int))
-    learner = mixing.Learner(code)
+    learner = mixing.Learner(code, mixing.sizes(1 << 20))
     learner.learn(mixing.Stream(raw, off))
-    scorer = mixing.Scorer(code, [mixing.odds(c.reshape(-1, 2)) for c in learner.counts], learner.weights)
+    scorer = mixing.Scorer(code, [mixing.odds(learner.counts(k)) for k in range(4)], learner.weights)
     together = scorer.score(mixing.Stream(raw, off))
     for k, t in enumerate(many):
         assert scorer.score(mixing.Stream(*common.texts_of(pa.array([t]))))[0] == pytest.approx(together[k], rel=1e-5)

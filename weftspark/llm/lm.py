@@ -2,9 +2,10 @@
 
 Three passes: token and byte counts of the training texts; counts and weights
 of the bit predictors (each task learns on its part, counts are added up,
-weights averaged by the bits they saw); and scoring. What travels to all tasks
-is of fixed size: the predictors' tables, and the HEAD most frequent tokens.
-Rarer tokens of a text are joined with the token table, so any vocabulary
+weights averaged by the bits they saw); and scoring. The predictors' tables
+grow with the square root of the training bytes and travel to all tasks (a byte
+a slot; a learning task holds four), as do the HEAD most frequent tokens. Rarer
+tokens of a text are joined with the token table, so any vocabulary
 does, and no frequent token is ever a join key.
 """
 
@@ -134,31 +135,32 @@ def _parts(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the parts of each (k, j); a task holds its keys' sums only. Counts stop at the largest 32-bit number, as log odds don't change there."""
+    """Adds up the parts of each (k, j): counts as 64-bit numbers, weights as they are; a task holds its keys' sums only."""
     sums: dict[tuple[int, int], np.ndarray] = {}
     for b in batches:
-        for k, j, _, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            x = _unpack(blob, np.uint32 if k >= 0 else np.float64)
+        for k, j, salt, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            x = _unpack(blob, np.float64 if k < 0 else np.uint16 if salt >= 0 else np.uint64)
             have = sums.get((k, j))
             if have is None:
                 sums[k, j] = x.astype(np.uint64 if k >= 0 else np.float64)
             else:
                 have += x
     for (k, j), x in sums.items():
-        yield _parts([(k, j, 0, _pack(np.minimum(x, 0xFFFFFFFF).astype(np.uint32) if k >= 0 else x))])
+        yield _parts([(k, j, -1, _pack(x))])
 
 
-def learn(train: DataFrame, code: mixing.Code) -> tuple[list[np.ndarray], np.ndarray]:
+def learn(train: DataFrame, code: mixing.Code, bits: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
     """Tables of log odds and mixing weights from the column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = mixing.Learner(code)
+        learner = mixing.Learner(code, bits)
         for _, _, _, raw, off in _steps(batches, 0):
             learner.learn(mixing.Stream(raw, off))
         if not learner.seen:
             return
         salt = TaskContext.get().partitionId() % SALT
-        for k, counts in enumerate(learner.counts):
+        for k in range(len(bits)):
+            counts = learner.counts(k).reshape(-1)
             for j in range(0, len(counts), 2 * PART):
                 part = counts[j : j + 2 * PART]
                 if part.any():
@@ -168,13 +170,13 @@ def learn(train: DataFrame, code: mixing.Code) -> tuple[list[np.ndarray], np.nda
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _added(batches):
             k, j, _, blob = (c[0].as_py() for c in b.columns)
-            yield _parts([(k, j, 0, _pack(mixing.odds(_unpack(blob, np.uint32).reshape(-1, 2))) if k >= 0 else blob)])
+            yield _parts([(k, j, 0, _pack(mixing.odds(_unpack(blob, np.uint64).reshape(-1, 2))) if k >= 0 else blob)])
 
     rows = train.select("text").mapInArrow(run, PARTS)
     sums = rows.repartition("k", "j", "salt").mapInArrow(_added, PARTS).repartition("k", "j").mapInArrow(finished, PARTS)
-    tables = [np.zeros(1 << b, np.int8) for b in mixing.BITS]
+    tables = [np.zeros(1 << b, np.int8) for b in bits]
     weights = np.full((mixing.GATES, len(mixing.ORDERS)), 0.3)
-    for r in sums.collect():  # the tables: a byte for each slot of mixing.BITS, whatever the corpus
+    for r in sums.collect():  # the tables: a byte for each slot of mixing.sizes(), 10 MB for a GB of text, 55 MB for 30 GB
         if r.k < 0:
             x = _unpack(r.blob, np.float64)
             weights = (x[:-1] / x[-1]).reshape(weights.shape)
@@ -235,7 +237,7 @@ def score(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col:
     tokens = count_tokens(train)
     base, values = base_of(tokens)
     code = mixing.Code(values)
-    tables, weights = learn(train, code)
+    tables, weights = learn(train, code, mixing.sizes(int(values.sum())))
     raw = common.save(_score(docs.withColumn("uid", F.monotonically_increasing_id()), base, mixing.Scorer(code, tables, weights)), "scores")
     rare = raw.where("token is not null").join(tokens, "token").groupBy("uid").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("logs"))
     texts = raw.where("token is null").join(rare, "uid", "left")

@@ -4,7 +4,7 @@ A text is its lower-cased words joined by spaces, then an end byte; a byte is a
 path of bits in a Huffman tree of the training corpus, one tree for each byte
 before. Each predictor hashes a
 context (the last bytes, or the word so far) with the tree node into a table of
-counts of zeros and ones, of fixed size. The predictions are mixed in the
+counts of zeros and ones, whose slots grow with the training corpus. The predictions are mixed in the
 logistic domain with gated weights, which are learnt
 online while the counts are gathered (predict, then count); the gate is how
 sure the word predictor is. Scoring refines the
@@ -16,31 +16,43 @@ the start, so a long text has few of them.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import math
 
 import numpy as np
 
 from weftspark.llm import common
 
-#: Bytes hashed by each predictor (0: the letters of the word so far), and the slots of its table, as a power of two.
-ORDERS, BITS = (2, 3, 5, 0), (18, 20, 22, 22)
-#: Gate of a bit: the size of the word predictor's log odds, in steps.
-SURE = (0, 12, 32, 60)
+#: Bytes hashed by each predictor (0: the letters of the word so far).
+ORDERS = (2, 3, 5, 0)
+#: Slots of each predictor's table, as a power of two, for a corpus of 2**SCALE bytes; a corpus of four times as many bytes has tables of twice as many slots.
+BITS, SCALE = (18, 20, 22, 22), 30
+#: A table has so many slots at least, as a power of two.
+LEAST_BITS = 12
+#: Gate of a bit: the size of the word predictor's log odds.
+SURE = (0.03, 0.78, 2.03, 3.78)
 GATES = len(SURE) + 1
-#: Log odds are kept in steps of 1 / STEP.
-STEP = 16
-LEARN = 0.004
-#: Bits that update the weights together.
+#: Log odds are kept in steps of 1 / STEP, and are MOST at most.
+STEP, MOST = 16, 127 / 16
+LEARN = 0.002
+#: Bits of one gate that update its weights together.
 BATCH = 1024
 END = 10
 #: Prior of the refinement, in bits seen.
 HOLD = np.array([400.0, 100.0])
-#: Bytes of stream whose bits are worked out together, small enough for a cache, and bytes refined together.
+#: Bytes of stream whose bits are worked out together, small enough for a cache, and bytes refined together. A slot is counted once a byte at most, so CHUNK steps never overflow a count that is below 2**15.
 CHUNK, REFINED = 1 << 14, 1 << 18
 #: Bytes of a text's first block; each later one is as long as all before it.
 FIRST = 96
 
 
+def sizes(train_bytes: int) -> tuple[int, ...]:
+    """Slots of the predictors' tables, as powers of two, for a corpus of so many bytes: they grow with its square root, as the distinct contexts of texts do about."""
+    more = math.ceil((math.log2(max(1, train_bytes)) - SCALE) / 2)
+    return tuple(max(LEAST_BITS, b + more) for b in BITS)
+
+
 class Code:
     """Huffman codes of byte values, one for each value before: nodes and bits of each path, by pair (256 * before + value). A code's nodes are numbered by how often they are passed."""
 
@@ -66,18 +78,14 @@ class Code:
         self.first, self.length = np.array(first[:-1]), np.diff(first)
 
 
-_POWERS = {}
-
-
 def _powers32(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**32."""
-    size = 1 << max(20, n.bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        p, q = common.powers(0x2F0B4C47 | 1 << 32, size)
-        # the 64-bit inverse's lower half is the 32-bit inverse
-        _POWERS[size] = p.astype(np.uint32), q.astype(np.uint32)
-    return _POWERS[size]
+    """The first n powers of an odd number and of its inverse modulo 2**32."""
+    out = []
+    for base in (0x2F0B4C47, pow(0x2F0B4C47, -1, 1 << 32)):
+        p = np.full(n, base, np.uint32)
+        p[:1] = 1
+        out.append(np.multiply.accumulate(p, out=p))
+    return out[0], out[1]
 
 
 class Stream:
@@ -123,8 +131,8 @@ class Stream:
         some = self.ends > self.starts
         return self.starts[some], self.ends[some]
 
-    def contexts(self) -> list[np.ndarray]:
-        """A table slot per byte for each of ORDERS, a text's start having end bytes before it; and last the pairs."""
+    def contexts(self, bits: tuple[int, ...]) -> list[np.ndarray]:
+        """A slot per byte in each predictor's table of 2**bits, a text's start having end bytes before it; and last the pairs."""
         out, n = {}, len(self.data)
         h, last = np.zeros(n, np.uint32), self.data.astype(np.uint32) + np.uint32(1)
         for k in range(1, max(ORDERS) + 1):
@@ -145,7 +153,7 @@ class Stream:
         size = self.ends - self.starts + 1
         h = (sums[:n] - np.repeat(sums[self.starts], size)) * np.repeat(q[self.starts], size)
         out[0] = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
-        return [*((out[k] >> np.uint32(32 - b)).astype(np.int64) for k, b in zip(ORDERS, BITS, strict=True)), self.pairs()]
+        return [*((out[k] >> np.uint32(32 - b)).astype(np.int64) for k, b in zip(ORDERS, bits, strict=True)), self.pairs()]
 
     def chunks(self) -> range:
         return range(0, len(self.data), CHUNK)
@@ -177,61 +185,94 @@ def odds(counts: np.ndarray) -> np.ndarray:
 
 
 #: Level of sureness of log odds in steps, by the byte that holds them.
-_LEVEL = np.searchsorted(SURE, np.abs(np.arange(256, dtype=np.uint8).view(np.int8).astype(np.int64))).astype(np.uint8)
+_LEVEL = np.searchsorted(SURE, np.abs(np.arange(256, dtype=np.uint8).view(np.int8).astype(np.float64)) / STEP).astype(np.uint8)
+
+
+_GATE = _LEVEL.astype(np.uint16) * np.uint16(256)
 
 
 def squash(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-z))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+@functools.lru_cache(1)
+def _logs() -> np.ndarray:
+    return np.log(np.arange(1 << 16, dtype=np.float32) + np.float32(0.4))
 
 
 class Learner:
-    """Counts and weights gathered from training texts, one step of texts after another."""
+    """Counts and weights gathered from training texts, one step of texts after another.
 
-    def __init__(self, code: Code):
-        self.code, self.seen = code, 0
-        self.counts = [np.zeros(2 << b, np.uint32) for b in BITS]
+    A slot is a 32-bit number, its upper half the ones counted, its lower half
+    the zeros; where either has reached 2**15, both are halved, which keeps the
+    odds.
+    """
+
+    def __init__(self, code: Code, bits: tuple[int, ...]):
+        self.code, self.bits, self.seen = code, bits, 0
+        self.tables = [np.zeros(1 << b, np.uint32) for b in bits]
         self.weights = np.full((GATES, len(ORDERS)), 0.3)
 
+    def counts(self, k: int) -> np.ndarray:
+        """(slots, 2) zeros and ones of predictor k."""
+        return self.tables[k].view(np.uint16).reshape(-1, 2)
+
     def learn(self, stream: Stream) -> None:
-        contexts = stream.contexts()
+        contexts = stream.contexts(self.bits)
         for lo in stream.chunks():
             slots, bit, _ = bits_of(stream, contexts, self.code, lo)
-            self._adapt(slots, bit)
-            for k, s in enumerate(slots):
-                s <<= 1
-                s |= bit
-                np.add.at(self.counts[k], s, np.uint32(1))
+            have = [np.take(t, s) for t, s in zip(self.tables, slots, strict=True)]
+            self._adapt(have, bit)
+            one = np.where(bit, np.uint32(1 << 16), np.uint32(1))
+            for t, s, v in zip(self.tables, slots, have, strict=True):
+                full = v & np.uint32(0x80008000)
+                if full.any():
+                    full = np.unique(s[full > 0])
+                    t[full] = (t[full] >> np.uint32(1)) & np.uint32(0x7FFF7FFF)
+                np.add.at(t, s, one)
             self.seen += len(bit)
 
-    def _adapt(self, slots, bit) -> None:
-        x = [odds(np.take(c.view(np.uint64), s).view(np.uint32).reshape(-1, 2)) for c, s in zip(self.counts, slots, strict=True)]
-        gate = np.take(_LEVEL, x[-1].view(np.uint8)).astype(np.int64)
-        x = [v.astype(np.float32) / np.float32(STEP) for v in x]
-        for lo in range(0, len(bit), BATCH):
-            gs, xs = gate[lo : lo + BATCH], [v[lo : lo + BATCH] for v in x]
-            err = bit[lo : lo + BATCH] - squash(sum(np.take(w, gs) * v for w, v in zip(self.weights.T, xs, strict=True)))
-            for w, v in zip(self.weights.T, xs, strict=True):
-                w += LEARN * np.bincount(gs, err * v, GATES)
+    def _adapt(self, have: list[np.ndarray], bit: np.ndarray) -> None:
+        """Weights learn from every bit, as predicted by the counts so far."""
+        logs, x = _logs(), np.empty((len(have), len(bit)), np.float32)
+        for z, v in zip(x, have, strict=True):
+            np.take(logs, v >> np.uint32(16), out=z, mode="clip")
+            z -= np.take(logs, v & np.uint32(0xFFFF), mode="clip")
+        np.clip(x, -MOST, MOST, out=x)
+        size, gate = np.abs(x[-1]), np.zeros(len(bit), np.uint8)
+        for v in SURE:
+            gate += size > v
+        # a gate's weights depend on its own bits alone: each gate's bits by themselves, in order
+        order = np.argsort(gate, kind="stable")
+        ends = np.cumsum(np.bincount(gate, minlength=GATES)).tolist()
+        x, bit = np.take(x, order, axis=1), np.take(bit, order)
+        for g, (first, last) in enumerate(zip([0, *ends], ends, strict=False)):
+            for lo in range(first, last, BATCH):
+                hi = min(last, lo + BATCH)
+                own = x[:, lo:hi]
+                self.weights[g] += LEARN * (own @ (bit[lo:hi] - squash(self.weights[g].astype(np.float32) @ own)))
 
 
 class Scorer:
     """Log probabilities of texts under gathered tables (one per predictor) and weights."""
 
     def __init__(self, code: Code, tables: list[np.ndarray], weights: np.ndarray):
-        self.code, self.tables, self.weights = code, tables, np.ascontiguousarray((weights / STEP).T, np.float32)
+        self.code, self.tables, self.bits, self.weights = code, tables, tuple(len(t).bit_length() - 1 for t in tables), np.ascontiguousarray((weights / STEP).T, np.float32)
         # the word predictor's share of the mix, by the byte of its log odds
         steps = np.arange(256, dtype=np.uint8).view(np.int8)
         self.word = self.weights[-1][_LEVEL] * steps.astype(np.float32)
+        # the others' shares, by gate and byte
+        self.shares = [(w[:, None] * steps.astype(np.float32)).ravel() for w in self.weights[:-1]]
 
     def score(self, stream: Stream) -> np.ndarray:
         """Natural log probability of each text."""
-        contexts, mixed, bits, lengths = stream.contexts(), [], [], []
+        contexts, mixed, bits, lengths = stream.contexts(self.bits), [], [], []
         for lo in stream.chunks():
             slots, bit, length = bits_of(stream, contexts, self.code, lo)
             x = np.take(self.tables[-1], slots[-1]).view(np.uint8)
-            gate, z = np.take(_LEVEL, x), np.take(self.word, x)
-            for w, t, s in zip(self.weights[:-1], self.tables[:-1], slots[:-1], strict=True):
-                z += np.take(w, gate) * np.take(t, s)
+            gate, z = np.take(_GATE, x), np.take(self.word, x)
+            for w, t, s in zip(self.shares, self.tables[:-1], slots[:-1], strict=True):
+                z += np.take(w, gate + np.take(t, s).view(np.uint8))
             mixed.append(z)
             bits.append(bit)
             lengths.append(length)
