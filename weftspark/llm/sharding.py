@@ -24,12 +24,16 @@ STRIDE = 4096
 
 
 def scatter_and_shuffle(docs: DataFrame, seed: int, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """(bucket, i, rec) after both passes: i is the place of the record in its shuffled bucket."""
+    """(bucket, i, rec) after both passes: i is the place of the record in its shuffled bucket.
+
+    Each task of the second pass gets BUCKETS_A_TASK consecutive buckets.
+    """
     rec = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     # the row's place in its file goes into the hash, so that equal or null ids spread like any others
     rows = docs.select(rec.alias("rec"), F.monotonically_increasing_id().alias("uid")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(f"rec.`{id_col}`"), "uid"), F.lit(buckets)).cast("int"))
-    scattered = rows.repartition(max(1, math.ceil(buckets / BUCKETS_A_TASK)), "bucket")
-    packed = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("uid", "rec"))).alias("rows"))
+    tasks = rows.withColumn("task", (F.col("bucket") / BUCKETS_A_TASK).cast("int"))
+    scattered = tasks.repartitionById(max(1, math.ceil(buckets / BUCKETS_A_TASK)), "task")
+    packed = scattered.groupBy("task", "bucket").agg(F.sort_array(F.collect_list(F.struct("uid", "rec"))).alias("rows"))
     # buckets in order and rows sorted: shuffle() draws the same numbers in every attempt of a task
     return packed.sortWithinPartitions("bucket").withColumn("rows", F.shuffle("rows", F.lit(seed))).select("bucket", F.posexplode("rows").alias("i", "r")).select("bucket", "i", "r.rec")
 
@@ -39,6 +43,9 @@ def shard(docs: DataFrame, shards: int, seed: int = 42, id_col: str = "doc_id",
 
     An input column named shard or slot is replaced. Rows with null or repeated
     ids and null texts are rows like any other; an empty table stays empty.
+    Places follow from the seed, the ids and the rows' places in their files:
+    docs should be a stored table, whose splits come in the same order again
+    when a task is repeated.
     """
     if shards < 1:
         raise ValueError("shards must be 1 at least")
