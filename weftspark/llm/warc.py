@@ -26,8 +26,8 @@ from weftspark.llm import common
 REVISIT_BYTES = 100
 #: Payload bytes of one archive, about; it is what a reading task holds.
 ARCHIVE_BYTES = 16 << 20
-#: Rows of the index in one merging task, about.
-MERGE_ROWS = 1 << 20
+#: Rows of the index in one merging task, about; it holds them, some 600 bytes each.
+MERGE_ROWS = 1 << 17
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Capture times are counted in seconds from here where a table has none.
 EPOCH = 1_700_000_000
@@ -53,7 +53,8 @@ def _line(name: str, value: Column | str) -> Column:
 def records(pages: DataFrame) -> Column:
     """The text of a record but for its last four bytes, over the columns of with_revisits and captured_at."""
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c, F.lit(">"))
+    # with the payload's digest, so that rows with one page_id have records of their own
+    urn = lambda c: F.concat(F.lit("<urn:page:"), c, F.lit(":"), F.substring("payload_digest", 1, 16), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
     again = F.col("refers_to").isNotNull()
     block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("html")))
@@ -113,14 +114,14 @@ INDEX = "archive string, pos long, url_key string, captured_at string, page_id l
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of the archives under path, one locally sorted run per archive (columns INDEX).
+    """The captures of the archives under path, one locally sorted run per archive (columns INDEX); pos is a record's first byte in the unpacked archive.
 
     A response's payload must have the digest its header names.
     """
     import zlib
 
     def number(urn: str | None) -> int | None:
-        body = urn[len("<urn:page:") : -1] if urn else ""
+        body = urn[len("<urn:page:") : -1].split(":")[0] if urn else ""
         return int(body) if body else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,11 +191,12 @@ def merge_index(captures: DataFrame, merge_rows: int = MERGE_ROWS) -> DataFrame:
     """Captures in global order of URL key, timestamp and page: partition i holds what precedes partition i + 1.
 
     Each partition gets a key range of every run, in the run's order, and
-    merges them. The page is in the key, so one URL captured many times is cut
-    like anything else.
+    merges them. The page and the record's place are in the key, so one URL
+    captured many times is cut like anything else, and a range is of bounded
+    size.
     """
     rows = captures.count()
-    ranged = captures.repartitionByRange(max(1, -(-rows // merge_rows), min(rows // 1000, captures.sparkSession.sparkContext.defaultParallelism)), "url_key", "captured_at", "page_id")
+    ranged = captures.repartitionByRange(max(1, -(-rows // merge_rows), min(rows // 1000, captures.sparkSession.sparkContext.defaultParallelism)), "url_key", "captured_at", "page_id", "archive", "pos")
     names = [x.split()[0] for x in INDEX.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +226,9 @@ def archive_pages(pages: DataFrame, path: str, least: int = REVISIT_BYTES, id_co
 
     time_col holds seconds; without it, captures are a second apart by page. A
     null html is an empty payload, a null url has no Target-URI, a null page_id
-    an empty record id (such a page is always a response). Repeated page_ids
-    give a row each. Other columns are ignored.
+    an empty page in its record id (such a page is always a response). Repeated
+    page_ids give a row each; of equal payloads, all rows with the smallest
+    page_id are responses. Other columns are ignored.
     """
     seconds = F.col(time_col).cast("long") if time_col else F.lit(EPOCH) + F.coalesce(F.col(id_col), F.lit(0)).cast("long")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), seconds.alias("captured_at"))
