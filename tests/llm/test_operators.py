@@ -155,6 +155,13 @@ def test_sharding(docs, texts, monkeypatch):
     assert sorted(map(str, other)) != sorted(str((i, s, k)) for i, _, s, k in out)
 
 
+def test_sharding_deals_buckets_evenly(docs, monkeypatch):
+    """Two buckets to a task, without another exchange for the groups."""
+    out = sharding.scatter_and_shuffle(docs, 3, "doc_id", "text", 9)
+    got = {r.bucket: r.p for r in out.select("bucket", F.spark_partition_id().alias("p")).distinct().collect()}
+    assert got == {b: b // 2 for b in range(9)}
+
+
 def test_sharding_hot_rows(spark):
     df = spark.createDataFrame([(None, "same")] * 500, "doc_id long, text string").repartition(2)
     got = collections.Counter(r.shard for r in sharding.shard(df, 16).collect())
@@ -176,9 +183,12 @@ def test_write_shards(spark, docs, tmp_path):
 def test_warc(spark, tmp_path):
     tricky = "x\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 5
     html = [("a" * 99, 0), ("a" * 99, 1), ("b" * 100, 2), ("b" * 100, 3), ("é" * 50, 4), (None, 5), ("", 6), (tricky, 7), (tricky, 8), ("z" * 70_000, 9), ("b" * 100, None)]
-    pages = spark.createDataFrame([(i, None if i == 4 else f"http://www.Host{(i or 0) % 2}.org/p?b=1&a=2#f\r\nx", h, "c") for h, i in html], "page_id long, url string, html string, refers_to string").repartition(3)
+    twice = [("q" * 120, 20), ("r" * 130, 20), ("q" * 120, 21), ("s" * 5, 22), ("s" * 5, 22)]  # one id, several rows
+    pages = spark.createDataFrame([(i, None if i == 4 else f"http://www.Host{(i or 0) % 2}.org/p?b=1&a=2#f\r\nx", h, "c") for h, i in html + twice], "page_id long, url string, html string, refers_to string").repartition(3)
     out = warc.archive_pages(pages, str(tmp_path / "w"))
     got = {r.page_id: r for r in out.collect()}
+    again = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in out.where("page_id >= 20").collect())
+    assert again == {(20, 120, "response", None): 1, (20, 130, "response", None): 1, (21, 120, "revisit", 20): 1, (22, 5, "response", None): 2}
     first = {}
     for h, i in sorted((h or "", i) for h, i in html if i is not None):
         first.setdefault(h, i)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch, about: one row more than fits, so a longer text is a batch of its own.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 2 << 20
 #: Bytes of text that one numpy step looks at; a longer text is cut between words.
 STEP_BYTES = 1 << 18
 #: A side of a join is broadcast only if it was counted and is below this many bytes.

@@ -2,10 +2,14 @@
 
 A fingerprint's 64 bits are 32 segments of two; the counts of set bits in the
 segments are a point whose Manhattan distance to another's is never more than
-the bits that differ. Points at distance 3 or less agree on three of six groups
-of coordinates at least, so every choice of three groups makes a grid whose
-cells hold all partners; within a cell the Manhattan distance is tested first
-and the differing bits are counted last.
+the bits that differ. The grid's cells have width one in 16 of the 32
+coordinates: of six groups of coordinates, a distance of 3 leaves three groups
+without any difference, so over all choices of three groups the range of
+neighbouring cells to be looked at shrinks to the cell itself, and the range
+join becomes twenty joins on equal cells that lose nothing. (Wider segments in
+fewer groups need the neighbours as well, and their cells, of four to eight
+coordinates, tell too few fingerprints apart on large corpora.) Within a cell
+the Manhattan distance is tested first and the differing bits are counted last.
 """
 
 from __future__ import annotations
