@@ -80,7 +80,13 @@ def test_repeat_until_still(spark):
 def test_affine():
     a = Affine.parse("2*p + r - 1")
     assert dict(a.terms) == {"p": 2, "r": 1} and a.constant == -1
-    assert parse("Z[m,n] += A[m,k] * B[k,n] * 17")[3] == 17
+    assert [(t.scale, [f.name for f in t.factors]) for t in parse("Z[m,n] += A[m,k] * B[k,n] * 17 - 2*C[m] + 4")[2]] == [(17, ["A", "B"]), (-2, ["C"]), (4, [])]
+
+
+@pytest.mark.parametrize("statement", ["Z[i] += A[i", "Z[i] += A[i*j]", "Z[i] += A[i] ^ B[i]", "Z[i] + A[i]", "Z[i] += A[i]]", "Z[i] += ", "Z[i] += A[i] B[i]", "Z[i] += A[i/0]", "Z[i] += (A[i])", "Z[i] max= A[i] + A[i]", "Z[A[i]] += A[i]", "Z[i] += A[i%3]", "Z[i] += A[i:2]", "Z[i] += A[i/j]"])
+def test_einsum_raises(spark, statement):
+    with pytest.raises(ValueError):
+        einsum(statement, {"A": tensor(spark, [1, 2, 3], ("i",)), "B": tensor(spark, [1, 2, 3], ("i",))})
 
 
 @pytest.mark.parametrize("statement,given,expected", [
@@ -90,12 +96,22 @@ def test_affine():
     ("Z[m] max= A[m,k]", {}, lambda a, b: a.max(1)),
     ("Z[k] += A[2*k,k]", {"k": 3}, lambda a, b: np.array([a[2 * k, k] for k in range(3)])),
     ("Z[i] += A[i,5-i]", {"i": 6}, lambda a, b: np.array([a[i, 5 - i] for i in range(6)])),
+    ("Z[i,j] += A[i,j] + B[i,j] - 3", {"i": 6, "j": 5}, lambda a, b: a[:6, :5] + b - 3),
+    ("Z[i] += A[i,k] - 2 * B[j,0] * A[i,0]", {"i": 4}, lambda a, b: np.array([6 * a[i].sum() - 2 * 6 * b[:, 0].sum() * a[i, 0] for i in range(4)])),
+    ("Z[i] += -A[i,1]", {}, lambda a, b: -a[:, 1]),
+    ("Z[i] += A[i/3,i%4]", {"i": 20}, lambda a, b: np.array([a[i // 3, i % 4] for i in range(20)])),
+    ("Z[i] += A[0,i%6]", {"i": 9}, lambda a, b: np.array([a[0, i % 6] for i in range(9)])),
+    ("Z[i/2] += A[i,j]", {}, lambda a, b: np.array([a[i : i + 2].sum() for i in range(0, 7, 2)])),
+    ("Z[i] += A[2*i/3+1,0]", {"i": 8}, lambda a, b: np.array([a[2 * (i // 3) + 1, 0] if 2 * (i // 3) + 1 < 7 else 0 for i in range(8)])),
+    ("Z[j] += A[I[j],j]", {}, lambda a, b: np.array([a[[3, 0, 6, 2, 2][j], j] for j in range(5)])),
+    ("Z[k] += B[I[I[k]-1],0] * A[k,I[k]-1]", {"k": 1}, lambda a, b: np.array([0])),
+    ("Z[j] += A[j/2,I[j]-2]", {}, lambda a, b: np.array([a[j // 2, x - 2] if 0 <= x - 2 < 6 else 0 for j, x in enumerate([3, 0, 6, 2, 2])])),
 ])
 def test_einsum(spark, statement, given, expected):
     rng = np.random.default_rng(0)
     a, b = rng.integers(1, 9, (7, 6)), rng.integers(-4, 9, (6, 5))
-    z = einsum(statement, {"A": tensor(spark, a, ("i", "j")), "B": tensor(spark, b, ("x", "y"))}, given)
-    assert (array(z) == expected(a, b)).all()
+    z = einsum(statement, {"A": tensor(spark, a, ("i", "j")), "B": tensor(spark, b, ("x", "y")), "I": tensor(spark, [3, 0, 6, 2, 2], ("p",))}, given)
+    assert (array(z.dense()) == expected(a, b)).all()
 
 
 @pytest.mark.parametrize("tile", [(4, 4, 4), (3, 2, 5), (100, 100, 100)])

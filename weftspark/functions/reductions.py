@@ -25,8 +25,15 @@ def less(x: Column) -> Column:
 
 
 def product(x: Column) -> Column:
-    """*=: exact in BIGINT, from sign, zeros and the list of factors; a group's factors beyond 62 bits raise."""
-    return F.aggregate(F.collect_list(x.cast("bigint")), F.lit(1).cast("bigint"), lambda a, b: a * b)
+    """*=: exact in BIGINT; a group whose product is beyond 62 bits raises.
+
+    Signs and zeros are counted; only factors of 2 or more are gathered, of
+    which a group without overflow has 62 at most.
+    """
+    x = x.cast("bigint")
+    sign = F.when(F.sum((x < 0).cast("bigint")) % 2 == 1, F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
+    size = F.aggregate(F.collect_list(F.when(F.abs(x) > 1, F.abs(x))), F.lit(1).cast("bigint"), lambda a, b: a * b)
+    return F.when(F.count(x) == 0, F.lit(1).cast("bigint")).when(F.max((x == 0).cast("int")) == 1, F.lit(0).cast("bigint")).otherwise(sign * size)
 
 
 def every(x: Column) -> Column:

@@ -16,25 +16,42 @@ from weftspark.model import Graph
 UNREACHED = 1073741823
 
 
-def bfs(g: Graph, source: int = 0, order: str = "s", most: int = 1 << 20) -> DataFrame:
+#: A level is pulled if its frontier's vertices and edges together are more than one in so many edges.
+PULL = 20
+#: Levels after which those found so far are put into one table.
+LEVELS = 8
+
+
+def bfs(g: Graph, source: int = 0, order: str = "s", most: int = 1 << 20, pull: int = PULL) -> DataFrame:
     """(v, level, parent) of all vertices: unreached -1, the source its own parent.
 
     A parent is the in-neighbour of the level before that is smallest by
-    `order` (a column of the edges: s, or pos for the place in the row). Each
-    level is joined with the edges once; a small frontier is broadcast, a large
-    one shuffled, which is what a switch of direction decides.
+    `order` (a column of the edges: s, or pos for the place in the row). A
+    small frontier pushes: its edges are found first, then what they newly
+    reach. A large one is pulled from: the edges into vertices not yet reached
+    are found first, then those that start in the frontier.
     """
     spark = g.edges.sparkSession
     edges = g.edges.select("s", "d", F.col(order).alias("_o"))
+    deg = storage.save(g.out_degree().select("v", "deg"), "degrees")
+    limit = deg.agg(F.coalesce(F.sum("deg"), F.lit(0))).first()[0] / pull
     frontier = spark.createDataFrame([(source, 0, source)], "v int, level int, parent int")
-    seen = frontier
+    seen, kept, size = frontier, [], None
     for level in range(1, most):
-        front = storage.small(frontier.select(F.col("v").alias("s")), 16)
-        reached = edges.join(front, "s").join(seen.select(F.col("v").alias("d")), "d", "left_anti")
-        frontier = storage.save(reached.groupBy(F.col("d").alias("v")).agg(F.min_by("s", F.struct("_o", "s")).cast("int").alias("parent")).select("v", F.lit(level).alias("level"), "parent"), "frontier")
-        if not frontier.limit(1).count():
+        size = frontier.join(deg, "v", "left").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("deg"), F.lit(0)).alias("e")).first()
+        if not size.n:
             break
+        front = frontier.select(F.col("v").alias("s"))
+        front = F.broadcast(front) if size.n * 16 <= storage.BROADCAST_BYTES else front
+        old = seen.select(F.col("v").alias("d"))
+        reached = edges.join(old, "d", "left_anti").join(front, "s") if size.n + size.e > limit else edges.join(front, "s").join(old, "d", "left_anti")
+        frontier = storage.save(reached.groupBy(F.col("d").alias("v")).agg(F.min_by("s", F.struct("_o", "s")).cast("int").alias("parent")).select("v", F.lit(level).alias("level"), "parent"), "frontier")
         seen = seen.unionByName(frontier)
+        kept.append(frontier)
+        if level % LEVELS == 0:
+            seen = storage.save(seen, "seen")
+            storage.drop(*kept[:-1])
+            kept = [frontier, seen]
     return g.vertices.join(seen, "v", "left").select("v", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
@@ -57,7 +74,8 @@ def least_labels(g: Graph, most: int = 1 << 20) -> DataFrame:
     for _ in range(most):
         sent = g.edges.join(state.where("moved").select(F.col("v").alias("s"), "label"), "s").groupBy(F.col("d").alias("v")).agg(F.min("label").alias("new"))
         step = state.join(sent, "v", "left").select("v", F.least("label", "new").alias("label"), F.coalesce(F.col("new") < F.col("label"), F.lit(False)).alias("moved"))
-        state = storage.save(step, "labels")
+        old, state = state, storage.save(step, "labels")
+        storage.drop(old)
         if not state.where("moved").limit(1).count():
             break
     return state.select("v", "label")
@@ -82,7 +100,8 @@ def pagerank_delta(g: Graph, alpha: int = 85, threshold: int = 1, one: int = 1_0
         new = f"(coalesce(got, 0L) * {alpha} * {n}L - {alpha * one}L) div {100 * n}L" if k == 0 else f"{alpha} * coalesce(got, 0L) div 100"
         step = state.select("v", "rank").join(sent, "v", "left").select("v", "rank", F.expr(new).alias("delta")).withColumn("rank", F.col("rank") + F.col("delta"))
         bar = f"{threshold} * rank div 100"
-        state = storage.save(step.withColumn("active", F.expr(f"rank > 0 AND (delta > {bar} OR delta < -({bar}))")), "rank")
+        old, state = state, storage.save(step.withColumn("active", F.expr(f"rank > 0 AND (delta > {bar} OR delta < -({bar}))")), "rank")
+        storage.drop(old)
         if not state.where("active").limit(1).count():
             break
     return state
@@ -112,7 +131,8 @@ def _nibble(g, seeds, most, gain, update, test, kind):
         sent = edges.join(front.select("seed", F.col("v").alias("s"), "residual"), "s").groupBy("seed", F.col("d").alias("v")).agg(F.sum(F.expr(update)).alias("got"))
         ranked = state.select("seed", "v", F.when(F.col("front"), F.col("rank") + gain).otherwise(F.col("rank")).alias("rank"), F.when(F.col("front"), F.lit(0).cast(kind)).otherwise(F.col("residual")).alias("residual"))
         both = ranked.join(sent, ["seed", "v"], "full_outer").select("seed", "v", F.coalesce("rank", F.lit(0).cast(kind)).alias("rank"), (F.coalesce("residual", F.lit(0).cast(kind)) + F.coalesce("got", F.lit(0).cast(kind))).alias("residual"))
-        state = storage.save(both.join(deg, "v", "left").withColumn("deg", F.coalesce("deg", F.lit(0))).select("seed", "v", "rank", "residual", F.expr(test).alias("front")), "nibble")
+        old, state = state, storage.save(both.join(deg, "v", "left").withColumn("deg", F.coalesce("deg", F.lit(0))).select("seed", "v", "rank", "residual", F.expr(test).alias("front")), "nibble")
+        storage.drop(old)
         if not state.where("front").limit(1).count():
             break
     return state.select("seed", "v", "rank", "residual")
@@ -123,15 +143,22 @@ def shortest_paths(g: Graph, source: int = 0, most: int | None = None) -> DataFr
     state = storage.save(g.vertices.select("v", F.when(F.col("v") == source, 0).otherwise(UNREACHED).cast("bigint").alias("dist"), (F.col("v") == source).alias("moved")), "dist")
     for _ in range(g.n if most is None else most):
         sent = g.edges.join(state.where("moved").select(F.col("v").alias("s"), "dist"), "s").groupBy(F.col("d").alias("v")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        state = storage.save(state.join(sent, "v", "left").select("v", F.least("dist", "new").alias("dist"), F.coalesce(F.col("new") < F.col("dist"), F.lit(False)).alias("moved")), "dist")
+        old, state = state, storage.save(state.join(sent, "v", "left").select("v", F.least("dist", "new").alias("dist"), F.coalesce(F.col("new") < F.col("dist"), F.lit(False)).alias("moved")), "dist")
+        storage.drop(old)
         if not state.where("moved").limit(1).count():
             break
     return state.select("v", "dist")
 
 
-def spmv_rounds(g: Graph, rounds: int = 10) -> DataFrame:
-    """(v, y): rounds of y[d] += x[s] with x of ones, for all vertices. x doesn't change, so one aggregation is all rounds."""
-    return g.vertices.join(g.in_degree(), "v", "left").select("v", (F.coalesce("deg", F.lit(0)) * rounds).cast("bigint").alias("y"))
+def spmv_rounds(g: Graph, rounds: int = 10, x: DataFrame | None = None) -> DataFrame:
+    """(v, y): rounds of y[d] += w * x[s] for all vertices; x (v, x): a value per vertex, without it ones and no weights.
+
+    x doesn't change, so one product, times the rounds, is all of them.
+    """
+    if x is None:
+        return g.vertices.join(g.in_degree(), "v", "left").select("v", (F.coalesce("deg", F.lit(0)) * rounds).cast("bigint").alias("y"))
+    sent = g.edges.join(x.select(F.col("v").alias("s"), "x"), "s").groupBy(F.col("d").alias("v")).agg(F.sum(F.col("w") * F.col("x")).alias("_y"))
+    return g.vertices.join(sent, "v", "left").select("v", (F.coalesce("_y", F.lit(0)) * rounds).cast("bigint").alias("y"))
 
 
 def frontier_spmv(g: Graph, frontier: DataFrame) -> DataFrame:

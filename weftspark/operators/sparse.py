@@ -89,13 +89,21 @@ def row_offsets(g: Graph, by_source: bool = True) -> DataFrame:
     return exclusive_sum(every, "v", "deg", "off").select("v", "off")
 
 
-def exclusive_sum(df: DataFrame, order: str, value: str, name: str, stride: int = 65536) -> DataFrame:
-    """df with the sum of the values before each row; order is a whole number from 0. No task sums more than `stride` rows."""
-    block = F.floor(F.col(order) / stride)
-    totals = df.groupBy(block.alias("_b")).agg(F.sum(value).alias("_t"))
-    base = totals.select("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    own = F.coalesce(F.sum(value).over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_b", block).join(base, "_b").withColumn(name, (own + F.col("_base")).cast("bigint")).drop("_b", "_base")
+def exclusive_sum(df: DataFrame, order: str, value: str, name: str, stride: int = 65536, levels: int = 3) -> DataFrame:
+    """df with the sum of the values before each row; order is a whole number from 0.
+
+    Blocks of `stride` rows are summed, then blocks of blocks, `levels` times;
+    what is left for one task is the number of rows by stride ** levels.
+    """
+    before = Window.partitionBy("_b" if levels else F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(value).over(before), F.lit(0))
+    if not levels:
+        return df.withColumn(name, own.cast("bigint"))
+    blocks = df.withColumn("_b", F.floor(F.col(order) / stride))
+    totals = blocks.groupBy("_b").agg(F.sum(value).alias("_t")).withColumnRenamed("_b", "_o")
+    above = f"_base{levels}"
+    base = exclusive_sum(totals, "_o", "_t", above, stride, levels - 1).select(F.col("_o").alias("_b"), above)
+    return blocks.join(base, "_b").withColumn(name, (own + F.col(above)).cast("bigint")).drop("_b", above)
 
 
 def adjacent_difference(offsets: DataFrame) -> DataFrame:

@@ -237,6 +237,30 @@ def matmul_sparse_dense(spark, d):
     return einsum("Z[m,j] += A[m,n] * B[n,j]", {"A": t, "B": Tensor(b, ("n", "j"), (t.shape[1], 8))}).df
 
 
+@query(Q.with_(Q.EV, "b AS (SELECT c_custkey AS i, c_nationkey AS v FROM customer)") + "SELECT b.i, (ev.v - 2 * b.v + 3)::BIGINT AS v FROM b JOIN ev ON ev.i = b.i")
+def index_terms(spark, d):
+    """Sums of terms, constants among them."""
+    b = D.table(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("i"), F.col("c_nationkey").cast("bigint").alias("v"))
+    n = int(b.agg(F.max("i") + 1).first()[0])
+    return einsum("Z[i] += A[i] - 2 * B[i] + 3", {"A": D.event_vector(spark, d), "B": Tensor(b, ("i",), (n,))}, {"i": n}).df
+
+
+@query(Q.with_(Q.EV) + "SELECT i // 8 AS i0, i % 4 AS i1, sum(ev.v * x.v)::BIGINT AS v FROM ev JOIN (SELECT i AS t, v FROM ev) x ON x.t = ev.i // 8 GROUP BY ALL")
+def index_tiles(spark, d):
+    """Quotients and remainders of an index, read and written."""
+    a = D.event_vector(spark, d)
+    return einsum("Z[i/8,i%4] += A[i] * B[i/8]", {"A": a, "B": a}, {"i": a.shape[0]}).df
+
+
+@query("WITH o AS (SELECT o_orderkey AS i, o_custkey AS c FROM orders), b AS (SELECT c_custkey AS c, c_nationkey AS v FROM customer) SELECT i, v::BIGINT AS v FROM o JOIN b USING (c)")
+def index_gather(spark, d):
+    """An element of one tensor as the index of another."""
+    o = D.table(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("i"), F.col("o_custkey").cast("bigint").alias("v"))
+    b = D.table(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("c"), F.col("c_nationkey").cast("bigint").alias("v"))
+    size = lambda df, c: (int(df.agg(F.max(c) + 1).first()[0]),)
+    return einsum("Z[i] += B[I[i]]", {"I": Tensor(o, ("i",), size(o, "i")), "B": Tensor(b, ("c",), size(b, "c"))}).df
+
+
 @query(Q.with_(Q.SUP) + "SELECT m, sum(v)::BIGINT AS v FROM sup GROUP BY m")
 def spmv_ones(spark, d):
     return linalg.spmv(D.supply_matrix(spark, d)).df
@@ -471,6 +495,12 @@ def spmv_rounds(spark, d):
     return graph.spmv_rounds(D.order_graph(spark, d))
 
 
+@query(Q.with_(Q.GRAPH) + "SELECT v, coalesce((SELECT 10 * sum(w * (s % 7)) FROM e WHERE d = v), 0)::BIGINT AS y FROM vs")
+def spmv_rounds_weighted(spark, d):
+    g = D.order_graph(spark, d)
+    return graph.spmv_rounds(g, x=g.vertices.select("v", (F.col("v") % 7).alias("x")))
+
+
 @query(Q.with_(Q.GRAPH) + "SELECT d AS v, sum(w)::BIGINT AS y FROM e WHERE s IN (SELECT s FROM e GROUP BY s HAVING count(*) > 10) GROUP BY d")
 def spmv_frontier(spark, d):
     g = D.order_graph(spark, d)
@@ -516,20 +546,21 @@ def statistics_rollup(spark, d):
     return trace.statistics_tree(c, ["buffer", "requestor"])
 
 
-@query()
+@query(Q.with_(Q.TRACE, Q.OPS, recursive=True) + "SELECT o.engine, o.op, coalesce(sum(CASE WHEN t.p < o.stop THEN 1 << t.x END), 0)::BIGINT AS inputs, coalesce(sum(CASE WHEN t.p = o.stop AND t.kind = 'U' THEN 1 << t.x END), 0)::BIGINT AS outputs FROM op o JOIN t ON t.engine = o.engine AND t.p BETWEEN o.a AND o.stop GROUP BY o.engine, o.op")
 def compute_ops(spark, d):
     t = D.event_trace(spark, d).select(F.col("buffer").alias("engine"), "seq", (F.col("addr") % 8).cast("int").alias("tensor_id"), "kind")
     return trace.compute_ops(t)
 
 
-@query(Q.with_(Q.TRACE) + "SELECT 'unit.0.0' AS unit, count(*) AS n FROM tr")
+@query(Q.with_(Q.TRACE, "l AS (SELECT buffer, seq % 7 AS level FROM tr)") + "SELECT level::INT AS level, buffer::INT AS buffer, CASE WHEN level = 2 AND buffer = 1 THEN 'near' WHEN level = 4 AND buffer = 3 THEN 'far' ELSE 'unit.' || level || '.' || buffer % [1, 1, 2, 8, 8][least(level + 1, 5)] END AS unit, count(*) AS n FROM l GROUP BY ALL")
 def trace_binding(spark, d):
-    """Four buffers of the outermost level, which has one unit by default."""
-    none = spark.createDataFrame([], "tensor string, level int, buffer int, unit string")
-    return trace.bind(D.event_trace(spark, d), none).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    """Buffers of seven levels, two of them bound by name, the others by their level's units."""
+    named = spark.createDataFrame([("events", 2, 1, "near"), ("events", 4, 3, "far"), ("other", 0, 0, "none")], "tensor string, level int, buffer int, unit string")
+    t = D.event_trace(spark, d).withColumn("level", (F.col("seq") % 7).cast("int"))
+    return trace.bind(t, named).groupBy("level", "buffer", "unit").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('A', 0, 'R', 32::BIGINT, 4096::BIGINT, 512.0::DOUBLE, 4096.0::DOUBLE), ('B', 1, 'R', 32, 4096, 512.0, 4096.0), ('Z', 2, 'U', 64, 4096, 512.0, 2048.0), ('I', 3, 'R', 11, 4096, 11.0, 4096.0)) t(tensor, place, kind, volume, executions, backing, local)")
+@query(Q.FOOTPRINT)
 def static_footprint(spark, d):
     """A 16 x 16 matrix product by tiles of 8 x 8 x 4, its output half of the time, and a window over rows and columns of a tile."""
     nest = [footprint.Loop(v, 0, n) for v, n in (("m1", 2), ("n1", 2), ("k1", 4), ("m0", 8), ("n0", 8), ("k0", 4))]

@@ -45,3 +45,19 @@ pv AS (SELECT *, lag(seq) OVER (PARTITION BY buffer, line ORDER BY seq) AS prev
 hit AS (SELECT p.buffer, p.seq, p.line, p.kind, p.prev IS NOT NULL AND (SELECT count(DISTINCT q.line) FROM ln q WHERE q.buffer = p.buffer AND q.seq > p.prev AND q.seq < p.seq) < {lines} AS hit FROM pv p),
 iv AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY buffer, line ORDER BY seq) AS stay FROM hit),
 dirty AS (SELECT buffer, line, stay, bool_or(kind = 'U') AS dirty FROM iv GROUP BY ALL)"""
+
+#: Accesses numbered per engine; where each would end an operation that starts here at the latest; and the operations one after another.
+OPS = """t AS (SELECT buffer AS engine, row_number() OVER (PARTITION BY buffer ORDER BY seq) AS p, addr % 8 AS x, kind FROM tr),
+nx AS (SELECT engine, p, kind, CASE WHEN kind = 'U' THEN p ELSE lead(p) OVER (PARTITION BY engine, x, kind ORDER BY p) END AS q FROM t),
+st AS MATERIALIZED (SELECT engine, p, kind, min(q) OVER (PARTITION BY engine ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM nx),
+op(engine, op, a, stop) AS (SELECT engine, 0::BIGINT, p, stop FROM st WHERE p = 1 AND stop IS NOT NULL
+  UNION ALL SELECT o.engine, o.op + 1, n.p, n.stop FROM op o JOIN st k ON k.engine = o.engine AND k.p = o.stop
+  JOIN st n ON n.engine = o.engine AND n.p = o.stop + (k.kind = 'U')::INT WHERE n.stop IS NOT NULL)"""
+#: Every turn of a 16 x 16 product's nest by tiles of 8 x 8 x 4, and each access counted turn by turn.
+FOOTPRINT = """WITH d AS (SELECT m1.range AS m1, n1.range AS n1, k1.range AS k1, 8 * m1.range + m0.range AS m, 8 * n1.range + n0.range AS n, 4 * k1.range + k0.range AS k, m0.range + k0.range AS w
+  FROM range(2) m1, range(2) n1, range(4) k1, range(8) m0, range(8) n0, range(4) k0),
+t AS (SELECT m1, n1, k1, count(DISTINCT (m, k)) AS a, count(DISTINCT (k, n)) AS b, count(DISTINCT (m, n)) AS z FROM d GROUP BY ALL)
+SELECT 'A' AS tensor, 0 AS place, 'R' AS kind, max(a) AS volume, (SELECT count(*) FROM d) AS executions, sum(a)::DOUBLE AS backing, (SELECT count(*) FROM d)::DOUBLE AS local FROM t
+UNION ALL SELECT 'B', 1, 'R', max(b), (SELECT count(*) FROM d), sum(b)::DOUBLE, (SELECT count(*) FROM d)::DOUBLE FROM t
+UNION ALL SELECT 'Z', 2, 'U', max(z), (SELECT count(*) FROM d), sum(z)::DOUBLE * 0.5, (SELECT count(*) FROM d)::DOUBLE * 0.5 FROM t
+UNION ALL SELECT 'I', 3, 'R', count(DISTINCT w), count(*), count(DISTINCT w)::DOUBLE, count(*)::DOUBLE FROM d"""

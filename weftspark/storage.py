@@ -13,11 +13,13 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and Spark runs in one process."""
     sc = spark.sparkContext
     own = sc._jsc.sc().getCheckpointDir()
     where = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="weft-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -27,7 +29,17 @@ def save(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df and reads it back."""
     path = f"{shared_folder(df.sparkSession)}/weft/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes saved tables that nothing reads any more; others are left alone."""
+    for df in tables:
+        if where := getattr(df, "_weft_path", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
