@@ -465,3 +465,75 @@ def test_checker(spark):
     assert check.warnings(a, a) == 0 and [tuple(r) for r in check.differences(a, b).collect()] == [(1, 0, 0, 3)]
     with pytest.raises(ValueError, match="shapes"):
         check.differences(a, tensor(spark, [1], ("m",)))
+
+
+@pytest.mark.parametrize("pull", [1e-9, 1e9])
+def test_bfs_pushed_or_pulled(spark, pull):
+    rng = np.random.default_rng(7)
+    edges = {(int(a), int(b)) for a, b in rng.integers(0, 40, (90, 2))} | {(k, k + 1) for k in range(60, 75)} | {(39, 60), (0, 39)}
+    g = Graph(spark.createDataFrame(sorted(edges), "s int, d int"), 80)
+    got = {r.v: (r.level, r.parent) for r in graph.bfs(g, 0, pull=pull).collect()}
+    level, now, k = {0: 0}, [0], 0
+    while now:
+        k += 1
+        now = sorted({d for s, d in edges if s in now and d not in level})
+        level.update(dict.fromkeys(now, k))
+    parent = {v: min(s for s, d in edges if d == v and level.get(s) == level[v] - 1) if v else 0 for v in level}
+    assert got == {v: (level.get(v, -1), parent.get(v, -1)) for v in range(80)} and max(level.values()) > 2 * graph.LEVELS - 2
+
+
+def _accesses(seed, n, lines=12):
+    rng = np.random.default_rng(seed)
+    return [("t", 0, 0, int(b), k, int(a), int(r), "U" if u < 0.3 else "R") for k, (b, a, r, u) in enumerate(zip(rng.integers(0, 2, n), rng.integers(0, lines * 4, n), rng.integers(0, 3, n), rng.random(n), strict=True))]
+
+
+ACCESS = "tensor string, port int, level int, buffer int, seq bigint, addr bigint, requestor int, kind string"
+
+
+@pytest.mark.parametrize("seed,window", [(1, 32), (2, 3), (3, 1)])
+def test_coalescing_of_random_traces(spark, seed, window):
+    """Each access by a search through all kept accesses before it."""
+    rows = _accesses(seed, 400)
+    got = {r.seq: r.coalesced for r in trace.coalesce(spark.createDataFrame(rows, ACCESS).repartition(3), 4, window).collect()}
+    kept = {0: [], 1: []}  # line, when each requestor was first served and first updated
+    for _, _, _, b, seq, addr, who, kind in rows:
+        own = kept[b][-window:]
+        same = [k for k, x in enumerate(own) if x["line"] == addr // 4]
+        rides = False
+        if same:
+            x, later = own[same[-1]], own[same[-1] + 1 :]
+            rides = who not in x["updated"] if kind == "U" else who not in x["served"] and all(who not in y["served"] for y in later)
+            if kind == "U":
+                x["served"].add(who)
+                x["updated"].add(who)
+            elif rides:
+                x["served"].add(who)
+        if not rides:
+            kept[b].append({"line": addr // 4, "served": {who}, "updated": {who} if kind == "U" else set()})
+        assert got[seq] == rides
+
+
+def test_chained_levels(spark):
+    """Evictions of a level are the next one's accesses, by lists kept in order of use."""
+    rows = _accesses(5, 300)
+    events = trace.through_levels(spark.createDataFrame(rows, ACCESS).repartition(2), [(16, 4), (32, 8)])
+    got = [{r.buffer: tuple(r)[4:] for r in trace.lru_statistics(e).collect()} for e in events]
+    for b in (0, 1):
+        now = [(r[5], r[7]) for r in rows if r[3] == b]
+        for k, (size, g) in enumerate([(16, 4), (32, 8)]):
+            held, out, n = [], [], dict.fromkeys(("fill", "allocate", "hit", "evict", "dirty"), 0)
+            for addr, kind in now:
+                at = addr - addr % g
+                old = next((x for x in held if x[0] == at), None)
+                if old is None:
+                    if len(held) == size // g:
+                        out.append(held.pop(0))
+                    n["fill" if kind == "R" else "allocate"] += 1
+                else:
+                    held.remove(old)
+                    n["hit"] += 1
+                held.append((at, kind == "U" or old is not None and old[1]))
+            out += sorted(held)
+            n["evict"], n["dirty"] = len(out), sum(x[1] for x in out)
+            assert got[k][b] == (n["fill"], n["allocate"], n["hit"], n["evict"], n["evict"], n["dirty"])
+            now = [(x[0], kind) for x in out for kind in ("RU" if x[1] else "R")]

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftspark import storage
 from weftspark.operators.loops import buffer_index
 
 BUFFER = ["tensor", "port", "level", "buffer"]
@@ -137,6 +138,23 @@ def backing_trace(events: DataFrame, keep_dirty: bool = True) -> DataFrame:
     return out.select(*BUFFER, "seq", "addr", F.explode("_k").alias("kind")).where((F.col("kind") == "R") | F.lit(keep_dirty))
 
 
+def through_levels(trace: DataFrame, levels: list[tuple[int, int]]) -> list[DataFrame]:
+    """The events of a chain of LRU buffers (size, granularity), the outermost level last.
+
+    What a level evicts, those held at the end after all others, are the
+    accesses of the next one; each level's events are written, since both its
+    statistics and the next level read them.
+    """
+    out = []
+    for k, (size, granularity) in enumerate(levels):
+        events = storage.save(lru(trace, size, granularity), "level")
+        out.append(events)
+        # evictions in program order; those of the end have no place of their own, and go by line
+        order = Window.partitionBy(*BUFFER).orderBy(F.col("seq").asc_nulls_last(), "addr", "kind")
+        trace = backing_trace(events).withColumn("seq", F.row_number().over(order).cast("bigint")).withColumn("level", F.lit(k + 1)).withColumn("requestor", F.lit(0))
+    return out
+
+
 def row_buffer(trace: DataFrame, keys: list[str], width: int = 16) -> DataFrame:
     """(keys, row_hits, row_misses): an access hits if it is in the row of the one before."""
     row = F.floor(F.col("addr") / width)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftspark import check, storage
 from weftspark.functions import reductions as R
 from weftspark.functions import scalar as S
 from weftspark.model import Graph, Tensor
 from weftspark.operators import conv, dataflow, footprint, graph, linalg, loops, scan, sparse, trace
 from weftspark.operators.einsum import einsum
 from weftspark.plans import sql as Q
+from weftspark.sources import archive
 from weftspark.sources import driver as D
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -568,6 +571,33 @@ def static_footprint(spark, d):
     return footprint.analyse(spark, nest, [use("A", ("8*m1+m0", "4*k1+k0"), 6, level=3), use("B", ("4*k1+k0", "8*n1+n0"), 6, level=3), use("Z", ("8*m1+m0", "8*n1+n0"), 6, True, 0.5, 3), use("I", ("m0+k0",), 6)])
 
 
+def _path(spark, name: str) -> str:
+    return f"{storage.shared_folder(spark)}/weft/{name}-{uuid.uuid4().hex}"
+
+
+@query(Q.with_(Q.EV) + "SELECT i::INT AS i, v FROM ev")
+def archive_dense(spark, d):
+    """A vector through a dense archive, written and read back."""
+    path = _path(spark, "dense")
+    archive.write_dense(D.event_vector(spark, d), path)
+    return archive.read_dense(spark, path, ("i",)).df
+
+
+@query(Q.with_(Q.SUP) + "SELECT m::INT AS m, n::INT AS n, v FROM sup")
+def archive_compressed(spark, d):
+    """A sparse matrix through a compressed archive, written and read back."""
+    path = _path(spark, "compressed")
+    archive.write_compressed(D.supply_matrix(spark, d), path)
+    return archive.read_compressed(spark, path, ("m", "n")).df
+
+
+@query(Q.with_(Q.EV) + "SELECT i, (v - v % 3)::BIGINT AS got, v AS wanted FROM ev WHERE v % 3 > 1")
+def tensor_differences(spark, d):
+    """Entries that differ by more than the tolerance."""
+    t = D.event_vector(spark, d)
+    return check.differences(t.transform(F.col("v") - F.col("v") % 3), t, 1)
+
+
 @query("SELECT user_id % 5 AS stream, event_id AS seq, floor(value)::BIGINT AS value, coalesce(sum((event_type = (SELECT min(event_type) FROM events))::INT) OVER (PARTITION BY user_id % 5 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g0 FROM events QUALIFY event_type <> (SELECT min(event_type) FROM events)")
 def punctuated_groups(spark, d):
     e = D.table(spark, d, "events")

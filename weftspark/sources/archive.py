@@ -117,16 +117,19 @@ def expand(segments: list[list[int]], coords: list[list[int]], values: list[int]
 def compressed_line(entries: list[tuple[int, ...]], shape: tuple[int, ...]) -> str:
     """The archive's line for sorted entries (coordinates, value)."""
     rank = len(shape)
-    segments, coords = [], []
-    parents: list[tuple[int, ...]] = [()]
-    for level in range(rank):
-        points = sorted({e[: level + 1] for e in entries})
-        ends = [0]
-        for p in parents:
-            ends.append(ends[-1] + sum(q[:level] == p for q in points))
-        segments.append(ends)
-        coords.append([p[-1] for p in points])
-        parents = points
+    segments, coords = [[0] for _ in range(rank)], [[] for _ in range(rank)]
+    before = None
+    for e in entries:
+        # from the first coordinate that changed on, each level has a new point, and below it a new fiber
+        first = 0 if before is None else next((k for k in range(rank) if e[k] != before[k]), rank)
+        for k in range(first, rank):
+            if k > first or before is None:
+                segments[k].append(segments[k][-1])
+            coords[k].append(e[k])
+            segments[k][-1] += 1
+        before = e
+    if before is None and rank:
+        segments[0].append(0)
     vec = lambda x: f"{len(x)} 0" + "".join(f" {v}" for v in x)
     last = list(entries[-1][:rank][::-1]) if entries else [0] * rank
     parts = [*HEAD, "0 0", str(rank), str(len(entries)), vec(shape[::-1]), "0 0 0 0", vec(last)]
