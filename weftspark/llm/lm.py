@@ -176,7 +176,7 @@ def learn(train: DataFrame, code: mixing.Code, bits: tuple[int, ...]) -> tuple[l
     sums = rows.repartition("k", "j", "salt").mapInArrow(_added, PARTS).repartition("k", "j").mapInArrow(finished, PARTS)
     tables = [np.zeros(1 << b, np.int8) for b in bits]
     weights = np.full((mixing.GATES, len(mixing.ORDERS)), 0.3)
-    for r in sums.collect():  # the tables: a byte for each slot of mixing.sizes(), 10 MB for a GB of text, 55 MB for 30 GB
+    for r in sums.collect():  # the tables: a byte for each slot of mixing.sizes(), 10 MB for a GB of text, 78 MB for 30 GB
         if r.k < 0:
             x = _unpack(r.blob, np.float64)
             weights = (x[:-1] / x[-1]).reshape(weights.shape)
