@@ -146,6 +146,25 @@ def test_conv_channels(spark):
     assert (array(conv.conv_channels(tensor(spark, x, ("c", "h", "w")), tensor(spark, w, ("k", "c", "s", "r")))) == out).all()
 
 
+@pytest.mark.parametrize("tile", [(3, 4), (4, 6), (10, 1)])
+def test_conv_tiled(spark, tile):
+    rng = np.random.default_rng(4)
+    x, w = rng.integers(-5, 6, (2, 6, 7)), rng.integers(-5, 6, (3, 2, 3, 2))
+    a, b = tensor(spark, x, ("c", "h", "w")), tensor(spark, w, ("k", "c", "s", "r"))
+    assert (array(conv.tiled(a, b, tile)) == array(conv.conv_channels(a, b))).all()
+    a, b = tensor(spark, x[0], ("h", "w")), tensor(spark, w[0, 0], ("r", "s"))
+    assert (array(conv.tiled(a, b, tile)) == array(conv.conv2d(a, b))).all()
+
+
+def test_conv_tiled_of_few_inputs(spark):
+    a = tensor(spark, [0, 0, 5, 0, 0, 0, 0, 0, 0, -1], ("i",))
+    b = tensor(spark, [2, 1, 3], ("s",))
+    rows = lambda t: sorted((r.q, r.v) for r in t.df.collect())
+    assert rows(conv.tiled(a, b, (4,))) == rows(conv.conv1d(a, b))
+    with pytest.raises(ValueError):
+        conv.tiled(a, b, (2, 2))
+
+
 @pytest.mark.parametrize("form", ["fused", "staged", "decoupled"])
 @pytest.mark.parametrize("tile", [None, (2, 2, 2)])
 def test_multiply_then_scale(spark, form, tile):
@@ -297,6 +316,22 @@ def test_shortest_paths(g):
     assert {r.v: r.dist for r in graph.shortest_paths(g).collect()} == dist
 
 
+def test_components_of_a_long_path(spark):
+    n = 300
+    order = random.Random(7).sample(range(n), n)
+    rows = [(a, b) for a, b in zip(order, order[1:], strict=False) if a != 5]
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in rows:
+            label[a] = label[b] = min(label[a], label[b])
+        if all(label[a] == label[b] for a, b in rows):
+            break
+    got = {r.v: r.label for r in graph.components(Graph(spark.createDataFrame([*rows, (3, 3)], "s int, d int"), n)).collect()}
+    assert got == dict(enumerate(label))
+    none = graph.components(Graph(spark.createDataFrame([], "s int, d int"), 3))
+    assert {(r.v, r.label) for r in none.collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_labels_and_sizes(g):
     label = list(range(45))
     for _ in range(45):
@@ -305,6 +340,7 @@ def test_labels_and_sizes(g):
             label[a] = label[b] = m
     got = {r.v: r.label for r in graph.least_labels(g.symmetric()).collect()}
     assert got == dict(enumerate(label))
+    assert {r.v: r.label for r in graph.components(g).collect()} == got
 
 
 def test_triangles(g):
@@ -394,6 +430,8 @@ def test_row_buffer_and_rollup(spark):
     _, df = _trace(spark)
     r = trace.row_buffer(df, ["buffer"], 4).agg(F.sum(F.col("row_hits") + F.col("row_misses"))).first()[0]
     assert r == 400
+    rows = [sorted(map(tuple, trace.row_buffer(df, ["buffer"], 4, stride).collect())) for stride in (1, 7, 1000)]
+    assert rows[0] == rows[1] == rows[2]
     c = df.groupBy(F.col("kind").alias("stat"), "buffer").agg(F.count("*").alias("n"))
     assert sum(x.n for x in trace.statistics_tree(c, ["buffer"]).where("buffer IS NULL").collect()) == 400
 
@@ -445,6 +483,17 @@ def test_generators(spark):
     assert (np.diff(m) >= 0).all()
 
 
+def test_long_tail_is_a_run_of_rolls(spark):
+    chances = [0.2]
+    while len(chances) < 200:
+        chances.append(chances[-1] + (1 - chances[-1]) * 0.3 if chances[-1] < 0.9 else chances[-1])
+    at_least = np.cumprod(chances)
+    draws = [0.999, 0.2, 0.1999, 0.088, 0.0879, 0.03, 0.02, 1e-3, 1e-4]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(draws)], "i int, x double")
+    got = [r.n for r in df.select("i", generators.long_tail(F.col("x")).alias("n")).orderBy("i").collect()]
+    assert got == [int((at_least > x).sum()) for x in draws]
+
+
 @pytest.mark.parametrize("name", sorted(generators.DISTRIBUTIONS))
 def test_sparse_generator(spark, name):
     made = generators.sparse_graph(spark, 200, 6, name, seed=3)

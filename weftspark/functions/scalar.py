@@ -45,6 +45,11 @@ def divide(a: Operand, b: Operand) -> Column:
     return F.call_function("div", _big(a), _big(b))
 
 
+def divide_double(a: Operand, b: Operand) -> Column:
+    """Floating-point division; by 0 it raises, as divide() does."""
+    return _c(a).cast("double") / _c(b).cast("double")
+
+
 def modulo(a: Operand, b: Operand) -> Column:
     return _big(a) % _big(b)
 

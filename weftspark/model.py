@@ -52,6 +52,24 @@ class Tensor:
     def transform(self, value: Column) -> Tensor:
         return Tensor(self.df.select(*self.index, value.alias(self.value)), self.index, self.shape, self.value)
 
+    def resize(self, *shape: int) -> Tensor:
+        """Other sizes: entries beyond them go, what is new is 0."""
+        keep = F.lit(True)
+        for c, d in zip(self.index, shape, strict=True):
+            keep = keep & (F.col(c) < d)
+        return Tensor(self.df.where(keep), self.index, shape, self.value)
+
+    def with_values(self, points: DataFrame) -> Tensor:
+        """New values at the points (index columns, value column; each index once), stored before or not."""
+        new = points.select(*self.index, F.col(self.value).cast("bigint").alias("_new"))
+        both = self.df.join(new, list(self.index), "full_outer")
+        return Tensor(both.select(*self.index, F.coalesce("_new", self.value).alias(self.value)), self.index, self.shape, self.value)
+
+    def listing(self) -> DataFrame:
+        """(place, line): a line of text for each entry, place being its row-major number; sort by it to print."""
+        cells = F.concat_ws(", ", *[F.col(c).cast("string") for c in self.index])
+        return self.df.select(flatten([F.col(c) for c in self.index], self.shape).alias("place"), F.concat(F.lit("["), cells, F.lit("] = "), F.col(self.value).cast("string")).alias("line"))
+
     def storage(self) -> dict[str, int]:
         """Entries stored, and what a dense array would hold."""
         dense = 1

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from math import prod
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftspark.operators.einsum import Affine
 
@@ -48,6 +49,11 @@ def index_variables(uses: list[Use]) -> list[tuple[str, int, str]]:
     return sorted({(u.tensor, k, v) for u in uses for k, text in enumerate(u.index) for v, _ in Affine.parse(text).terms})
 
 
+def totals(accesses: DataFrame) -> DataFrame:
+    """(tensor, volume, backing, local) from analyse(): the largest volume, which is the buffer needed, and the sums of the accesses."""
+    return accesses.groupBy("tensor").agg(F.max("volume").alias("volume"), F.sum("backing").alias("backing"), F.sum("local").alias("local"))
+
+
 def analyse(spark: SparkSession, loops: list[Loop], uses: list[Use]) -> DataFrame:
     """(tensor, place, kind, volume, executions, backing, local): backing = probability * volume for each turn of the loops outside the buffer, local = probability * executions."""
     rows = []

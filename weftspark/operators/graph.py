@@ -81,6 +81,30 @@ def least_labels(g: Graph, most: int = 1 << 20) -> DataFrame:
     return state.select("v", "label")
 
 
+def components(g: Graph, most: int = 64) -> DataFrame:
+    """(v, label): the smallest vertex of each vertex's component, edges counting both ways.
+
+    Alternating large-star and small-star steps over (v, m) with m < v: each
+    vertex ties its larger, then its smaller neighbours to the smallest one.
+    The rounds grow with the logarithm of the graph, not with its diameter.
+    """
+    pairs = storage.save(g.edges.where("s <> d").select(F.greatest("s", "d").alias("v"), F.least("s", "d").alias("m")).distinct(), "stars")
+    for _ in range(most):
+        twice = pairs.groupBy("v").count().where("count > 1").limit(1).count()
+        if not twice and not pairs.join(pairs.select(F.col("m").alias("v")), "v", "left_semi").limit(1).count():
+            break
+        both = pairs.unionByName(pairs.select(F.col("m").alias("v"), F.col("v").alias("m")))
+        low = both.groupBy("v").agg(F.min("m").alias("low")).select("v", F.least("low", "v").alias("low"))
+        large = storage.save(both.join(low, "v").where("m > v").select(F.col("m").alias("v"), F.col("low").alias("m")).distinct(), "stars")
+        least = large.groupBy("v").agg(F.min("m").alias("low"))
+        tied = large.join(least, "v").where("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))
+        old, pairs = pairs, storage.save(tied.unionByName(least.select("v", F.col("low").alias("m"))).distinct(), "stars")
+        storage.drop(old, large)
+    else:
+        raise RuntimeError("components did not settle")
+    return g.vertices.join(pairs, "v", "left").select("v", F.coalesce("m", "v").alias("label"))
+
+
 def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
 
@@ -113,13 +137,28 @@ def nibble(g: Graph, seeds: DataFrame, most: int, first: int = 0xAA, second: int
     Mass grows by the factor `second` each round on graphs of low degree, so
     the number of rounds is given. Vertices without mass have no row.
     """
-    return _nibble(g, seeds, most, F.expr(f"{first}L * residual"), f"{second}L * residual div deg", f"deg > 0 AND residual >= deg * {epsilon}L", "bigint")
+    return _nibble(g, seeds, most, F.expr(f"{first}L * residual"), f"{second}L * residual div deg", f"deg > 0 AND residual >= deg * {epsilon}L", "bigint").select("seed", "v", "rank", "residual")
+
+
+def nibble_accesses(g: Graph, seeds: DataFrame, most: int, first: int = 0xAA, second: int = 0xBB, epsilon: int = 12) -> DataFrame:
+    """(seed, tensor, addr, reads, updates) of the round after `most` rounds of nibble().
+
+    Each vertex of the frontier has its residual read and its rank updated, and
+    each of its edges updates the residual of the edge's end.
+    """
+    state = _nibble(g, seeds, most, F.expr(f"{first}L * residual"), f"{second}L * residual div deg", f"deg > 0 AND residual >= deg * {epsilon}L", "bigint")
+    front = state.where("front").select("seed", "v")
+    own = front.select("seed", F.explode(F.array(F.lit("residual"), F.lit("rank"))).alias("tensor"), F.col("v").alias("addr"))
+    own = own.withColumn("reads", (F.col("tensor") == "residual").cast("bigint")).withColumn("updates", (F.col("tensor") == "rank").cast("bigint"))
+    sent = g.edges.select("s", "d").join(front.withColumnRenamed("v", "s"), "s").groupBy("seed", F.col("d").alias("addr")).agg(F.count(F.lit(1)).alias("updates"))
+    sent = sent.select("seed", F.lit("residual").alias("tensor"), "addr", F.lit(0).cast("bigint").alias("reads"), "updates")
+    return own.unionByName(sent).groupBy("seed", "tensor", "addr").agg(F.sum("reads").alias("reads"), F.sum("updates").alias("updates"))
 
 
 def nibble_double(g: Graph, seeds: DataFrame, alpha: float = 0.15, epsilon: float = 1e-6, most: int = 1024) -> DataFrame:
     """The same in floating point: rank gains 2a/(1+a) of a residual, neighbours share (1-a)/(1+a) of it."""
     first, second = 2 * alpha / (1 + alpha), (1 - alpha) / (1 + alpha)
-    return _nibble(g, seeds, most, F.lit(first) * F.col("residual"), f"{second!r}D * residual / deg", f"deg > 0 AND residual >= deg * {epsilon!r}D", "double")
+    return _nibble(g, seeds, most, F.lit(first) * F.col("residual"), f"{second!r}D * residual / deg", f"deg > 0 AND residual >= deg * {epsilon!r}D", "double").select("seed", "v", "rank", "residual")
 
 
 def _nibble(g, seeds, most, gain, update, test, kind):
@@ -135,7 +174,7 @@ def _nibble(g, seeds, most, gain, update, test, kind):
         storage.drop(old)
         if not state.where("front").limit(1).count():
             break
-    return state.select("seed", "v", "rank", "residual")
+    return state
 
 
 def shortest_paths(g: Graph, source: int = 0, most: int | None = None) -> DataFrame:
@@ -167,14 +206,18 @@ def frontier_spmv(g: Graph, frontier: DataFrame) -> DataFrame:
 
 
 def cycles3(g: Graph) -> DataFrame:
-    """One row n: ordered directed cycles u -> v -> w -> u without loops; parallel edges count once."""
+    """One row n: ordered directed cycles u -> v -> w -> u without loops; parallel edges count once.
+
+    A cycle is turned to start at its vertex of lowest degree, ties by number:
+    wedges w -> u -> v open at that one, so a hub opens few.
+    """
     e = g.edges.where("s <> d").select("s", "d").distinct()
-    # every cycle turned to start at its smallest vertex, which can be only one of the three: the wedges start at smaller ends
-    ab = e.where("s < d").select(F.col("s").alias("u"), F.col("d").alias("v"))
-    bc = e.select(F.col("s").alias("v"), F.col("d").alias("w"))
-    ca = e.where("d < s").select(F.col("s").alias("w"), F.col("d").alias("u"))
-    wedges = ab.join(bc, "v").where("w > u")
-    return wedges.join(ca, ["w", "u"]).agg((F.count(F.lit(1)) * 3).alias("n"))
+    deg = e.select(F.explode(F.array("s", "d")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("ks"))
+    ranked = storage.save(e.join(deg, "s").join(deg.select(F.col("s").alias("d"), F.col("ks").alias("kd")), "d").select("s", "d", F.expr("ks < kd OR (ks = kd AND s < d)").alias("up")), "oriented")
+    uv = ranked.where("up").select(F.col("s").alias("u"), F.col("d").alias("v"))
+    wu = ranked.where("NOT up").select(F.col("d").alias("u"), F.col("s").alias("w"))
+    vw = ranked.select(F.col("s").alias("v"), F.col("d").alias("w"))
+    return uv.join(wu, "u").join(vw, ["v", "w"], "left_semi").agg((F.count(F.lit(1)) * 3).alias("n"))
 
 
 def triangles(g: Graph) -> DataFrame:

@@ -43,7 +43,9 @@ def matmul_tiled(a: Tensor, b: Tensor, tile: tuple[int, int, int], scale: int =
     """matmul() by tiles of (m, k, n): tiles meet in a join on their k, are multiplied as small dense blocks, and the blocks are added up.
 
     A task holds two tiles at a time. Shuffled rows are tiles, not products, so
-    for dense matrices the shuffle shrinks by the tile's size.
+    for dense matrices the shuffle shrinks by the tile's size. Where tiles have
+    fewer different k than there are shuffle partitions, those of the longer
+    matrix are dealt out over several keys and the other's repeated for each.
     """
     if a.shape[1] != b.shape[0]:
         raise ValueError("inner sizes differ")
@@ -54,24 +56,30 @@ def matmul_tiled(a: Tensor, b: Tensor, tile: tuple[int, int, int], scale: int =
         place = (F.col(i) % rows) * cols + F.col(j) % cols
         return t.df.groupBy(F.floor(F.col(i) / rows).alias(names[0]), F.floor(F.col(j) / cols).alias(names[1])).agg(F.collect_list(F.struct(place.cast("int").alias("p"), F.col(t.value).cast("bigint").alias("x"))).alias(cells))
 
-    pairs = tiles(a, tm, tk, ("m1", "k1"), "xa").join(tiles(b, tk, tn, ("k1", "n1"), "xb"), "k1")
+    parallel = int(a.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long, wide = -(-a.shape[0] // tm), -(-b.shape[1] // tn)
+    salts = max(1, min(max(long, wide), parallel // -(-a.shape[1] // tk)))
+    dealt, copied = lambda c: (F.col(c) % salts).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    xa = tiles(a, tm, tk, ("m1", "k1"), "xa").withColumn("salt", dealt("m1") if long >= wide else copied)
+    xb = tiles(b, tk, tn, ("k1", "n1"), "xb").withColumn("salt", copied if long >= wide else dealt("n1"))
+    pairs = xa.join(xb, ["k1", "salt"])
 
-    def block(cells, rows: int, cols: int) -> np.ndarray:
+    def block(places: np.ndarray, values: np.ndarray, rows: int, cols: int) -> np.ndarray:
         out = np.zeros(rows * cols, np.int64)
-        out[[c["p"] for c in cells]] = [c["x"] for c in cells]
+        out[places] = values
         return out.reshape(rows, cols)
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sums: dict[tuple, np.ndarray] = {}
-            for m1, n1, xa, xb in zip(pdf.m1, pdf.n1, pdf.xa, pdf.xb, strict=True):
-                z = block(xa, tm, tk) @ block(xb, tk, tn)
+            for m1, n1, pa, va, pb, vb in pdf.itertuples(index=False):
+                z = block(pa, va, tm, tk) @ block(pb, vb, tk, tn)
                 sums[m1, n1] = sums[m1, n1] + z if (m1, n1) in sums else z
             parts = [pd.DataFrame({"m": (i // tn + m1 * tm).astype(np.int32), "n": (i % tn + n1 * tn).astype(np.int32), "v": z.ravel()[i]}) for (m1, n1), z in sums.items() if len(i := np.flatnonzero(z.ravel()))]
             if parts:
                 yield pd.concat(parts)
 
-    z = pairs.select("m1", "n1", "xa", "xb").mapInPandas(multiply, "m int, n int, v bigint").groupBy("m", "n").agg((F.sum("v") * scale).alias("v"))
+    z = pairs.select("m1", "n1", "xa.p", "xa.x", F.col("xb.p").alias("q"), F.col("xb.x").alias("y")).mapInPandas(multiply, "m int, n int, v bigint").groupBy("m", "n").agg((F.sum("v") * scale).alias("v"))
     return Tensor(z, ("m", "n"), (a.shape[0], b.shape[1]))
 
 

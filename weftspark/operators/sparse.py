@@ -112,10 +112,24 @@ def adjacent_difference(offsets: DataFrame) -> DataFrame:
     return offsets.join(nxt, "v").select("v", (F.col("_next") - F.col("off")).alias("deg"))
 
 
-def with_positions(g: Graph, by_source: bool = True) -> Graph:
-    """Edges with pos, their place in their row in order of the other end."""
+def with_positions(g: Graph, by_source: bool = True, stride: int = 65536) -> Graph:
+    """Edges with pos, their place in their row in order of the other end.
+
+    A row is numbered in pieces of `stride` other ends, so a hub's edges are in
+    many tasks; the pieces' sizes are summed before them.
+    """
     key, other = ("s", "d") if by_source else ("d", "s")
-    return Graph(g.edges.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(other)) - 1), g.n)
+    cut = g.edges.withColumn("_b", F.floor(F.col(other) / stride))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = cut.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n")).select(key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(key, "_b").orderBy(other)) - 1
+    return Graph(cut.withColumn("_own", own).join(pieces, [key, "_b"]).select(*g.edges.columns, (F.col("_before") + F.col("_own")).cast("int").alias("pos")), g.n)
+
+
+def validate(g: Graph, sums: DataFrame) -> DataFrame:
+    """Rows (v, y, deg) of a product with ones (v, y) that are not the vertex's out-degree; a missing row is 0."""
+    both = g.out_degree().join(sums.select("v", "y"), "v", "full_outer").select("v", F.coalesce("y", F.lit(0)).alias("y"), F.coalesce("deg", F.lit(0)).alias("deg"))
+    return both.where("y <> deg")
 
 
 #: Level orders (outermost first) of the tiled compressed forms.
@@ -157,6 +171,23 @@ def tile_histogram(g: Graph, s0: int, d0: int) -> DataFrame:
     return g.edges.groupBy(F.floor(F.col("s") / s0).cast("int").alias("s1"), F.floor(F.col("d") / d0).cast("int").alias("d1")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def untile(t: Tensor, s0: int = 0, d0: int = 0, s1: int = 0) -> DataFrame:
+    """(s, d, v): the edges of a tensor that tiled() made with these sizes."""
+    s, d = F.col("s0" if s0 and "s0" in t.index else "s"), F.col("d0" if d0 and "d0" in t.index else "d")
+    if "s1" in t.index:
+        s = (F.col("s2") * s1 + F.col("s1") if "s2" in t.index else F.col("s1")) * s0 + s
+    if "d1" in t.index:
+        d = F.col("d1") * d0 + d
+    return t.df.select(s.cast("int").alias("s"), d.cast("int").alias("d"), t.value)
+
+
+def tile_mask(g: Graph, s0: int, d0: int) -> DataFrame:
+    """(s1, d1, empty) of every tile, those without edges included."""
+    up = lambda k: -(-g.n // k)
+    every = g.edges.sparkSession.range(up(s0) * up(d0)).select(F.floor(F.col("id") / up(d0)).cast("int").alias("s1"), (F.col("id") % up(d0)).cast("int").alias("d1"))
+    return every.join(tile_histogram(g, s0, d0), ["s1", "d1"], "left").select("s1", "d1", F.col("n").isNull().alias("empty"))
+
+
 def valid_vertices(g: Graph, s0: int, d0: int) -> DataFrame:
     """(s1, d1, d, n): destinations with edges in each tile."""
     return g.edges.groupBy(F.floor(F.col("s") / s0).cast("int").alias("s1"), F.floor(F.col("d") / d0).cast("int").alias("d1"), "d").agg(F.count(F.lit(1)).alias("n"))

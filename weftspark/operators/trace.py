@@ -155,11 +155,18 @@ def through_levels(trace: DataFrame, levels: list[tuple[int, int]]) -> list[Data
     return out
 
 
-def row_buffer(trace: DataFrame, keys: list[str], width: int = 16) -> DataFrame:
-    """(keys, row_hits, row_misses): an access hits if it is in the row of the one before."""
-    row = F.floor(F.col("addr") / width)
-    hit = F.coalesce(row == F.lag(row).over(Window.partitionBy(*keys).orderBy("seq")), F.lit(False))
-    return trace.withColumn("_hit", hit).groupBy(*keys).agg(F.sum(F.col("_hit").cast("bigint")).alias("row_hits"), F.sum((~F.col("_hit")).cast("bigint")).alias("row_misses"))
+def row_buffer(trace: DataFrame, keys: list[str], width: int = 16, stride: int = 1 << 18) -> DataFrame:
+    """(keys, row_hits, row_misses): an access hits if it is in the row of the one before.
+
+    A buffer's accesses are compared in stretches of `stride` places of seq,
+    each a task's; then the first of a stretch with the last before it.
+    """
+    cut = trace.withColumn("_row", F.floor(F.col("addr") / width)).withColumn("_b", F.floor(F.col("seq") / stride))
+    hit = F.coalesce(F.col("_row") == F.lag("_row").over(Window.partitionBy(*keys, "_b").orderBy("seq")), F.lit(False))
+    parts = cut.withColumn("_hit", hit.cast("bigint")).groupBy(*keys, "_b").agg(F.sum("_hit").alias("_hits"), F.count(F.lit(1)).alias("_n"), F.min_by("_row", "seq").alias("_first"), F.max_by("_row", "seq").alias("_last"))
+    joint = F.coalesce(F.col("_first") == F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")), F.lit(False))
+    whole = parts.withColumn("_hits", F.col("_hits") + joint.cast("bigint")).groupBy(*keys).agg(F.sum("_hits").alias("row_hits"), F.sum("_n").alias("_n"))
+    return whole.select(*keys, "row_hits", (F.col("_n") - F.col("row_hits")).alias("row_misses"))
 
 
 def statistics_tree(counters: DataFrame, path: list[str], value: str = "n") -> DataFrame:
@@ -193,6 +200,13 @@ def compute_ops(trace: DataFrame) -> DataFrame:
 DEFAULT_UNITS = (1, 1, 2, 8, 8)
 
 
+def bind_compute(ops: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Operations (level, engine, ...) with the unit of a table (level, engine, unit), of which a null unit is disabled: its operations go. Engines without a row get compute.level.engine."""
+    given = bindings.select("level", "engine", "unit", F.lit(True).alias("_bound"))
+    joined = ops.join(given, ["level", "engine"], "left").where("_bound IS NULL OR unit IS NOT NULL")
+    return joined.withColumn("unit", F.coalesce("unit", F.concat_ws(".", F.lit("compute"), "level", "engine"))).drop("_bound")
+
+
 def bind(trace: DataFrame, bindings: DataFrame) -> DataFrame:
     """trace with the physical names of a table (tensor, level, buffer, unit); unbound buffers get the default unit of their level."""
     units = F.array(*map(F.lit, DEFAULT_UNITS))

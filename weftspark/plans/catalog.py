@@ -15,7 +15,7 @@ from weftspark.model import Graph, Tensor
 from weftspark.operators import conv, dataflow, footprint, graph, linalg, loops, scan, sparse, trace
 from weftspark.operators.einsum import einsum
 from weftspark.plans import sql as Q
-from weftspark.sources import archive
+from weftspark.sources import archive, statistics
 from weftspark.sources import driver as D
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,10 +49,10 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = "WITH p AS (SELECT event_id, floor(value)::BIGINT - 200 AS a, user_id % 7 + 1 AS b FROM events) "
 
 
-@query(_PAIRS + "SELECT event_id, a + b AS add_, a - b AS subtract_, a * b AS multiply_, a // b AS divide_, a % b AS modulo_, b AS second_, a + 1 AS increment_ FROM p")
+@query(_PAIRS + "SELECT event_id, a + b AS add_, a - b AS subtract_, a * b AS multiply_, a // b AS divide_, a::DOUBLE / b::DOUBLE AS quotient_, a % b AS modulo_, b AS second_, a + 1 AS increment_ FROM p")
 def scalar_arithmetic(spark, d):
     a, b = F.col("a"), F.col("b")
-    return _pairs(spark, d).select("event_id", S.add(a, b).alias("add_"), S.subtract(a, b).alias("subtract_"), S.multiply(a, b).alias("multiply_"), S.divide(a, b).alias("divide_"), S.modulo(a, b).alias("modulo_"), S.second(a, b).alias("second_"), S.increment(a).alias("increment_"))
+    return _pairs(spark, d).select("event_id", S.add(a, b).alias("add_"), S.subtract(a, b).alias("subtract_"), S.multiply(a, b).alias("multiply_"), S.divide(a, b).alias("divide_"), S.divide_double(a, b).alias("quotient_"), S.modulo(a, b).alias("modulo_"), S.second(a, b).alias("second_"), S.increment(a).alias("increment_"))
 
 
 @query(_PAIRS + "SELECT event_id, (a = b)::BIGINT AS eq_, (a::INT = b::INT)::BIGINT AS int_eq_, (a <> b)::BIGINT AS ne_, (a >= b)::BIGINT AS ge_, (a <= b)::BIGINT AS le_, (a > b)::BIGINT AS gt_, (a < b)::BIGINT AS lt_, (a <> 0 AND b - 1 <> 0)::BIGINT AS and_, (a <> 0 OR b - 1 <> 0)::BIGINT AS or_, a & b AS bit_and_, a | b AS bit_or_ FROM p")
@@ -299,11 +299,21 @@ def conv1d_input_stationary(spark, d):
     return conv.conv1d_scatter(D.event_vector(spark, d), _weights(spark, 9)).df
 
 
+@query(_C1)
+def conv1d_tiled(spark, d):
+    return conv.tiled(D.event_vector(spark, d), _weights(spark, 9), (4096,)).df
+
+
 @query(Q.with_(Q.EMB, "w AS (SELECT r.range AS r, s.range AS s, (r.range + s.range) % 5 + 1 AS v FROM range(3) r, range(4) s)") + "SELECT m - r AS p, k - s AS q, sum(a.v * w.v)::BIGINT AS v FROM a, w WHERE m - r BETWEEN 0 AND (SELECT max(m) + 1 FROM a) - 3 AND k - s BETWEEN 0 AND (SELECT max(k) + 1 FROM a) - 4 GROUP BY 1, 2")
 def conv2d(spark, d):
     return conv.conv2d(D.embedding_matrix(spark, d), _weights(spark, 3, 4)).df
 
 
+@query(_SQL["conv2d"])
+def conv2d_tiled(spark, d):
+    return conv.tiled(D.embedding_matrix(spark, d), _weights(spark, 3, 4), (128, 64)).df
+
+
 _IMG = "img AS (SELECT k // 16 AS c, k % 16 AS h, m AS w, v FROM a)"
 
 
@@ -319,6 +329,35 @@ def conv_channels(spark, d):
     return conv.conv_channels(_image(spark, d), _weights(spark, 2, 4, 3, 2)).df
 
 
+@query(_SQL["conv_channels"])
+def conv_channels_tiled(spark, d):
+    return conv.tiled(_image(spark, d), _weights(spark, 2, 4, 3, 2), (14, 256)).df
+
+
+@query(Q.with_(Q.SUP) + "SELECT m, n, v FROM sup WHERE m < 20 AND n < 50")
+def resized(spark, d):
+    """A sparse matrix cut to other sizes."""
+    return D.supply_matrix(spark, d).resize(20, 50).df
+
+
+@query(Q.with_(Q.SUP, "p AS (SELECT s_suppkey AS m, s_suppkey * 3 AS n, s_nationkey AS x FROM supplier)") + "SELECT m, n, coalesce(x, v)::BIGINT AS v FROM sup FULL JOIN p USING (m, n)")
+def values_set(spark, d):
+    """A value for each supplier, stored before or not."""
+    p = D.table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("m"), (F.col("s_suppkey") * 3).cast("int").alias("n"), F.col("s_nationkey").cast("bigint").alias("v"))
+    return D.supply_matrix(spark, d).with_values(p).df
+
+
+@query(Q.with_(Q.SUP) + "SELECT (m * (SELECT max(l_partkey) + 1 FROM lineitem) + n)::BIGINT AS place, '[' || m || ', ' || n || '] = ' || v AS line FROM sup")
+def tensor_listing(spark, d):
+    return D.supply_matrix(spark, d).listing()
+
+
+@query(Q.with_(Q.SUP) + "SELECT m, n, v FROM sup WHERE m = 3 AND n = (SELECT max(n) FROM sup WHERE m = 3)")
+def key_lookup(spark, d):
+    t = D.supply_matrix(spark, d)
+    return scan.find_key(t, (3, t.df.where("m = 3").agg(F.max("n")).first()[0]))
+
+
 @query(Q.with_(Q.SUP, "o AS (SELECT DISTINCT m, dense_rank() OVER (ORDER BY m) - 1 AS p FROM sup), i AS (SELECT m, row_number() OVER (ORDER BY m, n) - 1 AS p FROM sup)") + "SELECT 0 AS level, 0 AS parent_pos, 0 AS start, (SELECT count(*) FROM o) AS stop UNION ALL SELECT 1, o.p, min(i.p), max(i.p) + 1 FROM o JOIN i USING (m) GROUP BY o.p")
 def csf_segments(spark, d):
     return sparse.encode(D.supply_matrix(spark, d)).segments
@@ -375,6 +414,34 @@ def spmv_tiled(spark, d):
     return t.df.groupBy(((F.col("s2") * 4 + F.col("s1")) * 32 + F.col("s0")).alias("v")).agg(F.sum("v").alias("y"))
 
 
+@query(Q.with_(Q.GRAPH) + "SELECT form, s AS v, sum(w)::BIGINT AS y FROM e, (SELECT unnest(['csr3', 'csc3', 'csc4', 'csc5_dst_tile', 'csr5_dst_tile', 'csr5_dst_tile_ct']) AS form) GROUP BY ALL")
+def spmv_forms(spark, d):
+    """Row sums from each of the tiled forms."""
+    g, out = D.order_graph(spark, d), None
+    for form in sparse.TILED:
+        sizes = (32, 64, 4 if "5" in form else 0)
+        rows = sparse.untile(sparse.tiled(g, form, *sizes), *sizes).groupBy(F.col("s").alias("v")).agg(F.sum("v").alias("y")).select(F.lit(form).alias("form"), "v", "y")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT s AS v, sum(w)::BIGINT AS y, count(*) AS deg FROM e GROUP BY s HAVING sum(w) <> count(*)")
+def spmv_validate(spark, d):
+    """A product with ones that weighs its edges isn't the out-degree: the rows that say so."""
+    g = D.order_graph(spark, d)
+    return sparse.validate(g, g.edges.groupBy(F.col("s").alias("v")).agg(F.sum("w").alias("y")))
+
+
+@query(Q.with_(Q.GRAPH, "t AS (SELECT s // 32 AS s1, d // 64 AS d1 FROM e GROUP BY ALL)") + "SELECT a.range AS s1, b.range AS d1, t.s1 IS NULL AS empty FROM range((SELECT (n + 31) // 32 FROM nv)) a CROSS JOIN range((SELECT (n + 63) // 64 FROM nv)) b LEFT JOIN t ON t.s1 = a.range AND t.d1 = b.range")
+def tile_mask(spark, d):
+    return sparse.tile_mask(D.order_graph(spark, d), 32, 64)
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT s, d, w, row_number() OVER (PARTITION BY s ORDER BY d) - 1 AS pos FROM e")
+def row_positions(spark, d):
+    return sparse.with_positions(D.order_graph(spark, d)).edges
+
+
 @query(Q.with_(Q.GRAPH) + "SELECT s // 32 AS s1, d // 64 AS d1, count(*) AS n FROM e GROUP BY ALL")
 def tile_histogram(spark, d):
     return sparse.tile_histogram(D.order_graph(spark, d), 32, 64)
@@ -455,7 +522,12 @@ def ancestor_labels(spark, d):
 
 @query(Q.with_(Q.GRAPH, Q.SYM, Q.LABELS.format(edges="sym"), recursive=True) + "SELECT label, count(*) AS size FROM lab GROUP BY label")
 def connected_components(spark, d):
-    return graph.component_sizes(graph.least_labels(D.order_graph(spark, d).symmetric()))
+    return graph.component_sizes(graph.components(D.order_graph(spark, d)))
+
+
+@query(Q.with_(Q.GRAPH, Q.SYM, Q.LABELS.format(edges="sym"), recursive=True) + "SELECT v, label FROM lab")
+def component_labels(spark, d):
+    return graph.components(D.order_graph(spark, d))
 
 
 @query(Q.pagerank())
@@ -477,6 +549,12 @@ def nibble_single(spark, d):
     return graph.nibble(D.order_graph(spark, d), _seeds(spark).where("seed = 0"), 3).select("v", "rank", "residual")
 
 
+@query("WITH f AS (SELECT seed, v FROM (" + Q.nibble(2, "170 * residual", "187 * residual // deg.k", "12", "BIGINT", "front") + ") WHERE front), " + Q.GRAPH + ", a AS (SELECT seed, 'residual' AS tensor, v AS addr, 1 AS r, 0 AS u FROM f UNION ALL SELECT seed, 'rank', v, 0, 1 FROM f UNION ALL SELECT seed, 'residual', d, 0, 1 FROM f JOIN e ON e.s = f.v) SELECT seed, tensor, addr::INT AS addr, sum(r)::BIGINT AS reads, sum(u)::BIGINT AS updates FROM a GROUP BY ALL")
+def nibble_trace(spark, d):
+    """The accesses of the third round, after two."""
+    return graph.nibble_accesses(D.order_graph(spark, d), _seeds(spark), 2)
+
+
 @query(Q.nibble(4, "2 * 0.15::DOUBLE / 1.15 * residual", "0.85::DOUBLE / 1.15 * residual / deg.k", "1e-6::DOUBLE", "DOUBLE", "round(rank, 9) AS rank, round(residual, 9) AS residual"))
 def nibble_double(spark, d):
     return graph.nibble_double(D.order_graph(spark, d), _seeds(spark), most=4).select("seed", "v", F.round("rank", 9).alias("rank"), F.round("residual", 9).alias("residual"))
@@ -536,6 +614,12 @@ def trace_row_buffer(spark, d):
     return trace.row_buffer(D.event_trace(spark, d), ["buffer"])
 
 
+@query(Q.with_(Q.TRACE, "x AS (SELECT buffer, seq, coalesce(addr // 16 = lag(addr // 16) OVER (PARTITION BY buffer ORDER BY seq), false) AS hit FROM tr WHERE kind = 'U')") + "SELECT buffer, sum(hit::INT)::BIGINT AS row_hits, sum((NOT hit)::INT)::BIGINT AS row_misses FROM x GROUP BY buffer")
+def trace_row_buffer_updates(spark, d):
+    """Row hits of the updates alone, compared in short stretches."""
+    return trace.row_buffer(D.event_trace(spark, d).where("kind = 'U'"), ["buffer"], stride=100)
+
+
 @query()
 def trace_coalescing(spark, d):
     """Multicast and multi-reduce: a state machine per buffer, all requestors in one."""
@@ -563,6 +647,29 @@ def trace_binding(spark, d):
     return trace.bind(t, named).groupBy("level", "buffer", "unit").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(Q.with_(Q.TRACE, "o AS (SELECT buffer AS engine, count(*) AS ops FROM tr WHERE kind = 'U' GROUP BY buffer)") + "SELECT 0 AS level, engine::INT AS engine, CASE WHEN engine = 1 THEN 'mac' ELSE 'compute.0.' || engine END AS unit, ops FROM o WHERE engine <> 2")
+def compute_binding(spark, d):
+    """Operations of each engine: one bound by name, one disabled."""
+    ops = D.event_trace(spark, d).where("kind = 'U'").groupBy(F.col("buffer").alias("engine")).agg(F.count(F.lit(1)).alias("ops")).withColumn("level", F.lit(0))
+    named = spark.createDataFrame([(0, 1, "mac"), (0, 2, None), (1, 3, "other")], "level int, engine int, unit string")
+    return trace.bind_compute(ops, named)
+
+
+@query(Q.with_(Q.TRACE) + "SELECT 'buffer ' || buffer AS header, CASE kind WHEN 'R' THEN 'reads' ELSE 'updates' END AS name, count(*) AS n FROM tr GROUP BY ALL")
+def statistics_text(spark, d):
+    """Counters through text files, written and read back."""
+    path = _path(spark, "statistics")
+    c = D.event_trace(spark, d).groupBy(F.concat(F.lit("buffer "), "buffer").alias("header"), F.when(F.col("kind") == "R", "reads").otherwise("updates").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    statistics.write_counters(c, path, "header", "name", "n")
+    return statistics.with_header(statistics.read_counters(spark, path)).select("header", "name", "n")
+
+
+@query("SELECT tensor, max(volume) AS volume, sum(backing) AS backing, sum(local) AS local FROM (" + Q.FOOTPRINT + ") GROUP BY tensor")
+def static_footprint_totals(spark, d):
+    """The same nest's buffer sizes and accesses by tensor."""
+    return footprint.totals(static_footprint(spark, d))
+
+
 @query(Q.FOOTPRINT)
 def static_footprint(spark, d):
     """A 16 x 16 matrix product by tiles of 8 x 8 x 4, its output half of the time, and a window over rows and columns of a tile."""

@@ -30,19 +30,47 @@ def random_tensor(spark: SparkSession, index: tuple[str, ...], shape: tuple[int,
     return Tensor(draw.select(*unflatten(F.col("id"), index, shape), "v"), index, shape)
 
 
+#: Fixed values of the long-tailed law: the chance of a first entry, where chances stop rising, and how much of what is left each adds.
+LONG_TAIL = (0.2, 0.9, 0.3)
+#: Exponent of the power law.
+POWER = 20
+
+
+def long_tail(draw: Column) -> Column:
+    """How many rolls in a row succeed, their chances rising from entry to entry until they saturate."""
+    chance, most, scale = LONG_TAIL
+    steps, reached = [], 1.0
+    while chance < most:
+        reached *= chance
+        steps.append(reached)
+        chance += (1 - chance) * scale
+    early = sum(((draw < p).cast("int") for p in steps), F.lit(0))
+    late = F.floor(F.log(draw / reached) / math.log(chance))
+    return F.when(draw < reached, len(steps) + late).otherwise(early).cast("double")
+
+
+def power_law(draw: Column, n: int) -> Column:
+    """n less a number of [0, n] whose density rises with the power POWER: few entries mostly, n at most."""
+    return n - n * F.pow(draw, F.lit(1 / (POWER + 1)))
+
+
 #: Draws of a row's expected entries from its place: name -> (seed, n, mean, row) -> Column.
 DISTRIBUTIONS = {
-    "uniform": lambda seed, n, mean, row: uniform(seed, row) * (2 * mean),
+    "uniform": lambda seed, n, mean, row: F.floor(uniform(seed, row) * (2 * mean)) + 1.0,
     "binomial": lambda seed, n, mean, row: F.greatest(F.lit(0.0), mean + normal(seed, row) * math.sqrt(mean * (1 - mean / n))),
     "normal": lambda seed, n, mean, row: F.greatest(F.lit(0.0), mean + normal(seed, row) * (mean / 4)),
     "exponential": lambda seed, n, mean, row: -F.log(1 - uniform(seed, row)) * mean,
-    "power-law": lambda seed, n, mean, row: F.pow(1 - uniform(seed, row), F.lit(-1 / 1.5)) * (mean / 3),
-    "long-tail": lambda seed, n, mean, row: F.when(uniform(seed, row, F.lit(3)) < 0.05, mean * 10).otherwise(mean * 0.5),
+    "power-law": lambda seed, n, mean, row: power_law(uniform(seed, row), n),
+    "long-tail": lambda seed, n, mean, row: long_tail(F.greatest(uniform(seed, row), F.lit(2.0**-53))),
 }
 
 
-def sparse_graph(spark: SparkSession, n: int, mean: float, distribution: str = "uniform", seed: int = 0, symmetric: bool = True, by_degree: bool = True) -> Graph:
-    """A random pattern: each row draws its entries' number, then each of them a column. by_degree: vertices by falling degree."""
+def sparse_graph(spark: SparkSession, n: int, mean: float | None = None, distribution: str = "uniform", seed: int = 0, symmetric: bool = True, by_degree: bool = True) -> Graph:
+    """A random pattern: each row draws its entries' number, then each of them a column. by_degree: vertices by falling degree.
+
+    mean is for the laws that have one (n / 2 if not given, which makes uniform numbers of 1 to n).
+    """
+    mean = n / 2 if mean is None else mean
     per_row = F.least(DISTRIBUTIONS[distribution](seed, n, mean, F.col("s")), F.lit(float(n)))
     # the fraction is rounded by a draw of its own, so the mean is kept
     rows = spark.range(n).select(F.col("id").cast("int").alias("s")).withColumn("_n", F.floor(per_row + uniform(seed, "s", F.lit(4))).cast("int")).where("_n > 0")

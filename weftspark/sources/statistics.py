@@ -13,6 +13,16 @@ def read_counters(spark: SparkSession, path: str) -> DataFrame:
     return parts.where("name <> ''").select("file", "line", F.length(F.regexp_extract("text", r"^(\s*)", 1)).alias("depth"), "name", "n")
 
 
+def write_counters(counters: DataFrame, path: str, header: str, name: str, value: str) -> None:
+    """Counters as text that read_counters() reads: a file of a header and its indented lines for each value of the header column.
+
+    Each header's text is put together in one task: a component has a few counters.
+    """
+    lines = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("  "), F.col(name).cast("string"), F.lit(": "), F.col(value).cast("string")))), "\n")
+    text = counters.groupBy(header).agg(lines.alias("_lines")).select(F.concat(F.col(header).cast("string"), F.lit(":\n"), "_lines").alias("value"))
+    text.write.text(path)
+
+
 def with_header(counters: DataFrame) -> DataFrame:
     """Counter lines with the name of the header they stand under (a file's lines are few and of one task)."""
     over = Window.partitionBy("file").orderBy("line")
