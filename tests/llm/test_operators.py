@@ -483,7 +483,9 @@ def test_lookup():
     assert len(decontam.Lookup(table[:0]).find(values)[0]) == 0
 
 
-def test_decontamination(spark, texts):
+@pytest.mark.parametrize("most", [decontam.BLOCK_BYTES, 0])
+def test_decontamination(spark, texts, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", most)
     rng = random.Random(8)
     items = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the", "rho", "tau", "phi"]) + str(rng.randrange(30)) for _ in range(n)) for n in (8, 20, 40, 60)]
     edited = " ".join(w if k % 6 else "EDIT" for k, w in enumerate(items[2].split()))
@@ -504,7 +506,9 @@ def test_decontamination(spark, texts):
     assert kept == set(range(len(data))) - {i for i, _ in wanted}
 
 
-def test_decontamination_of_dense_edits(spark):
+@pytest.mark.parametrize("most", [decontam.BLOCK_BYTES, 0])
+def test_decontamination_of_dense_edits(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", most)
     """Copies with every few words replaced, lost or parted by others, beside common words, against alignment of all with all."""
     rng = random.Random(31)
     items = [[rng.choice(["of", "the", "in"]) if rng.random() < 0.4 else f"w{rng.randrange(400)}" for _ in range(n)] for n in (8, 9, 15, 24, 40, 41)]
@@ -525,7 +529,9 @@ def test_decontamination_of_dense_edits(spark):
         assert len(got) > 50
 
 
-def test_decontamination_of_short_items(spark):
+@pytest.mark.parametrize("most", [decontam.BLOCK_BYTES, 0])
+def test_decontamination_of_short_items(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", most)
     """Whole copies of short items, and items in scripts without spaces."""
     rng = random.Random(32)
     chinese = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(30))
@@ -547,6 +553,21 @@ def test_alignment():
         assert score == 0 or decontam.align(a, b[lo:hi])[0] == score
 
 
+def test_decontamination_by_joins(spark, docs, monkeypatch):
+    """Items in tables give the rows of items that travel, ties, repeated rows, nulls and long texts among them."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    items = [(k, text(int(n))) for k, n in enumerate(rng.integers(1, 40, 40))]
+    bench = spark.createDataFrame([*items, items[3], (3, text(20)), (50, None), (None, text(12)), (51, "")], "item_id long, text string")
+    rows = [(k, text(30) + " " + items[k % 40][1] + " " + text(10)) for k in range(60)]
+    rows += [(7, rows[0][1]), (None, rows[1][1]), (100, None), (101, ""), (102, text(60_000) + " " + items[30][1])]
+    data = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    one = sorted(map(str, decontam.leaks(data, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 0)
+    assert one == sorted(map(str, decontam.leaks(data, bench).collect())) and len(one) > 60
+
+
 def test_decontamination_of_nothing(spark, no_docs, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert rows(decontam.leaks(no_docs, bench)) == [] and rows(decontam.leaks(docs, bench)) == []

@@ -12,8 +12,11 @@ number, and a document with as many of the rest as must then be there is
 aligned with the item, word by word. So no alignment that reaches SIMILARITY is
 missed. A document leaks an item if the best local alignment reaches it.
 
-Test items are taken in blocks of BLOCK_BYTES, each of which travels to the
-tasks; a benchmark of any size is so many blocks.
+Test items of BLOCK_BYTES together travel to the tasks. Those of a larger
+benchmark stay in tables: the corpus is passed over as often, its pairs
+that may be an item's are filtered by a bit map and joined with the seeds, and
+what has enough of them is joined with its texts and aligned. The rows are the
+same either way.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ GAPS = (1, 2)
 LEAST_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 SIMILARITY = 0.5
-#: Bytes of test items that one pass over the corpus carries.
+#: Bytes of test items that travel to the tasks at most.
 BLOCK_BYTES = 8 << 20
+#: The bit map of pairs has 2 ** MAP_BITS bits, 4 MB; a benchmark of more pairs lets more others through.
+MAP_BITS = 25
 #: Seeds found, by item, that are looked at together; those of one text always are.
 ENTRIES = 1 << 20
 
@@ -244,39 +249,40 @@ def _verbatim(words: np.ndarray, first: np.ndarray, size: int, look: Lookup, beg
 LEAKS = "doc_id long, item_id long, score double, start_word int, end_word int"
 
 
+def _best(words: np.ndarray, own: np.ndarray, starts: np.ndarray, places: np.ndarray, need: int, similarity: float) -> tuple[float, int, int]:
+    """Best passage of a document for an item's words `own`, given its seeds by where copies would start."""
+    best = (0.0, 0, 0)
+    size, full = len(own), MATCH * len(own)
+    # each word put in costs a point, so no more of them leave a score that reaches the similarity
+    slack = int(full * (1 - similarity)) + 1
+    every, starts = starts, np.unique(starts)
+    for s in starts:
+        if s >= 0 and np.array_equal(words[s : s + size], own):
+            return 1.0, int(s), int(s) + size
+    known, last = np.sort(own), starts[0] - 1
+    for s in starts:
+        if s <= last:
+            continue
+        # neighbouring starts are one passage
+        last = starts[np.searchsorted(starts, s + slack, side="right") - 1]
+        lo, hi = max(0, int(s) - slack), min(len(words), int(last) + size + slack)
+        # seeds of one alignment start within slack of each other, and those of near ones all do within 2 * slack of s
+        if len(np.unique(places[np.searchsorted(every, s - slack) : np.searchsorted(every, last + slack, side="right")])) < need:
+            continue
+        passage = words[lo:hi]
+        shared = known[np.minimum(np.searchsorted(known, passage), size - 1)] == passage
+        if MATCH * int(shared.sum()) < similarity * full:
+            continue
+        score, a, b = align(own, passage)
+        if score / full > best[0]:
+            best = score / full, lo + a, lo + b
+    return best
+
+
 def _leaks(docs: DataFrame, items: Items, similarity: float) -> DataFrame:
     gram, item, place, need = items.seeds(_count(docs, items))
     ids, texts, short = items.ids, items.words, items.short
 
-    def of(words: np.ndarray, k: int, starts: np.ndarray, places: np.ndarray):
-        """Best passage of a document for item k, given its seeds by where copies would start."""
-        own, best = texts[k], (0.0, 0, 0)
-        size, full = len(own), MATCH * len(own)
-        # each word put in costs a point, so no more of them leave a score that reaches the similarity
-        slack = int(full * (1 - similarity)) + 1
-        every, starts = starts, np.unique(starts)
-        for s in starts:
-            if s >= 0 and np.array_equal(words[s : s + size], own):
-                return 1.0, int(s), int(s) + size
-        known, last = np.sort(own), starts[0] - 1
-        for s in starts:
-            if s <= last:
-                continue
-            # neighbouring starts are one passage
-            last = starts[np.searchsorted(starts, s + slack, side="right") - 1]
-            lo, hi = max(0, int(s) - slack), min(len(words), int(last) + size + slack)
-            # seeds of one alignment start within slack of each other, and those of near ones all do within 2 * slack of s
-            if len(np.unique(places[np.searchsorted(every, s - slack) : np.searchsorted(every, last + slack, side="right")])) < need[k]:
-                continue
-            passage = words[lo:hi]
-            shared = known[np.minimum(np.searchsorted(known, passage), size - 1)] == passage
-            if MATCH * int(shared.sum()) < similarity * full:
-                continue
-            score, a, b = align(own, passage)
-            if score / full > best[0]:
-                best = score / full, lo + a, lo + b
-        return best
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, begin = np.unique(gram, return_index=True)
         end = np.append(begin[1:], len(gram))
@@ -314,7 +320,7 @@ def _leaks(docs: DataFrame, items: Items, similarity: float) -> DataFrame:
                 cuts = np.flatnonzero((row[1:] != row[:-1]) | (k[1:] != k[:-1])) + 1
                 for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(row)], strict=True):
                     r = int(row[x])
-                    score, a, z = of(words[first[r] : first[r + 1]], int(k[x]), start[x:y], p[x:y])
+                    score, a, z = _best(words[first[r] : first[r + 1]], texts[int(k[x])], start[x:y], p[x:y], int(need[k[x]]), similarity)
                     if score >= similarity:
                         out.append((r + row0, ids[int(k[x])], score, a, z))
             if out:
@@ -324,24 +330,127 @@ def _leaks(docs: DataFrame, items: Items, similarity: float) -> DataFrame:
     return docs.mapInArrow(run, LEAKS)
 
 
+def _item_rows(bench: DataFrame, similarity: float) -> DataFrame:
+    """(key, item_id, size, least, whole, words, grams) of the items that have words: whole hashes those under LEAST_WORDS, grams their pairs and a last 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, lo, words, first in _texts(batches, 1):
+            size = np.diff(first)
+            own = [words[x:y] for x, y in itertools.pairwise(first)]
+            whole = [int(_whole(w, len(w)).view(np.int64)[0]) if 0 < len(w) < LEAST_WORDS else 0 for w in own]
+            least = [max(1, least_pairs(int(n), similarity)) for n in size]
+            lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x.view(np.int64))) for x in (words, _pairs(words, first, 1))]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(size)), pa.array(size, pa.int32()), pa.array(least, pa.int32()), pa.array(whole, pa.int64()), *lists], names=["item_id", "size", "least", "whole", "words", "grams"])
+
+    made = bench.mapInArrow(run, "item_id long, size int, least int, whole long, words array<long>, grams array<long>").where("size > 0")
+    return common.save(made.withColumn("key", F.monotonically_increasing_id()), "items")
+
+
+def _bit_map(grams: DataFrame) -> np.ndarray:
+    """Bits of the upper MAP_BITS bits of each gram, 32 in a word; 2 ** (MAP_BITS - 5) rows come to the driver at most."""
+    upper = F.shiftrightunsigned("gram", 64 - MAP_BITS)
+    words = grams.select(F.shiftright(upper, 5).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - MAP_BITS}) % 32 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << max(0, MAP_BITS - 5), np.uint32)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _passing(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Where the values are whose bit is set."""
+    upper = values >> np.uint64(64 - MAP_BITS)
+    return np.flatnonzero((values != 0) & (bits[upper >> np.uint64(5)] >> (upper & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool))
+
+
+def _leaks_joined(docs: DataFrame, bench: DataFrame, similarity: float) -> DataFrame:
+    """_leaks() for items that are too many to travel. Documents are told apart by 128 bits of hash of their text, so equal ones are looked at once."""
+    docs = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
+    items = _item_rows(bench, similarity)
+    long, brief = items.where(F.col("size") >= LEAST_WORDS), items.where(F.col("size") < LEAST_WORDS)
+    places = long.select("key", F.posexplode("grams").alias("place", "gram"), "size").where("place < size - 1").drop("size")
+    sizes = [r[0] for r in brief.select("size").distinct().collect()]  # LEAST_WORDS - 1 at most
+    bits = _bit_map(places)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, words, first in _texts(batches, 0):
+            pairs = np.concatenate([_pairs(words, first, gap) for gap in GAPS])
+            gram, n = np.unique(pairs[_passing(pairs, bits)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n, pa.int64())], names=["gram", "n"])
+
+    counts = docs.select("text").mapInArrow(counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    # of each item the most frequent pairs are left out, as in Items.seeds()
+    ranked = places.join(counts, "gram", "left").groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "gram"))).alias("g"))
+    kept = F.filter(F.slice("g", F.lit(1), F.size("g") - F.floor(F.col("least") / 2).cast("int")), lambda x: x["n"] > 0)
+    seeds = common.save(ranked.join(long.select("key", "least"), "key").select("key", (F.col("least") - F.floor(F.col("least") / 2)).cast("int").alias("need"), kept.alias("g")), "seeds")
+    flat = seeds.select("key", "need", F.explode("g").alias("x")).select("key", "need", F.col("x.gram").alias("gram"), F.col("x.place").alias("place"), F.lit(0).alias("size"))
+    wholes = brief.select("key", F.lit(1).alias("need"), F.col("whole").alias("gram"), F.lit(0).alias("place"), "size")
+    wanted = flat.unionByName(wholes)
+    seeded = _bit_map(wanted)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, lo, words, first in _texts(batches, 2):
+            found = [(0, x, _passing(x, seeded)) for x in (_pairs(words, first, gap) for gap in GAPS)]
+            found += [(n, x, _passing(x, seeded)) for n, x in ((n, _whole(words, n)) for n in sizes)]
+            for n, x, at in found:
+                row = np.searchsorted(first, at, side="right") - 1
+                inside = at + n <= first[row + 1]
+                at, row = at[inside], row[inside]
+                rows = pa.array(row + lo)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(x[at].view(np.int64)), pa.array(at - first[row], pa.int32()), pa.array(np.full(len(at), n), pa.int32())], names=["k1", "k2", "gram", "at", "size"])
+
+    met = common.save(docs.select("k1", "k2", "text").mapInArrow(hits, "k1 long, k2 long, gram long, at int, size int").join(wanted, ["gram", "size"]).groupBy("k1", "k2", "key", "need", "place", "size").agg(F.min("at").alias("at")), "met")
+    short = met.where("size > 0").join(brief.select("key", "item_id"), "key").select("k1", "k2", "item_id", F.lit(1.0).alias("score"), F.col("at").alias("start_word"), (F.col("at") + F.col("size")).alias("end_word"))
+    candidates = met.where("size = 0").groupBy("k1", "k2", "key", "need").count().where("count >= need").select("k1", "k2", "key")
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                _, _, words, first = next(_texts(iter([b.slice(i, 1)]), 0))
+                own, gram, place = (np.array(b.column(c)[i].values) for c in (1, 2, 3))
+                order = np.argsort(gram.view(np.uint64), kind="stable")
+                gram, place = gram.view(np.uint64)[order], place[order]
+                starts, seen = [], []
+                for gap in GAPS:
+                    pairs = _pairs(words, first, gap)
+                    a, z = (np.searchsorted(gram, pairs, side=s) for s in ("left", "right"))
+                    many = z - a
+                    entry = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                    seen.append(place[entry])
+                    starts.append(np.repeat(np.arange(len(pairs)), many) - place[entry])
+                starts, seen = np.concatenate(starts), np.concatenate(seen)
+                order = np.argsort(starts, kind="stable")
+                score, lo, hi = _best(words, own.view(np.uint64), starts[order], seen[order], b.column(4)[i].as_py(), similarity)
+                if score >= similarity:
+                    out.append((i, score, lo, hi))
+            if out:
+                rows, score, lo, hi = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in (5, 6, 7)), pa.array(score, pa.float64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["k1", "k2", "item_id", "score", "start_word", "end_word"])
+
+    # a copy of each text, sent once for each item it is to be aligned with
+    texts = docs.join(candidates.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    full = candidates.join(seeds, "key").join(long.select("key", "item_id", "words"), "key").join(texts, ["k1", "k2"])
+    full = full.select("text", "words", F.col("g.gram").alias("gram"), F.col("g.place").alias("place"), "need", "k1", "k2", "item_id")
+    found = full.mapInArrow(aligned, "k1 long, k2 long, item_id long, score double, start_word int, end_word int").unionByName(short)
+    return docs.select("doc_id", "k1", "k2").join(found, ["k1", "k2"]).select("doc_id", "item_id", "score", "start_word", "end_word")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and item it leaks: score (1: a full copy) and the best passage's words [start_word, end_word).
 
     Null texts hold nothing; items that are null, have a null id or no
     word are not looked for, those of under LEAST_WORDS words only whole and
     unedited. With a similarity below 0.5 a copy may lack every seed. Rows with
-    null or repeated ids are looked at like others. Other columns are ignored.
+    null or repeated ids are looked at like others, an item's repeated row
+    counts once. Other columns are ignored.
     """
     common.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
+    bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null").distinct()
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, out = max(1, -(-total // BLOCK_BYTES)), None
-    for k in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # about BLOCK_BYTES
-        found = _leaks(docs, Items([(r.item_id, r.text) for r in rows], similarity), similarity)
-        out = found if out is None else out.unionByName(found)
-    return out
+    if total > BLOCK_BYTES:
+        return _leaks_joined(docs, bench, similarity)
+    rows = bench.orderBy("item_id", "text").collect()  # BLOCK_BYTES at most
+    return _leaks(docs, Items([(r.item_id, r.text) for r in rows], similarity), similarity)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
