@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import chat, common, decontam, embeddings, lm, pieces, quality, sharding, simhash, sql, substring, warc
+from weftspark.llm import chat, common, decontam, embeddings, lm, pieces, quality, rules, sharding, simhash, sql, substring, warc
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -72,9 +72,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(crc_of_id() % 7 == 2, F.lit(False)))
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = rules.evaluate(common.table(spark, sf_dir, "documents"))
+    base, verdict = rules.BASE, rules.POLICIES[1]
+    judged = rules.verdicts(ledger, (base, verdict))
+    kept = F.col(f"kept_v{base.version}") & F.col(f"kept_v{verdict.version}")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col(f"kept_v{base.version}")).alias("base_failed"), kept.alias("kept"), "n_lines", F.col("bits").alias("failed_rules"))
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version does, from the ledger."""
+    return rules.ablations(rules.evaluate(common.table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embeddings, op2_sharding, op3_warc, op4_substring, op5_simhash, op6_chat, op7_quality, op8_sentencepiece, op9_decontamination, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_embeddings, op2_sharding, op3_warc, op4_substring, op5_simhash, op6_chat, op7_quality, op8_sentencepiece, op9_decontamination, op10_lm_scoring, op11_rules, rule_ablations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embeddings": sql.OP1, "op3_warc": sql.OP3, "op4_substring": sql.OP4, "op6_chat": sql.OP6}
+    return {"op1_embeddings": sql.OP1, "op3_warc": sql.OP3, "op4_substring": sql.OP4, "op6_chat": sql.OP6, "op11_rules": sql.OP11, "rule_ablations": sql.ABLATIONS}

@@ -62,3 +62,33 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
     AND last(role ORDER BY turn, role, text) = 'assistant' AS valid
 FROM e GROUP BY conv_id
 """
+
+_LEDGER = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+win AS (SELECT r, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2])) AS three, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, three) AS k FROM win) WHERE k > 1),
+again AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + 3)) AS k FROM twice) GROUP BY r),
+m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM t JOIN w USING (r) LEFT JOIN again USING (r)
+), l AS (
+  SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+    + 8 * (100 * n_dup_lines > 40 * n_lines)::BIGINT + 16 * (word_chars < 3 * n_words)::BIGINT + 32 * (word_chars > 10 * n_words)::BIGINT) AS bits FROM m
+)
+"""
+
+OP11 = _LEDGER + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, n_lines, bits AS failed_rules FROM l"
+
+ABLATIONS = _LEDGER + """, p AS (
+  SELECT * FROM (VALUES (1, 3, 0), (2, 63, 0), (3, 63, 1)) AS v(version, mask, allowed)
+), r AS (
+  SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('short_words', 16), ('long_words', 32)) AS v(rule, bit)
+)
+SELECT version, rule, count(*)::BIGINT AS n_docs, count(*) FILTER (WHERE bit_count(bits & mask) <= allowed)::BIGINT AS n_kept,
+  count(*) FILTER (WHERE bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (WHERE bit_count(bits & mask & ~bit) <= allowed)::BIGINT AS n_kept_without,
+  bit_and(bits) FILTER (WHERE bits & bit <> 0) AS implied
+FROM p JOIN r ON mask & bit <> 0 JOIN l ON true GROUP BY version, rule
+"""
