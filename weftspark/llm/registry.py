@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import chat, common, decontam, embeddings, lm, pieces, quality, rules, sharding, simhash, sql, substring, warc
+from weftspark.llm import chat, common, decontam, embeddings, lm, periodic, pieces, quality, rules, sharding, simhash, sql, substring, warc
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -80,13 +80,31 @@ def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col(f"kept_v{base.version}")).alias("base_failed"), kept.alias("kept"), "n_lines", F.col("bits").alias("failed_rules"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with the tail of one text in ten, by the hash of its id, made periodic."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    own = docs.withColumn("h", crc_of_id()).withColumn("g", F.expr("h div 10"))
+    chosen = own.withColumn("w", F.when(F.col("h") % 10 == 0, words).otherwise(F.array().cast("array<string>"))).withColumn("n", F.size("w"))
+    drawn = chosen.withColumn("a", F.when(F.col("n") > 0, F.expr("g % greatest(n, 1)"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    text = F.array_join(F.expr("transform(w, (x, i) -> w[int(if(i < a, i, a + (i - a) % p))])"), " ")
+    return drawn.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_planted_runs(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = found.withColumn("best", periodic.most_periods(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
 def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy version does, from the ledger."""
     return rules.ablations(rules.evaluate(common.table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embeddings, op2_sharding, op3_warc, op4_substring, op5_simhash, op6_chat, op7_quality, op8_sentencepiece, op9_decontamination, op10_lm_scoring, op11_rules, rule_ablations)}
+    return {f.__name__: f for f in (op1_embeddings, op2_sharding, op3_warc, op4_substring, op5_simhash, op6_chat, op7_quality, op8_sentencepiece, op9_decontamination, op10_lm_scoring, op11_rules, op12_runs, rule_ablations)}
 
 
 def oracle_sql() -> dict[str, str]:
