@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import chat, common, decontam, embeddings, lm, periodic, pieces, quality, rules, sharding, simhash, sql, substring, warc
+from weftspark.llm import alignment, chat, common, decontam, embeddings, lm, periodic, pieces, quality, rules, sharding, simhash, sql, substring, warc
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -98,13 +98,17 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
 def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy version does, from the ledger."""
     return rules.ablations(rules.evaluate(common.table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embeddings, op2_sharding, op3_warc, op4_substring, op5_simhash, op6_chat, op7_quality, op8_sentencepiece, op9_decontamination, op10_lm_scoring, op11_rules, op12_runs, rule_ablations)}
+    return {f.__name__: f for f in (op1_embeddings, op2_sharding, op3_warc, op4_substring, op5_simhash, op6_chat, op7_quality, op8_sentencepiece, op9_decontamination, op10_lm_scoring, op11_rules, op12_runs, op13_alignment, rule_ablations)}
 
 
 def oracle_sql() -> dict[str, str]:
