@@ -1,5 +1,6 @@
 """Operators, sources and streams against plain Python on small inputs."""
 
+import collections
 import os
 import random
 from collections import OrderedDict, defaultdict
@@ -8,10 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftspark import check
+from weftspark import check, storage
 from weftspark.functions import reductions, scalar
 from weftspark.model import Graph, Tensor
-from weftspark.operators import conv, dataflow, footprint, graph, linalg, loops, scan, sparse, trace
+from weftspark.operators import adjacency, blocks, conv, dataflow, footprint, graph, linalg, loops, scan, scans, sparse, trace
 from weftspark.operators.einsum import Affine, einsum, parse
 from weftspark.plans import catalog
 from weftspark.sources import archive, generators, statistics
@@ -175,6 +176,30 @@ def test_multiply_then_scale(spark, form, tile):
 
 # known results
 
+def compressed_line(entries: list[tuple[int, ...]], shape: tuple[int, ...]) -> str:
+    """The archive's line for sorted entries (coordinates, value)."""
+    rank = len(shape)
+    segments, coords = [[0] for _ in range(rank)], [[] for _ in range(rank)]
+    before = None
+    for e in entries:
+        # from the first coordinate that changed on, each level has a new point, and below it a new fiber
+        first = 0 if before is None else next((k for k in range(rank) if e[k] != before[k]), rank)
+        for k in range(first, rank):
+            if k > first or before is None:
+                segments[k].append(segments[k][-1])
+            coords[k].append(e[k])
+            segments[k][-1] += 1
+        before = e
+    if before is None and rank:
+        segments[0].append(0)
+    vec = lambda x: f"{len(x)} 0" + "".join(f" {v}" for v in x)
+    last = list(entries[-1][:rank][::-1]) if entries else [0] * rank
+    parts = [*archive.HEAD, "0 0", str(rank), str(len(entries)), vec(shape[::-1]), "0 0 0 0", vec(last)]
+    for x in [*segments, *coords, [e[-1] for e in entries]]:
+        parts += [vec([len(x)]), vec(x)]
+    return " ".join(parts)
+
+
 #: Coordinates of two sparse vectors of ones with 16 places, and those they share.
 LEFT = [0, 3, 5, 7, 9, 10, 12, 14, 15]
 RIGHT = [0, 2, 3, 6, 9, 10, 11, 13, 15]
@@ -184,7 +209,7 @@ SHARED = [0, 3, 9, 10, 15]
 def test_intersection_of_archived_vectors(spark, tmp_path):
     both = []
     for name, at in (("a", LEFT), ("b", RIGHT)):
-        (tmp_path / name).write_text(archive.compressed_line([(k, 1) for k in at], (16,)))
+        (tmp_path / name).write_text(compressed_line([(k, 1) for k in at], (16,)))
         both.append(archive.read_compressed(spark, str(tmp_path / name), ("k",)))
     a, b = both
     assert sorted(r.k for r in loops.intersect(a.df, b.df.select("k"), ["k"]).collect()) == SHARED
@@ -586,3 +611,256 @@ def test_chained_levels(spark):
             n["evict"], n["dirty"] = len(out), sum(x[1] for x in out)
             assert got[k][b] == (n["fill"], n["allocate"], n["hit"], n["evict"], n["evict"], n["dirty"])
             now = [(x[0], kind) for x in out for kind in ("RU" if x[1] else "R")]
+
+
+# state that stays in place
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_edges_are_not_shuffled_again(spark, monkeypatch):
+    """A round's plan, as it is written, has no exchange over the table of edges."""
+    plans = []
+    whole = storage.save_bucketed
+
+    def seen(df, by, name="table", dealt=False, **counts):
+        if dealt and name in ("dist", "labels", "frontier", "rank", "nibble"):
+            plans.append(_plan(df))
+        return whole(df, by, name, dealt, **counts)
+
+    monkeypatch.setattr(storage, "save_bucketed", seen)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
+    rng = random.Random(2)
+    rows = [(rng.randrange(60), rng.randrange(60), rng.randrange(1, 9)) for _ in range(150)]
+    graph_ = Graph(spark.createDataFrame(rows, "s int, d int, w bigint").groupBy("s", "d").agg(F.min("w").alias("w")), 60)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graph.shortest_paths(graph_).collect(), graph.least_labels(graph_).collect(), graph.bfs(graph_).collect(), graph.pagerank_delta(graph_, most=3).collect()
+        graph.nibble(graph_, spark.createDataFrame([(1,), (2,)], "seed int"), 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) > 8
+    for plan in plans:
+        lines = plan.split("\n")
+        scans_ = [k for k, x in enumerate(lines) if "weft_edges" in x]
+        assert scans_ and all("Bucketed: true" in lines[k] for k in scans_)
+        for k in scans_:
+            # the operators above the scan, up to the first exchange, join it where it lies
+            depth = len(lines[k]) - len(lines[k].lstrip(" :+-"))
+            above = []
+            for x in reversed(lines[:k]):
+                d = len(x) - len(x.lstrip(" :+-"))
+                if d < depth:
+                    depth = d
+                    above.append(x)
+                if "Join" in x and above and above[-1] is x:
+                    break
+            assert above and not any("Exchange" in x for x in above)
+
+
+@pytest.mark.parametrize("hub", [None, 4])
+def test_a_hub_with_half_of_all_edges(spark, monkeypatch, hub):
+    if hub:
+        monkeypatch.setattr(adjacency, "HUB", hub)
+    rng = random.Random(6)
+    n = 90
+    rows = {(0, d): 1 + d % 5 for d in range(1, n)} | {(s, 0): 3 for s in range(1, n, 2)} | {(rng.randrange(n), rng.randrange(n)): rng.randrange(1, 6) for _ in range(60)}
+    rows = {(s, d): w for (s, d), w in rows.items() if s != d}
+    g = Graph(spark.createDataFrame([(s, d, w) for (s, d), w in rows.items()], "s int, d int, w bigint"), n)
+    assert adjacency.Adjacency(g.edges).split == bool(hub)
+    dist = {v: graph.UNREACHED for v in range(n)} | {3: 0}
+    for _ in range(n):
+        for (s, d), w in rows.items():
+            if dist[s] < graph.UNREACHED:
+                dist[d] = min(dist[d], dist[s] + w)
+    assert {r.v: r.dist for r in graph.shortest_paths(g, 3).collect()} == dist
+    e = set(rows)
+    out = collections.defaultdict(set)
+    for s, d in e:
+        out[s].add(d)
+    assert graph.cycles3(g).first().n == sum(a in out[c] for a, b in e for c in out[b])
+    both = e | {(d, s) for s, d in e}
+    near = collections.defaultdict(set)
+    for s, d in both:
+        near[s].add(d)
+    assert graph.triangles(g).first().n == sum(len(near[a] & near[b]) for a, b in both)
+    assert {r.v: r.label for r in graph.components(g).collect()} == {v: 0 for v in range(n)}
+    for pull in (1e-9, 1e9):
+        level, front = {3: 0}, {3}
+        while front:
+            front = {d for s in front for d in out[s] if d not in level}
+            level |= {d: max(level.values()) + 1 for d in front}
+        assert {r.v: r.level for r in graph.bfs(g, 3, pull=pull).collect()} == {v: level.get(v, -1) for v in range(n)}
+
+
+@pytest.mark.parametrize("cell,pairs", [(1 << 22, 1 << 20), (40, 7)])
+def test_closed_triples_in_cells(spark, monkeypatch, cell, pairs):
+    """Cells of few rows, parallel edges and loops."""
+    monkeypatch.setattr(graph, "CELL_ROWS", cell)
+    monkeypatch.setattr(graph, "PAIRS", pairs)
+    rng = random.Random(12)
+    rows = [(rng.randrange(25), rng.randrange(25)) for _ in range(260)]
+    g = Graph(spark.createDataFrame(rows, "s int, d int"), 25)
+    e = {(a, b) for a, b in rows if a != b}
+    u = e | {(b, a) for a, b in e}
+    count = lambda x: sum((b, c) in x and (c, a) in x for a, b in x for c in range(25))
+    assert graph.cycles3(g).first().n == count(e) and graph.triangles(g).first().n == count(u)
+    none = Graph(spark.createDataFrame([], "s int, d int"), 3)
+    assert graph.cycles3(none).first().n == 0 and graph.triangles(none).first().n == 0
+
+
+@pytest.mark.parametrize("height,width,held", [(8, 8, 1 << 21), (7, 3, 1), (64, 64, 50)])
+def test_block_products(spark, monkeypatch, height, width, held):
+    monkeypatch.setattr(blocks, "HELD", held)
+    rng = np.random.default_rng(3)
+    a = np.where(rng.random((30, 30)) < 0.2, rng.integers(1, 9, (30, 30)), 0)
+    a[4] = 5  # a full row and a full column
+    a[:, 9] = 2
+    g = Graph(spark.createDataFrame([(int(s), int(d), int(a[d, s])) for d, s in zip(*np.nonzero(a), strict=True)], "s int, d int, w bigint"), 30)
+    x = rng.integers(0, 50, 30)
+    df = spark.createDataFrame([(int(v), int(k)) for v, k in enumerate(x)], "v int, x bigint")
+    m = blocks.BlockMatrix.from_graph(g, height, width)
+    assert {r.v: r.y for r in m.multiply(df).collect()} == {v: int(y) for v, y in enumerate(a @ x) if a[v].any()}
+    for _ in range(3):
+        x = a @ x % 101
+    assert {r.v: r.x for r in m.rounds(df, 30, 3, 101).collect()} == dict(enumerate(x.tolist()))
+    with pytest.raises(Exception, match="64 bits"):
+        m.multiply(df.select("v", F.lit(1 << 61).alias("x"))).collect()
+
+
+def test_products_from_five_levels(spark, g):
+    t = sparse.tiled(g, "csc5_dst_tile", 4, 6, 2)
+    got = {r.v: r.y for r in blocks.BlockMatrix.from_tiles(t).multiply(g.vertices.select("v", (F.col("v") + 1).alias("x"))).collect()}
+    wanted = collections.Counter()
+    for s, d in _edges():
+        wanted[d] += (s + 1) * ((s * 5 + d) % 9 + 1)
+    assert got == wanted
+    with pytest.raises(ValueError, match="five"):
+        blocks.BlockMatrix.from_tiles(sparse.tiled(g, "csr3", 0, 6))
+
+
+@pytest.mark.parametrize("stride,levels", [(4, 0), (4, 1), (3, 2), (2, 5), (1000, 2)])
+def test_segmented_sums(spark, stride, levels):
+    rng = random.Random(stride * 10 + levels)
+    rows = [(k, i, rng.random() < 0.15, rng.randrange(-3, 9), rng.choice([None, True, False])) for k in "ab" for i in range(0, 60, rng.choice([1, 2]))]
+    df = spark.createDataFrame(rows, "k string, i long, r boolean, v long, q boolean").repartition(3)
+    parts = {"x": (F.col("r"), F.col("v")), "y": (F.col("q"), F.lit(1)), "z": (F.lit(False), F.col("v"))}
+    for keys in (["k"], []):
+        own = rows if keys else [r for r in rows if r[0] == "a"]
+        got = {(r.k, r.i): (r.x, r.y, r.z) for r in scans.segmented_sums(df if keys else df.where("k = 'a'"), "i", parts, keys, stride, levels).collect()}
+        x, wanted = {}, {}
+        for k, i, r, v, q in sorted(own):
+            a, b, c = x.get(k, (0, 0, 0))
+            wanted[k, i] = a, b, c
+            x[k] = v if r else a + v, 1 if q else b + 1, c + v
+        assert got == wanted
+
+
+def test_nested_groups_of_one_stream(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice([None, None, None, 0, 1, 2]), i * 7) for i in range(200)]
+    df = spark.createDataFrame(rows, "seq long, tag int, value long")
+    wanted, g = {}, [0, 0, 0]
+    for i, tag, value in rows:
+        if tag is None:
+            wanted[i] = (value, *g)
+        else:
+            g = [0 if k < tag else n + (k == tag) for k, n in enumerate(g)]
+    out = dataflow.groups(df, 3, nested=True, stride=16)
+    assert {r.seq: (r.value, r.g0, r.g1, r.g2) for r in out.collect()} == wanted
+
+
+@pytest.mark.parametrize("stride", [1, 5, 1000])
+def test_points_find_their_ranges(spark, stride):
+    rng = random.Random(stride)
+    at, ranges = 0, []
+    for k in range(30):
+        at += rng.choice([0, 0, 3])
+        size = rng.choice([0, 1, 2, 40])
+        ranges.append((f"r{k}", at, at + size))
+        at += size
+    points = [(rng.randrange(at + 5), k) for k in range(200)]
+    got = sorted(tuple(r) for r in scans.with_owner(spark.createDataFrame(points, "p long, x int"), spark.createDataFrame(ranges, "o string, start long, stop long"), "p", "o", stride).collect())
+    assert got == sorted((p, x, o) for p, x in points for o, a, b in ranges if a <= p < b)
+    spread = scans.places(spark.createDataFrame(ranges, "o string, start long, stop long"), "o", "i", stride)
+    assert sorted(map(tuple, spread.collect())) == sorted((o, i) for o, a, b in ranges for i in range(a, b))
+
+
+def test_long_ranges_are_dealt_out(spark):
+    df = spark.createDataFrame([("hub", 0, 5000), ("none", 7, 7), ("few", 3, 5)], "k string, lo long, hi long")
+    out = loops.inner(df, "i", F.col("lo"), F.col("hi"), deal=100)
+    assert sorted((r.k, r.i) for r in out.collect()) == sorted([("hub", i) for i in range(5000)] + [("few", 3), ("few", 4)])
+    assert out.where("k = 'hub'").groupBy(F.spark_partition_id()).count().count() > 1
+    assert sorted(loops.inner(df, "i", F.col("lo"), F.col("hi")).columns) == sorted(out.columns)
+
+
+def test_tiled_products_keep_sums_of_zero(spark):
+    a, b = np.array([[1, 1], [0, 0], [2, 0]]), np.array([[1, 0], [-1, 3]])
+    x, y = (Tensor(spark.createDataFrame([(int(i), int(j), int(v)) for (i, j), v in np.ndenumerate(t) if v], f"{p} int, {q} int, v long"), (p, q), t.shape) for t, p, q in ((a, "m", "k"), (b, "k", "n")))
+    plain = sorted(map(tuple, linalg.matmul(x, y).df.collect()))
+    for tile in ((1, 1, 1), (2, 2, 2), (4, 1, 4)):
+        assert sorted(map(tuple, linalg.matmul_tiled(x, y, tile).df.collect())) == plain
+    assert (0, 0, 0) in plain
+    big = Tensor(x.df.select("m", "k", (F.col("v") * (1 << 40)).alias("v")), ("m", "k"), x.shape)
+    with pytest.raises(Exception, match="64 bits"):
+        linalg.matmul_tiled(big, Tensor(big.df.select(F.col("m").alias("k"), F.col("k").alias("n"), "v"), ("k", "n"), (2, 3)), (2, 2, 2)).df.collect()
+
+
+# archives in parts
+
+@pytest.fixture
+def few_bytes_a_task(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def _compressed(x):
+    return compressed_line([(*map(int, at), int(v)) for at, v in np.ndenumerate(x) if v], x.shape)
+
+
+@pytest.mark.parametrize("blank", [" ", "  ", " \n"])
+def test_archives_are_read_in_several_tasks(spark, tmp_path, few_bytes_a_task, blank):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((6, 30, 9)) < 0.3, rng.integers(-99, 99, (6, 30, 9)), 0)
+    (tmp_path / "a").write_text(_compressed(x).replace(" ", blank) + "\n")
+    back = archive.read_compressed(spark, str(tmp_path / "a"), ("a", "b", "c"))
+    assert back.shape == x.shape and (array(back) == x).all()
+    dense = " ".join(map(str, [*archive.HEAD, 0, 0, 3, 0, *x.shape[::-1], x.size, 0, *x.ravel().tolist()]))
+    (tmp_path / "d").write_text(dense.replace(" ", blank))
+    line = archive.Tokens(spark, str(tmp_path / "d"))
+    assert len(line.splits) > 3
+    assert (array(archive.read_dense(spark, str(tmp_path / "d"), ("a", "b", "c"))) == x).all()
+
+
+def test_archives_are_written_in_parts(spark, tmp_path, few_bytes_a_task):
+    rng = np.random.default_rng(5)
+    x = np.where(rng.random((40, 25)) < 0.4, rng.integers(1, 999, (40, 25)), 0)
+    t = tensor(spark, x, ("m", "n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        archive.write_compressed(t.nonzero(), str(tmp_path / "c"))
+        archive.write_dense(t, str(tmp_path / "d"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    parts = sorted((tmp_path / "c").glob("part-*"))
+    assert len(parts) > 1 and "".join(p.read_text() for p in parts).split() == _compressed(x).split()
+    assert (array(archive.read_compressed(spark, str(tmp_path / "c"), ("m", "n"))) == x).all()
+    assert len(list((tmp_path / "d").glob("part-*"))) > 1
+    assert (array(archive.read_dense(spark, str(tmp_path / "d"), ("m", "n"))) == x).all()
+
+
+def test_archive_of_no_entries(spark, tmp_path):
+    t = Tensor(spark.createDataFrame([], "m int, n int, v long"), ("m", "n"), (4, 5))
+    archive.write_compressed(t, str(tmp_path / "c"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "c").glob("part-*"))).split() == compressed_line([], (4, 5)).split()
+    back = archive.read_compressed(spark, str(tmp_path / "c"), ("m", "n"))
+    assert back.shape == (4, 5) and back.df.count() == 0
+    for bad in ("", "22 serialization::archive 15 0 0 2 0 5", "1 2 3"):
+        (tmp_path / "bad").write_text(bad)
+        with pytest.raises(ValueError, match="archive"):
+            archive.read_dense(spark, str(tmp_path / "bad"), ("m", "n"))

@@ -135,8 +135,14 @@ class Graph:
 
     @staticmethod
     def from_rows(offsets: DataFrame, targets: DataFrame, n: int, by_source: bool = True) -> Graph:
-        """From offsets (v, off; n + 1 rows) and targets (pos, t): sources' rows, or destinations' if not by_source."""
+        """From offsets (v, off; n + 1 rows) and targets (pos, t): sources' rows, or destinations' if not by_source.
+
+        Rows' ranges are met by the positions inside them block by block; no
+        range is spread out, so a hub's row is many tasks.
+        """
+        from weftspark.operators import scans
+
         nxt = offsets.select((F.col("v") - 1).alias("v"), F.col("off").alias("stop"))
-        rows = offsets.join(nxt, "v").where("off < stop").select("v", F.explode(F.expr("sequence(off, stop - 1)")).alias("pos"))
+        ranges = offsets.join(nxt, "v").select("v", F.col("off").alias("start"), "stop")
         own, other = ("s", "d") if by_source else ("d", "s")
-        return Graph(rows.join(targets, "pos").select(F.col("v").alias(own), F.col("t").alias(other), "pos"), n)
+        return Graph(scans.with_owner(targets, ranges, "pos", "v").select(F.col("v").alias(own), F.col("t").alias(other), "pos"), n)

@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftspark import storage
 from weftspark.model import Tensor
+from weftspark.operators import scans
 from weftspark.operators.linalg import matmul, matmul_tiled, scale
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -40,19 +41,19 @@ def fan_out(source: DataFrame, *consumers: Stage) -> list[DataFrame]:
     return [c(made) for c in consumers]
 
 
-def groups(stream: DataFrame, levels: int, key: str | None = None) -> DataFrame:
+def groups(stream: DataFrame, levels: int, key: str | None = None, nested: bool = False, stride: int = scans.STRIDE) -> DataFrame:
     """Rows of a punctuated stream (seq, tag, value) with a column g0 to g{levels-1} per nesting level.
 
     tag is null for a value; a marker's tag k ends the group of level k (0 is
-    innermost) and all inside it. With key, each key is a stream of its own and
-    streams are dealt out by it; without, there is one, which has one order.
+    innermost) and all inside it. g counts the groups that have ended before, in
+    the whole stream, or, if nested, in the group around (the outer group's end
+    starts the count again). With key, each key is a stream of its own. Streams
+    are counted in stretches of `stride` numbers and carries between them, so a
+    single stream is many tasks.
     """
-    keys = [key] if key else []
-    before = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    out = stream
-    for k in range(levels):
-        out = out.withColumn(f"g{k}", F.coalesce(F.sum((F.col("tag") >= k).cast("bigint")).over(before), F.lit(0)))
-    return out.where("tag IS NULL").drop("tag")
+    ends = lambda k: F.coalesce(F.col("tag") >= k, F.lit(False))
+    parts = {f"g{k}": (ends(k + 1) if nested else F.lit(False), (ends(k) & ~ends(k + 1) if nested else ends(k)).cast("bigint")) for k in range(levels)}
+    return scans.segmented_sums(stream, "seq", parts, [key] if key else [], stride, 2).where("tag IS NULL").drop("tag")
 
 
 def pair(left: DataFrame, right: DataFrame, on: list[str], how: str = "both") -> DataFrame:

@@ -46,6 +46,7 @@ def matmul_tiled(a: Tensor, b: Tensor, tile: tuple[int, int, int], scale: int =
     for dense matrices the shuffle shrinks by the tile's size. Where tiles have
     fewer different k than there are shuffle partitions, those of the longer
     matrix are dealt out over several keys and the other's repeated for each.
+    Entries are those of matmul(): where a product met, even if the sum is 0.
     """
     if a.shape[1] != b.shape[0]:
         raise ValueError("inner sizes differ")
@@ -64,18 +65,26 @@ def matmul_tiled(a: Tensor, b: Tensor, tile: tuple[int, int, int], scale: int =
     xb = tiles(b, tk, tn, ("k1", "n1"), "xb").withColumn("salt", copied if long >= wide else dealt("n1"))
     pairs = xa.join(xb, ["k1", "salt"])
 
-    def block(places: np.ndarray, values: np.ndarray, rows: int, cols: int) -> np.ndarray:
-        out = np.zeros(rows * cols, np.int64)
-        out[places] = values
-        return out.reshape(rows, cols)
+    def block(places: np.ndarray, values: np.ndarray, rows: int, cols: int) -> tuple[np.ndarray, np.ndarray]:
+        out, seen = np.zeros(rows * cols, np.int64), np.zeros(rows * cols, np.float32)
+        out[places], seen[places] = values, 1
+        return out.reshape(rows, cols), seen.reshape(rows, cols)
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sums: dict[tuple, np.ndarray] = {}
+            sums: dict[tuple, list[np.ndarray]] = {}
             for m1, n1, pa, va, pb, vb in pdf.itertuples(index=False):
-                z = block(pa, va, tm, tk) @ block(pb, vb, tk, tn)
-                sums[m1, n1] = sums[m1, n1] + z if (m1, n1) in sums else z
-            parts = [pd.DataFrame({"m": (i // tn + m1 * tm).astype(np.int32), "n": (i % tn + n1 * tn).astype(np.int32), "v": z.ravel()[i]}) for (m1, n1), z in sums.items() if len(i := np.flatnonzero(z.ravel()))]
+                (x, sx), (y, sy) = block(pa, va, tm, tk), block(pb, vb, tk, tn)
+                if float(np.abs(x).max()) * float(np.abs(y).max()) * tk >= 2.0**62:
+                    raise OverflowError("a tile's sum may leave 64 bits")
+                made = sums.setdefault((m1, n1), [])
+                made.append((x @ y, sx @ sy > 0))
+                if len(made) > 1:
+                    (z, seen), (w, also) = made
+                    if max(float(np.abs(z).max()), float(np.abs(w).max())) >= 2.0**62:
+                        raise OverflowError("a tile's sum may leave 64 bits")
+                    sums[m1, n1] = [(z + w, seen | also)]
+            parts = [pd.DataFrame({"m": (i // tn + m1 * tm).astype(np.int32), "n": (i % tn + n1 * tn).astype(np.int32), "v": z.ravel()[i]}) for (m1, n1), [(z, seen)] in sums.items() if len(i := np.flatnonzero(seen.ravel()))]
             if parts:
                 yield pd.concat(parts)
 

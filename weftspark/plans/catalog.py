@@ -12,7 +12,7 @@ from weftspark import check, storage
 from weftspark.functions import reductions as R
 from weftspark.functions import scalar as S
 from weftspark.model import Graph, Tensor
-from weftspark.operators import conv, dataflow, footprint, graph, linalg, loops, scan, sparse, trace
+from weftspark.operators import blocks, conv, dataflow, footprint, graph, linalg, loops, scan, sparse, trace
 from weftspark.operators.einsum import einsum
 from weftspark.plans import sql as Q
 from weftspark.sources import archive, statistics
@@ -212,7 +212,7 @@ def matmul(spark, d):
     return linalg.matmul(*_operands(spark, d)).df
 
 
-@query(_MM + "SELECT m, n, v FROM z WHERE v <> 0")
+@query(_MM + "SELECT m, n, v FROM z")
 def matmul_tiled(spark, d):
     return linalg.matmul_tiled(*_operands(spark, d), (128, 32, 32)).df
 
@@ -225,7 +225,7 @@ for _form in ("fused", "decoupled", "staged"):
     _QUERIES[f"mm_scale_{_form}"] = _fused(_form)
     _SQL[f"mm_scale_{_form}"] = _MM + "SELECT m, n, v * 17 AS v FROM z"
     _QUERIES[f"mm_scale_{_form}_tiled"] = _fused(_form, (128, 32, 32))
-    _SQL[f"mm_scale_{_form}_tiled"] = _MM + "SELECT m, n, v * 17 AS v FROM z WHERE v <> 0"
+    _SQL[f"mm_scale_{_form}_tiled"] = _MM + "SELECT m, n, v * 17 AS v FROM z"
 
 
 @query(Q.with_(Q.SUP) + "SELECT m, n, v * 17 AS v FROM sup")
@@ -582,6 +582,21 @@ def spmv_rounds_weighted(spark, d):
     return graph.spmv_rounds(g, x=g.vertices.select("v", (F.col("v") % 7).alias("x")))
 
 
+@query(Q.power_rounds(10, 1_000_003))
+def spmv_ten_rounds(spark, d):
+    """Ten products, each with the remainders of the one before, over blocks of the matrix that stay where they are."""
+    g = D.order_graph(spark, d)
+    return blocks.BlockMatrix.from_graph(g, 1024, 1024).rounds(g.vertices.select("v", (F.col("v") % 7 + 1).alias("x")), g.n, 10, 1_000_003)
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT d AS v, sum(w * (s % 7))::BIGINT AS y FROM e GROUP BY d")
+def spmv_five_levels(spark, d):
+    """A product straight from the five-level tiles."""
+    g = D.order_graph(spark, d)
+    matrix = blocks.BlockMatrix.from_tiles(sparse.tiled(g, "csr5_dst_tile", 32, 64, 4))
+    return matrix.multiply(g.vertices.select("v", (F.col("v") % 7).alias("x")))
+
+
 @query(Q.with_(Q.GRAPH) + "SELECT d AS v, sum(w)::BIGINT AS y FROM e WHERE s IN (SELECT s FROM e GROUP BY s HAVING count(*) > 10) GROUP BY d")
 def spmv_frontier(spark, d):
     g = D.order_graph(spark, d)
@@ -711,3 +726,22 @@ def punctuated_groups(spark, d):
     mark = e.agg(F.min("event_type")).first()[0]
     s = e.select((F.col("user_id") % 5).alias("stream"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == mark, 0).alias("tag"), F.floor("value").cast("bigint").alias("value"))
     return dataflow.groups(s, 1, "stream").select("stream", "seq", "value", "g0")
+
+
+_TAGS = "t AS (SELECT event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 2 WHEN event_id % 13 = 0 THEN 1 WHEN event_id % 5 = 0 THEN 0 END AS tag, floor(value)::BIGINT AS value FROM events)"
+_BEFORE = "OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(Q.with_(_TAGS, f"o AS (SELECT *, coalesce(sum((tag >= 2)::INT) {_BEFORE}, 0) AS a, coalesce(sum((tag >= 1)::INT) {_BEFORE}, 0) AS b FROM t)") + f"SELECT seq, value, coalesce(sum((tag = 0)::INT) {_BEFORE.replace('(ORDER', '(PARTITION BY b ORDER')}, 0)::BIGINT AS g0, coalesce(sum((tag = 1)::INT) {_BEFORE.replace('(ORDER', '(PARTITION BY a ORDER')}, 0)::BIGINT AS g1, a::BIGINT AS g2 FROM o QUALIFY tag IS NULL")
+def punctuated_nested(spark, d):
+    """One stream without keys, markers of three nesting levels: each group's number in the group around it."""
+    i = F.col("event_id")
+    e = D.table(spark, d, "events").select(i.alias("seq"), F.when(i % 97 == 0, 2).when(i % 13 == 0, 1).when(i % 5 == 0, 0).alias("tag"), F.floor("value").cast("bigint").alias("value"))
+    return dataflow.groups(e, 3, nested=True, stride=1024)
+
+
+@query(Q.with_(Q.GRAPH, "b AS (SELECT s, min(d) AS lo, max(d) + 1 AS hi FROM e GROUP BY s)") + "SELECT s, unnest(range(lo, hi))::BIGINT AS i FROM b")
+def loop_over_spans(spark, d):
+    """Every vertex between the first and the last neighbour of each: long ranges, cut and dealt out."""
+    b = D.order_graph(spark, d).edges.groupBy("s").agg(F.min("d").cast("bigint").alias("lo"), (F.max("d") + 1).cast("bigint").alias("hi"))
+    return loops.inner(b, "i", F.col("lo"), F.col("hi"), deal=256).select("s", "i")

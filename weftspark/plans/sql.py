@@ -26,6 +26,14 @@ def pagerank(rounds: int = 12) -> str:
     return with_(*parts) + f"SELECT v, rank, delta, active FROM p{rounds}"
 
 
+def power_rounds(rounds: int, modulus: int) -> str:
+    """Products of the graph's matrix, each with the remainders of the one before."""
+    parts = [GRAPH, "x0 AS (SELECT v, v % 7 + 1 AS x FROM vs)"]
+    for k in range(rounds):
+        parts.append(f"x{k + 1} AS MATERIALIZED (SELECT vs.v, coalesce(y, 0)::BIGINT AS x FROM vs LEFT JOIN (SELECT e.d AS v, sum(w * x) % {modulus} AS y FROM e JOIN x{k} ON x{k}.v = e.s GROUP BY e.d) USING (v))")
+    return with_(*parts) + f"SELECT v::INT AS v, x FROM x{rounds}"
+
+
 def nibble(rounds: int, gain: str, update: str, test: str, kind: str, out: str) -> str:
     parts = [GRAPH, DEG, f"p0 AS (SELECT range AS seed, range AS v, 0::{kind} AS rank, 1::{kind} AS residual, true AS front FROM range(3))"]
     for k in range(rounds):

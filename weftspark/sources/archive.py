@@ -1,144 +1,178 @@
-"""Text archives of dense and compressed tensors, and statistics files.
+"""Text archives of dense and compressed tensors, read and written in parallel.
 
 An archive is one line of tokens: a fixed head, then counts and values. A dense
 one holds the dimensions, innermost first, and the values in row-major order. A
 compressed one holds rank, entries, dimensions, names, the last coordinate, and
 per level, outermost first, segments and then coordinates, and the values.
+
+The line is read with a blank as the end of a record, so Spark splits a file at
+byte ranges as it does any text; tokens are numbered inside a split and moved up
+by the splits before it. It is written the same way: tasks write ranges of
+tokens, and the files of the folder, in the order of their names, are the line.
+Only heads (dimensions and counts) and a row per split come to the driver.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.model import Tensor
+from weftspark import storage
+from weftspark.model import Tensor, flatten, unflatten
+from weftspark.operators import scans, sparse
 
 #: Fixed values of the format: the tokens every archive starts with.
 HEAD = ["22", "serialization::archive", "15"]
 
 
-def tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(i, t): the tokens of an archive in order."""
-    line = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.trim(F.regexp_replace("value", r"\s+", " ")), "^ ", "").alias("line"))
-    return line.select(F.posexplode(F.split("line", " ")).alias("i", "t"))
-
-
-def _head(rows: DataFrame, n: int) -> list[str]:
-    """The first tokens (n of them: dimensions and the like, never values)."""
-    return [r.t for r in rows.where(F.col("i") < n).orderBy("i").collect()]
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds k, a row's number in its split; a task reads its splits one after another."""
+    now, n = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        file, start = b.column(0).dictionary_encode().indices.to_numpy(), b.column(1).to_numpy()
+        new = np.append(True, (file[1:] != file[:-1]) | (start[1:] != start[:-1]))
+        at = np.flatnonzero(new)
+        k = np.arange(b.num_rows) - np.repeat(at, np.diff(np.append(at, b.num_rows)))
+        if (b.column(0)[0].as_py(), int(start[0])) == now:
+            k[: at[1] if len(at) > 1 else b.num_rows] += n
+        now, n = (b.column(0)[b.num_rows - 1].as_py(), int(start[-1])), int(k[-1]) + 1
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k)], names=["file", "start", "t", "k"])
+
+
+class Tokens:
+    """The tokens of an archive: a file, or a folder whose files in the order of their names are the line."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        raw = spark.read.option("lineSep", " ").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+        # a record is a token, but at double blanks and line ends
+        found = raw.select("file", "start", F.explode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("t"))
+        self.rows = storage.save(found.mapInArrow(_numbered, "file string, start long, t string, k long"), "tokens")
+        counts = self.rows.groupBy("file", "start").agg((F.max("k") + 1).alias("n")).orderBy("file", "start").collect()  # a row per split
+        self.splits, self.before = [(r.file, r.start) for r in counts], [0]
+        for r in counts:
+            self.before.append(self.before[-1] + r.n)
+        self.held: dict[int, str] = {}
+
+    def word(self, i: int, ahead: int = 64) -> str:
+        """Token i; some after it are fetched with it."""
+        if i not in self.held and 0 <= i < self.before[-1]:
+            which = bisect_right(self.before, i) - 1
+            (file, start), base = self.splits[which], self.before[which]
+            near = self.rows.where((F.col("file") == file) & (F.col("start") == start) & F.col("k").between(i - base, i - base + ahead - 1))
+            self.held |= {base + r.k: r.t for r in near.select("k", "t").collect()}
+        if i not in self.held:
+            raise ValueError("the archive ends early")
+        return self.held[i]
+
+    def number(self, i: int) -> int:
+        return int(self.word(i))
+
+    def section(self, first: int, n: int, place: str, value: str) -> DataFrame:
+        """(place, value): n whole numbers from token `first` on, numbered from 0."""
+        spark = self.rows.sparkSession
+        known = [(f, s, b - first) for (f, s), b, c in zip(self.splits, self.before, self.before[1:], strict=False) if c > first and b < first + n]
+        bases = storage.small(spark.createDataFrame(known, "file string, start long, base long")) if known else spark.createDataFrame([], "file string, start long, base long")
+        mine = F.col(place).between(0, n - 1)
+        rows = self.rows.join(bases, ["file", "start"]).select((F.col("base") + F.col("k")).alias(place), "t")
+        return rows.where(mine).select(place, F.when(mine, F.col("t").cast("bigint")).alias(value))  # other tokens need not be numbers
 
 
 def read_dense(spark: SparkSession, path: str, index: tuple[str, ...], value: str = "v") -> Tensor:
     """A dense tensor; index names its dimensions, outermost first."""
-    rows, rank = tokens(spark, path), len(index)
-    head = _head(rows, 9 + rank)
-    if head[:3] != HEAD or int(head[5]) != rank:
+    line, rank = Tokens(spark, path), len(index)
+    if [line.word(i) for i in range(3)] != HEAD or line.number(5) != rank:
         raise ValueError(f"{path} is no archive of rank {rank}")
-    shape = tuple(int(x) for x in head[7 : 7 + rank][::-1])
-    start = 7 + rank + 2
-    flat = rows.where(F.col("i") >= start).select((F.col("i") - start).cast("bigint").alias("_p"), F.col("t").cast("bigint").alias(value))
-    out, rest = [], F.col("_p")
-    for name, d in zip(reversed(index), reversed(shape), strict=True):
-        out.append((rest % d).cast("int").alias(name))
-        rest = F.floor(rest / d)
-    return Tensor(flat.select(*out[::-1], value), index, shape, value)
+    shape = tuple(line.number(7 + k) for k in range(rank))[::-1]
+    size, first = line.number(7 + rank), 7 + rank + 2
+    flat = line.section(first, size, "_p", value)
+    return Tensor(flat.select(*unflatten(F.col("_p"), index, shape), value), index, shape, value)
+
+
+def _write(tokens: list[DataFrame], path: str) -> None:
+    """Writes tokens (i, t) in order, in as many files as there are ranges of them."""
+    every = reduce(DataFrame.unionByName, tokens)
+    every.repartitionByRange("i").sortWithinPartitions("i").select(F.col("t").alias("value")).write.option("lineSep", " ").text(path)
+
+
+def _head(spark: SparkSession, first: int, words: list) -> DataFrame:
+    return spark.createDataFrame([(first + k, str(w)) for k, w in enumerate(words)], "i long, t string")
 
 
 def write_dense(t: Tensor, path: str) -> None:
-    """Writes a dense tensor; the line is put together in one task, as a file of this format is one line."""
-    full = t.dense()
-    flat = F.lit(0).cast("bigint")
-    for c, d in zip(t.index, t.shape, strict=True):
-        flat = flat * d + F.col(c)
+    """Writes a dense tensor."""
     n = 1
     for d in t.shape:
         n *= d
-    head = " ".join([*HEAD, "0", "0", str(len(t.shape)), "0", *map(str, t.shape[::-1]), str(n), "0"])
-    body = full.df.agg(F.array_sort(F.collect_list(F.struct(flat.alias("p"), F.col(t.value).alias("x")))).alias("a"))
-    body.select(F.concat_ws(" ", F.lit(head), F.concat_ws(" ", F.transform("a", lambda s: s["x"].cast("string")))).alias("value")).coalesce(1).write.text(path)
+    head = [*HEAD, 0, 0, len(t.shape), 0, *t.shape[::-1], n, 0]
+    place = flatten([F.col(c) for c in t.index], t.shape) + len(head)
+    _write([_head(t.df.sparkSession, 0, head), t.dense().df.select(place.alias("i"), F.col(t.value).cast("bigint").cast("string").alias("t"))], path)
 
 
 def read_compressed(spark: SparkSession, path: str, index: tuple[str, ...], value: str = "v") -> Tensor:
-    """A compressed tensor as coordinates; index names its levels, outermost first. The format is one line, so one task reads it."""
-    line = " ".join(r.t for r in tokens(spark, path).orderBy("i").toLocalIterator())
-    shape, segments, coords, values = parse_compressed(line)
-    if len(shape) != len(index):
-        raise ValueError(f"{path} has rank {len(shape)}")
-    schema = ", ".join([*(f"{c} int" for c in index), f"{value} bigint"])
-    return Tensor(spark.createDataFrame(expand(segments, coords, values), schema), index, shape, value)
-
-
-class _Reader:
-    def __init__(self, text: str):
-        self.t, self.at = text.split(), 0
-
-    def word(self) -> str:
-        self.at += 1
-        return self.t[self.at - 1]
-
-    def number(self) -> int:
-        return int(self.word())
-
-    def vector(self) -> list[int]:
-        n = self.number()
-        self.word()  # item version
-        return [self.number() for _ in range(n)]
-
-    def names(self) -> list[str]:
-        self.word(), self.word()  # class tracking
-        n = self.number()
-        self.word()
-        return [(self.word(), self.word())[1] for _ in range(n)]
-
-
-def parse_compressed(text: str) -> tuple[tuple[int, ...], list[list[int]], list[list[int]], list[int]]:
-    """Shape (outermost first), segments and coordinates per level, and values of a compressed archive's line."""
-    r = _Reader(text)
-    if [r.word() for _ in range(3)] != HEAD:
-        raise ValueError("no archive")
-    r.word(), r.word()
-    rank, _ = r.number(), r.number()
-    sizes = r.vector()
-    r.names(), r.vector()
-    segments = [(r.vector(), r.vector())[1] for _ in range(rank)]
-    coords = [(r.vector(), r.vector())[1] for _ in range(rank)]
-    values = (r.vector(), r.vector())[1]
-    return tuple(sizes[::-1]), segments, coords, values
-
-
-def expand(segments: list[list[int]], coords: list[list[int]], values: list[int]) -> list[tuple[int, ...]]:
-    """Entries (coordinates, value) of a compressed tensor."""
-    fibers: list[tuple[tuple[int, ...], int]] = [((), 0)]
-    for seg, coord in zip(segments, coords, strict=True):
-        fibers = [((*prefix, coord[p]), p) for prefix, f in fibers for p in range(seg[f], seg[f + 1])]
-    return [(*prefix, values[p]) for prefix, p in fibers]
-
-
-def compressed_line(entries: list[tuple[int, ...]], shape: tuple[int, ...]) -> str:
-    """The archive's line for sorted entries (coordinates, value)."""
-    rank = len(shape)
-    segments, coords = [[0] for _ in range(rank)], [[] for _ in range(rank)]
-    before = None
-    for e in entries:
-        # from the first coordinate that changed on, each level has a new point, and below it a new fiber
-        first = 0 if before is None else next((k for k in range(rank) if e[k] != before[k]), rank)
-        for k in range(first, rank):
-            if k > first or before is None:
-                segments[k].append(segments[k][-1])
-            coords[k].append(e[k])
-            segments[k][-1] += 1
-        before = e
-    if before is None and rank:
-        segments[0].append(0)
-    vec = lambda x: f"{len(x)} 0" + "".join(f" {v}" for v in x)
-    last = list(entries[-1][:rank][::-1]) if entries else [0] * rank
-    parts = [*HEAD, "0 0", str(rank), str(len(entries)), vec(shape[::-1]), "0 0 0 0", vec(last)]
-    for x in [*segments, *coords, [e[-1] for e in entries]]:
-        parts += [vec([len(x)]), vec(x)]
-    return " ".join(parts)
+    """A compressed tensor as coordinates; index names its levels, outermost first.
+
+    Each level's positions find the fiber that holds them block by block, so a
+    fiber of any length is many tasks.
+    """
+    line = Tokens(spark, path)
+    if [line.word(i) for i in range(3)] != HEAD:
+        raise ValueError(f"{path} is no archive")
+    rank = line.number(5)
+    if rank != len(index) or line.number(7) != rank:
+        raise ValueError(f"{path} has rank {rank}")
+    shape = tuple(line.number(9 + k) for k in range(rank))[::-1]
+    at = 9 + rank
+    at += 4 + 2 * line.number(at + 2)  # names
+    at += 2 + line.number(at)  # the last coordinate
+    sections = []
+    for _ in range(2 * rank + 1):
+        at += 3  # a list of one number, the length of what follows
+        n = line.number(at)
+        sections.append((at + 2, n))
+        at += 2 + n
+    rows = None
+    for level, name in enumerate(index):
+        bounds = line.section(*sections[level], "_f", "start")
+        ranges = bounds.join(bounds.select((F.col("_f") - 1).alias("_f"), F.col("start").alias("stop")), "_f")
+        own = scans.with_owner(line.section(*sections[rank + level], "_p", name), ranges, "_p", "_f")
+        if rows is None:
+            rows = own.select("_p", F.col(name).cast("int").alias(name))
+        else:
+            rows = own.join(rows.withColumnRenamed("_p", "_f"), "_f").select("_p", *index[:level], F.col(name).cast("int").alias(name))
+    return Tensor(rows.join(line.section(*sections[-1], "_p", value), "_p").select(*index, value), index, shape, value)
 
 
 def write_compressed(t: Tensor, path: str) -> None:
-    """Writes a compressed tensor; the format is one line, so its entries pass the driver."""
-    entries = [tuple(r) for r in t.df.select(*t.index, t.value).orderBy(*t.index).toLocalIterator()]
-    t.df.sparkSession.createDataFrame([(compressed_line(entries, t.shape),)], "value string").coalesce(1).write.text(path)
+    """Writes a compressed tensor."""
+    spark, rank = t.df.sparkSession, len(t.shape)
+    c = sparse.encode(t)
+    fibers = {r.level: r.n for r in c.segments.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    points = {r.level: r.n for r in c.coords.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    entries = points.get(rank - 1, 0)
+    final = t.df.orderBy(*[F.col(x).desc() for x in t.index]).select(*t.index).first()
+    head = [*HEAD, 0, 0, rank, entries, rank, 0, *t.shape[::-1], 0, 0, 0, 0, rank, 0, *(reversed(final) if final else [0] * rank)]
+    parts, at = [_head(spark, 0, head)], len(head)
+
+    def add(n: int, first: list, rows: DataFrame, place: str, value: str) -> None:
+        nonlocal at
+        words = [1, 0, n, n, 0, *first]
+        body = rows.select((F.col(place) + (at + len(words))).cast("long").alias("i"), F.col(value).cast("string").alias("t"))
+        parts.extend([_head(spark, at, words), body])
+        at += 5 + n
+
+    for k in range(rank):
+        # a fiber's segment begins where the one before ends; without entries the root's is empty
+        none = [0] if k == 0 and not entries else []
+        add(fibers.get(k, 0) + 1 + len(none), [0, *none], c.segments.where(F.col("level") == k), "parent_pos", "stop")
+    for k in range(rank):
+        add(points.get(k, 0), [], c.coords.where(F.col("level") == k), "pos", "coord")
+    add(entries, [], c.values, "pos", "v")
+    _write(parts, path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and is below this many bytes.
@@ -34,9 +34,37 @@ def save(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def buckets(spark: SparkSession) -> int:
+    """Buckets of a bucketed table: as many as shuffle partitions, so that a shuffled side meets it without another exchange."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def save_bucketed(df: DataFrame, by: list[str], name: str = "table", dealt: bool = False, **seen: Column) -> DataFrame:
+    """Writes df as a table bucketed by columns: joins and aggregations on them read it where it lies.
+
+    dealt: the rows come out of a join or an aggregation on `by`, so they lie
+    right and are written as they are. seen: aggregates that are taken while
+    writing, by name in the result's _weft_seen; no job of their own is needed.
+    """
+    spark = df.sparkSession
+    label = f"weft_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/weft/{label}"
+    count = Observation(label) if seen else None
+    if count:
+        df = df.observe(count, *[c.alias(k) for k, c in seen.items()])
+    if not dealt:
+        df = df.repartition(buckets(spark), *by)
+    df.write.format("parquet").bucketBy(buckets(spark), *by).option("path", path).saveAsTable(label)
+    out = spark.table(label)
+    out._weft_path, out._weft_table, out._weft_seen = path, label, count.get if count else {}
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes saved tables that nothing reads any more; others are left alone."""
     for df in tables:
+        if label := getattr(df, "_weft_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {label}")
         if where := getattr(df, "_weft_path", None):
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
