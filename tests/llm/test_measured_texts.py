@@ -221,11 +221,12 @@ def aligned(tokenizers, texts):
 ODD = ["", None, " ", "  two  spaces ", "tab\tand\nline\r\n end", "▁", "a▁b c", "x <|endoftext|> y<|endoftext|>", "<unk> </s> <s> <0x41>", "日本語 テキスト", "🙂 🙂🙂", "a b   c", "it's we'll 've 's", "\x00 \x1c x \x85 y", "é é", "1234567 89,000.50", "ſ ẞ ß"]
 
 
-@pytest.mark.parametrize("shard,held,step", [(1 << 20, 1 << 20, 1 << 18), (50, 40, 300)])
-def test_alignment(spark, awkward, tokenizers, monkeypatch, shard, held, step):
+@pytest.mark.parametrize("shard,held,step,joined", [(1 << 20, 1 << 20, 1 << 20, 1 << 14), (50, 40, 300, 20)])
+def test_alignment(spark, awkward, tokenizers, monkeypatch, shard, held, step, joined):
     monkeypatch.setattr(alignment, "SHARD_ROWS", shard)
     monkeypatch.setattr(alignment, "HELD", held)
-    monkeypatch.setattr(common, "STEP_BYTES", step)
+    monkeypatch.setattr(alignment, "STEP", step)
+    monkeypatch.setattr(alignment, "JOINED", joined)
     rows = [*awkward[0], *((1000 + k, t, k, "") for k, t in enumerate(ODD))]
     docs = spark.createDataFrame(rows, awkward[1].schema).repartition(3)
     got = alignment.align(docs, registry.tokenizer_path("byte_bpe_50k.json"), registry.tokenizer_path())

@@ -36,6 +36,10 @@ from pyspark.sql import functions as F
 
 from weftspark.llm import common
 
+#: Bytes of text whose distinct units are encoded together; a longer text is taken in parts.
+STEP = 1 << 20
+#: Characters of units that a library call gets as one text.
+JOINED = 1 << 14
 #: Partial counts in a shard, about.
 SHARD_ROWS = 1 << 20
 #: Different keys that a counting task holds before it hands them on.
@@ -107,21 +111,43 @@ class Aligner:
 
 
 class Units:
-    """The alignment of some units. good: whether either side's bytes are a space and the unit; others have no tokens."""
+    """The alignment of some units. good: whether either side's bytes are a space and the unit; others have no tokens.
+
+    Units without white space at their ends are put side by side again, in
+    texts of JOINED characters: a call for each unit would cost more than its
+    tokens. Their tokens are told apart by the bytes they end at.
+    """
 
     def __init__(self, by: Aligner, units: list[str]):
-        a, b = by.ids(units)
         raw = [(" " + u).encode() for u in units]
         self.good = np.ones(len(units), bool)
+        texts, held, size = [], [], 0
+        for k, u in enumerate(units):
+            alone = u[:1].isspace() or u[-1:].isspace() or SPACE in u
+            if held and (alone or size > JOINED):
+                texts.append(held)
+                held, size = [], 0
+            held.append(k)
+            size += len(u)
+            if alone:
+                texts.append(held)
+                held, size = [], 0
+        if held:
+            texts.append(held)
+        a, b = by.ids([" ".join(units[t[0] : t[-1] + 1]) for t in texts])
         if b"".join([by.bytes_a[i] for x in a for i in x]) != (whole := b"".join(raw)) or b"".join([by.bytes_b[i] for x in b for i in x]) != whole:
-            for k, want in enumerate(raw):
-                self.good[k] = b"".join([by.bytes_a[i] for i in a[k]]) == want == b"".join([by.bytes_b[i] for i in b[k]])
-                if not self.good[k]:
-                    a[k], b[k], raw[k] = [], [], b""
-        self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        ids_a, ids_b = (np.fromiter((i for y in x for i in y), np.int64) for x in (a, b))
+            for k, t in enumerate(texts):
+                want = b"".join(raw[t[0] : t[-1] + 1])
+                if not b"".join([by.bytes_a[i] for i in a[k]]) == want == b"".join([by.bytes_b[i] for i in b[k]]):
+                    if len(t) > 1:
+                        raise AssertionError("units side by side have other tokens than alone")
+                    self.good[t[0]], a[k], b[k], raw[t[0]] = False, [], [], b""
+        ids_a, ids_b = (np.concatenate([np.zeros(0, np.int64), *(np.array(y, np.int64) for y in x)]) for x in (a, b))
         end_a, end_b = np.cumsum(by.size_a[ids_a]), np.cumsum(by.size_b[ids_b])
         unit_end = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        if not (np.isin(unit_end, end_a) | ~self.good | (unit_end == 0)).all():
+            raise AssertionError("a token spans two units")
+        self.n_a, self.n_b = (np.bincount(np.searchsorted(unit_end, x), minlength=len(units)) for x in (end_a, end_b))
         # ends in common
         at = np.searchsorted(end_a, end_b)
         met = end_a[np.minimum(at, len(end_a) - 1)] == end_b if len(end_a) else np.zeros(0, bool)
@@ -228,18 +254,18 @@ def linked(docs: DataFrame, byte_json: bytes, piece_model: bytes) -> DataFrame:
         by = _aligner(byte_json, piece_model)
         for batch in batches:
             _, off = common.texts_of(batch.column(1))
-            for lo, hi in common.steps(off):
+            for lo, hi in common.steps(off, STEP):
                 texts = pc.fill_null(batch.column(1).slice(lo, hi - lo), "").to_pylist()
                 seen = [_Text() for _ in texts]
                 full = [k for k, t in enumerate(texts) if t]
                 if hi - lo == 1 and full:
-                    for part in cut(texts[0], common.STEP_BYTES):
+                    for part in cut(texts[0], STEP):
                         seen[0].add(*next(_step(by, [part])))
                 elif full:
                     for k, found in zip(full, _step(by, [texts[k] for k in full]), strict=True):
                         seen[k].add(*found)
                 for k in full:
-                    if seen[k].good and off[lo + k + 1] - off[lo + k] <= common.STEP_BYTES and zlib.crc32(texts[k].encode()) % WHOLE == 0:
+                    if seen[k].good and off[lo + k + 1] - off[lo + k] <= STEP and zlib.crc32(texts[k].encode()) % WHOLE == 0:
                         _check(by, texts[k], seen[k])
                 rows = [x.row() for x in seen]
                 n = [pa.array([r[0][i] for r in rows], pa.int64()) for i in range(3)]
