@@ -15,9 +15,9 @@ from weftspark.model import Graph, Tensor
 from weftspark.operators import adjacency, blocks, conv, dataflow, footprint, graph, linalg, loops, scan, scans, sparse, trace
 from weftspark.operators.einsum import Affine, einsum, parse
 from weftspark.plans import catalog
-from weftspark.sources import archive, generators, statistics
+from weftspark.sources import archive, clustered, generators, statistics
 from weftspark.sources import driver as D
-from weftspark.streaming import edges
+from weftspark.streaming import edges, groups
 
 DATA = os.environ.get("WEFT_TEST_DATA", "/root/testdata/sf0.001")
 
@@ -864,3 +864,68 @@ def test_archive_of_no_entries(spark, tmp_path):
         (tmp_path / "bad").write_text(bad)
         with pytest.raises(ValueError, match="archive"):
             archive.read_dense(spark, str(tmp_path / "bad"), ("m", "n"))
+
+
+# streams with state
+
+def test_open_groups_over_batches_and_restarts(spark, tmp_path):
+    """Each batch is a query of its own that goes on from the checkpoint; rows come in any order within what may be late, and too late ones go."""
+    rng = random.Random(9)
+    rows = [(i % 2, i, 1000 + i, rng.choice([None, None, None, 0, 1]), i * 3) for i in range(120)]
+    source, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    schema = "key long, seq long, ts timestamp, tag int, value long"
+
+    def feed(part):
+        spark.createDataFrame(part, "key long, seq long, t long, tag int, value long").select("key", "seq", F.timestamp_seconds("t").alias("ts"), "tag", "value").coalesce(1).write.mode("append").parquet(source)
+        return groups.run(groups.ended(spark.readStream.schema(schema).parquet(source), 2, "25 seconds"), out, cp)
+
+    for k in range(6):
+        own = rows[20 * k : 20 * k + 20]
+        rng.shuffle(own)
+        feed(own if k < 5 else [*own, (0, 9999, 1001, 0, 1)])  # the last row is far too late
+    got = feed([(0, 500, 2000, None, None), (1, 500, 2000, None, None)])
+    wanted = []
+    for key in (0, 1):
+        state = [[0, 0, 0], [0, 0, 0]]
+        for _, _, _, tag, value in (r for r in rows if r[0] == key):
+            for k, s in enumerate(state):
+                if tag is None:
+                    s[1], s[2] = s[1] + 1, s[2] + value
+                elif k <= tag:
+                    wanted.append((key, k, *s))
+                    s[:] = [s[0] + 1, 0, 0]
+    assert sorted(map(tuple, got.collect())) == sorted(wanted)
+
+
+# storage in cells
+
+def _files_read(df):
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return leaves.head().metrics().get("numFiles").get().value()
+
+
+def test_a_box_reads_few_files(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((70, 130)) < 0.5, rng.integers(1, 99, (70, 130)), 0)
+    t = tensor(spark, x, ("m", "n"))
+    stored = clustered.Clustered.write(t, str(tmp_path / "t"), 64)
+    for base, count, stride in (((3, 5), (6, 4), (2, 3)), ((0, 0), (70, 130), (1, 1)), ((60, 120), (9, 9), (4, 4)), ((0, 0), (2, 2), (64, 100)), ((-4, 2), (5, 1), (3, 1)), ((69, 129), (1, 1), (1, 1)), ((80, 0), (2, 2), (1, 1))):
+        got = sorted(map(tuple, stored.scan(spark, base, count, stride).collect()))
+        assert got == sorted(map(tuple, scan.strided(t, base, count, stride).collect()))
+        points = {(b0, b1) for b0 in range(base[0], base[0] + count[0] * stride[0], stride[0]) for b1 in range(base[1], base[1] + count[1] * stride[1], stride[1]) if 0 <= b0 < 70 and 0 <= b1 < 130}
+        cells = {clustered.z_number([p >> s for p, s in zip(at, stored.shift, strict=True)], stored.bits) for at in points}
+        assert cells == set(stored.cells(base, count, stride)) or cells < set(stored.cells(base, count, stride)) and max(stride) < 1 << max(stored.shift)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        every = _files_read(spark.read.parquet(str(tmp_path / "t")))
+        assert _files_read(stored.scan(spark, (3, 5), (6, 4), (2, 3))) * 8 < every
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_order_of_a_scan(spark):
+    t = tensor(spark, np.arange(1, 201).reshape(20, 10), ("m", "n"))
+    good = scan.strided(t, (0, 0), (20, 10), (1, 1), order=(1, 0))
+    assert clustered.out_of_order(good, "n", "m") == 0 and clustered.out_of_order(good, "m", "n") > 0
+    assert clustered.out_of_order(t.df.where("false"), "m") == 0

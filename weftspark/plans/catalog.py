@@ -15,8 +15,9 @@ from weftspark.model import Graph, Tensor
 from weftspark.operators import blocks, conv, dataflow, footprint, graph, linalg, loops, scan, sparse, trace
 from weftspark.operators.einsum import einsum
 from weftspark.plans import sql as Q
-from weftspark.sources import archive, statistics
+from weftspark.sources import archive, clustered, statistics
 from weftspark.sources import driver as D
+from weftspark.streaming import groups
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -745,3 +746,33 @@ def loop_over_spans(spark, d):
     """Every vertex between the first and the last neighbour of each: long ranges, cut and dealt out."""
     b = D.order_graph(spark, d).edges.groupBy("s").agg(F.min("d").cast("bigint").alias("lo"), (F.max("d") + 1).cast("bigint").alias("hi"))
     return loops.inner(b, "i", F.col("lo"), F.col("hi"), deal=256).select("s", "i")
+
+
+@query(Q.with_(Q.SUP) + "SELECT m::INT AS m, n::INT AS n, v FROM sup WHERE m BETWEEN 8 AND 60 AND m % 4 = 0 AND n BETWEEN 100 AND 399 AND (n - 100) % 3 = 0")
+def clustered_scan(spark, d):
+    """A strided box of a matrix in Z-ordered cells: files of other cells aren't read."""
+    t = D.supply_matrix(spark, d)
+    stored = clustered.Clustered.write(t, _path(spark, "clustered"), 64)
+    return stored.scan(spark, (8, 100), (14, 100), (4, 3))
+
+
+_STREAM = "r AS (SELECT user_id % 5 AS key, event_id AS seq, CASE WHEN event_id % 67 = 0 THEN 1 WHEN event_id % 11 = 0 THEN 0 END AS tag, floor(value)::BIGINT AS value FROM events), l AS (SELECT * FROM r, (SELECT unnest([0, 1]) AS level))"
+
+
+@query(Q.with_(_STREAM, "o AS (SELECT *, coalesce(sum((tag >= level)::INT) OVER (PARTITION BY key, level ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM l)") + "SELECT key, level, g, count(*) FILTER (WHERE tag IS NULL)::BIGINT AS n, coalesce(sum(value) FILTER (WHERE tag IS NULL), 0)::BIGINT AS total FROM o GROUP BY ALL HAVING bool_or(coalesce(tag >= level, false))")
+def stream_groups(spark, d):
+    """Groups of a stream fed in batches, a third of the rows a batch late, as they end; every row is counted in its place."""
+    i = F.col("event_id")
+    e = D.table(spark, d, "events")
+    last = e.agg(F.max("event_id")).first()[0]
+    width, day = last // 4 + 1, 86400  # a watermark starts at second 0
+    rows = e.select((F.col("user_id") % 5).cast("bigint").alias("key"), i.cast("bigint").alias("seq"), F.timestamp_seconds(i + day).alias("ts"), F.when(i % 67 == 0, 1).when(i % 11 == 0, 0).alias("tag"), F.floor("value").cast("bigint").alias("value"))
+    fed = rows.withColumn("batch", (F.floor(F.col("seq") / width) + (F.col("seq") % 3 == 0).cast("int")).cast("int"))
+    # rows far behind all others end the wait; they are no part of the streams
+    end = rows.select("key").distinct().select("key", F.lit(last + 1).cast("bigint").alias("seq"), F.timestamp_seconds(F.lit(last + 4 * width + day)).alias("ts"), F.lit(None).cast("int").alias("tag"), F.lit(None).cast("bigint").alias("value"))
+    source = _path(spark, "feed")
+    for k in range(5):
+        fed.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(source)
+    end.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return groups.run(groups.ended(stream, 2, f"{2 * width} seconds"), _path(spark, "ended"), _path(spark, "groups"))
