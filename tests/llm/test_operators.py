@@ -717,6 +717,110 @@ def test_lm_texts_are_scored_alone():
         assert scorer.score(mixing.Stream(*common.texts_of(pa.array([t]))))[0] == pytest.approx(together[k], rel=1e-5)
 
 
+def _scalar_score(text, code, tables, weights, bits):
+    """Natural log probability of a text, a bit at a time, from its bytes."""
+    data = list(b" ".join((text or "").encode().translate(LOW).split()) + b"\n")
+    m, mask = 0x2F0B4C47, (1 << 32) - 1
+    nodes, paths = code.nodes.tolist(), code.bits.tolist()
+    total, done, stop, scale, shift = 0.0, 0, mixing.FIRST, 1.0, 0.0
+    h, sums, start = [float(mixing.HOLD[0]), 0.0, float(mixing.HOLD[1])], [0.0] * 5, 0
+    for t, byte in enumerate(data):
+        if done == stop:
+            h = [x + y for x, y in zip(h, sums[:3], strict=True)]
+            det = h[0] * h[2] - h[1] * h[1]
+            scale, shift = min(5, max(0.2, scale + (h[2] * sums[3] - h[1] * sums[4]) / det)), min(3, max(-3, shift + (h[0] * sums[4] - h[1] * sums[3]) / det))
+            sums, stop = [0.0] * 5, 2 * stop
+        slots = []
+        for order, size in zip(mixing.ORDERS, bits, strict=True):
+            x = 0
+            if order:
+                for j in range(order, 0, -1):
+                    x = (x + ((data[t - j] if t >= j else mixing.END) + 1) * pow(m, order - j, 1 << 32)) & mask
+                x = (x ^ x >> 15) * (0x85EBCA6B + 2 * order) & mask
+            else:
+                x = sum((data[i] + 1) * pow(m, i - start, 1 << 32) for i in range(start, t)) & mask
+                x = (x ^ x >> 15) * 0xC2B2AE3D & mask
+            slots.append(x >> 32 - size)
+        pair = 256 * (data[t - 1] if t else 32) + byte
+        for k in range(int(code.first[pair]), int(code.first[pair] + code.length[pair])):
+            logs = [int(table[s ^ nodes[k]]) for table, s in zip(tables, slots, strict=True)]
+            gate = sum(abs(logs[-1]) / mixing.STEP >= v for v in mixing.SURE)
+            z = sum(float(w) * x for w, x in zip(weights[gate], logs, strict=True)) / mixing.STEP
+            p = 1 / (1 + math.exp(-max(-15.0, min(15.0, z * scale + shift))))
+            y = paths[k]
+            total += math.log(p if y else 1 - p)
+            sums = [s + v for s, v in zip(sums, (p * (1 - p) * z * z, p * (1 - p) * z, p * (1 - p), (y - p) * z, y - p), strict=True)]
+        done += 1
+        if byte in (32, mixing.END):
+            start = t + 1
+    return total
+
+
+@pytest.fixture(scope="module")
+def learnt():
+    """A code and tables learnt from some texts, and held-out texts of the same words."""
+    rng = random.Random(31)
+    lexicon = ["".join(rng.choice(["th", "er", "on", "an", "Re", "hé"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
+    texts = [" ".join(rng.choice(lexicon) for _ in range(n)) for n in (400, 300, 1, 2000, 30)] + ["", " \t ", "x" * 700]
+    stream = mixing.Stream(*common.texts_of(pa.array(texts)))
+    code, bits = mixing.Code(np.bincount(stream.pairs(), minlength=1 << 16)), mixing.sizes(1 << 18)
+    learner = mixing.Learner(code, bits)
+    learner.learn(stream)
+    return texts, code, [mixing.odds(learner.counts(k)) for k in range(4)], learner.weights, bits
+
+
+def test_lm_scores_are_those_of_a_scalar_mixer(learnt):
+    texts, code, tables, weights, bits = learnt
+    texts = [t[:1500] for t in texts] + ["the unknown words of another text"]
+    got = mixing.Scorer(code, tables, weights).score(mixing.Stream(*common.texts_of(pa.array(texts))))
+    assert got == pytest.approx([_scalar_score(t, code, tables, weights, bits) for t in texts], rel=2e-4)
+
+
+@pytest.mark.parametrize("step", [150, 1000])
+@pytest.mark.parametrize("tail", ["", " " * 3000, " end"])
+def test_lm_long_texts_are_scored_in_parts(learnt, monkeypatch, step, tail):
+    texts, code, tables, weights, bits = learnt
+    texts = ["short", texts[3] + tail, "", texts[0]]
+    whole = mixing.Stream(*common.texts_of(pa.array(texts)))
+    scorer = mixing.Scorer(code, tables, weights)
+    wanted, size = scorer.score(whole), np.diff(whole.off)
+    slots = whole.contexts(bits)
+    monkeypatch.setattr(common, "STEP_BYTES", step)
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    got, seen, parts = {}, collections.defaultdict(list), 0
+    for _, lo, hi, stream, skip, begins, last in lm._steps(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]), 0):
+        own = stream.contexts(bits)
+        for t in range(lo, hi):
+            a, b = (stream.off[t - lo], stream.off[t - lo + 1]) if begins and last else (skip, len(stream.data))
+            seen[t].append([x[a:b] for x in own])
+        if begins and last:
+            got |= dict(zip(range(lo, hi), scorer.score(stream), strict=True))
+            continue
+        refined, parts = mixing.Refinement() if begins else refined, parts + 1
+        for chunk in scorer.mixed(stream, skip):
+            refined.add(*chunk)
+        if last:
+            got[lo] = refined.total
+    assert parts > 4 and [got[k] for k in range(4)] == pytest.approx(wanted.tolist(), rel=1e-4)
+    for t in range(4):
+        for k in range(5):  # every byte once, with the slots it has in the whole text
+            assert np.concatenate([x[k] for x in seen[t]]).tolist() == slots[k][whole.off[t] : whole.off[t] + size[t]].tolist()
+
+
+def test_lm_of_long_texts(spark, monkeypatch):
+    """Counts of long texts are exact in parts; repeated and null ids stay."""
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(3000))
+    rows_ = [(1, long), (2, long + "   \n "), (2, "a b c"), (None, long), (4, None)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    monkeypatch.setattr(common, "STEP_BYTES", 1500)
+    got = sorted(((r.doc_id or 0, r.n_bytes, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm.score(df, F.col("doc_id") == 1).collect()))
+    base = _base([t for _, t in rows_], [0])
+    size = [len(b" ".join(words(t))) + 1 for _, t in rows_]
+    wanted = sorted((i or 0, s, *b) for (i, _), s, b in zip(rows_, size, base, strict=True))
+    assert [x[:5] for x in got] == [x[:5] for x in wanted] and [x[5] for x in got] == pytest.approx([x[5] for x in wanted], rel=1e-9)
+
+
 def test_lm_of_nothing(no_docs, docs):
     assert rows(lm.score(no_docs, F.lit(True))) == []
     got = lm.score(docs, F.lit(False)).collect()

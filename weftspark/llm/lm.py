@@ -3,21 +3,26 @@
 Three passes: token and byte counts of the training texts; counts and weights
 of the bit predictors (each task learns on its part, counts are added up,
 weights averaged by the bits they saw); and scoring. The predictors' tables
-grow with the square root of the training bytes and travel to all tasks (a byte
-a slot; a learning task holds four), as do the HEAD most frequent tokens. Rarer
+grow with the square root of the training bytes; a file for each lies in the
+shared folder and is memory-mapped by the tasks (a byte a slot; a learning task
+holds four). The HEAD most frequent tokens travel to all tasks. Rarer
 tokens of a text are joined with the token table, so any vocabulary
-does, and no frequent token is ever a join key.
+does, and no frequent token is ever a join key. A long text is learnt from and
+scored in parts, whatever its length.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +56,22 @@ class Base:
 
 
 def _steps(batches: Iterator[pa.RecordBatch], column: int):
+    """(batch, lo, hi, stream, skip, first, last): whole texts lo to hi, or a part of text lo, of whose stream the first `skip` bytes were in the part before."""
     for b in batches:
-        raw, off = common.texts_of(b.column(column))
-        for lo, hi in common.steps(off):
-            yield b, lo, hi, raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+        held = None
+        for lo, hi, raw, off, before in common.text_steps(*common.texts_of(b.column(column)), mixing.SHARED):
+            if before and len(common.word_spans(raw, off)[0]) == mixing.SHARED:
+                continue  # white space is all that follows
+            if held:  # only what follows tells whether a part is a text's last
+                yield _step(b, *held, held[0] != lo)
+            held = lo, hi, raw, off, before
+        if held:
+            yield _step(b, *held, True)
+
+
+def _step(b, lo, hi, raw, off, before, last):
+    stream, skip = mixing.part_of(raw, off, before, last)
+    return b, lo, hi, stream, skip, before == 0, last
 
 
 def count_tokens(train: DataFrame) -> DataFrame:
@@ -69,11 +86,10 @@ def count_tokens(train: DataFrame) -> DataFrame:
             words.clear()
             return batch
 
-        for _, lo, hi, raw, off in _steps(batches, 0):
-            stream = mixing.Stream(raw, off)
-            pairs += np.bincount(stream.pairs(), minlength=1 << 16)
-            words.update(stream.data.tobytes().split())
-            ends += hi - lo
+        for _, lo, hi, stream, skip, _, last in _steps(batches, 0):
+            pairs += np.bincount(stream.pairs()[skip:], minlength=1 << 16)
+            words.update(stream.data[skip:].tobytes().split())
+            ends += (hi - lo) * last
             if len(words) > HELD:
                 yield out()
         if words:
@@ -149,13 +165,13 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _parts([(k, j, -1, _pack(x))])
 
 
-def learn(train: DataFrame, code: mixing.Code, bits: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Tables of log odds and mixing weights from the column text."""
+def learn(train: DataFrame, code: mixing.Code, bits: tuple[int, ...]) -> tuple[list[str], np.ndarray]:
+    """Files of the tables of log odds, a byte a slot, and mixing weights, from the column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = mixing.Learner(code, bits)
-        for _, _, _, raw, off in _steps(batches, 0):
-            learner.learn(mixing.Stream(raw, off))
+        for _, _, _, stream, skip, _, _ in _steps(batches, 0):
+            learner.learn(stream, skip)
         if not learner.seen:
             return
         salt = TaskContext.get().partitionId() % SALT
@@ -172,41 +188,98 @@ def learn(train: DataFrame, code: mixing.Code, bits: tuple[int, ...]) -> tuple[l
             k, j, _, blob = (c[0].as_py() for c in b.columns)
             yield _parts([(k, j, 0, _pack(mixing.odds(_unpack(blob, np.uint64).reshape(-1, 2))) if k >= 0 else blob)])
 
+    folder = common.scratch_path(train.sparkSession, "tables")
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Writes a predictor's parts, which come in order, one after another; of tasks that are repeated, only the file named in the result is read."""
+        out, k, at = None, -1, 0
+        for b in batches:
+            for key, j, _, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key < 0:
+                    yield _parts([(key, 0, 0, blob)])
+                    continue
+                if out is None:
+                    store, path = pafs.FileSystem.from_uri(folder)
+                    store.create_dir(path, recursive=True)
+                    name, k = f"{key}-{uuid.uuid4().hex}", key
+                    out = store.open_output_stream(f"{path}/{name}")
+                for _ in range(at, j):
+                    out.write(bytes(min(PART, 1 << bits[k])))
+                out.write(_unpack(blob, np.int8).tobytes())
+                at = j + 1
+        if out is not None:
+            for _ in range(at, max(1, (1 << bits[k]) // PART)):
+                out.write(bytes(min(PART, 1 << bits[k])))
+            out.close()
+            yield _parts([(k, 0, 0, f"{folder}/{name}".encode())])
+
     rows = train.select("text").mapInArrow(run, PARTS)
-    sums = rows.repartition("k", "j", "salt").mapInArrow(_added, PARTS).repartition("k", "j").mapInArrow(finished, PARTS)
-    tables = [np.zeros(1 << b, np.int8) for b in bits]
+    sums = common.save(rows.repartition("k", "j", "salt").mapInArrow(_added, PARTS).repartition("k", "j").mapInArrow(finished, PARTS), "sums")
+    # the weights' row and a row per predictor
+    files = sums.repartitionById(len(bits) + 1, F.col("k") + 1).sortWithinPartitions("k", "j").mapInArrow(file, PARTS).collect()
+    common.drop(sums)
+    tables = [""] * len(bits)
     weights = np.full((mixing.GATES, len(mixing.ORDERS)), 0.3)
-    for r in sums.collect():  # the tables: a byte for each slot of mixing.sizes(), 10 MB for a GB of text, 78 MB for 30 GB
+    for r in files:
         if r.k < 0:
             x = _unpack(r.blob, np.float64)
             weights = (x[:-1] / x[-1]).reshape(weights.shape)
         else:
-            tables[r.k][r.j * PART : r.j * PART + len(_unpack(r.blob, np.int8))] = _unpack(r.blob, np.int8)
+            tables[r.k] = r.blob.decode()
     return tables, weights
 
 
+def table_of(where: str, bits: int) -> np.ndarray:
+    """A predictor's table, mapped where its store is mounted; without a file, a table that knows nothing."""
+    if not where:
+        return np.zeros(1 << bits, np.int8)
+    store, path = pafs.FileSystem.from_uri(where)
+    if isinstance(store, pafs.LocalFileSystem):
+        return np.memmap(path, np.int8, "r", shape=(1 << bits,))
+    with store.open_input_stream(path) as f:
+        return np.frombuffer(f.read(), np.int8)
+
+
+@functools.lru_cache(1)
+def _tables(files: tuple[str, ...], bits: tuple[int, ...]) -> list[np.ndarray]:
+    return [table_of(f, b) for f, b in zip(files, bits, strict=True)]
+
+
 RAW = "uid long, doc_id long, n_tokens long, n_known long, n_bytes long, base double, score double, token string, tf int"
 
 
-def _score(docs: DataFrame, base: Base, scorer: mixing.Scorer) -> DataFrame:
+def _score(docs: DataFrame, base: Base, code: mixing.Code, files: list[str], bits: tuple[int, ...], weights: np.ndarray) -> DataFrame:
     """For each row of docs (uid, doc_id, text) a row, with the frequent tokens' part of its base score, and a row for each of its rarer tokens."""
     hashes, logs = base.hashes, np.log10(base.counts + 1.0)
     floor, end_log, end_known = math.log10(base.total), math.log10(base.ends + 1.0), int(base.ends > 0)
     fields = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_bytes", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("token", pa.string()), ("tf", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(hashes)
-        for b, lo, hi, raw, off in _steps(batches, 2):
-            stream = mixing.Stream(raw, off)
-            text = np.repeat(np.arange(hi - lo), stream.words)
+        look, scorer = Lookup(hashes), mixing.Scorer(code, _tables(tuple(files), bits), weights)
+        for b, lo, hi, stream, skip, begins, last in _steps(batches, 2):
+            n = hi - lo
             starts, ends = stream.spans()
+            new = starts >= skip
+            text, starts, ends = np.repeat(np.arange(n), stream.words)[new], starts[new], ends[new]
             hit, place = look.find(common.word_hashes(stream.data, starts, ends)) if len(text) else (np.zeros(0, np.int64),) * 2
-            known = np.bincount(text[hit], minlength=hi - lo) + end_known
-            sums = np.bincount(text[hit], weights=logs[place], minlength=hi - lo) + end_log - (stream.words + 1) * floor
-            n = hi - lo
+            words = np.bincount(text, minlength=n)
+            known = np.bincount(text[hit], minlength=n)
+            sums = np.bincount(text[hit], weights=logs[place], minlength=n) - words * floor
             uid = b.column(0).slice(lo, n)
+            if begins and last:
+                row = words, known, sums, np.diff(stream.off), scorer.score(stream)
+            else:
+                if begins:
+                    long, refined = [np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, np.int64)], mixing.Refinement()
+                for x, y in zip(long, (words, known, sums, len(stream.data) - skip), strict=True):
+                    x += y
+                for chunk in scorer.mixed(stream, skip):
+                    refined.add(*chunk)
+                row = (*long, np.array([refined.total]))
             none = lambda t: pa.nulls(n, t)
-            yield pa.RecordBatch.from_arrays([uid, b.column(1).slice(lo, n), pa.array(stream.words + 1), pa.array(known), pa.array(np.diff(stream.off)), pa.array(sums), pa.array(scorer.score(stream) / math.log(10)), none(pa.string()), none(pa.int32())], schema=fields)
+            if last:
+                words, known, sums, size, total = row
+                yield pa.RecordBatch.from_arrays([uid, b.column(1).slice(lo, n), pa.array(words + 1), pa.array(known + end_known), pa.array(size), pa.array(sums + end_log - floor), pa.array(total / math.log(10)), none(pa.string()), none(pa.int32())], schema=fields)
             rare = np.ones(len(text), bool)
             rare[hit] = False
             rare = np.flatnonzero(rare)
@@ -237,8 +310,11 @@ def score(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col:
     tokens = count_tokens(train)
     base, values = base_of(tokens)
     code = mixing.Code(values)
-    tables, weights = learn(train, code, mixing.sizes(int(values.sum())))
-    raw = common.save(_score(docs.withColumn("uid", F.monotonically_increasing_id()), base, mixing.Scorer(code, tables, weights)), "scores")
+    bits = mixing.sizes(int(values.sum()))
+    files, weights = learn(train, code, bits)
+    raw = common.save(_score(docs.withColumn("uid", F.monotonically_increasing_id()), base, code, files, bits, weights), "scores")
+    for f in filter(None, files):
+        common.drop_path(docs.sparkSession, f)
     rare = raw.where("token is not null").join(tokens, "token").groupBy("uid").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("logs"))
     texts = raw.where("token is null").join(rare, "uid", "left")
     bits = F.col("score") * -math.log2(10)

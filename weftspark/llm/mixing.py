@@ -93,9 +93,10 @@ class Stream:
 
     ends: places of the separators; first: each text's first separator by
     number (texts + 1 values), so first[i + 1] - first[i] is its words, or 1.
+    whole: the texts end here; a text that goes on has no end byte yet.
     """
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, whole: bool = True):
         n = len(off) - 1
         data = raw.tobytes()
         joined = b"\n".join([data[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)] + [b""])
@@ -109,7 +110,8 @@ class Stream:
         keep[stop[wordless]] = True
         self.data = low[keep]
         self.off = np.concatenate([[0], np.cumsum(np.add.reduceat(keep, off[:-1] + np.arange(n), dtype=np.int64))]) if n else np.zeros(1, np.int64)
-        self.data[self.off[1:] - 1] = END
+        if whole:
+            self.data[self.off[1:] - 1] = END
         self.ends = np.flatnonzero(self.data <= 32)
         # bytes below 33 that are no spaces are parts of words
         self.ends = self.ends[(self.data[self.ends] == 32) | (self.data[self.ends] == END)]
@@ -155,8 +157,25 @@ class Stream:
         out[0] = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
         return [*((out[k] >> np.uint32(32 - b)).astype(np.int64) for k, b in zip(ORDERS, bits, strict=True)), self.pairs()]
 
-    def chunks(self) -> range:
-        return range(0, len(self.data), CHUNK)
+    def after(self, words: int) -> int:
+        """Bytes up to and with the separator of so many words."""
+        return int(self.ends[words - 1]) + 1 if words else 0
+
+    def chunks(self, skip: int = 0) -> range:
+        return range(skip, len(self.data), CHUNK)
+
+
+#: Words that two parts of a long text share: with their separators more bytes than any predictor looks back.
+SHARED = max(ORDERS)
+
+
+def part_of(raw: np.ndarray, off: np.ndarray, before: int, whole: bool) -> tuple[Stream, int]:
+    """The stream of a part of a text, the first SHARED words of which were in the part before (if before > 0), and the bytes to skip.
+
+    Slots and bits of the bytes after these are those of the whole text.
+    """
+    stream = Stream(raw, off, whole)
+    return stream, stream.after(SHARED) if before else 0
 
 
 def bits_of(stream: Stream, contexts: list[np.ndarray], code: Code, lo: int):
@@ -217,9 +236,9 @@ class Learner:
         """(slots, 2) zeros and ones of predictor k."""
         return self.tables[k].view(np.uint16).reshape(-1, 2)
 
-    def learn(self, stream: Stream) -> None:
+    def learn(self, stream: Stream, skip: int = 0) -> None:
         contexts = stream.contexts(self.bits)
-        for lo in stream.chunks():
+        for lo in stream.chunks(skip):
             slots, bit, _ = bits_of(stream, contexts, self.code, lo)
             have = [np.take(t, s) for t, s in zip(self.tables, slots, strict=True)]
             self._adapt(have, bit)
@@ -264,22 +283,24 @@ class Scorer:
         # the others' shares, by gate and byte
         self.shares = [(w[:, None] * steps.astype(np.float32)).ravel() for w in self.weights[:-1]]
 
-    def score(self, stream: Stream) -> np.ndarray:
-        """Natural log probability of each text."""
-        contexts, mixed, bits, lengths = stream.contexts(self.bits), [], [], []
-        for lo in stream.chunks():
+    def mixed(self, stream: Stream, skip: int = 0):
+        """Log odds of the mix, bits and bits of each byte, chunk by chunk."""
+        contexts = stream.contexts(self.bits)
+        for lo in stream.chunks(skip):
             slots, bit, length = bits_of(stream, contexts, self.code, lo)
             x = np.take(self.tables[-1], slots[-1]).view(np.uint8)
             gate, z = np.take(_GATE, x), np.take(self.word, x)
             for w, t, s in zip(self.shares, self.tables[:-1], slots[:-1], strict=True):
                 z += np.take(w, gate + np.take(t, s).view(np.uint8))
-            mixed.append(z)
-            bits.append(bit)
-            lengths.append(length)
-        if not mixed:
+            yield z, bit, length
+
+    def score(self, stream: Stream) -> np.ndarray:
+        """Natural log probability of each text."""
+        chunks = list(self.mixed(stream))
+        if not chunks:
             return np.zeros(0)
-        before = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-        z, bit, out = np.concatenate(mixed), np.concatenate(bits), []
+        z, bit, length = (np.concatenate(x) for x in zip(*chunks, strict=True))
+        before, out = np.concatenate([[0], np.cumsum(length)]), []
         for a, b in common.steps(stream.off, REFINED):
             lo = before[stream.off[a]]
             out.append(self._refined(z[lo : before[stream.off[b]]], bit[lo : before[stream.off[b]]], before[stream.off[a] : stream.off[b] + 1] - lo, np.diff(stream.off[a : b + 1]), stream.off[a:b] - stream.off[a]))
@@ -320,3 +341,36 @@ class Scorer:
                 shift[live] = np.clip(shift[live] + (a * g1 - c * gx) / det, -3, 3)
             live = live[length[live] > done]
         return total
+
+
+class Refinement:
+    """The score of one long text that comes in parts: the same blocks, of which sums are kept instead of bits."""
+
+    def __init__(self):
+        self.total, self.scale, self.shift = 0.0, 1.0, 0.0
+        self.h = np.array([HOLD[0], 0.0, HOLD[1]])
+        self.sums, self.seen, self.stop = np.zeros(5), 0, FIRST
+
+    def add(self, z: np.ndarray, bit: np.ndarray, length: np.ndarray) -> None:
+        """Bits of the next bytes; length: bits of each byte."""
+        before, at = np.concatenate([[0], np.cumsum(length)]), 0
+        while at < len(length):
+            if self.seen == self.stop:
+                self._next()
+            to = min(len(length), at + self.stop - self.seen)
+            x, y = z[before[at] : before[to]], bit[before[at] : before[to]]
+            t = np.clip(x * np.float32(self.scale) + np.float32(self.shift), -15, 15)
+            p = squash(t)
+            err, var = y - p, p * (1 - p)
+            self.total += float(np.log(1 - np.abs(err)).astype(np.float64).sum())
+            self.sums += [float((var * x * x).sum(dtype=np.float64)), float((var * x).sum(dtype=np.float64)), float(var.sum(dtype=np.float64)), float((err * x).sum(dtype=np.float64)), float(err.sum(dtype=np.float64))]
+            self.seen, at = self.seen + to - at, to
+
+    def _next(self) -> None:
+        """A block is over and another begins: the mix is fitted to all so far."""
+        self.h += self.sums[:3]
+        (a, c, d), (gx, g1) = self.h, self.sums[3:]
+        det = a * d - c * c
+        self.scale = float(np.clip(self.scale + (d * gx - c * g1) / det, 0.2, 5))
+        self.shift = float(np.clip(self.shift + (a * g1 - c * gx) / det, -3, 3))
+        self.sums, self.stop = np.zeros(5), 2 * self.stop
