@@ -383,6 +383,42 @@ def test_quality(spark):
     assert kept == {i for i, s in got.items() if s >= quality.THRESHOLD}
 
 
+def test_quality_scores_are_those_of_two_compressors(spark):
+    """Each score from the model's dictionaries by fresh compressors, and the calibration's slope where the weighted likelihood is flat; repeated and null ids."""
+    import zstandard
+
+    docs, labels = _labelled(spark)
+    docs = docs.union(docs.where("doc_id in (3, 400)")).union(spark.createDataFrame([(3, "$$$a BUY!!b", "s")], docs.schema))
+    model = quality.fit(docs, labels, F.lit(True))
+    assert model.known and model.trained
+
+    def size(book, raw):
+        c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(book), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(c.compress(raw))
+
+    def x(text):
+        raw = (text or "").encode()
+        return (size(model.bad, raw) - size(model.good, raw)) / (len(raw) + 1) ** 0.5
+
+    every = docs.collect()
+    wanted = collections.Counter((r.doc_id, round(1 / (1 + math.exp(-max(-30, min(30, model.slope * x(r.text) + model.offset)))), 6)) for r in every)
+    assert collections.Counter((r.doc_id, round(r.score, 6)) for r in quality.score(docs, model).collect()) == wanted
+    good, bad = ([x(r.text) for r in every if r.doc_id in ids] for ids in (range(300), range(300, 600)))
+    best = sum(a > b for a in good for b in bad) / len(good) / len(bad)
+    assert best > 0.95 and model.slope > 0
+
+
+def test_fitting_reads_the_corpus_once(spark, tmp_path, monkeypatch):
+    docs, labels = _labelled(spark)
+    docs.write.parquet(f"{tmp_path}/docs")
+    plans, whole = [], common.save
+    monkeypatch.setattr(common, "save", lambda df, name: (plans.append(df), whole(df, name))[1])
+    stored = spark.read.parquet(f"{tmp_path}/docs")
+    quality.fit(stored, labels, F.lit(True))
+    (plan,) = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert plan.split("Initial Plan")[0].count(f"{tmp_path}/docs") == 1
+
+
 def test_quality_without_labels(spark, docs):
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), F.lit(True))
     assert {r.score for r in quality.score(docs, model).collect()} == {0.5}
@@ -568,6 +604,14 @@ def test_decontamination_by_joins(spark, docs, monkeypatch):
     assert one == sorted(map(str, decontam.leaks(data, bench).collect())) and len(one) > 60
 
 
+def test_clean_keeps_texts_with_a_short_item(spark):
+    items = [(1, "Yes"), (2, "new york city"), (3, "one two three four five six seven eight nine ten")]
+    docs = [(1, "yes it is a long text about nothing"), (2, "Yes"), (3, "oh yes"), (4, "in new york city one may say yes to all"), (5, "New York City"), (6, "so one two three four five six seven eight nine ten and more words follow"), (7, None), (None, "yes"), (2, "a text of the same id")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(d, b).where("doc_id is not null").collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (4, 2), (5, 2), (6, 3)}
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontam.clean(d, b).collect()) == sorted((i or 0, t or "") for i, t in docs if (i, t) not in [(2, "Yes"), (3, "oh yes"), (5, "New York City"), (6, docs[5][1])])
+
+
 def test_decontamination_of_nothing(spark, no_docs, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert rows(decontam.leaks(no_docs, bench)) == [] and rows(decontam.leaks(docs, bench)) == []

@@ -453,8 +453,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     return _leaks(docs, Items([(r.item_id, r.text) for r in rows], similarity), similarity)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, that leak no item; rows with a null id stay."""
-    found = leaks(docs, benchmark, similarity, id_col).select(F.col("doc_id").alias("weft_id")).distinct()
-    found = common.small(common.save(found, "leaks"), 16)
-    return docs.join(found, F.col(id_col).cast("long") == F.col("weft_id"), "left_anti")
+#: Words of a passage for which clean() drops a document; a shorter one must be half of the document.
+CLEAN_WORDS = 8
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", least: int = CLEAN_WORDS) -> DataFrame:
+    """The rows of docs, all columns, that leak no item; rows with a null id stay.
+
+    A passage of fewer than `least` words (a whole item as short as that: a name,
+    a "yes") only counts where it makes up half of the row's words or more: such
+    words stand in clean texts too. leaks() reports them all.
+    """
+    found = leaks(docs, benchmark, similarity, id_col, text_col).select(F.col("doc_id").alias("weft_id"), (F.col("end_word") - F.col("start_word")).alias("weft_n"))
+    found = found.groupBy("weft_id").agg(F.max("weft_n").alias("weft_n"))
+    found = common.small(common.save(found, "leaks"), 24)
+    n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    leaked = (F.col(id_col).cast("long") == F.col("weft_id")) & ((F.col("weft_n") >= least) | (2 * F.col("weft_n") >= n_words))
+    return docs.join(found, leaked, "left_anti")

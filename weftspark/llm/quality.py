@@ -110,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
     draw = F.xxhash64("doc_id", F.lit("sample"))
     picked = [marks.where(F.col("y") == y).orderBy(draw, "doc_id").limit(want) for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * want rows of two numbers
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = common.save(found, "sample")  # all that is fitted on; the corpus is read once
     samples, used = [], []
     for y in (0, 1):
         own = rows.where(F.col("y") == y)
@@ -125,6 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
         texts = own.where(F.col("doc_id").isin(chosen)).select("doc_id", "text").orderBy(draw, "doc_id").collect() if chosen else []  # SAMPLE_BYTES at most
         samples.append([r.text.encode() for r in texts if r.text])
     if not samples[0] or not samples[1]:
+        common.drop(rows)
         return Model()
     (bad, whole), (good, also) = map(_dictionary, samples)
     if whole != also:  # both dictionaries are of one kind
@@ -137,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
 
     shown = rows.select("doc_id", "y", "text").mapInArrow(measure, "doc_id long, y int, x double")
     points = [r for r in shown.orderBy(draw, "doc_id").limit(2 * want).collect() if r.doc_id not in used[r.y]]  # three numbers a row
+    common.drop(rows)
     points = [r for y in (0, 1) for r in [p for p in points if p.y == y][:CALIBRATION_ROWS]]
     x, y = np.array([r.x for r in points]), np.array([r.y for r in points], float)
     if len(set(y.tolist())) < 2:
