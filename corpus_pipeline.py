@@ -46,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages; a stage's table is dropped as soon as the next one is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = common.save(stage(spark, docs, sf_dir), name)
+        common.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
