@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from weftspark import check, storage
 from weftspark.functions import reductions, scalar
 from weftspark.model import Graph, Tensor
-from weftspark.operators import adjacency, blocks, conv, dataflow, footprint, graph, linalg, loops, scan, scans, sparse, trace
+from weftspark.operators import adjacency, blocks, conv, dataflow, fibers, footprint, graph, linalg, longconv, loops, scan, scans, sparse, trace
 from weftspark.operators.einsum import Affine, einsum, parse
 from weftspark.plans import catalog
 from weftspark.sources import archive, clustered, generators, statistics
@@ -929,3 +929,38 @@ def test_order_of_a_scan(spark):
     good = scan.strided(t, (0, 0), (20, 10), (1, 1), order=(1, 0))
     assert clustered.out_of_order(good, "n", "m") == 0 and clustered.out_of_order(good, "m", "n") > 0
     assert clustered.out_of_order(t.df.where("false"), "m") == 0
+
+
+@pytest.mark.parametrize("n,k,piece", [(50, 1, 16), (200, 70, 16), (300, 300, 64), (129, 33, 1 << 14)])
+def test_long_kernels(spark, n, k, piece):
+    rng = np.random.default_rng(n)
+    x, w = rng.integers(-10**6, 10**6, n), rng.integers(-10**6, 10**6, k)
+    x[rng.random(n) < 0.5] = 0
+    got = longconv.conv1d(tensor(spark, x, ("i",)), tensor(spark, w, ("s",)), piece)
+    assert got.shape == (n - k + 1,) and {r.q: r.v for r in got.df.collect()} == dict(enumerate(np.correlate(x, w, "valid").tolist()))
+
+
+def test_long_kernels_raise_before_they_are_wrong(spark):
+    x = tensor(spark, np.full(20, 10**9), ("i",))
+    with pytest.raises(OverflowError):
+        longconv.conv1d(x, x)
+    with pytest.raises(ValueError, match="longer"):
+        longconv.conv1d(x, tensor(spark, np.ones(21, int), ("s",)))
+
+
+def test_transforms():
+    rng = np.random.default_rng(1)
+    for p, root in longconv.PRIMES:
+        x = rng.integers(0, p, (3, 64))
+        assert (longconv.transform(longconv.transform(x, p, root), p, root, True) == x).all()
+    a, b = rng.integers(-9, 9, 32), rng.integers(-9, 9, 32)
+    assert longconv.cyclic(a, b).tolist() == [sum(int(a[i] * b[(k - i) % 32]) for i in range(32)) for k in range(32)]
+
+
+def test_fiber_scan_in_sql(spark):
+    fibers.register(spark)
+    spark.createDataFrame([("x", i, 10) for i in range(50)] + [("y", 5, 1), ("z", 3, None), ("z", 1, 70)], "m string, n int, v long").createOrReplaceTempView("weft_fibers")
+    got = spark.sql("SELECT * FROM fiber_scan(TABLE(weft_fibers) PARTITION BY (m) ORDER BY (n), 'v', 30)").collect()
+    assert sorted(map(tuple, got)) == [("x", 0, 10, 0, 10), ("x", 1, 10, 1, 20), ("x", 2, 10, 2, 30), ("y", 5, 1, 0, 1), ("z", 1, 70, 0, 70)]
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("SELECT * FROM fiber_scan(TABLE(weft_fibers) PARTITION BY (m), 'w', 30)").collect()

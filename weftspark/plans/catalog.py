@@ -12,12 +12,12 @@ from weftspark import check, storage
 from weftspark.functions import reductions as R
 from weftspark.functions import scalar as S
 from weftspark.model import Graph, Tensor
-from weftspark.operators import blocks, conv, dataflow, footprint, graph, linalg, loops, scan, sparse, trace
+from weftspark.operators import blocks, conv, dataflow, fibers, footprint, graph, linalg, longconv, loops, scan, sparse, trace
 from weftspark.operators.einsum import einsum
 from weftspark.plans import sql as Q
 from weftspark.sources import archive, clustered, statistics
 from weftspark.sources import driver as D
-from weftspark.streaming import groups
+from weftspark.streaming import edges, groups
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -776,3 +776,48 @@ def stream_groups(spark, d):
     end.coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     return groups.run(groups.ended(stream, 2, f"{2 * width} seconds"), _path(spark, "ended"), _path(spark, "groups"))
+
+
+@query(Q.with_(Q.EV, "k AS (SELECT (max(i) + 1) // 3 AS k FROM ev), w AS (SELECT unnest(range((SELECT k FROM k))) AS s)") + "SELECT (i - s)::INT AS q, sum(v * (s % 11 - 5))::BIGINT AS v FROM ev JOIN w ON i >= s WHERE i - s <= (SELECT max(i) + 1 FROM ev) - (SELECT k FROM k) GROUP BY 1")
+def conv1d_long_kernel(spark, d):
+    """A kernel a third as long as the inputs: transforms of blocks modulo two primes."""
+    x = D.event_vector(spark, d)
+    k = x.shape[0] // 3
+    w = Tensor(spark.range(k).select(F.col("id").cast("int").alias("s"), (F.col("id") % 11 - 5).alias("v")), ("s",), (k,))
+    return longconv.conv1d(x, w, 1024).df
+
+
+@query(Q.with_(Q.SUP, "t AS (SELECT m, n, v, row_number() OVER (PARTITION BY m ORDER BY n) - 1 AS place, sum(v) OVER (PARTITION BY m ORDER BY n) AS total FROM sup)") + "SELECT m, n, v, place, total::BIGINT AS total FROM t WHERE total - v < 500")
+def fiber_scan_sql(spark, d):
+    """Each supplier's parts in order until 500 are together, in SQL with a table function."""
+    fibers.register(spark)
+    D.supply_matrix(spark, d).df.createOrReplaceTempView("weft_supply")
+    return spark.sql("SELECT * FROM fiber_scan(TABLE(weft_supply) PARTITION BY (m) ORDER BY (n), 'v', 500)")
+
+
+@query("SELECT event_id AS i, CASE WHEN user_id = 0 THEN 0 ELSE user_id // (user_id & -user_id) END::BIGINT AS v FROM events")
+def while_halving(spark, d):
+    """A loop that runs until no value is even."""
+    state = D.table(spark, d, "events").select(F.col("event_id").alias("i"), F.col("user_id").cast("bigint").alias("v"), F.lit(True).alias("changed"))
+    step = lambda df: df.select("i", F.when((F.col("v") % 2 == 0) & (F.col("v") != 0), F.expr("v div 2")).otherwise(F.col("v")).alias("v"), ((F.col("v") % 2 == 0) & (F.col("v") != 0)).alias("changed"))
+    return loops.repeat(state, step, F.col("changed"), 64)[0].select("i", "v")
+
+
+@query(Q.with_(Q.TRACE, "r AS (SELECT addr, count(*) AS reads FROM tr WHERE kind = 'R' GROUP BY addr), u AS (SELECT addr, max(seq) AS last_update FROM tr WHERE kind = 'U' AND seq % 3 = 0 GROUP BY addr)") + "SELECT addr, reads, last_update FROM r FULL JOIN u USING (addr)")
+def stage_fan_out(spark, d):
+    """One producer, two consumers, and the groups that are done in either."""
+    reads, updates = dataflow.fan_out(
+        D.event_trace(spark, d).select("addr", "seq", "kind"),
+        lambda df: df.where("kind = 'R'").groupBy("addr").agg(F.count(F.lit(1)).alias("reads")),
+        lambda df: df.where("kind = 'U' AND seq % 3 = 0").groupBy("addr").agg(F.max("seq").alias("last_update")),
+    )
+    return dataflow.pair(reads, updates, ["addr"], "any")
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT v, coalesce(o, 0)::BIGINT AS out_deg, coalesce(i, 0)::BIGINT AS in_deg FROM (SELECT s AS v, count(*) AS o FROM e GROUP BY s) FULL JOIN (SELECT d AS v, count(*) AS i FROM e GROUP BY d) USING (v)")
+def stream_degrees(spark, d):
+    """Degrees kept up over a stream of edges that comes in several batches."""
+    source = _path(spark, "edges")
+    D.order_graph(spark, d).edges.select("s", "d").repartition(6, "s").write.parquet(source)
+    stream = edges.edge_stream(spark, source, "s int, d int", 2)
+    return edges.drain_to(edges.degrees(stream), _path(spark, "degrees"), _path(spark, "stream"))

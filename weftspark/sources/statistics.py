@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftspark.operators import scans
+
 
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, depth, name, n) from indented `name:` headers and `counter: value` lines; n is null for a header."""
@@ -33,8 +35,10 @@ def read_consolidated(spark: SparkSession, path: str) -> DataFrame:
     """(graph, schedule, a_total, a_offchip, b_total, b_offchip): graph name lines, each followed by rows of four numbers; rows of zeros mean "not run" and go."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "text")).where(F.trim("text") != "")
     numbers = F.split(F.trim("text"), r"[\s,]+")
-    named = rows.withColumn("_x", F.when(F.size(numbers) >= 4, numbers)).withColumn("graph", F.last(F.when(F.size(numbers) < 4, F.trim("text")), ignorenulls=True).over(Window.orderBy("line")))
-    kept = named.where("_x IS NOT NULL")
+    # a line of numbers belongs to the name line before it: names are counted in stretches of lines
+    marked = scans.segmented_sums(rows.withColumn("_x", F.when(F.size(numbers) >= 4, numbers)), "line", {"_g": (F.lit(False), F.col("_x").isNull().cast("bigint"))}, levels=1)
+    names = marked.where("_x IS NULL").select((F.col("_g") + 1).alias("_g"), F.trim("text").alias("graph"))
+    kept = marked.where("_x IS NOT NULL").join(names, "_g", "left")
     placed = kept.withColumn("schedule", F.row_number().over(Window.partitionBy("graph").orderBy("line")) - 1)
     cols = [F.try_element_at("_x", F.lit(i + 1)).cast("double").cast("bigint").alias(c) for i, c in enumerate(("a_total", "a_offchip", "b_total", "b_offchip"))]
     out = placed.select("graph", "schedule", *cols)

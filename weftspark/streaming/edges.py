@@ -26,3 +26,18 @@ def drain(result: DataFrame, name: str, checkpoint: str, mode: str = "complete")
     query = result.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return result.sparkSession.table(name)
+
+
+def drain_to(result: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs what a source has now through a streaming query; each batch's result table replaces the one before in the shared folder."""
+    written = []
+
+    def put(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{number}")
+        written.append(number)
+
+    query = result.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not written:
+        return result.sparkSession.createDataFrame([], result.schema)
+    return result.sparkSession.read.schema(result.schema).parquet(f"{path}/{written[-1]}")
