@@ -964,3 +964,23 @@ def test_fiber_scan_in_sql(spark):
     assert sorted(map(tuple, got)) == [("x", 0, 10, 0, 10), ("x", 1, 10, 1, 20), ("x", 2, 10, 2, 30), ("y", 5, 1, 0, 1), ("z", 1, 70, 0, 70)]
     with pytest.raises(Exception, match="no column"):
         spark.sql("SELECT * FROM fiber_scan(TABLE(weft_fibers) PARTITION BY (m), 'w', 30)").collect()
+
+
+@pytest.mark.parametrize("salts", [1, 3, 8])
+def test_products_with_few_inner_indices(spark, salts):
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(-5, 5, (9, 2)), rng.integers(-5, 5, (2, 30))
+    for a, b in ((x, y), (y.T, x.T)):
+        got = linalg.matmul(tensor(spark, a, ("m", "k"), True), tensor(spark, b, ("k", "n"), True), 3, salts)
+        assert (array(got) == 3 * a @ b).all()
+
+
+def test_tiles_are_visited_in_order(spark, g):
+    got = sorted(map(tuple, sparse.visit_tiles(g, 6, 7).collect()))
+    tiles = sorted({(s // 6, d // 7) for s, d in _edges()})
+    cursor = collections.Counter()
+    wanted = []
+    for s, d in _edges():
+        wanted.append((tiles.index((s // 6, d // 7)), s // 6, d // 7, s, d, (s * 5 + d) % 9 + 1, cursor[s]))
+        cursor[s] += 1
+    assert got == sorted(wanted)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftspark import storage
 from weftspark.model import Tensor
 from weftspark.operators.einsum import einsum
 
@@ -32,11 +33,25 @@ def outer(a: Tensor, b: Tensor) -> Tensor:
     return Tensor(x.crossJoin(y).select("a", "b", (F.col("_a").cast("bigint") * F.col("_b").cast("bigint")).alias("v")), ("a", "b"), a.shape + b.shape)
 
 
-def matmul(a: Tensor, b: Tensor, scale: int = 1) -> Tensor:
-    """Z[m, n] = scale * sum of A[m, k] * B[k, n], in one aggregation."""
+def matmul(a: Tensor, b: Tensor, scale: int = 1, salts: int | None = None) -> Tensor:
+    """Z[m, n] = scale * sum of A[m, k] * B[k, n], in one aggregation.
+
+    Where there are fewer inner indices than shuffle partitions, the entries of
+    the matrix with more rows or columns are dealt out over `salts` keys for
+    each, and the other's copied to them, so that few k are many tasks.
+    """
     if a.shape[1] != b.shape[0]:
         raise ValueError("inner sizes differ")
-    return einsum(f"Z[m,n] += A[m,k] * B[k,n] * {scale}", {"A": a, "B": b})
+    long = a.shape[0] >= b.shape[1]
+    if salts is None:
+        salts = max(1, min(max(a.shape[0], b.shape[1]), storage.buckets(a.df.sparkSession) // max(1, a.shape[1])))
+    if salts == 1:
+        return einsum(f"Z[m,n] += A[m,k] * B[k,n] * {scale}", {"A": a, "B": b})
+    dealt, copied = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    x = a.rename("m", "k").df.select("m", "k", F.col(a.value).cast("bigint").alias("_a"), (dealt("m") if long else copied).alias("_salt"))
+    y = b.rename("k", "n").df.select("k", "n", F.col(b.value).cast("bigint").alias("_b"), (copied if long else dealt("n")).alias("_salt"))
+    z = x.join(y, ["k", "_salt"]).groupBy("m", "n").agg((F.sum(F.col("_a") * F.col("_b")) * scale).alias("v"))
+    return Tensor(z, ("m", "n"), (a.shape[0], b.shape[1]))
 
 
 def matmul_tiled(a: Tensor, b: Tensor, tile: tuple[int, int, int], scale: int = 1) -> Tensor:

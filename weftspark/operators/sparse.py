@@ -204,6 +204,21 @@ def row_tile_offsets(g: Graph, d0: int) -> DataFrame:
     return n.withColumn("off", F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("d1").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
+def visit_tiles(g: Graph, s0: int, d0: int) -> DataFrame:
+    """(visit, s1, d1, s, d, w, cursor): the edges of every tile that has some, tiles numbered in order of (s1, d1).
+
+    cursor is the place in row s at which the tile takes the edge: over the
+    visits of a stripe of rows, each row's cursor moves from 0 to its degree.
+    Tiles are numbered by range partitions, and rows in stretches of the other
+    end, so neither a tile nor a hub's row is sorted by one task alone.
+    """
+    placed = with_positions(g).edges.withColumnsRenamed({"pos": "cursor"})
+    place = {"s1": F.floor(F.col("s") / s0).cast("int"), "d1": F.floor(F.col("d") / d0).cast("int")}
+    cut = placed.withColumns(place)
+    tiles = ranked(cut.select("s1", "d1").distinct(), ["s1", "d1"], "visit")
+    return cut.join(storage.small(tiles, 32), ["s1", "d1"]).select("visit", "s1", "d1", "s", "d", *(["w"] if "w" in g.edges.columns else []), "cursor")
+
+
 def degree_order(g: Graph) -> DataFrame:
     """(v, new_v): vertices by falling out-degree, ties by id."""
     deg = g.degrees().select("v", (-F.col("out_deg")).alias("_k"))

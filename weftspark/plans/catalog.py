@@ -821,3 +821,9 @@ def stream_degrees(spark, d):
     D.order_graph(spark, d).edges.select("s", "d").repartition(6, "s").write.parquet(source)
     stream = edges.edge_stream(spark, source, "s int, d int", 2)
     return edges.drain_to(edges.degrees(stream), _path(spark, "degrees"), _path(spark, "stream"))
+
+
+@query(Q.with_(Q.GRAPH) + "SELECT dense_rank() OVER (ORDER BY s // 32, d // 64) - 1 AS visit, s // 32 AS s1, d // 64 AS d1, s, d, w, row_number() OVER (PARTITION BY s ORDER BY d) - 1 AS cursor FROM e")
+def tile_visits(spark, d):
+    """All tiles in order, each with its edges and where its rows' cursors stand."""
+    return sparse.visit_tiles(D.order_graph(spark, d), 32, 64)
