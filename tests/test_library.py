@@ -984,3 +984,21 @@ def test_tiles_are_visited_in_order(spark, g):
         wanted.append((tiles.index((s // 6, d // 7)), s // 6, d // 7, s, d, (s * 5 + d) % 9 + 1, cursor[s]))
         cursor[s] += 1
     assert got == sorted(wanted)
+
+
+def test_small_inputs_have_few_partitions(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    small, key = spark.read.parquet(str(tmp_path / "t")), "spark.sql.shuffle.partitions"
+    have = spark.conf.get(key)
+    spark.conf.set(key, "200")
+    try:
+        with storage.partitions_for(small) as n:
+            assert n == spark.sparkContext.defaultParallelism == int(spark.conf.get(key))
+        with pytest.raises(ValueError), storage.partitions_for(small, 7):
+            assert spark.conf.get(key) == "7"
+            raise ValueError
+        assert spark.conf.get(key) == "200"
+        with storage.partitions_for(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "x int")) as n:
+            assert n == 200  # of unknown size
+    finally:
+        spark.conf.set(key, have)

@@ -40,7 +40,8 @@ class BlockMatrix:
         cells = F.collect_list(F.struct(*[F.col(x).cast(kind).alias(x) for x, kind in (("r", "int"), ("c", "int"), ("v", "bigint"))])).alias("cells")  # height * width at most
         blocks = entries.groupBy(F.col("bc").cast("int").alias("bc"), F.col("br").cast("int").alias("br")).agg(cells)
         arrays = [F.col(f"cells.{c}").alias(c) for c in ("r", "c", "v")]
-        self.blocks = Adjacency(storage.save(blocks.select("bc", "br", *arrays), "blocks"), "bc", "br", hub=1)
+        with storage.partitions_for(entries) as self.partitions:
+            self.blocks = Adjacency(storage.save(blocks.select("bc", "br", *arrays), "blocks"), "bc", "br", hub=1)
 
     @staticmethod
     def from_graph(g: Graph, height: int, width: int) -> BlockMatrix:
@@ -99,7 +100,8 @@ class BlockMatrix:
         """(v, x) after `rounds` products, each with the result of the one before; n: the vector's size. What is not written is 0."""
         vertices = x.sparkSession.range(n).select(F.col("id").cast("int").alias("v"))
         state = storage.save(x.select("v", F.col("x").cast("bigint").alias("x")), "vector")
-        for _ in range(rounds):
-            old, state = state, storage.save(self.multiply(state, modulus).withColumnRenamed("y", "x"), "vector")
-            storage.drop(old)
+        with storage.partitions_for(self.blocks.edges, self.partitions):
+            for _ in range(rounds):
+                old, state = state, storage.save(self.multiply(state, modulus).withColumnRenamed("y", "x"), "vector")
+                storage.drop(old)
         return vertices.join(state, "v", "left").select("v", F.coalesce("x", F.lit(0)).alias("x"))

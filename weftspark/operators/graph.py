@@ -9,8 +9,9 @@ needs to know while it writes.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,18 @@ LEVELS = 8
 ROW = 32
 
 
+def _sized(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query over a graph, whose tables have the partitions that the graph's size asks for."""
+
+    @functools.wraps(query)
+    def run(g: Graph, *args, **options) -> DataFrame:
+        with storage.partitions_for(g.edges):
+            return query(g, *args, **options)
+
+    return run
+
+
+@_sized
 def bfs(g: Graph, source: int = 0, order: str = "s", most: int = 1 << 20, pull: int = PULL) -> DataFrame:
     """(v, level, parent) of all vertices: unreached -1, the source its own parent.
 
@@ -99,6 +112,7 @@ def _settle(state: DataFrame, edges: Adjacency, send, moved: str, most: int, nam
     return state
 
 
+@_sized
 def least_labels(g: Graph, most: int = 1 << 20) -> DataFrame:
     """(v, label): the smallest vertex from which a path along the edges leads here; components if the graph is symmetric.
 
@@ -142,6 +156,7 @@ def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
 
 
+@_sized
 def pagerank_delta(g: Graph, alpha: int = 85, threshold: int = 1, one: int = 1_000_000, most: int = 1 << 20) -> DataFrame:
     """(v, rank, delta, active) of the integer recurrence, all divisions truncating.
 
@@ -169,6 +184,7 @@ def pagerank_delta(g: Graph, alpha: int = 85, threshold: int = 1, one: int = 1_0
     return state.select("v", "rank", "delta", "active")
 
 
+@_sized
 def nibble(g: Graph, seeds: DataFrame, most: int, first: int = 0xAA, second: int = 0xBB, epsilon: int = 12) -> DataFrame:
     """(seed, v, rank, residual) of the integer local ranking, all seeds (column seed) in one job.
 
@@ -178,6 +194,7 @@ def nibble(g: Graph, seeds: DataFrame, most: int, first: int = 0xAA, second: int
     return _nibble(g, seeds, most, F.expr(f"{first}L * residual"), f"{second}L * residual div deg", f"deg > 0 AND residual >= deg * {epsilon}L", "bigint").select("seed", "v", "rank", "residual")
 
 
+@_sized
 def nibble_accesses(g: Graph, seeds: DataFrame, most: int, first: int = 0xAA, second: int = 0xBB, epsilon: int = 12) -> DataFrame:
     """(seed, tensor, addr, reads, updates) of the round after `most` rounds of nibble().
 
@@ -193,6 +210,7 @@ def nibble_accesses(g: Graph, seeds: DataFrame, most: int, first: int = 0xAA, se
     return own.unionByName(sent).groupBy("seed", "tensor", "addr").agg(F.sum("reads").alias("reads"), F.sum("updates").alias("updates"))
 
 
+@_sized
 def nibble_double(g: Graph, seeds: DataFrame, alpha: float = 0.15, epsilon: float = 1e-6, most: int = 1024) -> DataFrame:
     """The same in floating point: rank gains 2a/(1+a) of a residual, neighbours share (1-a)/(1+a) of it."""
     first, second = 2 * alpha / (1 + alpha), (1 - alpha) / (1 + alpha)
@@ -222,6 +240,7 @@ def _nibble(g, seeds, most, gain, update, test, kind):
     return state
 
 
+@_sized
 def shortest_paths(g: Graph, source: int = 0, most: int | None = None) -> DataFrame:
     """(v, dist): least sums of w along the edges; UNREACHED where there is no path. Rounds: the number of vertices at most (negative cycles are not looked for)."""
     edges = Adjacency(g.edges.select("s", "d", "w"))
@@ -309,11 +328,13 @@ def _closed_triples(edges: DataFrame, closing: tuple[str, str]) -> DataFrame:
     return dealt.repartitionById(side**3, "cell").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
+@_sized
 def cycles3(g: Graph) -> DataFrame:
     """One row n: ordered directed cycles u -> v -> w -> u without loops; parallel edges count once."""
     return _closed_triples(g.edges.where("s <> d").select("s", "d"), ("w", "u"))
 
 
+@_sized
 def triangles(g: Graph) -> DataFrame:
     """One row n: triangles of the undirected graph, six times each; loops and parallel edges don't count."""
     e = g.edges.where("s <> d").select(F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d"))

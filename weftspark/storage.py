@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,30 @@ def save(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+#: Bytes of input in a shuffle partition, by Spark's own estimate, from which the session's number of them is kept.
+PARTITION_BYTES = 64 << 20
+
+
+@contextmanager
+def partitions_for(df: DataFrame, number: int = 0) -> Iterator[int]:
+    """Inside, a job over df has no more shuffle partitions than its size asks for, or than run at once.
+
+    Bucketed tables can't be coalesced as shuffles are, so a small graph would
+    otherwise pay for the session's whole number of partitions in each round.
+    The number is only ever lowered; an input of unknown size keeps it. With
+    `number`, that many.
+    """
+    spark, key = df.sparkSession, "spark.sql.shuffle.partitions"
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    have = spark.conf.get(key)
+    number = number or min(int(have), max(spark.sparkContext.defaultParallelism, math.ceil(size / PARTITION_BYTES)))
+    spark.conf.set(key, str(number))
+    try:
+        yield number
+    finally:
+        spark.conf.set(key, have)
+
+
 def buckets(spark: SparkSession) -> int:
     """Buckets of a bucketed table: as many as shuffle partitions, so that a shuffled side meets it without another exchange."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
