@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by a segment-popcount embedding.
+"""SimHash near-duplicates by a segment-popcount embedding, on a grid whose cells need no neighbours (no range is left).
 
 A fingerprint's 64 bits are 32 segments of two; the counts of set bits in the
 segments are a point whose Manhattan distance to another's is never more than
