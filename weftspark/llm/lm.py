@@ -235,7 +235,7 @@ def table_of(where: str, bits: int) -> np.ndarray:
         return np.zeros(1 << bits, np.int8)
     store, path = pafs.FileSystem.from_uri(where)
     if isinstance(store, pafs.LocalFileSystem):
-        return np.memmap(path, np.int8, "r", shape=(1 << bits,))
+        return np.asarray(np.memmap(path, np.int8, "r", shape=(1 << bits,)))
     with store.open_input_stream(path) as f:
         return np.frombuffer(f.read(), np.int8)
 
