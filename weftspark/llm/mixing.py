@@ -211,7 +211,12 @@ _GATE = _LEVEL.astype(np.uint16) * np.uint16(256)
 
 
 def squash(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    """The probability that log odds stand for; what leaves the range of exp() is 0."""
+    p = np.negative(z)
+    with np.errstate(over="ignore"):
+        np.exp(p, out=p)
+    p += 1
+    return np.reciprocal(p, out=p)
 
 
 @functools.lru_cache(1)
