@@ -1002,3 +1002,31 @@ def test_small_inputs_have_few_partitions(spark, tmp_path):
             assert n == 200  # of unknown size
     finally:
         spark.conf.set(key, have)
+
+
+# sides and pieces whose size no estimate knows
+
+def test_pieces_of_ranges_do_not_grow_with_their_length(spark, monkeypatch):
+    monkeypatch.setattr(loops, "PIECES", 2)
+    df = spark.createDataFrame([(k, k, k + 40_000) for k in range(10)], "k long, lo long, hi long")
+    out = loops.inner(df, "i", F.col("lo"), F.col("hi"), deal=16)
+    assert sorted(map(tuple, out.groupBy("k").agg(F.count("i"), F.countDistinct("i"), F.min("i"), F.max("i")).collect())) == [(k, 40_000, 40_000, k, k + 39_999) for k in range(10)]
+    out.collect()
+    dealt = [int(w.metrics().get("shuffleRecordsWritten").get().value()) for w in _nodes(out, "ShuffleExchange")]
+    assert len(dealt) == 1 and dealt[0] <= 2 * 10 + 2 * 4  # 25,000 by pieces of 16
+
+
+def _nodes(df, name):
+    """Nodes of the executed plan by name, those inside finished stages included."""
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if node.getClass().getSimpleName().startswith(name):
+            found.append(node)
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return found
