@@ -1006,6 +1006,11 @@ def test_small_inputs_have_few_partitions(spark, tmp_path):
 
 # sides and pieces whose size no estimate knows
 
+def _broadcasts(df):
+    df.collect()
+    return _plan(df).split("Initial Plan")[0].count("BroadcastHashJoin")
+
+
 def test_pieces_of_ranges_do_not_grow_with_their_length(spark, monkeypatch):
     monkeypatch.setattr(loops, "PIECES", 2)
     df = spark.createDataFrame([(k, k, k + 40_000) for k in range(10)], "k long, lo long, hi long")
@@ -1039,3 +1044,13 @@ def test_segments_are_not_spread_out(spark):
     back = sparse.decode(sparse.encode(t), t.index)
     assert (array(back) == x).all()
     assert "sequence(start" not in _plan(back.df)
+
+
+def test_einsum_broadcasts_by_extents(spark, monkeypatch):
+    a, b = np.arange(1, 41).reshape(8, 5), np.arange(1, 31).reshape(5, 6)
+    run = lambda: einsum("Z[m,n] += A[m,k] * B[k,n]", {"A": tensor(spark, a, ("m", "k")), "B": tensor(spark, b, ("k", "n"))})
+    few = run()
+    assert _broadcasts(few.df) == 1 and (array(few) == a @ b).all()
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 100)
+    many = run()
+    assert _broadcasts(many.df) == 0 and (array(many) == a @ b).all()

@@ -14,6 +14,7 @@ Whatever the notation doesn't have raises ValueError.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftspark import storage
 from weftspark.functions.reductions import REDUCTIONS
 from weftspark.model import Tensor
 
@@ -264,6 +266,15 @@ def relation(f: Access, tensor: Tensor, sizes: dict[str, int], value: str) -> Da
     return df.select(*f.variables, value)
 
 
+def sized(rows: DataFrame, variables: set[str], sizes: dict[str, int]) -> DataFrame:
+    """A side of a join with a hint: it may be broadcast only if the extents of its variables say that it is small.
+
+    Spark's estimate is that of what a side was made from, before its loops.
+    """
+    most = math.prod(sizes.get(v, 1 << 40) for v in variables)
+    return F.broadcast(rows) if most * 8 * (len(variables) + 1) <= storage.BROADCAST_BYTES else rows.hint("merge")
+
+
 def einsum(statement: str, tensors: dict[str, Tensor], given: dict[str, int] | None = None, double: bool = False) -> Tensor:
     """The output tensor of a statement. given: extents that no shape tells.
 
@@ -294,6 +305,8 @@ def einsum(statement: str, tensors: dict[str, Tensor], given: dict[str, int] | N
                 one = one.withColumnRenamed(f"_v{i}", name).withColumn(name, F.col(name).cast("int"))
             own = [*f.variables, *([name] if name else [])]
             shared = [v for v in own if v in have]
+            if rows is not None and shared:
+                rows, one = sized(rows, have, sizes), sized(one, set(own), sizes)
             rows = one if rows is None else rows.join(one, shared) if shared else rows.crossJoin(one)
             have |= set(own)
         value = F.lit(scale).cast(kind)
