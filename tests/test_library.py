@@ -1054,3 +1054,14 @@ def test_einsum_broadcasts_by_extents(spark, monkeypatch):
     monkeypatch.setattr(storage, "BROADCAST_BYTES", 100)
     many = run()
     assert _broadcasts(many.df) == 0 and (array(many) == a @ b).all()
+
+
+def test_long_kernels_ship_each_value_a_fixed_number_of_times(spark):
+    rng = np.random.default_rng(4)
+    n, k = 6000, 2000
+    df = lambda x, c: Tensor(spark.createDataFrame(list(enumerate(x.tolist())), f"{c} int, v bigint"), (c,), (len(x),))
+    x, w = rng.integers(-99, 99, n), rng.integers(-99, 99, k)
+    got = longconv.conv1d(df(x, "i"), df(w, "s"), 16).df
+    assert {r.q: r.v for r in got.collect()} == dict(enumerate(np.correlate(x, w, "valid").tolist()))
+    shipped = sum(int(e.metrics().get("dataSize").get().value()) for e in _nodes(got, "ShuffleExchange"))
+    assert shipped < 200 * (n + k)  # with a copy of the inputs for each piece of the taps, 125 times the inputs' rows

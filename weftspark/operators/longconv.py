@@ -1,28 +1,33 @@
-"""Exact correlation with long kernels, by number-theoretic transforms of overlapping blocks.
-
-The direct form makes a product for each input and tap. Here inputs are cut
-into blocks that overlap by the kernel's length less one, taps into pieces of
-bounded length; a block and a piece are multiplied by transforms modulo two
-primes, and the two remainders give the whole number. Blocks meet pieces as
-rows, their sums are added by output place, so neither the inputs nor the
-kernel is ever in one task.
+"""Exact correlation with long kernels, by number-theoretic transforms in two steps.
+
+The direct form makes a product for each input and tap, and one by pieces a
+product for each block of inputs and piece of taps. Here inputs and taps are
+cut into blocks of one length, about the root of theirs, and each is
+transformed once modulo two primes. At each place of the transforms the blocks
+are a short sequence; a task has some places of all blocks and multiplies these
+sequences by transforms again. What comes back is sent to its output block, and
+the two remainders give the whole number. So each value is shipped a fixed
+number of times, and a task holds a block or some places of all.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftspark.model import Tensor
 
 #: Primes of the form k * 2**n + 1 with n over 20, and a primitive root of each.
 PRIMES = ((998244353, 3), (469762049, 3))
-#: Taps in a piece; a block's transform is four times as long at most.
-PIECE = 1 << 14
+#: Places of a block at least, unless there are fewer.
+PIECE = 1 << 10
+#: Numbers that a task holds of some places of all blocks, about; places are cut into so many chunks at least.
+HELD, CHUNKS = 1 << 20, 64
 
 
 @functools.lru_cache(8)
@@ -62,19 +67,35 @@ def transform(x: np.ndarray, p: int, root: int, inverse: bool = False) -> np.nda
     return x * pow(n, -1, p) % p
 
 
-def cyclic(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cyclic convolution of whole numbers whose results are smaller in size than half the primes' product."""
-    (p, g), (q, h) = PRIMES
-    x, y = (transform(transform(a % m, m, r) * transform(b % m, m, r) % m, m, r, True) for m, r in PRIMES)
+def _whole(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whole numbers, smaller in size than half the primes' product, from their remainders."""
+    (p, _), (q, _) = PRIMES
     high = (y - x) % q * pow(p, -1, q) % q  # the result is x + p * high
     return np.where(high > q // 2, (high - q) * p + x, high * p + x)
 
 
+def cyclic(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cyclic convolution of whole numbers whose results are smaller in size than half the primes' product."""
+    return _whole(*(transform(transform(a % m, m, r) * transform(b % m, m, r) % m, m, r, True) for m, r in PRIMES))
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """A list for each row of a matrix."""
+    return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32), rows.astype(np.int32).ravel())
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat.reshape(len(column), -1)
+
+
 def conv1d(inputs: Tensor, weights: Tensor, piece: int = PIECE) -> Tensor:
     """out[q] = sum of in[q + s] * wt[s] for every q of 0 to n - k, zeros included.
 
     Raises where a sum might reach half the primes' product (2.3e17): a bound
-    from the largest input and tap, both counted first.
+    from the largest input and tap, both counted first. piece: places of a
+    block at least; blocks get longer with the root of the inputs' length.
     """
     n, k = inputs.shape[0], weights.shape[0]
     if k > n:
@@ -84,26 +105,53 @@ def conv1d(inputs: Tensor, weights: Tensor, piece: int = PIECE) -> Tensor:
     big = [float(df.agg(F.coalesce(F.max(F.abs("v")), F.lit(0))).first()[0]) for df in (x, w)]
     if big[0] * big[1] * k >= PRIMES[0][0] * PRIMES[1][0] / 2:
         raise OverflowError("sums may leave the primes' range")
-    taps = min(piece, k)
-    size = 1 << (2 * taps - 1).bit_length()  # inputs in a block
-    step, pieces = size - taps + 1, -(-k // taps)
-    # an output block j and a piece p read inputs from j * step + p * taps on
-    x = x.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).withColumn("at", F.col("i") - F.col("p") * taps)
-    last = F.floor(F.col("at") / step)
-    held = x.where("at >= 0").withColumn("j", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("at") - (size - 1)) / step)), last))).where(F.col("j") * step <= n - k)
-    cells = F.collect_list(F.struct((F.col("at") - F.col("j") * step).cast("int").alias("i"), F.col("v").alias("v"))).alias("x")  # size rows at most
-    blocks = held.groupBy("j", "p").agg(cells).select("j", "p", F.col("x.i").alias("i"), F.col("x.v").alias("v"))
-    parts = w.groupBy(F.floor(F.col("s") / taps).cast("int").alias("p")).agg(F.collect_list(F.struct((F.col("s") % taps).cast("int").alias("i"), F.col("v").alias("v"))).alias("w")).select("p", F.col("w.i").alias("s"), F.col("w.v").alias("t"))
-
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for j, i, v, s, t in pdf.itertuples(index=False):
-                a, b = np.zeros(size, np.int64), np.zeros(size, np.int64)
-                a[i], b[-np.asarray(s)] = v, t  # taps turned round: a correlation
-                y = cyclic(a, b)[:step]
-                q = j * step + np.arange(step)
-                yield pd.DataFrame({"q": q[q <= n - k], "v": y[q <= n - k]})
-
-    sums = blocks.join(parts, "p").select("j", "i", "v", "s", "t").mapInPandas(products, "q bigint, v bigint").groupBy(F.col("q").cast("int").alias("q")).agg(F.sum("v").alias("v"))
+    power = lambda m: 1 << max(0, m - 1).bit_length()
+    block = power(max(min(piece, n), math.isqrt(n)))
+    size, long = 2 * block, power(-(-n // block) + -(-k // block))  # places of a block's transform; blocks of a sequence's
+    wide = power(max(1, min(HELD // long, size // CHUNKS)))  # places in a chunk
+    # with the taps turned round, out[q] is place q + k - 1 of the product
+    turned = w.select(F.lit(True).alias("tap"), (k - 1 - F.col("s")).alias("i"), "v")
+    places = x.select(F.lit(False).alias("tap"), "i", "v").unionByName(turned)
+    cells = F.collect_list(F.struct((F.col("i") % block).cast("int").alias("i"), F.col("v").alias("v"))).alias("x")  # a block's rows at most
+    blocks = places.groupBy("tap", F.floor(F.col("i") / block).cast("int").alias("j")).agg(cells).select("tap", "j", F.col("x.i").alias("i"), F.col("x.v").alias("v"))
+
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = max(1, HELD // 4 // size)
+        for batch in batches:
+            for at in range(0, batch.num_rows, few):
+                tap, j, i, v = (batch.column(c).slice(at, few) for c in range(4))
+                row = np.repeat(np.arange(len(j)), i.value_lengths().to_numpy())
+                a = np.zeros((len(j), size), np.int64)
+                a[row, i.flatten().to_numpy()] = v.flatten().to_numpy()
+                chunks = size // wide
+                parts = [_lists(transform(a % m, m, r).reshape(-1, wide)) for m, r in PRIMES]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(chunks, dtype=np.int32), len(j))), pa.array(np.repeat(tap.to_numpy(zero_copy_only=False), chunks)), pa.array(np.repeat(j.to_numpy(), chunks)), *parts], names=["f", "tap", "j", "x", "y"])
+
+    first, last = max(0, (k - 1) // block - 1), (n - 1) // block  # blocks that reach an output
+
+    def products(t: pa.Table) -> pa.Table:
+        tap, j = t.column("tap").to_numpy().astype(bool), t.column("j").to_numpy()
+        out = []
+        for name, (m, r) in zip("xy", PRIMES, strict=True):
+            values, sides = _matrix(t.column(name)), []
+            for side in (False, True):
+                a = np.zeros((wide, long), np.int64)
+                a[:, j[tap == side]] = values[tap == side].T
+                sides.append(transform(a, m, r))
+            z = transform(sides[0] * sides[1] % m, m, r, True)
+            out.append(_lists(np.ascontiguousarray(z[:, first : last + 1].T)))
+        made = last - first + 1
+        return pa.table({"m": pa.array(np.arange(first, last + 1, dtype=np.int32)), "f": pa.array(np.full(made, t.column("f")[0].as_py(), np.int32)), "x": out[0], "y": out[1]})
+
+    def back(t: pa.Table) -> pa.Table:
+        order, at = np.argsort(t.column("f").to_numpy()), t.column("m")[0].as_py()
+        y = _whole(*(transform(_matrix(t.column(name))[order].reshape(1, -1), m, r, True)[0] for name, (m, r) in zip("xy", PRIMES, strict=True)))
+        q = at * block + np.arange(size) - (k - 1)
+        keep = (q >= 0) & (q <= n - k)
+        return pa.table({"q": pa.array(q[keep].astype(np.int32)), "v": pa.array(y[keep])})
+
+    sent = blocks.mapInArrow(forward, "f int, tap boolean, j int, x array<int>, y array<int>")
+    made = sent.groupBy("f").applyInArrow(products, "m int, f int, x array<int>, y array<int>").groupBy("m").applyInArrow(back, "q int, v bigint")
+    sums = made.groupBy("q").agg(F.sum("v").alias("v"))
     every = inputs.df.sparkSession.range(n - k + 1).select(F.col("id").cast("int").alias("q"))
-    return Tensor(every.join(sums, "q", "left").select("q", F.coalesce("v", F.lit(0)).alias("v")), ("q",), (n - k + 1,))
+    return Tensor(every.join(sums.hint("merge"), "q", "left").select("q", F.coalesce("v", F.lit(0)).alias("v")), ("q",), (n - k + 1,))
