@@ -1074,3 +1074,11 @@ def test_empty_tiles_are_not_shuffled(spark):
     assert sorted(map(tuple, got.collect())) == [(a, b, (a, b) not in full) for a in range(100) for b in range(200)]
     moved = [int(e.metrics().get("shuffleRecordsWritten").get().value()) for e in _nodes(got, "ShuffleExchange")]
     assert sum(moved) < 2000  # of 20,000 tiles
+
+
+def test_forms_sum_rows_where_they_lie(spark):
+    df = catalog.queries()["spmv_forms"](spark, DATA)
+    df.collect()
+    edges = D.order_graph(spark, DATA).edges.count()
+    moved = [int(e.metrics().get("shuffleRecordsWritten").get().value()) for e in _nodes(df, "ShuffleExchange")]
+    assert moved and max(moved) < edges / 2

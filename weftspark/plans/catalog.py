@@ -419,6 +419,8 @@ def spmv_tiled(spark, d):
 def spmv_forms(spark, d):
     """Row sums from each of the tiled forms."""
     g, out = D.order_graph(spark, d), None
+    # rows of a vertex lie together, so that each form's sums are nearly made before they are shuffled
+    g = Graph(storage.save(g.edges.repartition("s"), "edges"), g.n)
     for form in sparse.TILED:
         sizes = (32, 64, 4 if "5" in form else 0)
         rows = sparse.untile(sparse.tiled(g, form, *sizes), *sizes).groupBy(F.col("s").alias("v")).agg(F.sum("v").alias("y")).select(F.lit(form).alias("form"), "v", "y")
