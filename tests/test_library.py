@@ -1082,3 +1082,13 @@ def test_forms_sum_rows_where_they_lie(spark):
     edges = D.order_graph(spark, DATA).edges.count()
     moved = [int(e.metrics().get("shuffleRecordsWritten").get().value()) for e in _nodes(df, "ShuffleExchange")]
     assert moved and max(moved) < edges / 2
+
+
+def test_sparse_graphs_have_few_blocks(spark):
+    n = 20_000
+    g = Graph(spark.range(40_000).select((F.col("id") * 7919 % n).cast("int").alias("s"), (F.col("id") * 104_729 % n).cast("int").alias("d"), (F.col("id") % 9).alias("w")), n)
+    m = blocks.BlockMatrix.from_graph(g)
+    assert m.blocks.edges.count() <= 8  # 400 of 1024 by 1024
+    x = g.vertices.select("v", (F.col("v") % 7 + 1).alias("x"))
+    wanted = g.edges.groupBy("d").agg(F.sum(F.col("w") * (F.col("s") % 7 + 1)).alias("y")).collect()
+    assert {r.v: r.y for r in m.multiply(x).collect()} == {r.d: r.y for r in wanted}

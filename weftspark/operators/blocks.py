@@ -20,8 +20,10 @@ from weftspark import storage
 from weftspark.model import Graph, Tensor
 from weftspark.operators.adjacency import Adjacency
 
-#: Sums that a task holds before it hands them on.
-HELD = 1 << 21
+#: Products that a task holds before it adds them up and hands them on.
+HELD = 1 << 20
+#: Columns of a block, and entries in it, where none are given.
+WIDTH, ENTRIES = 1 << 12, 1 << 14
 #: Sums beyond this may leave 64 bits; such a product raises.
 LIMIT = float(1 << 62)
 
@@ -44,10 +46,20 @@ class BlockMatrix:
             self.blocks = Adjacency(storage.save(blocks.select("bc", "br", *arrays), "blocks"), "bc", "br", hub=1)
 
     @staticmethod
-    def from_graph(g: Graph, height: int, width: int) -> BlockMatrix:
-        """Rows are the edges' ends, columns their starts."""
+    def from_graph(g: Graph, height: int = 0, width: int = 0) -> BlockMatrix:
+        """Rows are the edges' ends, columns their starts.
+
+        Without sizes blocks are as high as it takes to have some ENTRIES, so a
+        sparse graph has few blocks, and a round ships no more of the vector
+        than there are edges.
+        """
         value = F.col("w") if "w" in g.edges.columns else F.lit(1)
-        return BlockMatrix(g.edges.select(F.floor(F.col("d") / height).alias("br"), (F.col("d") % height).alias("r"), F.floor(F.col("s") / width).alias("bc"), (F.col("s") % width).alias("c"), value.alias("v")), height, width)
+        rows = g.edges
+        if not (height and width):
+            rows = storage.save(rows, "edges")
+            width = max(1, min(g.n, WIDTH))
+            height = max(1, min(g.n, ENTRIES * g.n * g.n // (width * max(1, rows.count()))))
+        return BlockMatrix(rows.select(F.floor(F.col("d") / height).alias("br"), (F.col("d") % height).alias("r"), F.floor(F.col("s") / width).alias("bc"), (F.col("s") % width).alias("c"), value.alias("v")), height, width)
 
     @staticmethod
     def from_tiles(t: Tensor) -> BlockMatrix:
@@ -64,12 +76,18 @@ class BlockMatrix:
         met = self.blocks.send(slices.select("v", F.col("s.i").alias("at"), F.col("s.x").alias("x"))).select("br", "r", "c", "v", "at", "x")
 
         def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            n = 0
 
             def out() -> pa.RecordBatch:
-                rows = [(b, np.flatnonzero(seen)) for b, (_, seen) in held.items()]
-                place = np.concatenate([b * height + i for b, i in rows])
-                return pa.RecordBatch.from_arrays([pa.array(place // height), pa.array(place), pa.array(np.concatenate([held[b][0][i] for b, i in rows]))], names=["b", "v", "y"])
+                place, y, far = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.argsort(place, kind="stable")
+                place = place[order]
+                first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                if (np.add.reduceat(far[order], first) > LIMIT).any():
+                    raise OverflowError("a sum leaves 64 bits")
+                place, y = place[first], np.add.reduceat(y[order], first)
+                return pa.RecordBatch.from_arrays([pa.array(place // height), pa.array(place), pa.array(y % modulus if modulus else y)], names=["b", "v", "y"])
 
             for batch in batches:
                 (r, at), (c, _), (v, _), (where, start), (value, _) = (_lists(batch.column(k)) for k in range(1, 6))
@@ -77,19 +95,17 @@ class BlockMatrix:
                     part = np.zeros(width, np.int64)
                     part[where[start[k] : start[k + 1]]] = value[start[k] : start[k + 1]]
                     mine = slice(at[k], at[k + 1])
-                    got = v[mine] * part[c[mine]]
-                    sums, seen = held.setdefault(b, (np.zeros(height, np.int64), np.zeros(height, bool)))
-                    far = np.bincount(r[mine], np.abs(v[mine].astype(float) * part[c[mine]]), height)
-                    if (far + np.abs(sums) > LIMIT).any():
+                    x = part[c[mine]]
+                    far = np.abs(v[mine].astype(float) * x)
+                    if (far > LIMIT).any():
                         raise OverflowError("a sum leaves 64 bits")
-                    np.add.at(sums, r[mine], got)
-                    if modulus:
-                        sums %= modulus
-                    seen[r[mine]] = True
-                    if len(held) * height >= HELD:
+                    held.append((b * height + r[mine].astype(np.int64), v[mine] * x, far))
+                    n += len(x)
+                    if n >= HELD:
                         yield out()
                         held.clear()
-            if held:
+                        n = 0
+            if n:
                 yield out()
 
         sent = met.mapInArrow(products, "b bigint, v bigint, y bigint")

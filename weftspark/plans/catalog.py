@@ -589,7 +589,7 @@ def spmv_rounds_weighted(spark, d):
 def spmv_ten_rounds(spark, d):
     """Ten products, each with the remainders of the one before, over blocks of the matrix that stay where they are."""
     g = D.order_graph(spark, d)
-    return blocks.BlockMatrix.from_graph(g, 1024, 1024).rounds(g.vertices.select("v", (F.col("v") % 7 + 1).alias("x")), g.n, 10, 1_000_003)
+    return blocks.BlockMatrix.from_graph(g).rounds(g.vertices.select("v", (F.col("v") % 7 + 1).alias("x")), g.n, 10, 1_000_003)
 
 
 @query(Q.with_(Q.GRAPH) + "SELECT d AS v, sum(w * (s % 7))::BIGINT AS y FROM e GROUP BY d")
