@@ -1092,3 +1092,11 @@ def test_sparse_graphs_have_few_blocks(spark):
     x = g.vertices.select("v", (F.col("v") % 7 + 1).alias("x"))
     wanted = g.edges.groupBy("d").agg(F.sum(F.col("w") * (F.col("s") % 7 + 1)).alias("y")).collect()
     assert {r.v: r.y for r in m.multiply(x).collect()} == {r.d: r.y for r in wanted}
+
+
+def test_ranks_by_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "SORTED", 100)
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
+    got = sparse.ranked(rows, ["k"], "at")
+    assert sorted(map(tuple, got.select("k", "at").collect())) == [(k, k) for k in range(1000)]
+    assert len(got.inputFiles()) >= 5  # a file per task

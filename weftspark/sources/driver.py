@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from weftspark.model import Graph, Tensor
 
+#: Lines that a task adds up to entries of a matrix, about.
+LINES = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,8 +33,10 @@ def event_vector(spark: SparkSession, sf_dir: str, index: str = "i") -> Tensor:
 def supply_matrix(spark: SparkSession, sf_dir: str) -> Tensor:
     """Quantities by supplier and part: a sparse matrix."""
     x = table(spark, sf_dir, "lineitem")
-    size = x.agg(F.max("l_suppkey") + 1, F.max("l_partkey") + 1).first()
-    df = x.groupBy(F.col("l_suppkey").cast("int").alias("m"), F.col("l_partkey").cast("int").alias("n")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("v"))
+    size = x.agg(F.max("l_suppkey") + 1, F.max("l_partkey") + 1, F.count(F.lit(1))).first()
+    # most lines are an entry of their own, so they are dealt out by their number before they are added up
+    lines = x.select(F.col("l_suppkey").cast("int").alias("m"), F.col("l_partkey").cast("int").alias("n"), F.col("l_quantity").cast("bigint").alias("_q"))
+    df = lines.repartition(-(-size[2] // LINES) or 1, "m", "n").groupBy("m", "n").agg(F.sum("_q").alias("v"))
     return Tensor(df, ("m", "n"), (int(size[0]), int(size[1])))
 
 
