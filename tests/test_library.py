@@ -4,8 +4,10 @@ import collections
 import os
 import random
 from collections import OrderedDict, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -897,6 +899,54 @@ def test_open_groups_over_batches_and_restarts(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(wanted)
 
 
+class _State:
+    """A key's state of all kinds, kept in a dictionary."""
+
+    def __init__(self):
+        self.kept, self.timers = {}, []
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(exists=lambda: name in self.kept, get=lambda: self.kept[name], update=lambda x: self.kept.update({name: x}), clear=lambda: self.kept.pop(name, None))
+
+    def getMapState(self, name, key, schema):
+        return SimpleNamespace(getValue=self.kept.get, updateValue=lambda k, x: self.kept.update({k: x}), removeKey=self.kept.pop)
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+def test_waiting_rows_are_merged_from_pages(monkeypatch):
+    """Rows of a key that wait come back a page of each run at a time, and none stays behind."""
+    monkeypatch.setattr(groups, "RUN", 200)
+    monkeypatch.setattr(groups, "PAGE", 16)
+    rng = random.Random(5)
+    rows = [(1000 + i // 3, i, rng.choice([None, None, 0, 1, 2]), rng.choice([None, i])) for i in range(3000)]
+    fed = rows[:]
+    rng.shuffle(fed)
+    state, p, pieces = _State(), groups.OpenGroups(2), []
+    p.init(state)
+    due = p._due
+    monkeypatch.setattr(p, "_due", lambda *a: (pieces.append(x.shape[1]) or x for x in due(*a)))
+    for k in range(0, 3000, 1000):
+        frames = (pd.DataFrame(fed[i : i + 50], columns=["ms", "seq", "tag", "value"]) for i in range(k, k + 1000, 50))
+        assert list(p.handleInputRows((7,), frames, None)) == [] and state.timers[-1] == min(r[0] for r in fed[k : k + 1000])
+    got = []
+    for upto in (900, 1000, 1001, 1400, 1400, 2000):
+        for out in p.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda upto=upto: upto), None):
+            got += out.itertuples(index=False, name=None)
+        assert upto == 900 or upto == 2000 or state.timers[-1] == upto + 1
+    wanted, open_ = [], [[0, 0, 0], [0, 0, 0]]
+    for _, _, tag, value in rows:
+        for k, s in enumerate(open_):
+            if tag is None:
+                s[1], s[2] = s[1] + 1, s[2] + (value or 0)
+            elif k <= tag:
+                wanted.append((7, k, *s))
+                s[:] = [s[0] + 1, 0, 0]
+    assert sorted(got) == sorted(wanted) and set(state.kept) == {"open"}
+    assert sum(pieces) == 3000 and max(pieces) <= 15 * 16
+
+
 # storage in cells
 
 def _files_read(df):
