@@ -868,6 +868,16 @@ def test_archive_of_no_entries(spark, tmp_path):
             archive.read_dense(spark, str(tmp_path / "bad"), ("m", "n"))
 
 
+@pytest.mark.parametrize("stretch,before", [(8, 3), (40, 40), (1000, 1)])
+def test_coalescing_in_stretches(spark, stretch, before):
+    """Stretches that begin with a wrong guess are done again until states meet; buffers without a name and gaps of seq are allowed."""
+    rows = [(None if b else "t", p, n, b, seq * (1 if seq < 150 else 5), *rest) for t, p, n, b, seq, *rest in _accesses(4, 240, 3)]
+    df = spark.createDataFrame(rows, ACCESS).repartition(3)
+    whole = sorted(map(tuple, trace.coalesce(df, 4, 5, 1 << 20).withColumn("tensor", F.coalesce("tensor", F.lit(""))).collect()))
+    got = sorted(map(tuple, trace.coalesce(df, 4, 5, stretch, before).withColumn("tensor", F.coalesce("tensor", F.lit(""))).collect()))
+    assert got == whole and len(got) == 240 and {r[-1] for r in got} == {True, False}
+
+
 # streams with state
 
 def test_open_groups_over_batches_and_restarts(spark, tmp_path):

@@ -3,14 +3,17 @@
 A trace is a table (tensor, port, level, buffer, seq, addr, requestor, kind),
 seq being the program order and kind R or U. What depends on order alone is a
 window function; what carries state (replacement, coalescing) streams through
-Python, partition by partition, sorted by buffer and seq, with no more memory
-than the modelled buffer has lines.
+Python in order: replacement partition by partition, with no more memory than
+the modelled buffer has lines, coalescing in stretches of a buffer's accesses,
+between which states pass.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,40 +63,118 @@ def _streamed(trace: DataFrame, keys: list[str], schema: str, start: Callable[[]
     return trace.repartition(*keys).sortWithinPartitions(*keys, "seq").mapInPandas(run, schema)
 
 
-def coalesce(trace: DataFrame, granularity: int = 1, window: int = 32) -> DataFrame:
+#: Places of seq that a task takes through a state machine at a time; places before them from which its state is guessed.
+STRETCH, BEFORE = 1 << 17, 1 << 10
+
+_RECENT = "at array<bigint>, served array<array<int>>, updated array<array<int>>"
+
+
+def _rides(recent: deque, at: int, requestor: int, update: bool) -> bool:
+    """Takes one access of a line to the entries [line, served, updated] of the recent ones: whether it rides on one."""
+    later, hit = False, None
+    for entry in reversed(recent):
+        if entry[0] == at:
+            hit = entry
+            break
+        later = later or requestor in entry[1]
+    rides = False
+    if hit is not None:
+        if not update:
+            rides = not later and requestor not in hit[1]
+            if rides:
+                hit[1].add(requestor)
+        else:
+            hit[1].add(requestor)
+            rides = requestor not in hit[2]
+            hit[2].add(requestor)
+    if not rides:
+        recent.append((at, {requestor}, {requestor} if update else set()))
+    return rides
+
+
+def coalesce(trace: DataFrame, granularity: int = 1, window: int = 32, stretch: int = STRETCH, before: int = BEFORE) -> DataFrame:
     """trace's rows (BUFFER, seq, addr, requestor, kind) with coalesced: whether an access rides on a recent one.
 
     An access finds the latest of the last `window` accesses of its own that
     went to the same line. A read rides on it unless its requestor has been
     served by it or by a later one; an update unless its requestor has already
     updated it.
-    """
 
-    def each(recent: deque, row):
-        if row is None:
-            return
-        at = row.addr - row.addr % granularity
-        later, hit = False, None
-        for entry in reversed(recent):
-            if entry[0] == at:
-                hit = entry
+    A buffer's accesses are dealt out in stretches of so many places of seq. A
+    stretch begins with the state that the last places before it lead to from
+    nothing, which mostly is the right one; where it isn't the state that the
+    stretch before ends with, the stretch is done again from that, until all
+    states meet. Only states pass between stretches.
+    """
+    keys = [*BUFFER, "_b"]
+    cut = trace.select(*BUFFER, "seq", "addr", "requestor", "kind").withColumn("_b", F.floor(F.col("seq") / stretch).cast("bigint"))
+    rows = storage.save_bucketed(cut, keys, "stretches")
+
+    def accesses(pdf: pd.DataFrame) -> Iterator[tuple]:
+        pdf = pdf.sort_values("seq", kind="stable")
+        return zip((pdf.addr - pdf.addr % granularity).tolist(), pdf.requestor.tolist(), (pdf.kind == "U").tolist(), strict=True)
+
+    def entries(starts: pd.DataFrame) -> deque:
+        held = deque(maxlen=window)
+        for x in starts.itertuples(index=False):
+            held.extend((int(at), set(map(int, s)), set(map(int, u))) for at, s, u in zip(x.at, x.served, x.updated, strict=True))
+        return held
+
+    def state(key: tuple, held: deque) -> pd.DataFrame:
+        at, served, updated = ([x[0] for x in held], [sorted(x[1]) for x in held], [sorted(x[2]) for x in held])
+        return pd.DataFrame([(*key, at, served, updated)], columns=[*keys, "at", "served", "updated"])
+
+    def last(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        held = deque(maxlen=window)
+        for x in accesses(pdf):
+            _rides(held, *x)
+        return state(key, held)
+
+    def through(key: tuple, pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        held = entries(starts)
+        if not len(pdf):
+            return state(key, held).iloc[:0]
+        for x in accesses(pdf):
+            _rides(held, *x)
+        return state(key, held)
+
+    def marked(key: tuple, pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        held, pdf = entries(starts), pdf.sort_values("seq", kind="stable")
+        return pdf[[*BUFFER, "seq", "addr", "requestor", "kind"]].assign(coalesced=[_rides(held, *x) for x in accesses(pdf)])
+
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in BUFFER)
+    kept = f"{own}, _b bigint, {_RECENT}"
+    after = Window.partitionBy(*BUFFER).orderBy("_b")  # a row per stretch
+    ends, starts = None, None
+    # a stretch of few places may not fill the window, so its guess may be wrong; that is found as any other is
+    guess = rows.where(F.col("seq") - F.col("_b") * stretch >= stretch - before).groupBy(*keys).applyInPandas(last, kept)
+    number = rows.select(*keys).distinct()
+    guess = guess.unionByName(number, allowMissingColumns=True).groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("at", "served", "updated")])
+
+    def of(df: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        """The rows of some stretches, or the others; a buffer's names may be null."""
+        some = some.select(*[F.col(k).alias(f"_of_{k}") for k in keys])
+        return df.join(some, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]), how)
+
+    while True:
+        now = (guess if ends is None else ends).select(*keys, *[F.lag(F.struct("at", "served", "updated")).over(after).alias("_s")])
+        begun = storage.save(now.where("_s.at IS NOT NULL").select(*keys, "_s.*"), "starts")
+        again = None
+        if starts is not None:
+            # states are compared as they are: lists in the order of the accesses, requestors sorted
+            again = storage.save(begun.exceptAll(starts).select(*keys).unionByName(starts.select(*keys).exceptAll(begun.select(*keys))), "again")
+            if not again.limit(1).count():
+                storage.drop(again, ends, begun)
                 break
-            later = later or row.requestor in entry[1]
-        rides = False
-        if hit is not None:
-            if row.kind == "R":
-                rides = not later and row.requestor not in hit[1]
-                if rides:
-                    hit[1].add(row.requestor)
-            else:
-                hit[1].add(row.requestor)
-                rides = row.requestor not in hit[2]
-                hit[2].add(row.requestor)
-        if not rides:
-            recent.append((at, {row.requestor}, {row.requestor} if row.kind == "U" else set()))
-        yield row.seq, row.addr, row.requestor, row.kind, rides
-
-    return _streamed(trace.select(*BUFFER, "seq", "addr", "requestor", "kind"), BUFFER, "tensor string, port int, level int, buffer int, seq bigint, addr bigint, requestor int, kind string, coalesced boolean", lambda: deque(maxlen=window), each)
+        redo = rows if again is None else of(rows, storage.small(again), "left_semi")
+        done = redo.groupBy(*keys).cogroup(begun.groupBy(*keys)).applyInPandas(through, kept)
+        if again is not None:
+            done = done.unionByName(of(ends, storage.small(again), "left_anti"))
+        old, ends = [x for x in (ends, starts, again) if x is not None], storage.save(done, "ends")
+        storage.drop(*old)
+        starts = begun
+    result = f"{own}, seq bigint, addr bigint, requestor int, kind string, coalesced boolean"
+    return rows.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(marked, result)
 
 
 def lru(trace: DataFrame, size: int, granularity: int = 1) -> DataFrame:
