@@ -3,11 +3,13 @@
 import collections
 import os
 import random
+import weakref
 from collections import OrderedDict, defaultdict
 from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -878,6 +880,27 @@ def test_coalescing_in_stretches(spark, stretch, before):
     assert got == whole and len(got) == 240 and {r[-1] for r in got} == {True, False}
 
 
+def test_a_cell_of_the_cube_is_packed_batch_by_batch():
+    """A task that counts triangles keeps eight bytes a row of what it has read, not the batches."""
+    rng = np.random.default_rng(3)
+    alive, most, all_rows = [], 0, []
+
+    def batches():
+        nonlocal most
+        for _ in range(40):
+            s, d, kind = (rng.integers(0, n, 500).astype(np.int32) for n in (90, 90, 3))
+            all_rows.extend(zip(kind.tolist(), s.tolist(), d.tolist(), strict=True))
+            b = pa.RecordBatch.from_arrays([pa.array(s), pa.array(d), pa.array(kind)], names=["s", "d", "kind"])
+            alive.append(weakref.ref(b))
+            yield b
+            del b
+            most = max(most, sum(r() is not None for r in alive))
+
+    got = graph._cell(batches())
+    assert most <= 2
+    assert [[(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in side] for side in got] == [sorted({(s, d) for k, s, d in all_rows if k == kind}) for kind in range(3)]
+
+
 # streams with state
 
 def test_open_groups_over_batches_and_restarts(spark, tmp_path):

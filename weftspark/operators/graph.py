@@ -271,8 +271,21 @@ def frontier_spmv(g: Graph, frontier: DataFrame) -> DataFrame:
 CELL_ROWS, PAIRS = 1 << 22, 1 << 20
 
 
-def _unique(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.unique(a.astype(np.int64) << 32 | b)
+def _cell(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """The sorted sets of pairs (s, d) of each kind, packed batch by batch: eight bytes a row, and as many while they are sorted."""
+    held = [[], [], []]
+    for b in batches:
+        s, d, kind = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("s", "d", "kind"))
+        pairs = s.astype(np.int64) << 32 | d
+        for k, parts in enumerate(held):
+            parts.append(pairs[kind == k])
+    out = []
+    for k in range(3):
+        x = np.concatenate(held[k]) if held[k] else np.zeros(0, np.int64)
+        held[k] = None
+        x.sort()
+        out.append(x[np.append(True, x[1:] != x[:-1])] if len(x) else x)
+    return out
 
 
 def _meet(uv: np.ndarray, vw: np.ndarray, uw: np.ndarray) -> int:
@@ -317,13 +330,10 @@ def _closed_triples(edges: DataFrame, closing: tuple[str, str]) -> DataFrame:
     dealt = edges.select(F.col("s").cast("int").alias("s"), F.col("d").cast("int").alias("d"), F.explode(F.array(*[c for k in range(side) for c in copies(k)])).alias("c")).select("s", "d", "c.kind", "c.cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if parts:
-            t = pa.Table.from_batches(parts)
-            a, b, kind = (t.column(c).to_numpy() for c in ("s", "d", "kind"))
-            uv, vw, last = (_unique(a[kind == k], b[kind == k]) for k in range(3))
-            uw = last if closing == ("u", "w") else _unique(last & 0xFFFFFFFF, last >> 32)
-            yield pa.RecordBatch.from_arrays([pa.array([_meet(uv, vw, uw)], pa.int64())], names=["n"])
+        uv, vw, uw = _cell(batches)
+        if closing == ("w", "u"):
+            uw = np.sort((uw & 0xFFFFFFFF) << 32 | uw >> 32)
+        yield pa.RecordBatch.from_arrays([pa.array([_meet(uv, vw, uw)], pa.int64())], names=["n"])
 
     return dealt.repartitionById(side**3, "cell").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
