@@ -901,6 +901,20 @@ def test_a_cell_of_the_cube_is_packed_batch_by_batch():
     assert [[(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in side] for side in got] == [sorted({(s, d) for k, s, d in all_rows if k == kind}) for kind in range(3)]
 
 
+def test_rows_that_a_fiber_scan_needs(spark):
+    """Only rows that the table function doesn't skip go to it, and its result is the same: sums may fall, values may be null."""
+    fibers.register(spark)
+    rng = random.Random(2)
+    rows = [(m, n, rng.choice([None, -9, 3, 10, 25])) for m in [None, *range(12)] for n in rng.sample(range(200), 80)] + [(50, 1, 90), (51, 1, None)]
+    df = spark.createDataFrame(rows, "m int, n int, v long").repartition(3)
+    some = fibers.needed(df, ["m"], ["n"], "v", 60)
+    scanned = []
+    for name, t in (("weft_whole", df), ("weft_needed", some)):
+        t.createOrReplaceTempView(name)
+        scanned.append(sorted(map(str, spark.sql(f"SELECT * FROM fiber_scan(TABLE({name}) PARTITION BY (m) ORDER BY (n), 'v', 60)").collect())))
+    assert scanned[0] == scanned[1] and some.count() == len(scanned[0]) < len(rows) / 2
+
+
 # streams with state
 
 def test_open_groups_over_batches_and_restarts(spark, tmp_path):

@@ -793,7 +793,7 @@ def conv1d_long_kernel(spark, d):
 def fiber_scan_sql(spark, d):
     """Each supplier's parts in order until 500 are together, in SQL with a table function."""
     fibers.register(spark)
-    D.supply_matrix(spark, d).df.createOrReplaceTempView("weft_supply")
+    fibers.needed(D.supply_matrix(spark, d).df, ["m"], ["n"], "v", 500).createOrReplaceTempView("weft_supply")
     return spark.sql("SELECT * FROM fiber_scan(TABLE(weft_supply) PARTITION BY (m) ORDER BY (n), 'v', 500)")
 
 
