@@ -858,6 +858,33 @@ def test_archives_are_written_in_parts(spark, tmp_path, few_bytes_a_task):
     assert (array(archive.read_dense(spark, str(tmp_path / "d"), ("m", "n"))) == x).all()
 
 
+def test_archive_tokens_carry_no_names(spark, tmp_path, few_bytes_a_task):
+    """A token is numbers, whatever the files' sizes; files that share tasks in another order than that of their names are still read in order."""
+    words = [*archive.HEAD, *map(str, np.random.default_rng(6).integers(-999, 999, 700).tolist())]
+    cuts = [0, 3, 400, 405, 600, 703]
+    (tmp_path / "a b").mkdir()
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        (tmp_path / "a b" / f"part-{k}.txt").write_text(" ".join(words[lo:hi]) + " ")
+    line = archive.Tokens(spark, str(tmp_path / "a b"))
+    assert len(line.splits) > 5
+    assert dict(line.rows.dtypes) == {"id": "bigint", "file": "bigint", "start": "bigint", "v": "bigint", "t": "string"}
+    assert [r.t for r in line.rows.where("t IS NOT NULL").collect()] == archive.HEAD[1:2]
+    got = dict(line.section(3, 700, "p", "x").collect())
+    assert [str(got[k]) for k in range(700)] == words[3:] and [line.word(k) for k in range(703)] == words
+
+
+def test_owners_with_values_beside(spark):
+    """Points, the owners of their ranges and the values at their places meet in one shuffle."""
+    rng = np.random.default_rng(7)
+    points = spark.createDataFrame([(int(p), int(p) * 3) for p in rng.permutation(200)], "p long, x long")
+    beside = spark.createDataFrame([(int(p), int(p) * 5) for p in rng.permutation(250) if p % 7], "p long, y long")
+    ranges = spark.createDataFrame([(0, 0, 50), (1, 50, 50), (2, 60, 190)], "o long, start long, stop long")
+    got = scans.with_owner(points, ranges, "p", "o", 16, beside)
+    wanted = [(p, 3 * p, 5 * p, 0 if p < 50 else 2) for p in range(190) if p % 7 and not 50 <= p < 60]
+    assert sorted(map(tuple, got.select("p", "x", "y", "o").collect())) == wanted
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
 def test_archive_of_no_entries(spark, tmp_path):
     t = Tensor(spark.createDataFrame([], "m int, n int, v long"), ("m", "n"), (4, 5))
     archive.write_compressed(t, str(tmp_path / "c"))

@@ -45,21 +45,36 @@ def segmented_sums(df: DataFrame, order: str, parts: dict[str, tuple[Column, Col
     return rows.join(carried, block).withColumns(out).drop("_block", *spare, *[f"_c_{name}" for name in parts])
 
 
-def with_owner(points: DataFrame, ranges: DataFrame, place: str, owner: str, stride: int = STRIDE) -> DataFrame:
+def with_owner(points: DataFrame, ranges: DataFrame, place: str, owner: str, stride: int = STRIDE, beside: DataFrame | None = None, tasks: int = 0) -> DataFrame:
     """points with the owner of the range that holds their place; points in none go.
 
     ranges (owner, start, stop) hold the places start to stop - 1 and don't
     overlap; empty ones are allowed. Points and pieces of ranges meet in blocks
     of `stride` places, by one sort inside a block.
+
+    beside (place, value), of different places: joined to the points, which then
+    have different places too, in that same sort; a point without a value goes.
+    tasks: over so many the blocks are dealt out, where the caller knows the number
+    of points; else over the session's shuffle partitions.
     """
     pieces = ranges.where("start < stop").select(owner, "start", "stop", F.explode(F.sequence(F.expr(f"start div {stride}"), F.expr(f"(stop - 1) div {stride}"))).alias("_block"))
     pieces = pieces.select("_block", F.greatest(F.col("start"), F.col("_block") * stride).alias("_at"), F.struct(F.col(owner).alias("o"), F.col("stop").alias("e")).alias("_range"))
-    rows = points.select(F.expr(f"`{place}` div {stride}").alias("_block"), F.col(place).cast("bigint").alias("_at"), F.struct("*").alias("_point"))
-    both = pieces.withColumn("_point", F.lit(None).cast(rows.schema["_point"].dataType)).unionByName(rows.withColumn("_range", F.lit(None).cast(pieces.schema["_range"].dataType)))
-    # a piece comes before the points at its first place
-    upto = Window.partitionBy("_block").orderBy("_at", F.col("_point").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    met = both.withColumn("_in", F.last("_range", ignorenulls=True).over(upto)).where("_point IS NOT NULL AND _at < _in.e")
-    return met.select("_point.*", F.col("_in.o").alias(owner))
+    block, at = F.expr(f"`{place}` div {stride}").alias("_block"), F.col(place).cast("bigint").alias("_at")
+    rows = points.select(block, at, F.struct("*").alias("_point"))
+    both = pieces.unionByName(rows, allowMissingColumns=True)
+    if beside is not None:
+        (name,) = [c for c in beside.columns if c != place]
+        both = both.unionByName(beside.select(block, at, F.struct(name).alias("_beside")), allowMissingColumns=True)
+    if tasks:
+        both = both.repartition(tasks, "_block")
+    # a piece comes before the points at its first place, a point before the value there
+    order = Window.partitionBy("_block").orderBy("_at", *([F.col("_beside").isNotNull()] if beside is not None else []), F.col("_point").isNotNull())
+    met = both.withColumn("_in", F.last("_range", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if beside is None:
+        return met.where("_point IS NOT NULL AND _at < _in.e").select("_point.*", F.col("_in.o").alias(owner))
+    met = met.withColumns({"_next": F.lead("_at").over(order), "_value": F.lead("_beside").over(order)})
+    met = met.where("_point IS NOT NULL AND _at < _in.e AND _next = _at AND _value IS NOT NULL")
+    return met.select("_point.*", F.col(f"_value.{name}").alias(name), F.col("_in.o").alias(owner))
 
 
 def places(ranges: DataFrame, owner: str, name: str, stride: int = STRIDE) -> DataFrame:

@@ -15,11 +15,8 @@ Only heads (dimensions and counts) and a row per split come to the driver.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,34 +26,30 @@ from weftspark.operators import scans, sparse
 
 #: Fixed values of the format: the tokens every archive starts with.
 HEAD = ["22", "serialization::archive", "15"]
-
-
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds k, a row's number in its split; a task reads its splits one after another."""
-    now, n = None, 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        file, start = b.column(0).dictionary_encode().indices.to_numpy(), b.column(1).to_numpy()
-        new = np.append(True, (file[1:] != file[:-1]) | (start[1:] != start[:-1]))
-        at = np.flatnonzero(new)
-        k = np.arange(b.num_rows) - np.repeat(at, np.diff(np.append(at, b.num_rows)))
-        if (b.column(0)[0].as_py(), int(start[0])) == now:
-            k[: at[1] if len(at) > 1 else b.num_rows] += n
-        now, n = (b.column(0)[b.num_rows - 1].as_py(), int(start[-1])), int(k[-1]) + 1
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k)], names=["file", "start", "t", "k"])
+#: Tokens in a file that is written, at most, and in one that is worth a task of its own.
+FILE, LEAST = 1 << 20, 1 << 8
+#: Splits that are looked for one by one where a section is read.
+NEAR = 16
 
 
 class Tokens:
     """The tokens of an archive: a file, or a folder whose files in the order of their names are the line."""
 
     def __init__(self, spark: SparkSession, path: str):
-        raw = spark.read.option("lineSep", " ").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
-        # a record is a token, but at double blanks and line ends
-        found = raw.select("file", "start", F.explode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("t"))
-        self.rows = storage.save(found.mapInArrow(_numbered, "file string, start long, t string, k long"), "tokens")
-        counts = self.rows.groupBy("file", "start").agg((F.max("k") + 1).alias("n")).orderBy("file", "start").collect()  # a row per split
-        self.splits, self.before = [(r.file, r.start) for r in counts], [0]
+        file = F.col("_metadata.file_path").alias("file")
+        raw = spark.read.option("lineSep", " ").text(path).select(F.xxhash64(file).alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+        # a record is a token, but at double blanks and line ends; v: the number that it is, t: another token
+        number = F.col("value").try_cast("bigint")
+        parts = F.array_remove(F.split("value", r"\s+"), "")
+        found = raw.select("file", "start", F.explode(F.when(number.isNotNull(), F.array("value")).otherwise(parts)).alias("t")).withColumn("v", F.col("t").try_cast("bigint"))
+        # tokens are numbered as their task reads them: those of a split follow each other, and a task has several splits
+        found = found.select(F.monotonically_increasing_id().alias("id"), "file", "start", "v", F.when(F.col("v").isNull(), F.col("t")).alias("t"))
+        self.rows = storage.save(found, "tokens")
+        # names come from the folder's list, so that no token carries one
+        names = spark.read.format("binaryFile").load(path).select(file).select(F.xxhash64("file").alias("file"), F.col("file").alias("name"))
+        splits = self.rows.groupBy("file", "start").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+        counts = splits.join(names, "file").orderBy("name", "start").select("id", "n").collect()  # a row per split
+        self.splits, self.before = [r.id for r in counts], [0]
         for r in counts:
             self.before.append(self.before[-1] + r.n)
         self.held: dict[int, str] = {}
@@ -65,9 +58,10 @@ class Tokens:
         """Token i; some after it are fetched with it."""
         if i not in self.held and 0 <= i < self.before[-1]:
             which = bisect_right(self.before, i) - 1
-            (file, start), base = self.splits[which], self.before[which]
-            near = self.rows.where((F.col("file") == file) & (F.col("start") == start) & F.col("k").between(i - base, i - base + ahead - 1))
-            self.held |= {base + r.k: r.t for r in near.select("k", "t").collect()}
+            stop = min(i + ahead, self.before[which + 1])
+            shift = self.splits[which] - self.before[which]
+            near = self.rows.where(F.col("id").between(i + shift, stop + shift - 1))
+            self.held |= {r.id - shift: str(r.v) if r.t is None else r.t for r in near.select("id", "v", "t").collect()}
         if i not in self.held:
             raise ValueError("the archive ends early")
         return self.held[i]
@@ -78,11 +72,20 @@ class Tokens:
     def section(self, first: int, n: int, place: str, value: str) -> DataFrame:
         """(place, value): n whole numbers from token `first` on, numbered from 0."""
         spark = self.rows.sparkSession
-        known = [(f, s, b - first) for (f, s), b, c in zip(self.splits, self.before, self.before[1:], strict=False) if c > first and b < first + n]
-        bases = storage.small(spark.createDataFrame(known, "file string, start long, base long")) if known else spark.createDataFrame([], "file string, start long, base long")
-        mine = F.col(place).between(0, n - 1)
-        rows = self.rows.join(bases, ["file", "start"]).select((F.col("base") + F.col("k")).alias(place), "t")
-        return rows.where(mine).select(place, F.when(mine, F.col("t").cast("bigint")).alias(value))  # other tokens need not be numbers
+        # of each split that has some: its task, the first and last of its tokens that are wanted, and what is added to get a place
+        known = []
+        for at, b, c in zip(self.splits, self.before, self.before[1:], strict=False):
+            lo, hi = max(b, first), min(c, first + n)
+            if lo < hi:
+                known.append((at >> 33, at + lo - b, at + hi - b - 1, b - first - at))
+        bases = spark.createDataFrame(known, "part long, lo long, hi long, base long")
+        if len(known) * 64 <= storage.BROADCAST_BYTES:
+            bases = F.broadcast(bases)
+        # ids lie in the files in their order, so a short section is read from few of them
+        near = [(lo, hi) for _, lo, hi, _ in known] if len(known) <= NEAR else [(min(k[1] for k in known), max(k[2] for k in known))]
+        rows = self.rows.where(reduce(lambda x, y: x | y, (F.col("id").between(lo, hi) for lo, hi in near), F.lit(False)))
+        rows = rows.join(bases, (F.shiftright("id", 33) == F.col("part")) & (F.col("id") >= F.col("lo")) & (F.col("id") <= F.col("hi")))
+        return rows.select((F.col("base") + F.col("id")).alias(place), F.coalesce("v", F.col("t").cast("bigint")).alias(value))  # other tokens need not be numbers
 
 
 def read_dense(spark: SparkSession, path: str, index: tuple[str, ...], value: str = "v") -> Tensor:
@@ -96,10 +99,12 @@ def read_dense(spark: SparkSession, path: str, index: tuple[str, ...], value: st
     return Tensor(flat.select(*unflatten(F.col("_p"), index, shape), value), index, shape, value)
 
 
-def _write(tokens: list[DataFrame], path: str) -> None:
-    """Writes tokens (i, t) in order, in as many files as there are ranges of them."""
+def _write(tokens: list[DataFrame], n: int, path: str) -> None:
+    """Writes n tokens (i, t), i from 0 on, in order, each file a range of them."""
     every = reduce(DataFrame.unionByName, tokens)
-    every.repartitionByRange("i").sortWithinPartitions("i").select(F.col("t").alias("value")).write.option("lineSep", " ").text(path)
+    files = max(min(every.sparkSession.sparkContext.defaultParallelism, n // LEAST), -(-n // FILE))
+    dealt = every.repartitionById(files, F.expr(f"int(i div {-(-n // files)})"))
+    dealt.sortWithinPartitions("i").select(F.col("t").alias("value")).write.option("lineSep", " ").text(path)
 
 
 def _head(spark: SparkSession, first: int, words: list) -> DataFrame:
@@ -113,7 +118,7 @@ def write_dense(t: Tensor, path: str) -> None:
         n *= d
     head = [*HEAD, 0, 0, len(t.shape), 0, *t.shape[::-1], n, 0]
     place = flatten([F.col(c) for c in t.index], t.shape) + len(head)
-    _write([_head(t.df.sparkSession, 0, head), t.dense().df.select(place.alias("i"), F.col(t.value).cast("bigint").cast("string").alias("t"))], path)
+    _write([_head(t.df.sparkSession, 0, head), t.dense().df.select(place.alias("i"), F.col(t.value).cast("bigint").cast("string").alias("t"))], len(head) + n, path)
 
 
 def read_compressed(spark: SparkSession, path: str, index: tuple[str, ...], value: str = "v") -> Tensor:
@@ -142,22 +147,26 @@ def read_compressed(spark: SparkSession, path: str, index: tuple[str, ...], valu
     for level, name in enumerate(index):
         bounds = line.section(*sections[level], "_f", "start")
         ranges = bounds.join(bounds.select((F.col("_f") - 1).alias("_f"), F.col("start").alias("stop")), "_f")
-        own = scans.with_owner(line.section(*sections[rank + level], "_p", name), ranges, "_p", "_f")
-        if rows is None:
-            rows = own.select("_p", F.col(name).cast("int").alias(name))
-        else:
-            rows = own.join(rows.withColumnRenamed("_p", "_f"), "_f").select("_p", *index[:level], F.col(name).cast("int").alias(name))
-    return Tensor(rows.join(line.section(*sections[-1], "_p", value), "_p").select(*index, value), index, shape, value)
+        # the values lie at the places of the innermost coordinates
+        beside = line.section(*sections[-1], "_p", value) if level == rank - 1 else None
+        own = scans.with_owner(line.section(*sections[rank + level], "_p", name), ranges, "_p", "_f", beside=beside, tasks=-(-2 * sections[rank + level][1] // sparse.SORTED))
+        own = own.withColumn(name, F.col(name).cast("int"))
+        if rows is not None:
+            above = rows.withColumnRenamed("_p", "_f")
+            own = own.join(F.broadcast(above) if sections[rank + level - 1][1] * 64 <= storage.BROADCAST_BYTES else above, "_f")
+        rows = own.select("_p", *index[: level + 1], *([value] if beside is not None else []))
+    return Tensor(rows.select(*index, value), index, shape, value)
 
 
 def write_compressed(t: Tensor, path: str) -> None:
     """Writes a compressed tensor."""
     spark, rank = t.df.sparkSession, len(t.shape)
     c = sparse.encode(t)
-    fibers = {r.level: r.n for r in c.segments.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
-    points = {r.level: r.n for r in c.coords.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
-    entries = points.get(rank - 1, 0)
-    final = t.df.orderBy(*[F.col(x).desc() for x in t.index]).select(*t.index).first()
+    # the last entry's prefixes are the last points of their levels, and each point above has a fiber
+    ends = {r.level: r for r in c.coords.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max_by("coord", "pos").alias("last")).collect()}
+    points = [ends[k].n if k in ends else 0 for k in range(rank)]
+    fibers, entries = [min(points[0], 1), *points[:-1]], points[-1]
+    final = [ends[k].last for k in range(rank)] if entries else None
     head = [*HEAD, 0, 0, rank, entries, rank, 0, *t.shape[::-1], 0, 0, 0, 0, rank, 0, *(reversed(final) if final else [0] * rank)]
     parts, at = [_head(spark, 0, head)], len(head)
 
@@ -171,8 +180,8 @@ def write_compressed(t: Tensor, path: str) -> None:
     for k in range(rank):
         # a fiber's segment begins where the one before ends; without entries the root's is empty
         none = [0] if k == 0 and not entries else []
-        add(fibers.get(k, 0) + 1 + len(none), [0, *none], c.segments.where(F.col("level") == k), "parent_pos", "stop")
+        add(fibers[k] + 1 + len(none), [0, *none], c.segments.where(F.col("level") == k), "parent_pos", "stop")
     for k in range(rank):
-        add(points.get(k, 0), [], c.coords.where(F.col("level") == k), "pos", "coord")
+        add(points[k], [], c.coords.where(F.col("level") == k), "pos", "coord")
     add(entries, [], c.values, "pos", "v")
-    _write(parts, path)
+    _write(parts, at, path)
