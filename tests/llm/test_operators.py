@@ -715,6 +715,24 @@ def test_lm_counts_are_added_whole(halves):
     assert mixing.odds(lm._unpack(big.column(3)[0].as_py(), np.uint64).reshape(-1, 2)).tolist() == [round(math.log(5 / 8) * mixing.STEP)]
 
 
+def test_lm_learner_holds_its_room_and_scores_in_small_chunks(monkeypatch):
+    """The learner's floats are made once, not chunk by chunk; scores are the same in chunks of any size."""
+    rng = random.Random(15)
+    stream = mixing.Stream(*common.texts_of(pa.array([" ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6))) for _ in range(12_000)) for _ in range(2)])))
+    code = mixing.Code(np.bincount(stream.pairs(), minlength=1 << 16))
+    assert ((code.steps >> 1) == code.nodes).all() and ((code.steps & 1) == code.bits).all()
+    learner = mixing.Learner(code, mixing.sizes(1 << 20))
+    learner.learn(stream)
+    room = learner.room
+    learner.learn(stream)
+    assert len(stream.chunks()) > 3 and learner.room is room
+    scores = []
+    for size in (1 << 9, mixing.SCORED, 1 << 20):
+        monkeypatch.setattr(mixing, "SCORED", size)
+        scores.append(mixing.Scorer(code, [mixing.odds(learner.counts(k)) for k in range(4)], learner.weights).score(stream).tolist())
+    assert scores[0] == scores[1] == scores[2]
+
+
 def test_lm_probabilities_sum_to_one():
     """Over all next bytes of a context, by the chain of bits."""
     raw, off = common.texts_of(pa.array(["the theme then " * 50, "other words here"]))

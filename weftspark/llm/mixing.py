@@ -16,7 +16,6 @@ the start, so a long text has few of them.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import math
 
@@ -43,6 +42,8 @@ END = 10
 HOLD = np.array([400.0, 100.0])
 #: Bytes of stream whose bits are worked out together, small enough for a cache, and bytes refined together. A slot is counted once a byte at most, so CHUNK steps never overflow a count that is below 2**15.
 CHUNK, REFINED = 1 << 14, 1 << 18
+#: Bytes whose bits are scored together; what is scored doesn't depend on it.
+SCORED = 1 << 12
 #: Bytes of a text's first block; each later one is as long as all before it.
 FIRST = 96
 
@@ -76,6 +77,8 @@ class Code:
                 first.append(len(nodes))
         self.nodes, self.bits = np.array(nodes, np.int64), np.array(bits, np.uint8)
         self.first, self.length = np.array(first[:-1]), np.diff(first)
+        #: Node and bit in one small number, twice the node and the bit.
+        self.steps = (2 * self.nodes + self.bits).astype(np.uint16)
 
 
 def _powers32(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +164,8 @@ class Stream:
         """Bytes up to and with the separator of so many words."""
         return int(self.ends[words - 1]) + 1 if words else 0
 
-    def chunks(self, skip: int = 0) -> range:
-        return range(skip, len(self.data), CHUNK)
+    def chunks(self, skip: int = 0, size: int = CHUNK) -> range:
+        return range(skip, len(self.data), size)
 
 
 #: Words that two parts of a long text share: with their separators more bytes than any predictor looks back.
@@ -178,23 +181,24 @@ def part_of(raw: np.ndarray, off: np.ndarray, before: int, whole: bool) -> tuple
     return stream, stream.after(SHARED) if before else 0
 
 
-def bits_of(stream: Stream, contexts: list[np.ndarray], code: Code, lo: int):
-    """Bits of the chunk from byte lo: slots of each predictor, the bits, and how many each byte has.
+def bits_of(stream: Stream, contexts: list[np.ndarray], code: Code, lo: int, size: int = CHUNK):
+    """Bits of the chunk of `size` bytes from byte lo: slots of each predictor, the bits, and how many each byte has.
 
     A slot is the context's, its lower bits changed by the node's number: all
     nodes of a context lie together, the often passed ones closest.
     """
-    pair = contexts[-1][lo : lo + CHUNK]
+    pair = contexts[-1][lo : lo + size]
     length = np.take(code.length, pair)
     path = np.repeat(np.take(code.first, pair) - (np.cumsum(length) - length), length)
     path += np.arange(len(path))
-    node, byte = np.take(code.nodes, path), np.repeat(np.arange(len(pair)), length)
+    step, byte = np.take(code.steps, path), np.repeat(np.arange(len(pair)), length)
+    node = (step >> np.uint16(1)).astype(np.int64)
     slots = []
     for c in contexts[:-1]:
-        s = np.take(c[lo : lo + CHUNK], byte)
+        s = np.take(c[lo : lo + size], byte)
         s ^= node
         slots.append(s)
-    return slots, np.take(code.bits, path), length
+    return slots, (step & np.uint16(1)).astype(np.uint8), length
 
 
 def odds(counts: np.ndarray) -> np.ndarray:
@@ -212,16 +216,15 @@ _GATE = _LEVEL.astype(np.uint16) * np.uint16(256)
 
 def squash(z: np.ndarray) -> np.ndarray:
     """The probability that log odds stand for; what leaves the range of exp() is 0."""
-    p = np.negative(z)
     with np.errstate(over="ignore"):
-        np.exp(p, out=p)
-    p += 1
-    return np.reciprocal(p, out=p)
+        return _share(z)
 
 
-@functools.lru_cache(1)
-def _logs() -> np.ndarray:
-    return np.log(np.arange(1 << 16, dtype=np.float32) + np.float32(0.4))
+def _share(z: np.ndarray) -> np.ndarray:
+    p = np.negative(z)
+    np.exp(p, out=p)
+    p += 1
+    return np.reciprocal(p, out=p)
 
 
 class Learner:
@@ -236,6 +239,7 @@ class Learner:
         self.code, self.bits, self.seen = code, bits, 0
         self.tables = [np.zeros(1 << b, np.uint32) for b in bits]
         self.weights = np.full((GATES, len(ORDERS)), 0.3)
+        self.room = np.empty((2 * len(ORDERS) + 1, 0), np.float32)
 
     def counts(self, k: int) -> np.ndarray:
         """(slots, 2) zeros and ones of predictor k."""
@@ -245,36 +249,45 @@ class Learner:
         contexts = stream.contexts(self.bits)
         for lo in stream.chunks(skip):
             slots, bit, _ = bits_of(stream, contexts, self.code, lo)
-            have = [np.take(t, s) for t, s in zip(self.tables, slots, strict=True)]
-            self._adapt(have, bit)
-            one = np.where(bit, np.uint32(1 << 16), np.uint32(1))
-            for t, s, v in zip(self.tables, slots, have, strict=True):
-                full = v & np.uint32(0x80008000)
-                if full.any():
-                    full = np.unique(s[full > 0])
+            one, have = bit.astype(np.uint32) * np.uint32(0xFFFF) + np.uint32(1), []
+            # a table is counted in as soon as it was read, while its slots are in the cache
+            for t, s in zip(self.tables, slots, strict=True):
+                v = np.take(t, s)
+                if np.bitwise_or.reduce(v) & np.uint32(0x80008000):
+                    full = np.unique(s[(v & np.uint32(0x80008000)) > 0])
                     t[full] = (t[full] >> np.uint32(1)) & np.uint32(0x7FFF7FFF)
                 np.add.at(t, s, one)
+                have.append(v)
+            self._adapt(have, bit)
             self.seen += len(bit)
 
     def _adapt(self, have: list[np.ndarray], bit: np.ndarray) -> None:
         """Weights learn from every bit, as predicted by the counts so far."""
-        logs, x = _logs(), np.empty((len(have), len(bit)), np.float32)
+        n = len(bit)
+        if self.room.shape[1] < n:  # kept from chunk to chunk
+            self.room = np.empty((len(self.room), n + n // 4), np.float32)
+        x, dealt, zeros = self.room[: len(have), :n], self.room[len(have) : -1, :n], self.room[-1, :n]
         for z, v in zip(x, have, strict=True):
-            np.take(logs, v >> np.uint32(16), out=z, mode="clip")
-            z -= np.take(logs, v & np.uint32(0xFFFF), mode="clip")
+            # halves are below 2**16, so they are the same as signed numbers, which turn into floats faster
+            np.add((v >> np.uint32(16)).view(np.int32).astype(np.float32), np.float32(0.4), out=z)
+            np.add((v & np.uint32(0xFFFF)).view(np.int32).astype(np.float32), np.float32(0.4), out=zeros)
+            z /= zeros
+            np.log(z, out=z)
         np.clip(x, -MOST, MOST, out=x)
         size, gate = np.abs(x[-1]), np.zeros(len(bit), np.uint8)
         for v in SURE:
             gate += size > v
         # a gate's weights depend on its own bits alone: each gate's bits by themselves, in order
-        order = np.argsort(gate, kind="stable")
-        ends = np.cumsum(np.bincount(gate, minlength=GATES)).tolist()
-        x, bit = np.take(x, order, axis=1), np.take(bit, order)
-        for g, (first, last) in enumerate(zip([0, *ends], ends, strict=False)):
-            for lo in range(first, last, BATCH):
-                hi = min(last, lo + BATCH)
-                own = x[:, lo:hi]
-                self.weights[g] += LEARN * (own @ (bit[lo:hi] - squash(self.weights[g].astype(np.float32) @ own)))
+        own = [np.flatnonzero(gate == g) for g in range(GATES)]
+        order, ends = np.concatenate(own), np.cumsum([len(x) for x in own]).tolist()
+        for z, out in zip(x, dealt, strict=True):
+            np.take(z, order, out=out, mode="clip")
+        bit = np.take(bit, order, mode="clip").astype(np.float32)
+        with np.errstate(over="ignore"):
+            for g, (first, last) in enumerate(zip([0, *ends], ends, strict=False)):
+                for lo in range(first, last, BATCH):
+                    own, err = dealt[:, lo : min(last, lo + BATCH)], bit[lo : min(last, lo + BATCH)]
+                    self.weights[g] += LEARN * (own @ (err - _share(self.weights[g].astype(np.float32) @ own)))
 
 
 class Scorer:
@@ -291,8 +304,8 @@ class Scorer:
     def mixed(self, stream: Stream, skip: int = 0):
         """Log odds of the mix, bits and bits of each byte, chunk by chunk."""
         contexts = stream.contexts(self.bits)
-        for lo in stream.chunks(skip):
-            slots, bit, length = bits_of(stream, contexts, self.code, lo)
+        for lo in stream.chunks(skip, SCORED):
+            slots, bit, length = bits_of(stream, contexts, self.code, lo, SCORED)
             x = np.take(self.tables[-1], slots[-1]).view(np.uint8)
             gate, z = np.take(_GATE, x), np.take(self.word, x)
             for w, t, s in zip(self.shares, self.tables[:-1], slots[:-1], strict=True):
