@@ -3,7 +3,10 @@
 import collections
 import hashlib
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -733,6 +736,57 @@ def test_lm_learner_holds_its_room_and_scores_in_small_chunks(monkeypatch):
     assert scores[0] == scores[1] == scores[2]
 
 
+def test_lm_steps_keep_their_memory():
+    """A step's arrays come from memory that the step before gave back: in a new process, few pages are cleared for it."""
+    code = """if True:
+        import resource
+        import numpy as np, pyarrow as pa
+        from weftspark.llm import lm, mixing
+        text = " ".join(str(i * i % 99_991) for i in range(40_000))
+        code = mixing.Code(np.zeros(1 << 16, int))
+        scorer, had = mixing.Scorer(code, [np.zeros(1 << b, np.int8) for b in mixing.sizes(1 << 20)], np.full((mixing.GATES, len(mixing.ORDERS)), 0.3)), []
+        for _, _, _, stream, _, _, _ in lm._steps(iter([pa.RecordBatch.from_arrays([pa.array([text] * 8)], names=["text"])]), 0):
+            scorer.score(stream)
+            had.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+        print(len(had), (had[-1] - had[3]) / (len(had) - 4) * resource.getpagesize() / len(stream.data))
+    """
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}, timeout=120)
+    steps, cleared = got.stdout.split()
+    assert int(steps) == 8 and float(cleared) < 20  # bytes for each byte of text
+
+
+@pytest.mark.parametrize("most,size", [(400_000, 1 << 25), (300, 1 << 25), (400_000, 5000)])
+def test_lm_words_are_counted_in_parts(texts, monkeypatch, most, size):
+    """As split() counts them, whatever a task holds, and a long text's words once."""
+    texts = [*texts, " ".join(f"Wörd{i % 700}" for i in range(3000)) + " ", "\x1c \x85a\x0b", None]
+    monkeypatch.setattr(common, "STEP_BYTES", 2000)
+    monkeypatch.setattr(lm, "HELD", most)
+    monkeypatch.setattr(lm, "HELD_BYTES", size)
+    batches = list(lm._counted(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    got = collections.Counter()
+    for b in batches:
+        got.update({t.encode(): n for t, n in zip(*(c.to_pylist() for c in b.columns), strict=True)})
+    pairs = [n for t, n in got.items() if t[:1] == b"\n" and len(t) > 1]
+    assert sum(pairs) == sum(len(b" ".join(words(t))) + 1 for t in texts) and got[b"\n"] == len(texts)
+    assert {t: n for t, n in got.items() if t[:1] != b"\n"} == collections.Counter(w for t in texts for w in (t or "").encode().translate(LOW).split())
+    assert (len(batches) > 3) == (most == 300 or size == 5000)
+
+
+def test_lm_logarithms_and_bytes_of_bits():
+    """Logarithms of ratios are looked up to a thousandth, none for a ratio of one; a byte's bits are its path."""
+    ratios = np.random.default_rng(3).lognormal(0, 3, 100_000).astype(np.float32)
+    ratios[:2] = 1, 1e30
+    got = np.take(mixing._logs(), (ratios.view(np.uint32) + np.uint32(1 << 12)) >> np.uint32(13))
+    assert abs(got - np.clip(np.log(ratios), -mixing.MOST, mixing.MOST)).max() < 1e-3 and got[0] == 0 and got[1] == np.float32(mixing.MOST)
+    stream = mixing.Stream(*common.texts_of(pa.array(["the theme, then", "", "é"])))
+    code = mixing.Code(np.bincount(stream.pairs(), minlength=1 << 16))
+    contexts = stream.contexts(mixing.sizes(1))
+    slots, bit, length = mixing.bits_of(stream, contexts, code, 0)
+    paths = [range(code.first[p], code.first[p] + code.length[p]) for p in stream.pairs().tolist()]
+    assert length.tolist() == [len(p) for p in paths] and bit.tolist() == [code.bits[i] for p in paths for i in p]
+    assert slots[1].tolist() == [contexts[1][k] ^ code.nodes[i] for k, p in enumerate(paths) for i in p]
+
+
 def test_lm_probabilities_sum_to_one():
     """Over all next bytes of a context, by the chain of bits."""
     raw, off = common.texts_of(pa.array(["the theme then " * 50, "other words here"]))

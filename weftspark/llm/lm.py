@@ -32,8 +32,8 @@ from weftspark.llm.decontam import Lookup
 
 #: Tokens whose counts travel to all tasks (16 bytes each), at most.
 HEAD = 1_000_000
-#: Distinct tokens that a task holds before it passes their counts on.
-HELD = 400_000
+#: Distinct tokens, and bytes of them, that a task holds before it passes their counts on.
+HELD, HELD_BYTES = 400_000, 1 << 25
 #: Slots of a table in one row of the exchange.
 PART = 1 << 17
 #: Tasks whose counts meet in one task of the first of two rounds of adding up, as one in so many.
@@ -57,6 +57,7 @@ class Base:
 
 def _steps(batches: Iterator[pa.RecordBatch], column: int):
     """(batch, lo, hi, stream, skip, first, last): whole texts lo to hi, or a part of text lo, of whose stream the first `skip` bytes were in the part before."""
+    common.keep_memory()
     for b in batches:
         held = None
         for lo, hi, raw, off, before in common.text_steps(*common.texts_of(b.column(column)), mixing.SHARED):
@@ -74,30 +75,35 @@ def _step(b, lo, hi, raw, off, before, last):
     return b, lo, hi, stream, skip, before == 0, last
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of count_tokens() of a task, a token in more than one where the task passes on what it holds."""
+    parts, rows, size, pairs, ends = [], 0, 0, np.zeros(1 << 16, np.int64), 0
+
+    def added() -> pa.Table:
+        return pa.Table.from_batches(parts).group_by("token").aggregate([("n", "sum")]).select(["token", "n_sum"]).rename_columns(["token", "n"])
+
+    for _, lo, hi, stream, skip, _, last in _steps(batches, 0):
+        pairs += np.bincount(stream.pairs()[skip:], minlength=1 << 16)
+        ends += (hi - lo) * last
+        counts = stream.word_array(skip).value_counts()
+        parts.append(pa.RecordBatch.from_arrays(counts.flatten(), names=["token", "n"]))
+        rows, size = rows + len(counts), size + parts[-1].nbytes
+        if rows > HELD or size > HELD_BYTES:
+            every = added()
+            if every.num_rows > HELD // 2 or every.nbytes > HELD_BYTES // 2:
+                yield from every.to_batches()
+                parts, rows, size = [], 0, 0
+            else:
+                parts, rows, size = every.combine_chunks().to_batches(), every.num_rows, every.nbytes
+    if parts:
+        yield from added().to_batches()
+    some = np.flatnonzero(pairs).tolist()
+    yield pa.RecordBatch.from_arrays([pa.array(["\n", *(f"\n{v}" for v in some)]), pa.array([ends, *pairs[some].tolist()], pa.int64())], names=["token", "n"])
+
+
 def count_tokens(train: DataFrame) -> DataFrame:
     """(token, n) over the column text, saved. Keys that start with a line end are no words: alone, the ends; with a number, a pair of neighbouring bytes of the normalised texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, ends = Counter(), np.zeros(1 << 16, np.int64), 0
-
-        def out():
-            names = [k.decode() for k in words]
-            batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(words.values()), pa.int64())], names=["token", "n"])
-            words.clear()
-            return batch
-
-        for _, lo, hi, stream, skip, _, last in _steps(batches, 0):
-            pairs += np.bincount(stream.pairs()[skip:], minlength=1 << 16)
-            words.update(stream.data[skip:].tobytes().split())
-            ends += (hi - lo) * last
-            if len(words) > HELD:
-                yield out()
-        if words:
-            yield out()
-        some = np.flatnonzero(pairs).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(["\n", *(f"\n{v}" for v in some)]), pa.array([ends, *pairs[some].tolist()], pa.int64())], names=["token", "n"])
-
-    return common.save(train.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0"), "tokens")
+    return common.save(train.select("text").mapInArrow(_counted, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 0"), "tokens")
 
 
 def base_of(tokens: DataFrame) -> tuple[Base, np.ndarray]:

@@ -16,10 +16,12 @@ the start, so a long text has few of them.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from weftspark.llm import common
 
@@ -91,6 +93,15 @@ def _powers32(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: Bytes of stream whose powers are kept from step to step.
+POWERS = 1 << 19
+
+
+@functools.lru_cache(1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers32(POWERS)
+
+
 class Stream:
     """Normalised bytes of some texts: words in lower case, a separator after each, an end byte as a text's last separator.
 
@@ -136,6 +147,16 @@ class Stream:
         some = self.ends > self.starts
         return self.starts[some], self.ends[some]
 
+    def word_array(self, skip: int = 0) -> pa.Array:
+        """The words from byte `skip` on."""
+        starts, ends = self.spans()
+        size = (ends - starts)[starts >= skip]
+        keep = np.ones(len(self.data), bool)
+        keep[self.ends], keep[:skip] = False, False
+        off = np.zeros(len(size) + 1, np.int32)
+        np.cumsum(size, out=off[1:])
+        return pa.StringArray.from_buffers(len(size), pa.py_buffer(off), pa.py_buffer(self.data[keep]))
+
     def contexts(self, bits: tuple[int, ...]) -> list[np.ndarray]:
         """A slot per byte in each predictor's table of 2**bits, a text's start having end bytes before it; and last the pairs."""
         out, n = {}, len(self.data)
@@ -152,7 +173,7 @@ class Stream:
                 h[at] += np.uint32(END + 1)
             if k in ORDERS:
                 out[k] = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * k)
-        p, q = _powers32(n + 1)
+        p, q = _kept_powers() if n < POWERS else _powers32(n + 1)
         sums = np.zeros(n + 1, np.uint32)
         np.cumsum(last * p[:n], out=sums[1:], dtype=np.uint32)
         size = self.ends - self.starts + 1
@@ -189,9 +210,14 @@ def bits_of(stream: Stream, contexts: list[np.ndarray], code: Code, lo: int, siz
     """
     pair = contexts[-1][lo : lo + size]
     length = np.take(code.length, pair)
-    path = np.repeat(np.take(code.first, pair) - (np.cumsum(length) - length), length)
+    ends = np.cumsum(length)
+    # each bit's byte, as repeat() gives it, but without a branch for each byte
+    byte = np.zeros(ends[-1], np.int64)
+    byte[ends[:-1]] = 1
+    np.cumsum(byte, out=byte)
+    path = np.take(np.take(code.first, pair) - (ends - length), byte)
     path += np.arange(len(path))
-    step, byte = np.take(code.steps, path), np.repeat(np.arange(len(pair)), length)
+    step = np.take(code.steps, path)
     node = (step >> np.uint16(1)).astype(np.int64)
     slots = []
     for c in contexts[:-1]:
@@ -227,6 +253,14 @@ def _share(z: np.ndarray) -> np.ndarray:
     return np.reciprocal(p, out=p)
 
 
+@functools.lru_cache(1)
+def _logs() -> np.ndarray:
+    """Logarithms of positive 32-bit floats, at most MOST in size, by sign, exponent and the next ten bits of the rounded number."""
+    with np.errstate(all="ignore"):
+        x = np.log((np.arange(1 << 18, dtype=np.uint32) << np.uint32(13)).view(np.float32))
+    return np.clip(np.nan_to_num(x, nan=MOST, neginf=-MOST), -MOST, MOST)
+
+
 class Learner:
     """Counts and weights gathered from training texts, one step of texts after another.
 
@@ -267,27 +301,40 @@ class Learner:
         if self.room.shape[1] < n:  # kept from chunk to chunk
             self.room = np.empty((len(self.room), n + n // 4), np.float32)
         x, dealt, zeros = self.room[: len(have), :n], self.room[len(have) : -1, :n], self.room[-1, :n]
+        logs = _logs()
         for z, v in zip(x, have, strict=True):
             # halves are below 2**16, so they are the same as signed numbers, which turn into floats faster
             np.add((v >> np.uint32(16)).view(np.int32).astype(np.float32), np.float32(0.4), out=z)
             np.add((v & np.uint32(0xFFFF)).view(np.int32).astype(np.float32), np.float32(0.4), out=zeros)
             z /= zeros
-            np.log(z, out=z)
-        np.clip(x, -MOST, MOST, out=x)
+            np.take(logs, (z.view(np.uint32) + np.uint32(1 << 12)) >> np.uint32(13), out=z, mode="clip")
         size, gate = np.abs(x[-1]), np.zeros(len(bit), np.uint8)
         for v in SURE:
             gate += size > v
         # a gate's weights depend on its own bits alone: each gate's bits by themselves, in order
-        own = [np.flatnonzero(gate == g) for g in range(GATES)]
-        order, ends = np.concatenate(own), np.cumsum([len(x) for x in own]).tolist()
+        own = gate == np.arange(GATES, dtype=np.uint8)[:, None]
+        ends = np.cumsum(np.count_nonzero(own, axis=1)).tolist()
+        order = np.flatnonzero(own)
+        for g in range(1, GATES):
+            order[ends[g - 1] : ends[g]] -= g * n
         for z, out in zip(x, dealt, strict=True):
             np.take(z, order, out=out, mode="clip")
         bit = np.take(bit, order, mode="clip").astype(np.float32)
+        unit, rate = np.float32(1), np.float32(LEARN)
         with np.errstate(over="ignore"):
             for g, (first, last) in enumerate(zip([0, *ends], ends, strict=False)):
+                less = (-self.weights[g]).astype(np.float32)
                 for lo in range(first, last, BATCH):
-                    own, err = dealt[:, lo : min(last, lo + BATCH)], bit[lo : min(last, lo + BATCH)]
-                    self.weights[g] += LEARN * (own @ (err - _share(self.weights[g].astype(np.float32) @ own)))
+                    own = dealt[:, lo : min(last, lo + BATCH)]
+                    p = less @ own
+                    np.exp(p, out=p)
+                    np.add(p, unit, out=p)
+                    np.reciprocal(p, out=p)
+                    np.subtract(p, bit[lo : min(last, lo + BATCH)], out=p)
+                    p = own @ p
+                    p *= rate
+                    less += p
+                self.weights[g] = -less
 
 
 class Scorer:
@@ -307,9 +354,9 @@ class Scorer:
         for lo in stream.chunks(skip, SCORED):
             slots, bit, length = bits_of(stream, contexts, self.code, lo, SCORED)
             x = np.take(self.tables[-1], slots[-1]).view(np.uint8)
-            gate, z = np.take(_GATE, x), np.take(self.word, x)
+            gate, z = np.take(_GATE, x, mode="clip"), np.take(self.word, x, mode="clip")
             for w, t, s in zip(self.shares, self.tables[:-1], slots[:-1], strict=True):
-                z += np.take(w, gate + np.take(t, s).view(np.uint8))
+                z += np.take(w, gate + np.take(t, s).view(np.uint8), mode="clip")
             yield z, bit, length
 
     def score(self, stream: Stream) -> np.ndarray:
