@@ -787,6 +787,29 @@ def test_lm_logarithms_and_bytes_of_bits():
     assert slots[1].tolist() == [contexts[1][k] ^ code.nodes[i] for k, p in enumerate(paths) for i in p]
 
 
+def test_lm_gates_learn_side_by_side(monkeypatch):
+    """A chunk takes as many updates as its most frequent gate has batches, not as all gates have; texts of any length are refined as they are alone."""
+    rng = random.Random(16)
+    texts = [" ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 6))) for _ in range(n)) for n in (9000, 1, 40, 700, 0, 2500)]
+    stream = mixing.Stream(*common.texts_of(pa.array(texts)))
+    code = mixing.Code(np.bincount(stream.pairs(), minlength=1 << 16))
+    learner, made, gates, adapt, exp = mixing.Learner(code, mixing.sizes(1 << 20)), [], [], mixing.Learner._adapt, np.exp
+
+    def watched(self, n, bit):
+        size = abs(self.room[-1, :n])
+        gates.append(np.bincount(sum((size > v).astype(int) for v in mixing.SURE)))
+        adapt(self, n, bit)
+
+    monkeypatch.setattr(mixing.Learner, "_adapt", watched)
+    monkeypatch.setattr(np, "exp", lambda *a, **b: (made.append(1), exp(*a, **b))[1])
+    learner.learn(stream)
+    monkeypatch.undo()
+    assert len(made) == sum(-(-int(c.max()) // mixing.BATCH) for c in gates) < sum(sum(-(-c // mixing.BATCH)) for c in gates)
+    scorer = mixing.Scorer(code, [mixing.odds(learner.counts(k)) for k in range(4)], learner.weights)
+    alone = [scorer.score(mixing.Stream(*common.texts_of(pa.array([t]))))[0] for t in texts]
+    assert scorer.score(stream).tolist() == pytest.approx(alone, rel=1e-6)
+
+
 def test_lm_probabilities_sum_to_one():
     """Over all next bytes of a context, by the chain of bits."""
     raw, off = common.texts_of(pa.array(["the theme then " * 50, "other words here"]))

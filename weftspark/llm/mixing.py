@@ -45,7 +45,7 @@ HOLD = np.array([400.0, 100.0])
 #: Bytes of stream whose bits are worked out together, small enough for a cache, and bytes refined together. A slot is counted once a byte at most, so CHUNK steps never overflow a count that is below 2**15.
 CHUNK, REFINED = 1 << 14, 1 << 18
 #: Bytes whose bits are scored together; what is scored doesn't depend on it.
-SCORED = 1 << 12
+SCORED = 1 << 14
 #: Bytes of a text's first block; each later one is as long as all before it.
 FIRST = 96
 
@@ -202,6 +202,11 @@ def part_of(raw: np.ndarray, off: np.ndarray, before: int, whole: bool) -> tuple
     return stream, stream.after(SHARED) if before else 0
 
 
+def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """values[places], of places that are known to be inside: clipping is cheaper than the test for one that isn't."""
+    return values.take(places, mode="clip")
+
+
 def bits_of(stream: Stream, contexts: list[np.ndarray], code: Code, lo: int, size: int = CHUNK):
     """Bits of the chunk of `size` bytes from byte lo: slots of each predictor, the bits, and how many each byte has.
 
@@ -209,19 +214,22 @@ def bits_of(stream: Stream, contexts: list[np.ndarray], code: Code, lo: int, siz
     nodes of a context lie together, the often passed ones closest.
     """
     pair = contexts[-1][lo : lo + size]
-    length = np.take(code.length, pair)
+    length, first = _at(code.length, pair), _at(code.first, pair)
     ends = np.cumsum(length)
     # each bit's byte, as repeat() gives it, but without a branch for each byte
     byte = np.zeros(ends[-1], np.int64)
     byte[ends[:-1]] = 1
     np.cumsum(byte, out=byte)
-    path = np.take(np.take(code.first, pair) - (ends - length), byte)
-    path += np.arange(len(path))
-    step = np.take(code.steps, path)
+    # places in the paths: one on from bit to bit, from a byte's last to the next one's first by what lies between
+    path = np.ones(ends[-1], np.int64)
+    path[0] = first[0]
+    path[ends[:-1]] = first[1:] - first[:-1] - length[:-1] + 1
+    np.cumsum(path, out=path)
+    step = _at(code.steps, path)
     node = (step >> np.uint16(1)).astype(np.int64)
     slots = []
     for c in contexts[:-1]:
-        s = np.take(c[lo : lo + size], byte)
+        s = _at(c[lo : lo + size], byte)
         s ^= node
         slots.append(s)
     return slots, (step & np.uint16(1)).astype(np.uint8), length
@@ -261,6 +269,19 @@ def _logs() -> np.ndarray:
     return np.clip(np.nan_to_num(x, nan=MOST, neginf=-MOST), -MOST, MOST)
 
 
+def _read(table: np.ndarray, slots: np.ndarray, out: np.ndarray) -> bool:
+    """Writes the log odds of a learner's slots to out; whether one of them is full."""
+    halves = _at(table, slots).view(np.uint16)
+    full = halves.max() >= 1 << 15
+    halves = halves.astype(np.float32)
+    halves += np.float32(0.4)
+    np.divide(halves[1::2], halves[::2], out=out)
+    place = (out.view(np.int32) + np.int32(1 << 12)).astype(np.intp)
+    place >>= 13
+    np.take(_logs(), place, out=out, mode="clip")
+    return full
+
+
 class Learner:
     """Counts and weights gathered from training texts, one step of texts after another.
 
@@ -273,7 +294,7 @@ class Learner:
         self.code, self.bits, self.seen = code, bits, 0
         self.tables = [np.zeros(1 << b, np.uint32) for b in bits]
         self.weights = np.full((GATES, len(ORDERS)), 0.3)
-        self.room = np.empty((2 * len(ORDERS) + 1, 0), np.float32)
+        self.room = np.empty((len(ORDERS), 0), np.float32)
 
     def counts(self, k: int) -> np.ndarray:
         """(slots, 2) zeros and ones of predictor k."""
@@ -283,58 +304,57 @@ class Learner:
         contexts = stream.contexts(self.bits)
         for lo in stream.chunks(skip):
             slots, bit, _ = bits_of(stream, contexts, self.code, lo)
-            one, have = bit.astype(np.uint32) * np.uint32(0xFFFF) + np.uint32(1), []
+            one, n = bit.astype(np.uint32) * np.uint32(0xFFFF) + np.uint32(1), len(bit)
+            if self.room.shape[1] <= n:  # kept from chunk to chunk
+                self.room = np.empty((len(ORDERS), n + n // 4 + 1), np.float32)
+                self.dealt = np.empty((len(ORDERS), self.room.shape[1] // BATCH + GATES, BATCH), np.float32), np.empty((GATES, BATCH), np.float32)
             # a table is counted in as soon as it was read, while its slots are in the cache
-            for t, s in zip(self.tables, slots, strict=True):
-                v = np.take(t, s)
-                if np.bitwise_or.reduce(v) & np.uint32(0x80008000):
-                    full = np.unique(s[(v & np.uint32(0x80008000)) > 0])
+            for t, s, z in zip(self.tables, slots, self.room[:, :n], strict=False):
+                if _read(t, s, z):
+                    full = np.unique(s[(_at(t, s) & np.uint32(0x80008000)) > 0])
                     t[full] = (t[full] >> np.uint32(1)) & np.uint32(0x7FFF7FFF)
                 np.add.at(t, s, one)
-                have.append(v)
-            self._adapt(have, bit)
-            self.seen += len(bit)
-
-    def _adapt(self, have: list[np.ndarray], bit: np.ndarray) -> None:
-        """Weights learn from every bit, as predicted by the counts so far."""
-        n = len(bit)
-        if self.room.shape[1] < n:  # kept from chunk to chunk
-            self.room = np.empty((len(self.room), n + n // 4), np.float32)
-        x, dealt, zeros = self.room[: len(have), :n], self.room[len(have) : -1, :n], self.room[-1, :n]
-        logs = _logs()
-        for z, v in zip(x, have, strict=True):
-            # halves are below 2**16, so they are the same as signed numbers, which turn into floats faster
-            np.add((v >> np.uint32(16)).view(np.int32).astype(np.float32), np.float32(0.4), out=z)
-            np.add((v & np.uint32(0xFFFF)).view(np.int32).astype(np.float32), np.float32(0.4), out=zeros)
-            z /= zeros
-            np.take(logs, (z.view(np.uint32) + np.uint32(1 << 12)) >> np.uint32(13), out=z, mode="clip")
-        size, gate = np.abs(x[-1]), np.zeros(len(bit), np.uint8)
+            self._adapt(n, bit)
+            self.seen += n
+
+    def _adapt(self, n: int, bit: np.ndarray) -> None:
+        """Weights learn from every bit, as predicted by the log odds in the room's first rows."""
+        x, (dealt, scratch) = self.room[:, : n + 1], self.dealt
+        size, gate = np.abs(x[-1, :n]), np.zeros(n, np.uint8)
         for v in SURE:
             gate += size > v
-        # a gate's weights depend on its own bits alone: each gate's bits by themselves, in order
+        # the log odds of the bit that didn't come: its probability is the error
+        sign = bit.astype(np.float32)
+        sign *= -2
+        sign += 1
+        x[:, :n] *= sign
+        x[:, n] = 0
+        # a gate's weights depend on its own bits alone, in order: the first BATCH bits of each gate go together, then the next ones
         own = gate == np.arange(GATES, dtype=np.uint8)[:, None]
-        ends = np.cumsum(np.count_nonzero(own, axis=1)).tolist()
-        order = np.flatnonzero(own)
-        for g in range(1, GATES):
-            order[ends[g - 1] : ends[g]] -= g * n
+        count = [np.count_nonzero(r) for r in own]
+        rank = sorted(range(GATES), key=lambda g: -count[g])
+        gates = [sum(count[g] > lo for g in rank) for lo in range(0, max(count), BATCH)]
+        order, to = np.flatnonzero(own), np.cumsum(count).tolist()
+        place, at = np.full((sum(gates), BATCH), n), 0  # where a batch is short, log odds of 0, which change nothing
+        for i, many in enumerate(gates):
+            for g in rank[:many]:
+                lo = to[g] - count[g] + i * BATCH
+                part = order[lo : min(to[g], lo + BATCH)]
+                np.subtract(part, g * n, out=place[at, : len(part)])
+                at += 1
         for z, out in zip(x, dealt, strict=True):
-            np.take(z, order, out=out, mode="clip")
-        bit = np.take(bit, order, mode="clip").astype(np.float32)
-        unit, rate = np.float32(1), np.float32(LEARN)
+            np.take(z, place, out=out[:at], mode="clip")
+        less, rate, at = (-self.weights[rank]).astype(np.float32), np.float32(LEARN), 0
         with np.errstate(over="ignore"):
-            for g, (first, last) in enumerate(zip([0, *ends], ends, strict=False)):
-                less = (-self.weights[g]).astype(np.float32)
-                for lo in range(first, last, BATCH):
-                    own = dealt[:, lo : min(last, lo + BATCH)]
-                    p = less @ own
-                    np.exp(p, out=p)
-                    np.add(p, unit, out=p)
-                    np.reciprocal(p, out=p)
-                    np.subtract(p, bit[lo : min(last, lo + BATCH)], out=p)
-                    p = own @ p
-                    p *= rate
-                    less += p
-                self.weights[g] = -less
+            for many in gates:
+                own, p, w = dealt[:, at : at + many].transpose(1, 0, 2), scratch[:many], less[:many]
+                np.matmul(w[:, None], own, out=p[:, None])
+                np.exp(p, out=p)
+                p += 1
+                np.divide(rate, p, out=p)
+                w += np.matmul(own, p[:, :, None])[:, :, 0]
+                at += many
+        self.weights[rank] = -less
 
 
 class Scorer:
@@ -353,10 +373,10 @@ class Scorer:
         contexts = stream.contexts(self.bits)
         for lo in stream.chunks(skip, SCORED):
             slots, bit, length = bits_of(stream, contexts, self.code, lo, SCORED)
-            x = np.take(self.tables[-1], slots[-1]).view(np.uint8)
-            gate, z = np.take(_GATE, x, mode="clip"), np.take(self.word, x, mode="clip")
+            x = _at(self.tables[-1], slots[-1]).view(np.uint8)
+            gate, z = _at(_GATE, x), _at(self.word, x)
             for w, t, s in zip(self.shares, self.tables[:-1], slots[:-1], strict=True):
-                z += np.take(w, gate + np.take(t, s).view(np.uint8), mode="clip")
+                z += _at(w, gate + _at(t, s).view(np.uint8))
             yield z, bit, length
 
     def score(self, stream: Stream) -> np.ndarray:
@@ -373,11 +393,12 @@ class Scorer:
 
     @staticmethod
     def _refined(z, bit, before, length, start) -> np.ndarray:
+        """Natural log probability of each text, from its bits' log odds."""
         n = len(length)
         total, scale, shift = np.zeros(n), np.ones(n), np.zeros(n)
         h = np.zeros((3, n))
         h[0], h[2] = HOLD
-        live, done, size = np.arange(n), 0, FIRST
+        live, done, size = np.argsort(-length, kind="stable"), 0, FIRST
         while len(live):
             # bits of the next block of every text that still has one
             lo, hi = before[start[live] + done], before[start[live] + np.minimum(length[live], done + size)]
@@ -394,7 +415,11 @@ class Scorer:
             total[live] += np.add.reduceat(np.log(1 - np.abs(err)).astype(np.float64), first)
             done += size
             size = done
-            if (length[live] > done).any():
+            # only texts that have another block, the longest ones, are fitted again
+            live = live[length[live] > done]
+            if len(live):
+                if len(live) < len(first):
+                    x, p, err, first = x[: first[len(live)]], p[: first[len(live)]], err[: first[len(live)]], first[: len(live)]
                 var = p * (1 - p)
                 vx = var * x
                 for i, v in enumerate((vx * x, vx, var)):
@@ -404,7 +429,6 @@ class Scorer:
                 det = a * d - c * c
                 scale[live] = np.clip(scale[live] + (d * gx - c * g1) / det, 0.2, 5)
                 shift[live] = np.clip(shift[live] + (a * g1 - c * gx) / det, -3, 3)
-            live = live[length[live] > done]
         return total
 
 
